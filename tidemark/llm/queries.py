@@ -5,19 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, sharding, url_filter
 from tidemark.llm.common import read
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages")).drop("pattern")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(read(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 SQL = {
+    "op3_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)\A.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        r(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+        v AS (
+            SELECT u.*, (SELECT max_by({'rule': rule, 'verdict': verdict}, length(rule)) FROM r
+                         WHERE ('.' || host).ends_with('.' || split_part(rule, '/', 1))
+                           AND path.starts_with(substr(rule, position('/' IN rule)))) AS best
+            FROM u)
+        SELECT page_id, host, path, best.rule AS rule,
+               coalesce(best.verdict,
+                        CASE WHEN regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '\bcheap\b[-.]?\bpills\b|\bcasino\b[-.]|\bspam\b[-.]|\bads\b[-.]\btrack(?:er)?\b|\b(?:xxx|adult)\b[-.]|[-.]\bbets?\b|\bpayday\b[-.]?\bloans?\b')
+                        THEN 'block' ELSE 'allow' END) AS verdict
+        FROM v""",
     "op4_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,

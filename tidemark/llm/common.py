@@ -59,3 +59,55 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Bytes of text that one call of a Python operator gets at most, but for a single longer text.
+SLICE_BYTES = 2_000_000
+
+
+def slices(batch, column: str, most: int = SLICE_BYTES):
+    """The rows of a record batch in runs of bounded bytes of ``column``."""
+    start = total = 0
+    for k, n in enumerate(pc_lengths(batch.column(column))):
+        if total and total + n > most:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def pc_lengths(values) -> list[int]:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = values.type
+    size = pc.list_value_length if pa.types.is_list(kind) or pa.types.is_large_list(kind) else pc.binary_length
+    return pc.fill_null(size(values), 0).to_pylist()
+
+
+def add_columns(df: DataFrame, source: str, added: str, make, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with new columns that Python makes of column ``source``, a bounded slice of rows at a time.
+
+    ``added``: their DDL.  ``make()`` is called once in each task and returns a
+    function from an Arrow array to the new Arrow arrays.  ``keep``: the columns
+    of ``df`` to pass on (all).  A new column replaces one of its name.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    narrow = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
+    schema = StructType([f for f in narrow.schema.fields if f.name != "__source"] + new.fields)
+
+    def run(batches):
+        work, arrow = make(), to_arrow_schema(schema)
+        for batch in batches:
+            for part in slices(batch, "__source"):
+                made = work(part.column("__source"))
+                arrays = [part.column(c).cast(arrow.field(c).type) for c in kept] + [pa.array(x, type=arrow.field(f).type) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x for f, x in zip(new.names, made)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return narrow.mapInArrow(run, schema)

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, sharding, url_filter
+from tidemark.llm import bpe, exact_dedup, sharding, url_filter
 from tidemark.llm.common import read
 
 
+def _ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(read(spark, sf_dir, "documents"), _ranks(), keep=["doc_id"])
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    plain = bpe.decode(coded, _ranks(), keep=["doc_id", "n_tokens", "ids_sha256"])
+    return plain.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages")).drop("pattern")
 
@@ -22,6 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op10_sharding": op10_sharding,

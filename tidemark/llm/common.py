@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Executors get the code of Python operators with the tasks: they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["tidemark.llm"])
+
 #: Folder for this session where ``spark.checkpoint.dir`` is unset (tests, one machine).
 _OWN: dict[str, str] = {}
 

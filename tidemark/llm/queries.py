@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, sharding, url_filter
+from tidemark.llm import ann, bpe, exact_dedup, sharding, toxicity, url_filter
 from tidemark.llm.common import read
 
 
@@ -36,11 +36,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(toxicity.fold("doc_id", 3) != 1), read(spark, sf_dir, "labels"))
+    rated = toxicity.assess(docs, model, keep=["doc_id"])
+    return rated.select(
+        "doc_id", (toxicity.fold("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op2_ann": op2_ann,
     "op1_byte_bpe": op1_byte_bpe,
     "op3_url_filter": op3_url_filter,

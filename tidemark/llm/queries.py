@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, sharding, toxicity, url_filter
+from tidemark.llm import ann, bpe, exact_dedup, language_id, sharding, toxicity, url_filter
 from tidemark.llm.common import read
 
 
@@ -45,11 +45,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    field = language_id.fit(docs.where(toxicity.fold("doc_id", 4) != 2))
+    named = language_id.identify(docs, field, keep=["doc_id"], runs=False)
+    return named.select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op5_toxicity": op5_toxicity,
     "op2_ann": op2_ann,
     "op1_byte_bpe": op1_byte_bpe,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, language_id, sharding, toxicity, url_filter
+from tidemark.llm import ann, bpe, exact_dedup, language_id, ngram_join, sharding, toxicity, url_filter
 from tidemark.llm.common import read
 
 
@@ -52,11 +52,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op8_ngram_join": op8_ngram_join,
     "op7_language_id": op7_language_id,
     "op5_toxicity": op5_toxicity,
     "op2_ann": op2_ann,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, language_id, ngram_join, sharding, toxicity, url_filter
+from tidemark.llm import ann, bpe, exact_dedup, language_id, ngram_join, packing, secrets, sharding, toxicity, url_filter
 from tidemark.llm.common import read
 
 
@@ -56,11 +56,24 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs), keep=["doc_id"])
+    lines = found.select("doc_id", F.explode("findings").alias("f"))
+    return lines.select("doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.score").alias("score"), F.col("f.secret").cast("int").alias("predicted"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op6_packing": op6_packing,
+    "op9_secrets": op9_secrets,
     "op8_ngram_join": op8_ngram_join,
     "op7_language_id": op7_language_id,
     "op5_toxicity": op5_toxicity,

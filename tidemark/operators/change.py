@@ -41,8 +41,7 @@ def statistics(positions: DataFrame, keys: list[str], params: Params | None = No
     fitted = two & long & (F.col("n") >= 3)
     rest = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.nullif("sxx", F.lit(0.0)), F.lit(0.0))
     each = each.withColumn("dof", F.col("n") - 2).withColumn("LSE", F.when(fitted, F.sqrt(rest / F.col("dof"))))
-    each = each.join(F.broadcast(student.table(positions.sparkSession, level)), "dof", "left")  # student.TABLE rows
-    tcrit = F.coalesce("tcrit", F.when(F.col("dof") > student.TABLE, student.beyond(level, F.col("dof").cast("double"))))
+    tcrit = student.tcrit(level, F.col("dof"))
     return each.select(
         *keys,
         F.when(two, F.col("x_first") - F.col("x_last")).alias("NSM"),

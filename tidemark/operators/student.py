@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Degrees of freedom that the table lists; beyond, an expansion is exact to 1e-9.
@@ -47,14 +48,16 @@ def quantile(p: float, dof: int) -> float:
     return (low + high) / 2
 
 
-def critical(confidence: float) -> list[float]:
+@cache
+def critical(confidence: float) -> tuple[float, ...]:
     """Two-sided critical values for 1 to ``TABLE`` degrees of freedom."""
-    return [quantile((1 + confidence) / 2, dof) for dof in range(1, TABLE + 1)]
+    return tuple(quantile((1 + confidence) / 2, dof) for dof in range(1, TABLE + 1))
 
 
-def table(spark: SparkSession, confidence: float) -> DataFrame:
-    """(dof, tcrit); ``TABLE`` rows."""
-    return spark.createDataFrame([(k, t) for k, t in enumerate(critical(confidence), 1)], "dof long, tcrit double")
+def tcrit(confidence: float, dof: Column) -> Column:
+    """The two-sided critical value: from the table, which stands in the plan as a constant, or the expansion beyond it."""
+    listed = F.array(*[F.lit(t) for t in critical(confidence)])
+    return F.when(dof.between(1, TABLE), F.try_element_at(listed, dof.cast("int"))).when(dof > TABLE, beyond(confidence, dof.cast("double")))
 
 
 def beyond(confidence: float, dof: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import change_queries, profile_queries, space_queries
+
+MODULES = (change_queries, profile_queries, space_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

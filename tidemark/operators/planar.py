@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.spatial import around, crossing_at
+from tidemark.sources.staging import staged
 
 
 def segments(vertices: DataFrame, keys: list[str], order: list[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -67,9 +68,9 @@ def boxes(points: DataFrame, shore: DataFrame, half_along: float, half_across: f
     The crossing is the one nearest to the family's center; the tangent runs
     from 0.4 to 0.6 of the nearest beam's length.
     """
-    lines, centers = beam_lines(points), family_centers(points)
-    near = nearest_lines(lines, centers)
-    chosen = lines.join(near.select("gt_family", F.col("nearest_beam").alias("beam_id")), ["gt_family", "beam_id"], "left_semi")
+    lines, centers = staged(beam_lines(points)), staged(family_centers(points))
+    near = staged(nearest_lines(lines, centers))
+    chosen = staged(lines.join(near.select("gt_family", F.col("nearest_beam").alias("beam_id")), ["gt_family", "beam_id"], "left_semi"))
     away = F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))
     met = shore_crossings(chosen, ["gt_family"], shore).join(centers, "gt_family")
     cross = met.groupBy("gt_family").agg(F.min(F.struct(away.alias("d"), "x", "y")).alias("c")).select("gt_family", F.col("c.x").alias("cross_x"), F.col("c.y").alias("cross_y"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.spatial import nearest_other
 from tidemark.params import Params, pick
+from tidemark.sources.staging import staged
 
 STATUSES = ("elev_trash", "few_points", "too_far", "loaded")
 
@@ -14,9 +15,9 @@ STATUSES = ("elev_trash", "few_points", "too_far", "loaded")
 def beam_flags(points: DataFrame, params: Params | None = None, min_points_pct: float | None = None, elev_trash: float | None = None, too_far_beam: float | None = None) -> DataFrame:
     """One line per family and beam: its flags, the distance to the nearest other beam of the family, and its status."""
     share, trash, far = (pick(v, params, k) for v, k in ((min_points_pct, "min_points_pct"), (elev_trash, "elev_trash"), (too_far_beam, "too_far_beam")))
-    each = points.groupBy("gt_family", "beam_id").agg(
+    each = staged(points.groupBy("gt_family", "beam_id").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.abs("h_li") > trash), F.lit(False)).alias("elev_trash"), F.median("x").alias("x"), F.median("y").alias("y")
-    )
+    ))
     means = each.groupBy("gt_family").agg(F.avg("n").alias("mean"))
     near = nearest_other(each.select("gt_family", "beam_id", "x", "y"), "gt_family", "beam_id", far)
     flags = each.join(means, "gt_family").join(near, ["gt_family", "beam_id"], "left")
@@ -34,6 +35,6 @@ def summary(flags: DataFrame, params: Params | None = None, ideal_case: int | No
 
 def gate(points: DataFrame, params: Params | None = None, **thresholds) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept points, summary, flagged): beams that are loaded in some family stay; isolated ones are listed with their distance."""
-    flags = beam_flags(points, params, **thresholds)
+    flags = staged(beam_flags(points, params, **thresholds))
     kept = points.join(flags.where("status = 'loaded'").select("beam_id").distinct(), "beam_id", "left_semi")
     return kept, summary(flags, params), flags.where("too_far").select("gt_family", "beam_id", "nearest_dist")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import staged
+
 
 def cell(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(float(width))).cast("long")
@@ -65,7 +67,7 @@ def nearest_other(points: DataFrame, group: str, key: str, width: float) -> Data
     far fewer points than the last and the search ends when none is left or
     one round's cells hold a whole group.  Points alone in their group have none.
     """
-    spark, found = points.sparkSession, None
+    points, found = staged(points.select(group, key, "x", "y")), None
     span = points.groupBy(group).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"), F.count(F.lit(1)).alias("n")).agg(F.max("span")).first()[0]
     left = points.select(group, key, "x", "y")
     width = float(width)
@@ -74,7 +76,7 @@ def nearest_other(points: DataFrame, group: str, key: str, width: float) -> Data
         other = points.select(group, F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell(F.col("x"), width).alias("cx"), cell(F.col("y"), width).alias("cy"))
         near = own.join(other, [group, "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(group, key).agg(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("nearest_dist"))
         last = span is None or width > span
-        sure = near if last else near.where(F.col("nearest_dist") <= width)
+        sure = near if last else staged(near.where(F.col("nearest_dist") <= width))
         found = sure if found is None else found.unionByName(sure)
         if last:
             return found

@@ -9,6 +9,7 @@ from tidemark.operators import aoi, clusters, planar, prep, profiles, quality, s
 from tidemark.params import Params
 from tidemark.plans import workflow
 from tidemark.plans.stand_ins import CLOUDS, LINES, SHORE, TRACKS, clouds, r6, shore, tracks
+from tidemark.sources.staging import staged
 from tidemark.sources.tables import parquet
 
 BEAM = ["gt_family", "beam_id"]
@@ -69,11 +70,11 @@ def line_cross_shore(spark, sf):
 
 
 def boxes(spark, sf):
-    return _tidy(planar.boxes(tracks(spark, sf), shore(spark, sf), 300.0, 300.0))
+    return _tidy(planar.boxes(staged(tracks(spark, sf)), shore(spark, sf), 300.0, 300.0))
 
 
 def _clipped(spark, sf):
-    points = tracks(spark, sf)
+    points = staged(tracks(spark, sf))
     return planar.clip(points, planar.boxes(points, shore(spark, sf), 300.0, 300.0))
 
 
@@ -94,8 +95,8 @@ def neighbour_join(spark, sf):
 
 
 def _candidates(spark, sf, sizes=(18.0, 42.0)):
-    points = tracks(spark, sf)
-    return clusters.candidates(points, planar.beam_lines(points), list(sizes), 2, ("gt1", "gt2", "gt3"))
+    points = staged(tracks(spark, sf))
+    return staged(clusters.candidates(points, staged(planar.beam_lines(points)), list(sizes), 2, ("gt1", "gt2", "gt3")))
 
 
 def candidate_clusters(spark, sf):
@@ -112,8 +113,8 @@ def greedy_summary(spark, sf):
 
 
 def cluster_angle(spark, sf):
-    points = tracks(spark, sf)
-    lines = planar.beam_lines(points)
+    points = staged(tracks(spark, sf))
+    lines = staged(planar.beam_lines(points))
     found = clusters.candidates(points, lines, [42.0], 2, ("gt1", "gt2", "gt3"))
     return clusters.angles(found, points, lines, shore(spark, sf)).select(*BEAM, "cluster_id", "angle_deg")
 
@@ -165,7 +166,7 @@ def dated_tracks(spark, sf):
         F.concat(F.lit("gt"), (F.col("l_suppkey") % 3 + 1).cast("string")).alias("gt_family"), F.concat(F.col("l_suppkey").cast("string"), F.lit("_"), F.year("acq_date").cast("string")).alias("beam_id"),
         "acq_date", (F.col("l_suppkey") * 7.0 + late * 1.5 + F.col("shift")).alias("x"), "y", ((F.col("y") - 300 - late * 2) / 60 + (F.col("q") - 25) / 100).alias("h_li"),
     )
-    return profiles.along_track(points, [*BEAM, "acq_date"])
+    return staged(profiles.along_track(points, [*BEAM, "acq_date"]))
 
 
 def quality_gate(spark, sf):
@@ -204,9 +205,9 @@ _CROSS = f"""{SHORE}, tu AS (SELECT gt_family, beam_id, l.x0, l.y0, l.x1, l.y1,
 _BOXES = f"""{_NEAREST}, {_CROSS},
     picked AS (SELECT gt_family, b.b AS nearest_beam, b.d AS center_dist, center_x, center_y, min({{'d': sqrt((x - center_x) ** 2 + (y - center_y) ** 2), 'x': x, 'y': y}}) AS c
                FROM nearest JOIN centers USING (gt_family) JOIN crossings ON crossings.gt_family = nearest.gt_family AND crossings.beam_id = nearest.b.b GROUP BY ALL),
-    places AS (SELECT gt_family, nearest_beam AS beam_id, share, share * length AS at FROM picked JOIN measures USING (gt_family), (VALUES (0.4::DOUBLE), (0.6::DOUBLE)) v(share) WHERE measures.beam_id = nearest_beam),
-    ends AS (SELECT p.gt_family, min_by({{'x': x0 + (at - cum) / len * (x1 - x0), 'y': y0 + (at - cum) / len * (y1 - y0)}}, share) AS a, max_by({{'x': x0 + (at - cum) / len * (x1 - x0), 'y': y0 + (at - cum) / len * (y1 - y0)}}, share) AS b
-             FROM places p JOIN lines l ON p.gt_family = l.gt_family AND p.beam_id = l.beam_id AND at >= cum AND at < cum + len GROUP BY ALL),
+    places AS (SELECT gt_family, nearest_beam AS beam_id, share, share * length AS pos FROM picked JOIN measures USING (gt_family), (VALUES (0.4::DOUBLE), (0.6::DOUBLE)) v(share) WHERE measures.beam_id = nearest_beam),
+    ends AS (SELECT p.gt_family, min_by({{'x': x0 + (pos - cum) / len * (x1 - x0), 'y': y0 + (pos - cum) / len * (y1 - y0)}}, share) AS a, max_by({{'x': x0 + (pos - cum) / len * (x1 - x0), 'y': y0 + (pos - cum) / len * (y1 - y0)}}, share) AS b
+             FROM places p JOIN lines l ON p.gt_family = l.gt_family AND p.beam_id = l.beam_id AND pos >= cum AND pos < cum + len GROUP BY ALL),
     boxes AS (SELECT gt_family, center_x, center_y, c.x AS cross_x, c.y AS cross_y, nearest_beam, center_dist,
                      (b.x - a.x) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS tx, (b.y - a.y) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS ty FROM picked JOIN ends USING (gt_family)),
     clipped AS (SELECT tracks.*, sqrt((x - cross_x) ** 2 + (y - cross_y) ** 2) AS radial_dist_m FROM tracks JOIN boxes USING (gt_family)
@@ -230,7 +231,7 @@ def _between(a: str, b: str) -> str:
 _PAIRS = f"""{_LINES}, pairs AS (SELECT a.gt_family, a.beam_id, b.gt_family AS other_family, b.beam_id AS other_beam,
         min(CASE WHEN a.gt_family = b.gt_family AND a.beam_id = b.beam_id THEN 0::DOUBLE ELSE {_between('a', 'b')} END) AS dist
     FROM lines a JOIN lines b ON abs(a.x0 - b.x0) < 60 AND abs(a.y0 - b.y0) < 80 GROUP BY ALL HAVING dist <= 21)"""
-_CANDIDATES = f"""{_PAIRS}, seeds AS (SELECT gt_family, beam_id, count(*) AS num_points, CAST(row_number() OVER (ORDER BY gt_family, beam_id) - 1 AS INT) AS cluster_id FROM tracks GROUP BY ALL),
+_CANDIDATES = f"""{_PAIRS}, seeds AS (SELECT *, CAST(row_number() OVER (ORDER BY gt_family, beam_id) - 1 AS INT) AS cluster_id FROM (SELECT gt_family, beam_id, count(*) AS num_points FROM tracks GROUP BY ALL)),
     groups AS (SELECT size AS cluster_distance_m, gt_family, beam_id, list({{'f': other_family, 'b': other_beam}} ORDER BY other_family, other_beam) AS beams
                FROM pairs, (VALUES (18.0::DOUBLE), (42.0::DOUBLE)) v(size) WHERE dist <= size / 2 GROUP BY ALL),
     candidates AS (SELECT *, CAST(len(beams) AS INT) AS num_beams FROM groups JOIN seeds USING (gt_family, beam_id) WHERE len(beams) >= 2)"""

@@ -1,8 +1,8 @@
-"""The workflow for one setup or a whole grid of setups, in one plan.
+"""The workflow for one setup or a whole grid of setups, in one run.
 
 Boxes and tracks do not depend on the setup, clusters depend on the size
-only, biases not on the tolerance: each is planned once, and sizes and
-tolerances are columns.
+only, biases not on the tolerance: each is computed once, staged, and used by
+all that needs it; sizes and tolerances are columns.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import track_normalised
 from tidemark.operators import bias, change, clusters, planar
 from tidemark.params import BIAS_TOLERANCES, CLUSTER_SIZES, Params
+from tidemark.sources.staging import staged
 
 CLUSTER = ["track_id", "cluster_distance_m", "gt_family", "cluster_id"]
 SETUP = [*CLUSTER, "bias_tolerance"]
@@ -39,19 +40,19 @@ def run(points: DataFrame, shore: DataFrame, track_id: str, params: Params | Non
     """``points``: gated points with gt_family, beam_id, acq_date, distance_from_offshore, h_li, x, y; ``shore``: its segments."""
     p = params or Params()
     sizes, tolerances = sizes or (p.cluster_distance_m,), tolerances or (p.bias_tolerance,)
-    points = points.where(F.col("gt_family").isin(*p.gtx))
-    box = planar.boxes(points, shore, p.half_along_m, p.half_across_m)
-    clipped = planar.clip(points, box)
-    lines = planar.beam_lines(clipped)
-    found = clusters.candidates(clipped, lines, list(sizes), p.min_beams, p.gtx).withColumn("track_id", track_normalised(F.lit(str(track_id))))
-    found = clusters.angles(found, clipped, lines, shore, params=p)
+    points, shore = staged(points.where(F.col("gt_family").isin(*p.gtx))), staged(shore)
+    box = staged(planar.boxes(points, shore, p.half_along_m, p.half_across_m))
+    clipped = staged(planar.clip(points, box))
+    lines = staged(planar.beam_lines(clipped))
+    found = staged(clusters.candidates(clipped, lines, list(sizes), p.min_beams, p.gtx).withColumn("track_id", track_normalised(F.lit(str(track_id)))))
+    found = staged(clusters.angles(found, clipped, lines, shore, params=p))
     marked, summary = clusters.select(found, p.min_beams, ["track_id", "cluster_distance_m", "gt_family"])
-    selected = marked.where("selected").drop("selected")
-    inside = bias.profiles_in(selected.withColumn("size", F.col("cluster_distance_m")), points, CLUSTER, lines)
-    biases = bias.keep(bias.evaluate(inside, CLUSTER, params=p), list(tolerances))
+    selected = staged(marked.where("selected").drop("selected"))
+    inside = staged(bias.profiles_in(selected, points, CLUSTER, lines))
+    biases = staged(bias.keep(bias.evaluate(inside, CLUSTER, params=p), list(tolerances)))
     cycle = [*CLUSTER, "reference_beam", "beam_id", "acq_date"]
-    accepted = inside.join(biases.where("keep").select(*cycle, "bias_tolerance", "bias"), cycle)
-    edges = bias.bluffs(accepted, SETUP, which, p)
+    accepted = staged(inside.join(biases.where("keep").select(*cycle, "bias_tolerance", "bias"), cycle))
+    edges = staged(bias.bluffs(accepted, SETUP, which, p))
     return Workflow(box, found, selected, summary, biases, bias.summary(biases, selected, CLUSTER), accepted, edges, change.statistics(edges, SETUP, p))
 
 
@@ -77,7 +78,7 @@ def metrics(flow: Workflow, quality_summary: DataFrame | None = None) -> DataFra
 
 
 def sweep(points: DataFrame, shore: DataFrame, track_id: str, quality_summary: DataFrame | None = None, params: Params | None = None) -> DataFrame:
-    """The result table of the full grid, as one plan."""
+    """The result table of the full grid, in one run."""
     return metrics(run(points, shore, track_id, params, CLUSTER_SIZES, BIAS_TOLERANCES), quality_summary)
 
 

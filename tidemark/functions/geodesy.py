@@ -145,4 +145,4 @@ def acute_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Degrees between two directions, folded to at most 90; null for a zero vector."""
     size = F.hypot(ax, ay) * F.hypot(bx, by)
     cosine = F.greatest(F.least((ax * bx + ay * by) / F.nullif(size, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
-    return _let(F.degrees(F.acos(cosine)), lambda a: F.when(a > 90, F.lit(180.0) - a).otherwise(a))
+    return _let(F.when(size > 0, F.degrees(F.acos(cosine))), lambda a: F.when(a > 90, F.lit(180.0) - a).otherwise(a))

@@ -42,7 +42,7 @@ def normalised(parts: list[Ring], buffer: float = 0.001, most: int = 500, tolera
     """
     wrap = lambda x: x - 360 if x > 180 else x + 360 if x < -180 else x
     ring = [(wrap(x), y) for x, y in max(parts, key=lambda p: abs(area(p)))]
-    if ring[0] == ring[-1]:
+    if len(ring) > 1 and ring[0] == ring[-1]:
         ring = ring[:-1]
     if len(ring) < 3 or area(ring) == 0:
         xs, ys = [p[0] for p in ring], [p[1] for p in ring]

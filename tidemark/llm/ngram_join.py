@@ -41,6 +41,8 @@ TREES, LONGEST_PREFIX, RECALL = 20, 8, 0.9999
 #: Sets in a block of verification, and shingles that it compares at a time.
 BLOCK, COLUMNS = 512, 8192
 CACHE = 400_000
+#: Rows of a table of two or three numbers that is broadcast; about 100 MB at most.
+BROADCAST_ROWS = 2_000_000
 
 
 def prefix_length(similarity: float, trees: int = TREES, longest: int = LONGEST_PREFIX, recall: float = RECALL) -> int:
@@ -103,6 +105,11 @@ def signatures(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if its rows are counted and few; else joined by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _name(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
@@ -234,11 +241,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y"), F.min("set").alias("first"), F.max("set").alias("last")]
     nodes = scratch.table(filed.groupBy("tree", "key").agg(*same).where("n > 1"))
     once = nodes.groupBy("n", "x", "y", "first", "last").agg(F.min(F.struct("tree", "key")).alias("at")).select("at.tree", "at.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = scratch.table(filed.join(scratch.table(once), ["tree", "key"]))
+    members = scratch.table(filed.join(_small(scratch.table(once)), ["tree", "key"]))
     # Shingles of candidates are made again from their texts: kept for all documents they would outweigh the corpus.
-    wanted = scratch.table(sets.join(members.select("set").distinct(), "set", "left_semi").select("set", "digest", "name", "copies"))
-    texts = rows.select("digest", "text").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    held = _sets(texts, size, trees, depth, full=True).join(wanted, ["digest", "name"])
+    several = scratch.table(members.select("set").distinct())
+    wanted = scratch.table(sets.join(_small(several), "set", "left_semi").select("set", "digest", F.col("name").alias("known"), "copies"))
+    texts = rows.select("digest", "text").join(_small(scratch.table(wanted.select("digest").distinct())), "digest", "left_semi")
+    # One text for each digest; it stays where that puts it for the join with what is known of it.
+    held = _sets(texts.dropDuplicates(["digest"]).join(wanted, "digest"), size, trees, depth, full=True).where("name = known")
     held = scratch.table(held.select("set", "copies", "keys", "shingles"))
     own = F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -114,6 +114,11 @@ def possible(table: DataFrame, least: float = -30.0) -> DataFrame:
     return table.where(~_true(F.col("LRR") < least))
 
 
+def setup_rows(table: DataFrame, size: int, tolerance: float, least: float, most: float) -> DataFrame:
+    """Rows of one setup whose regression rate is known and in range."""
+    return table.where((F.col("ClusterSize") == size) & (F.col("bias_tolerance") == tolerance) & F.col("LRR").between(least, most))
+
+
 def regression_breakdown(table: DataFrame) -> DataFrame:
     return table.groupBy(regression_flag(F.col("ValidRegression")).alias("valid_regression")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded, year_fraction
-from tidemark.operators import change, qa, student
+from tidemark.operators import change, profiles, qa, student
 from tidemark.plans.stand_ins import SERIES, r6, series
 from tidemark.plans.workflow import missing_setups, upsert
 
@@ -135,6 +135,15 @@ def set_ops(spark, sf):
     return a.intersect(b).withColumn("part", F.lit("both")).unionByName(a.exceptAll(b).withColumn("part", F.lit("first")))
 
 
+def map_subset(spark, sf):
+    """Rows of one setup with a rate in range, as a map shows them."""
+    return _tidy(qa.setup_rows(results(spark, sf), 18, 0.75, -20.0, 20.0).select(*KEY, "NSM", "LRR"))
+
+
+def advancing(spark, sf):
+    return _tidy(profiles.advancing(change.collapsed(series(spark, sf), KEY), KEY).select(*KEY, "acq_date", "bluff_x"))
+
+
 _FIT = f"""{SERIES},
     dated AS (SELECT gt_family, cluster_id, acq_date, avg(bluff_x) AS bluff_x, year(acq_date) + dayofyear(acq_date) / 365.25::DOUBLE AS t
               FROM series WHERE bluff_x IS NOT NULL AND acq_date IS NOT NULL GROUP BY gt_family, cluster_id, acq_date),
@@ -190,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dsas_metrics, dsas_endpoint, dsas_regression, dsas_lci, envelope, collapse_dates, frac_year, qa_profile, qa_health, qa_topn, qa_bottomn, qa_rules_v1, qa_rules_v2,
-        qa_clean, qa_iqr, qa_mad, qa_score, qa_impossible, qa_breakdown, qa_distinct_keys, resume_antijoin, upsert_keep_last, union_by_name, set_ops,
+        qa_clean, qa_iqr, qa_mad, qa_score, qa_impossible, qa_breakdown, qa_distinct_keys, resume_antijoin, upsert_keep_last, union_by_name, set_ops, map_subset, advancing,
     )
 }
 
@@ -224,6 +233,8 @@ SQL = {
     "resume_antijoin": f"WITH {_RESULTS} SELECT DISTINCT ClusterSize, bias_tolerance, gt_family FROM results WHERE gt_family <> 'gt1'",
     "upsert_keep_last": f"WITH {_RESULTS} SELECT gt_family, cluster_id, {r6('CASE WHEN cluster_id % 3 <> 1 THEN NSM + 1 ELSE NSM END')} AS NSM FROM results",
     "union_by_name": f"WITH {_RESULTS} SELECT gt_family, cluster_id, {r6('NSM')} AS NSM, NULL::DOUBLE AS SCE FROM results WHERE gt_family = 'gt1' UNION ALL SELECT gt_family, cluster_id, NULL, {r6('SCE')} FROM results WHERE gt_family = 'gt2'",
+    "map_subset": f"WITH {_RESULTS} SELECT gt_family, cluster_id, {_each(['NSM', 'LRR'])} FROM results WHERE ClusterSize = 18 AND bias_tolerance = 0.75 AND results.LRR BETWEEN -20 AND 20",
+    "advancing": f"WITH {_FIT}, moved AS (SELECT *, bluff_x - lag(bluff_x) OVER (PARTITION BY gt_family, cluster_id ORDER BY acq_date) AS dx FROM dated) SELECT gt_family, cluster_id, acq_date, {_each(['bluff_x'])} FROM moved WHERE dx IS NULL OR dx >= 0",
     "set_ops": f"""WITH {_RESULTS}, a AS (SELECT cluster_id FROM results WHERE angle_deg >= 30), b AS (SELECT cluster_id FROM results WHERE ClusterSize <= 24)
         SELECT cluster_id, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT cluster_id, 'first' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""",
 }

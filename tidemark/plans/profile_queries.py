@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy, names
 from tidemark.functions.numeric import rounded
-from tidemark.operators import bias, profiles as P
+from tidemark.operators import bias, prep, profiles as P
 from tidemark.plans.stand_ins import NAMES, PROFILES, TRACKS, file_names, profiles, r6, tracks
 from tidemark.sources.tables import parquet
 
@@ -101,6 +101,11 @@ def cum_geodesic(spark, sf):
     return ordered.select("event_id", F.floor(F.col("distance_m") * 100 + 0.5).cast("long").alias("centimetres"))
 
 
+def granule_numbers(spark, sf):
+    rows = parquet(spark, sf, "events").select("user_id", (F.col("event_id") % 1387).alias("rgt"), (F.col("event_id") % 24).alias("cycle_number"))
+    return prep.granule_numbers(rows, ["user_id"])
+
+
 def utm_fwd(spark, sf):
     p = places(spark, sf).select("event_id", geodesy.utm(F.col("latitude"), F.col("longitude")).alias("p"))
     return p.select("event_id", rounded(F.col("p.x"), 3).alias("x"), rounded(F.col("p.y"), 3).alias("y"))
@@ -208,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interp_at_x0, crossing_first, crossing_last, crossing_exact, bias_report, bias_filter, bias_summary, bluff_positions, yref_oldest, used_cycles, along_track, point_id,
-        haversine_first, cum_geodesic, utm_fwd, utm_round_trip, polar_fwd, lon_wrap, name_date, name_family, name_track, name_rgt, track_norm,
+        haversine_first, cum_geodesic, granule_numbers, utm_fwd, utm_round_trip, polar_fwd, lon_wrap, name_date, name_family, name_track, name_rgt, track_norm,
     )
 }
 
@@ -235,6 +240,7 @@ SQL = {
     "haversine_first": f"""WITH {_PLACES}, f AS (SELECT *, first_value(latitude) OVER w AS lat0, first_value(longitude) OVER w AS lon0 FROM places WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         h AS (SELECT event_id, sin(radians(latitude - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(latitude)) * sin(radians(longitude - lon0) / 2) ** 2 AS a FROM f)
         SELECT event_id, {r6(_HAVERSINE)} AS distance FROM h""",
+    "granule_numbers": "SELECT user_id, CAST(trunc(median(event_id % 1387)) AS INT) AS rgt, CAST(trunc(median(event_id % 24)) AS INT) AS cycle FROM events GROUP BY user_id",
     "utm_fwd": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r3(f'500000 + {0.9996 * geodesy.RADIUS!r}::DOUBLE * (eta + {_series(geodesy._alphas(), 'cos', 'sinh')})')} AS x, {r3(f'{0.9996 * geodesy.RADIUS!r}::DOUBLE * (xi + {_series(geodesy._alphas(), 'sin', 'cosh')})')} AS y FROM p",
     "utm_round_trip": "SELECT event_id, true AS returns FROM events",
     "polar_fwd": f"""WITH {_PLACES}, q AS (SELECT event_id, radians(longitude + 45) AS lam, sin(radians(latitude)) AS si, radians(latitude) AS phi FROM places),

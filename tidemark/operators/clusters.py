@@ -18,15 +18,20 @@ def pair_distances(lines: DataFrame, reach: float) -> DataFrame:
     Segments are filed under the cells that they touch and widened by the
     reach on one side only; pairs that share a cell are measured.
     """
-    ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    width = max(4 * float(reach), 60.0)
-    a = lines.select("gt_family", "beam_id", *ends, F.explode(around(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), width, float(reach))).alias("c"))
-    b = lines.select(F.col("gt_family").alias("other_family"), F.col("beam_id").alias("other_beam"), *[e.alias(f"o{n}") for e, n in zip(ends, ("x0", "y0", "x1", "y1"))], F.explode(around(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), width, 0.0)).alias("oc"))
-    met = a.join(b, a["c"] == b["oc"])
-    away = F.when((F.col("gt_family") == F.col("other_family")) & (F.col("beam_id") == F.col("other_beam")), F.lit(0.0)).otherwise(
-        segment_segment(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "ox0", "oy0", "ox1", "oy1")])
-    )
-    return met.withColumn("dist", away).where(F.col("dist") <= reach).groupBy("gt_family", "beam_id", "other_family", "other_beam").agg(F.min("dist").alias("dist"))
+    names, reach = ("x0", "y0", "x1", "y1"), float(reach)
+    width = max(2 * reach, 25.0)
+    box = [f(*pair) for f, pair in ((F.least, ("x0", "x1")), (F.least, ("y0", "y1")), (F.greatest, ("x0", "x1")), (F.greatest, ("y0", "y1")))]
+    a = lines.select("gt_family", "beam_id", *names, F.explode(around(*box, width, reach)).alias("c"))
+    b = lines.select(F.col("gt_family").alias("other_family"), F.col("beam_id").alias("other_beam"), *[F.col(n).alias(f"o{n}") for n in names], F.explode(around(*box, width, 0.0)).alias("oc"))
+    # By cell, in a number of partitions that stays: the work is in the pairs, which the bytes read do not show.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.repartition(parts, "c").join(b, a["c"] == b["oc"]).where((F.col("gt_family") != F.col("other_family")) | (F.col("beam_id") != F.col("other_beam")))
+    apart = lambda p, q: F.greatest(F.least(f"{p}0", f"{p}1") - F.greatest(f"o{p}0", f"o{p}1"), F.least(f"o{p}0", f"o{p}1") - F.greatest(f"{p}0", f"{p}1")) <= q
+    met = met.where(apart("x", reach) & apart("y", reach))  # boxes first: most pairs need no more
+    away = segment_segment(*[F.col(c) for c in (*names, *[f"o{n}" for n in names])])
+    near = met.withColumn("dist", away).where(F.col("dist") <= reach).groupBy("gt_family", "beam_id", "other_family", "other_beam").agg(F.min("dist").alias("dist"))
+    own = lines.select("gt_family", "beam_id").distinct()
+    return near.unionByName(own.select("gt_family", "beam_id", F.col("gt_family").alias("other_family"), F.col("beam_id").alias("other_beam"), F.lit(0.0).alias("dist")))
 
 
 def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beams: int, families: tuple[str, ...]) -> DataFrame:

@@ -135,7 +135,7 @@ def corridor_select(spark, sf):
 
 
 def display_range(spark, sf):
-    return _tidy(prep.display_range(tracks(spark, sf), BEAM, -2.0, 2.0, 20).select(*BEAM, "y", "h_li"))
+    return _tidy(prep.display_range(tracks(spark, sf), BEAM, -6.0, 6.0, 25).select(*BEAM, "y", "h_li"))
 
 
 #: A ring in the plane of value and second of the day.
@@ -297,7 +297,7 @@ SQL = {
         SELECT gt_family, beam_id, {_each('x', 'y')} FROM high SEMI JOIN hit USING (beam_id)""",
     "corridor_select": f"""WITH {_LINES}, hit AS (SELECT DISTINCT beam_id FROM tracks WHERE EXISTS (SELECT 1 FROM lines s WHERE s.beam_id = '7' AND {_to_segment('tracks.x', 'tracks.y', 's')} <= 25))
         SELECT gt_family, beam_id, {_each('x', 'y')} FROM tracks SEMI JOIN hit USING (beam_id)""",
-    "display_range": f"WITH {TRACKS}, held AS (SELECT *, count(*) OVER (PARTITION BY gt_family, beam_id) AS n FROM tracks WHERE h_li BETWEEN -2 AND 2) SELECT gt_family, beam_id, {_each('y', 'h_li')} FROM held WHERE n >= 20",
+    "display_range": f"WITH {TRACKS}, held AS (SELECT *, count(*) OVER (PARTITION BY gt_family, beam_id) AS n FROM tracks WHERE h_li BETWEEN -6 AND 6) SELECT gt_family, beam_id, {_each('y', 'h_li')} FROM held WHERE n >= 25",
     "photon_clip": f"WITH p AS (SELECT event_id, value, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS sec FROM events) SELECT event_id FROM p WHERE value BETWEEN 5 AND 80 AND sec BETWEEN 5000 AND 80000 AND {_inside('value', 'sec')}",
     "padded_bounds": f"WITH {TRACKS} SELECT {r6('min(x) - 100')} AS x_min, {r6('min(y) - 100')} AS y_min, {r6('max(x) + 100')} AS x_max, {r6('max(y) + 100')} AS y_max FROM tracks",
     "family_batches": f"WITH {TRACKS} SELECT gt_family, count(*) AS files, count(DISTINCT beam_id) AS tracks FROM tracks GROUP BY gt_family",

@@ -107,6 +107,20 @@ def test_ann_gives_all_candidates_if_they_are_few(spark):
     assert ann.search(table, table.where("vec_id = 0")).count() == 5
 
 
+def test_ann_recall_does_not_depend_on_size(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LARGE", 0, raising=False)  # every table counts as large, if there is such a bound
+    monkeypatch.setattr(ann, "PAIRS", 1 << 10, raising=False)
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    table = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found, hit = ann.search(table, table.where("vec_id % 100 = 0")).collect(), 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len({*np.argsort(d)[:10].tolist()} & {r.vec_id for r in found if r.query_id == q})
+    print("recall", hit / 300)
+    assert hit / 300 >= 0.9
+
+
 def test_url_rules(spark):
     urls = ["https://www.example.org/es/1", "http://EXAMPLE.org/en/12?x", "http://a.b.org/x", "http://org", "x.com/fr/", None, "", "http://x.com/fr/1", "http://x.com/de/?q", "http://cheap-pills.net/1", "ftp://fxorg/", "http://x.net/a#://y.org/", "http://notexample.org/es/1"]
     pages = spark.createDataFrame([(k % 7, u, "h", "t") for k, u in enumerate(urls)] + [(0, urls[0], "h", "t")], "page_id long, url string, html string, token string")

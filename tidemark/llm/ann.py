@@ -12,7 +12,9 @@ tasks.  A block returns each query's best few only, so what is shuffled grows
 with the queries and not with the pairs compared.  Queries that have met too
 few vectors look into every bucket of one table, which is exact.
 
-Beyond ``LARGE`` vectors a hash joins two rotations, for smaller buckets.
+Tables, probes and the one rotation of a hash are the same at every size, so
+that recall is too; more vectors only mean more and, up to a bound, larger
+blocks.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, as query or candidate; nor do rows with a null id.
@@ -31,9 +33,10 @@ from tidemark.llm.common import Scratch, add_columns
 
 #: With 8 tables and 16 probes of 128, random vectors of 64 components (the hardest case) reach a recall of about 0.99 at 10,000 rows.
 TABLES, PROBES = 8, 16
-#: Rows in a block at least, and the share of an even bucket that a block takes beyond.
-BLOCK, BLOCKS_PER_BUCKET = 512, 4
-LARGE = 25_000_000
+#: Rows in a block at least and at most, and the share of an even bucket that a block takes between.
+BLOCK, LARGEST_BLOCK, BLOCKS_PER_BUCKET = 512, 1 << 17, 4
+#: Distances that a block holds at a time.
+PAIRS = 1 << 23
 
 
 def rotated(unit: np.ndarray, seed: int) -> np.ndarray:
@@ -61,18 +64,10 @@ def nearest_axes(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.take_along_axis(both, order, axis=1)
 
 
-def buckets(unit: np.ndarray, tables: int, rotations: int, probes: int) -> np.ndarray:
+def buckets(unit: np.ndarray, tables: int, probes: int) -> np.ndarray:
     """(row, table, probe) -> bucket, the nearest first."""
     wide = 2 << max(0, unit.shape[1] - 1).bit_length()
-    out = []
-    for table in range(tables):
-        best, score = np.zeros((len(unit), 1), dtype=np.int64), np.zeros((len(unit), 1))
-        for r in range(rotations):
-            axes, near = nearest_axes(rotated(unit, table * 16 + r), min(probes, wide))
-            best = (best[:, :, None] * wide + axes[:, None, :]).reshape(len(unit), -1)
-            score = (score[:, :, None] + near[:, None, :]).reshape(len(unit), -1)
-        order = np.argsort(-score, axis=1, kind="stable")[:, : probes**rotations]
-        out.append(np.take_along_axis(best, order, axis=1))
+    out = [nearest_axes(rotated(unit, table * 16), min(probes, wide))[0] for table in range(tables)]
     return np.stack(out, axis=1)
 
 
@@ -91,7 +86,7 @@ def _vectors(arrays) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _hashed(df: DataFrame, vector: str, tables: int, rotations: int, probes: int) -> DataFrame:
+def _hashed(df: DataFrame, vector: str, tables: int, probes: int) -> DataFrame:
     """(id) with size, vector as bytes, and for each table the buckets to look into; invalid vectors go."""
 
     def make():
@@ -101,7 +96,7 @@ def _hashed(df: DataFrame, vector: str, tables: int, rotations: int, probes: int
             for d, (at, x) in _vectors(arrays).items():
                 unit = x / np.abs(x).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                for k, row, b in zip(at.tolist(), x, buckets(unit, tables, rotations, probes)):
+                for k, row, b in zip(at.tolist(), x, buckets(unit, tables, probes)):
                     size[k], packed[k], found[k] = d, row.tobytes(), b.tolist()
             return size, packed, found
 
@@ -122,12 +117,13 @@ def _nearest(keys, queries, near, count: int):
     ids, own = near.id.to_numpy(), queries.id.to_numpy()
     norms = (v * v).sum(axis=1)
     out = []
-    for a in range(0, len(q), 256):
-        part = q[a : a + 256]
+    step = max(1, min(256, PAIRS // len(v)))
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
         # Scaled so that the bound on rounding below holds for any magnitude.
         rough = np.maximum(norms[None, :] + (part * part).sum(axis=1)[:, None] - 2 * part @ v.T, 0)
         slack = 1e-9 * (norms.max() + (part * part).sum(axis=1))
-        rough[own[a : a + 256, None] == ids[None, :]] = np.inf
+        rough[own[a : a + step, None] == ids[None, :]] = np.inf
         kth = np.partition(rough, min(count, len(v)) - 1, axis=1)[:, min(count, len(v)) - 1]
         for k in range(len(part)):
             at = np.flatnonzero((rough[k] <= kth[k] + slack[k]) & (rough[k] < np.inf))
@@ -151,14 +147,12 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     """query_id, rank (from 1), vec_id, score: the ``count`` nearest of ``vectors`` that each row of ``queries`` has found."""
     scratch = Scratch(vectors.sparkSession)
     rows = lambda df: df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector"))
-    total = vectors.count()
-    rotations = 1 if total <= LARGE else 2
-    hashed = scratch.table(_hashed(rows(vectors), "vector", tables, rotations, 1))
-    wanted = scratch.table(_hashed(rows(queries), "vector", tables, rotations, probes).distinct())
+    hashed = scratch.table(_hashed(rows(vectors), "vector", tables, 1))
+    wanted = scratch.table(_hashed(rows(queries), "vector", tables, probes).distinct())
     filed = hashed.select("id", "size", "packed", F.posexplode("buckets").alias("table", "own")).select("id", "size", "packed", "table", F.col("own")[0].alias("bucket"))
     counts = scratch.table(filed.groupBy("size", "table", "bucket").agg(F.count(F.lit(1)).alias("n")))
     even = (counts.where("table = 0").agg(F.sum("n") / F.count(F.lit(1))).first()[0]) or 0
-    block = max(BLOCK, int(even) // BLOCKS_PER_BUCKET)
+    block = min(max(BLOCK, int(even) // BLOCKS_PER_BUCKET), LARGEST_BLOCK)
     asked = wanted.select("id", "size", "packed", F.posexplode("buckets").alias("table", "looks")).select("id", "size", "packed", "table", F.explode("looks").alias("bucket"))
     found = scratch.table(_best(_meet(filed, asked, counts, block, count), count))
     # Queries with too few look everywhere in the first table.

@@ -317,6 +317,15 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
     assert ngram_join.classes(docs.limit(0)).count() == 0
 
 
+def test_near_copy_classes_with_the_same_smallest_id_stay_apart(spark):
+    draw, rows = random.Random(12), []
+    for ids in [(None, None), (None, None, None), (7, 8), (7, 9)]:
+        base = [f"w{draw.randrange(3000)}" for _ in range(80)]
+        rows += [(i, " ".join([*base, f"end{k}"]), "en", "s") for k, i in enumerate(ids)]
+    kept = [r.text for r in ngram_join.keep_first(documents(spark, rows)).collect()]
+    assert sorted(t.split()[0] for t in kept) == sorted({t.split()[0] for _, t, *_ in rows})
+
+
 def test_prefixes_are_shortened_until_the_recall_is_met():
     assert ngram_join.prefix_length(0.8) == 4 and ngram_join.prefix_length(0.95) > 4 and ngram_join.prefix_length(0.5) < 4
 

@@ -227,6 +227,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> DataFrame:
     """One line per row: doc_id, digest (of the text), class_id, n_links (other documents linked to it)."""
+    return _lines(docs, doc_id, text, similarity, size, trees).drop("label")
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str, similarity: float, size: int = SHINGLE, trees: int = TREES) -> DataFrame:
+    """``classes`` with ``label``, the class itself: ids are no names of classes, they can be null or stand on several texts."""
     scratch = Scratch(docs.sparkSession)
     depth = prefix_length(similarity, trees)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("digest", F.xxhash64("text"))
@@ -259,19 +264,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     named = sets.select("set", "name", "least_id", "copies").join(links, "set", "left").join(labels.withColumnRenamed("node", "set"), "set", "left")
     named = scratch.table(named.withColumn("label", F.coalesce("label", "set")))
     heads = scratch.table(named.groupBy("label").agg(F.min("least_id").alias("class_id")))
-    named = named.join(heads, "label").select("name", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.join(heads, "label").select("name", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = scratch.table(named)
     return slim.select("doc_id", "digest", "name").join(named, "name", "left").select(
-        "doc_id", "digest", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "digest", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "label"
     )
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class (of its smallest id, then text digest), every column as it was."""
     scratch = Scratch(docs.sparkSession)
-    lines = scratch.table(classes(docs, doc_id, text, similarity).select("doc_id", "digest", "class_id", "n_links"))
+    lines = scratch.table(_lines(docs, doc_id, text, similarity).select("doc_id", "digest", "label", "n_links"))
     linked = lines.where("n_links > 0")
-    best = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+    best = linked.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
     stay = scratch.table(best.select(F.col("best.doc_id").alias("__id"), F.col("best.digest").alias("__digest")))
     gone = scratch.table(linked.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
     own = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__digest": F.xxhash64(text_of(text))})

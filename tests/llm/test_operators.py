@@ -121,6 +121,21 @@ def test_ann_recall_does_not_depend_on_size(spark, monkeypatch):
     assert hit / 300 >= 0.9
 
 
+def test_ann_counts_a_repeated_candidate_once(spark):
+    x = np.random.default_rng(5).normal(size=(40, 8))
+    rows = [(k, row.tolist()) for k, row in enumerate(x)]
+    d = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    order = np.argsort(d)[1:]  # the query itself is the first
+    first = int(order[0])
+    again = [(first, (2 * x[0] - x[first]).tolist()), (first, (x[first] * 3).tolist())]  # the same id elsewhere: as far off, and farther
+    table = spark.createDataFrame(rows + rows[first : first + 1] * 12 + again, "vec_id long, embedding array<double>")
+    query = table.where("vec_id = 0")
+    for probes in (16, 1):  # one probe meets too few, so that it looks everywhere
+        found = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(table, query, probes=probes, tables=8 if probes > 1 else 1).collect())
+        assert [v for _, v, _ in found] == order[:10].tolist()
+        assert np.allclose([s for *_, s in found], d[order[:10]])
+
+
 def test_url_rules(spark):
     urls = ["https://www.example.org/es/1", "http://EXAMPLE.org/en/12?x", "http://a.b.org/x", "http://org", "x.com/fr/", None, "", "http://x.com/fr/1", "http://x.com/de/?q", "http://cheap-pills.net/1", "ftp://fxorg/", "http://x.net/a#://y.org/", "http://notexample.org/es/1"]
     pages = spark.createDataFrame([(k % 7, u, "h", "t") for k, u in enumerate(urls)] + [(0, urls[0], "h", "t")], "page_id long, url string, html string, token string")

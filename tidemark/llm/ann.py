@@ -19,8 +19,8 @@ blocks.
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, as query or candidate; nor do rows with a null id.
 Vectors of different lengths are no neighbours of each other.  Rows with the
-query's id are its own.  A repeated row counts once.  Ties go to the smaller
-id.  An empty table gives no rows.
+query's id are its own.  An id counts once, however often it is repeated, with
+its nearest vector.  Ties go to the smaller id.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -107,15 +107,18 @@ def _hashed(df: DataFrame, vector: str, tables: int, probes: int) -> DataFrame:
 
 
 def _nearest(keys, queries, near, count: int):
-    """Each query's best ``count`` of one block, by exact distance, ties to the smaller id."""
+    """Each query's best ``count`` ids of one block, by exact distance, ties to the smaller id."""
     import pandas as pd
 
     nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     if queries.empty or near.empty:
         return nothing
+    near = near.drop_duplicates(["id", "packed"]).sort_values("id", kind="stable")
     q, v = (np.frombuffer(b"".join(x.packed), dtype=np.float64).reshape(len(x), -1) for x in (queries, near))
     ids, own = near.id.to_numpy(), queries.id.to_numpy()
     norms = (v * v).sum(axis=1)
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # of each id's vectors
+    places = min(count, len(starts))
     out = []
     step = max(1, min(256, PAIRS // len(v)))
     for a in range(0, len(q), step):
@@ -124,11 +127,12 @@ def _nearest(keys, queries, near, count: int):
         rough = np.maximum(norms[None, :] + (part * part).sum(axis=1)[:, None] - 2 * part @ v.T, 0)
         slack = 1e-9 * (norms.max() + (part * part).sum(axis=1))
         rough[own[a : a + step, None] == ids[None, :]] = np.inf
-        kth = np.partition(rough, min(count, len(v)) - 1, axis=1)[:, min(count, len(v)) - 1]
+        kth = np.partition(np.minimum.reduceat(rough, starts, axis=1), places - 1, axis=1)[:, places - 1]
         for k in range(len(part)):
             at = np.flatnonzero((rough[k] <= kth[k] + slack[k]) & (rough[k] < np.inf))
             exact = np.sqrt(((v[at] - part[k]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[at], exact))[:count]
+            best = np.lexsort((ids[at], exact))
+            best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])][:count]
             out.append(pd.DataFrame({"query_id": own[a + k], "vec_id": ids[at][best], "score": exact[best]}))
     return pd.concat(out) if out else nothing
 
@@ -168,6 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
 
 
 def _best(lines: DataFrame, count: int) -> DataFrame:
-    """A query's best of all its blocks; each block has sent ``count`` rows at most."""
-    ordered = F.array_sort(F.collect_set(F.struct("score", "vec_id")))
-    return lines.groupBy("query_id").agg(F.slice(ordered, 1, count).alias("best"))
+    """A query's best ids of all its blocks; each block has sent ``count`` rows at most."""
+    once = lines.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ordered = F.array_sort(F.collect_list(F.struct("score", "vec_id")))
+    return once.groupBy("query_id").agg(F.slice(ordered, 1, count).alias("best"))

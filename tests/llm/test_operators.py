@@ -367,6 +367,30 @@ def test_secrets_are_found_and_plain_values_left(spark):
     assert secrets.scan(docs.limit(0), secrets.fit(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("text, value", [
+    ("password=Sunflowerfields", "Sunflowerfields"), ("my token: qWxZkRtPvLmN.", "qWxZkRtPvLmN"), ("secret='aB@c#d!e' x", "aB@c#d!e"), ('"password": "Tr0ub@dor&3 plus"', "Tr0ub@dor&3 plus"),
+    ("password=hu#r2! next", "hu#r2!"), ("(api_key=zPqRsTvWxYbC)", "zPqRsTvWxYbC"), ("auth: https://x.org?token=a$Bc%D", "a$Bc%D"), ("passwd = a(b)c", "a(b)c"), ("password is 'qq", "qq"),
+])
+def test_every_assigned_value_is_a_candidate(text, value):
+    assert value in [text[a:b] for a, b in secrets.candidates(text)]
+
+
+def test_secrets_without_digits_and_with_symbols_are_redacted(spark):
+    draw, rows, values = random.Random(18), [], {}
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for k in range(300):
+        words = " ".join(draw.choice(["river", "stone", "paper", "garden", "window", "yellow", "of", "the", "and"]) for _ in range(30))
+        value = "".join(draw.choice(letters + "@#!$%" * (k % 3 == 1)) for _ in range(16)) if k % 3 < 2 else draw.choice(["river", "stonepaper", "garden", "window"])
+        values[k] = value
+        rows.append((k, f"{words} {draw.choice(['password=', 'token: ', 'secret='])}{value} {words}", "en", "s"))
+    docs = documents(spark, rows)
+    found = {r.doc_id: r.text for r in secrets.scan(docs, secrets.fit(docs), redact="[SECRET]").collect()}
+    hidden = {k for k, v in values.items() if v not in found[k]}
+    keys, plain = {k for k in values if k % 3 < 2}, {k for k in values if k % 3 == 2}
+    print("hidden", len(hidden & keys), len(keys), "wrong", sum("[SECRET]" in found[k] for k in plain))
+    assert len(hidden & keys) >= 0.97 * len(keys) and sum("[SECRET]" in found[k] for k in plain) <= 3
+
+
 def test_sharding_keeps_its_law(spark, mixed):
     lines = sharding.assign(mixed, shards=4).collect()
     rows = mixed.collect()

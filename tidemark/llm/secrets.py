@@ -1,8 +1,11 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of letters, digits and ``_ - + / .``, 16 characters or
-longer, or 8 if a naming word stands shortly before; letters alone are one only
-if all are capitals, as in some issued keys.
+A candidate is any value assigned to a naming word (``password=``, ``token:``),
+whatever its length and characters: up to the closing quote, or else to white
+space or the next such assignment.  Elsewhere it is a run of letters, digits
+and ``_ - + / .``, 16 characters or longer, or 8 if a naming word stands
+shortly before; letters alone are one there only if all are capitals, as in
+some issued keys.  A candidate within a secret is not reported on its own.
 The forest sees its length, its character transitions (how usual they are in
 the corpus, and how often the kind of character changes), how much of it words
 of the corpus cover, whether it looks like a path, host, number or an issuer's
@@ -15,9 +18,11 @@ reaches that share of the whole makes the dictionary, so its size has a bound.
 The forest is trained from labelled findings.  Those of the corpus come from
 about ``SAMPLE`` documents, chosen by a digest of the id, and are labelled by
 the known formats of issuers and by assignments to a naming word; to each
-secret among them comes a twin with the same neighbours whose value is made of
-dictionary words, labelled as none.  A few generated findings of each kind see
-to it that both labels occur in any corpus.
+secret among them come twins with the same neighbours whose values are made of
+dictionary words, labelled as none, and one of random letters, labelled as
+secret.  Assigned values without a digit tell by themselves neither, so those of
+the corpus have no label.  A few generated findings of each kind see to it that
+both labels occur in any corpus.
 
 Defined results: null and empty texts have no findings; repeated rows have the
 same findings each; texts are read whole; ids and other columns pass through.
@@ -39,6 +44,10 @@ from tidemark.llm.forest import Forest, Tree
 SAMPLE, FINDINGS, USUAL, THRESHOLD = 20_000, 6_000, 1e-5, 0.5
 RUN = re.compile(r"[A-Za-z0-9_\-+/.]{8,}={0,2}")
 NAMING = re.compile(r"(?i)(pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s*(?:=|:|=>|is)?\s*[\"']?$")
+ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?(?:\s*(?:={1,3}>?|:{1,2}=?)\s*|\s+is\s+)([\"']?)")
+SPACE, LINE_END = re.compile(r"\s"), re.compile(r"[\r\n]")
+#: What may close a sentence or bracket around a value without quotes, with what opens it.
+ENDS = {")": "(", "]": "[", "}": "{", ">": "<", '"': '"', "'": "'"}
 ALPHABET = 39  # letters, digits, anything else; 38 opens and closes a word
 
 # Formats of issued keys, and shapes that are none.
@@ -47,22 +56,41 @@ ISSUED = [
     r"glpat-[A-Za-z0-9_-]{20}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", r"npm_[A-Za-z0-9]{36}",
 ]
 PLAIN = [
-    r"\d{1,3}(?:\.\d{1,3}){3}", r"[\d\-+./]+", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"(?:[a-z0-9-]+\.)+[a-z]{2,6}(?:/.*)?", r".*/.*\.[a-z]{2,4}", r"v?\d+(?:\.\d+)+\S*",
+    r"\d{1,3}(?:\.\d{1,3}){3}", r"[\d\-+./]+", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"(?:[a-z0-9-]+\.)+[a-z]{2,6}(?:/.*)?", r".*/.*\.[a-z]{2,4}", r"[a-z]+://\S+", r"[^@\s]+@(?:[a-z0-9-]+\.)+[a-z]{2,6}", r"v?\d+(?:\.\d+)+\S*",
 ]
 _ISSUED, _PLAIN = (re.compile("(?:" + "|".join(xs) + r")\Z") for xs in (ISSUED, PLAIN))
 
 
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Where values assigned to naming words stand in a text, whatever their characters."""
+    out, names = [], list(ASSIGNED.finditer(text))
+    for m, following in zip(names, [*[m.start() for m in names[1:]], len(text)]):
+        start, quote = m.end(), m.group(1)
+        stop = SPACE.search(text, start, following)
+        end = stop.start() if stop else following
+        if quote:
+            line = LINE_END.search(text, start, following)
+            closing = text.find(quote, start, line.start() if line else following)
+            end = closing if closing >= 0 else end
+        else:
+            while end > start and (text[end - 1] in ".,;:" or text[end - 1] in ENDS and ENDS[text[end - 1]] not in text[start : end - 1]):
+                end -= 1
+        if end > start:
+            out.append((start, end))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Where candidates stand in a text."""
-    out = []
+    """Where candidates stand in a text; of two with the same start the longer is first."""
+    out = set(assigned(text))
     for m in RUN.finditer(text):
         run = m.group().rstrip(".-/")
         if len(run) < 8 or run.isalpha() and not (len(run) >= 16 and run.isupper()):
             continue
         start = m.start()
         if len(run) >= 16 or NAMING.search(text, max(0, start - 32), start):
-            out.append((start, start + len(run)))
-    return out
+            out.add((start, start + len(run)))
+    return sorted(out, key=lambda s: (s[0], -s[1]))
 
 
 def entropy(value: str) -> float:
@@ -70,13 +98,15 @@ def entropy(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in counts) if value else 0.0
 
 
-def looks_secret(value: str, before: str, after: str = "") -> bool:
-    """The label of a finding: an issuer's format, or an assignment of something that is no plain value."""
+def looks_secret(value: str, before: str, after: str = "") -> bool | None:
+    """The label of a finding: an issuer's format, or an assignment of something that is no plain value; None if that does not tell."""
     if _ISSUED.match(value):
         return True
     if _PLAIN.match(value) or before.endswith("@") or after.startswith("@"):
         return False
-    return bool(NAMING.search(before)) and entropy(value) >= 2.8 and any(c.isdigit() for c in value)
+    if not NAMING.search(before) or entropy(value) < 2.8:
+        return False
+    return True if any(c.isdigit() for c in value) else None
 
 
 def _place(c: str) -> int:
@@ -132,8 +162,17 @@ def _beside(text: str, start: int, end: int) -> tuple[str, str, str]:
     return text[start:end], text[max(0, start - 32) : start], text[end : end + 8]
 
 
+def _unassigned(text: str) -> str:
+    """A text without the values assigned in it: in a small corpus they would be words themselves."""
+    parts, at = [], 0
+    for start, end in assigned(text):
+        parts.append(text[at:start])
+        at = end
+    return " ".join([*parts, text[at:]])
+
+
 def count_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Words that make up at least ``USUAL`` of all words of all documents, with counts (of tasks in which they do)."""
+    """Words that make up at least ``USUAL`` of all words outside assigned values, with counts (of tasks in which they do)."""
     word = re.compile(r"[A-Za-z]+")
 
     def count(batches):
@@ -142,7 +181,7 @@ def count_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
         seen, total = Counter(), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                words = word.findall((t or "").lower())
+                words = word.findall(_unassigned(t or "").lower())
                 seen.update(words)
                 total += len(words)
                 if len(seen) > 500_000:  # what has been rare so far stays below the share
@@ -156,6 +195,9 @@ def count_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r.word: r.n for r in counts.where((F.col("word") != "") & (F.col("n") >= USUAL * whole)).collect()}  # 1 / USUAL words at most
 
 
+LETTERS = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def generated(counts: dict[str, int], rng: np.random.Generator, each: int = 60) -> list[tuple[str, str, str, int]]:
     """Findings (value, before, after, label) of both kinds, for corpora that have few."""
     upper, lower, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
@@ -176,6 +218,16 @@ def generated(counts: dict[str, int], rng: np.random.Generator, each: int = 60)
         out.append(("-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), spoken(), " ", 0))
         out.append((f"{rng.choice(words)}/{rng.choice(words)}/{rng.choice(words)}{rng.integers(0, 99)}.html", spoken(), " ", 0))
         out.append((f"{rng.choice(words)}{rng.choice(words)}{rng.choice(words)}{rng.integers(1, 9)}", spoken() + name + joint, " ", 0))
+        # Assigned values without digits, with symbols, and words alone.
+        ahead = spoken() + name + joint
+        out.append((draw(LETTERS, int(rng.integers(8, 33))), ahead, " ", 1))
+        out.append((draw(LETTERS[:26], int(rng.integers(10, 33))), ahead, " ", 1))
+        out.append((draw([*LETTERS, *"0123456789@#!$%^&*?~"], int(rng.integers(8, 25))), ahead, " ", 1))
+        out.append((draw([*LETTERS, *"@#!$%^&*?~"], int(rng.integers(8, 25))), ahead, " ", 1))
+        for size in (1, 2, 3):
+            spelled = "".join(rng.choice(words, size))
+            out.append((spelled.capitalize() if rng.random() < 0.3 else spelled, ahead, " ", 0))
+        out.append((draw("0123456789", int(rng.integers(1, 7))), ahead, " ", 0))
     return out
 
 
@@ -188,7 +240,8 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> lis
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(*parts, int(looks_secret(*parts))) for t in batch.column(0).to_pylist() if t for parts in (_beside(t, a, b) for a, b in candidates(t))]
+            parts = (_beside(t, a, b) for t in batch.column(0).to_pylist() if t for a, b in candidates(t))
+            rows = [(*p, int(label)) for p in parts if (label := looks_secret(*p)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["value", "before", "after", "label"])
 
     found = chosen.mapInArrow(find, "value string, before string, after string, label int").distinct()
@@ -204,6 +257,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings: l
     for _, before, after, label in list(rows):
         if label and NAMING.search(before):
             rows.append(("".join(rng.choice(words, 3)) + str(rng.integers(1, 99)), before, after, 0))
+            rows.append(("".join(rng.choice(words, int(rng.integers(1, 4)))), before, after, 0))
+            rows.append(("".join(rng.choice(LETTERS, int(rng.integers(8, 33)))), before, after, 1))
     rows += generated(counts, rng)
     x = np.array([corpus.features(*r[:3]) for r in rows])
     return counts, Forest(x, np.array([r[3] for r in rows], dtype=float))
@@ -229,7 +284,7 @@ def scan(df: DataFrame, model, text: str = "text", keep: list[str] | None = None
             spans = [candidates(t) if t else [] for t in texts]
             rows = [corpus.features(*_beside(t, a, b)) for t, found in zip(texts, spans) for a, b in found]
             scores = iter(own.predict(np.array(rows)).tolist() if rows else [])
-            out = [[{"start": a, "end": b, "score": (p := next(scores)), "secret": p >= THRESHOLD} for a, b in found] for found in spans]
+            out = [_outermost([{"start": a, "end": b, "score": (p := next(scores)), "secret": p >= THRESHOLD} for a, b in found]) for found in spans]
             if redact is None:
                 return (out,)
             return out, [_redacted(t, found, redact) for t, found in zip(texts, out)]
@@ -240,12 +295,22 @@ def scan(df: DataFrame, model, text: str = "text", keep: list[str] | None = None
     return add_columns(df, text, added if redact is None else f"{added}, `{text}` string", make, keep)
 
 
+def _outermost(found: list[dict]) -> list[dict]:
+    """Findings without those that lie within a secret one; they come by start, the longer first."""
+    out, end = [], 0
+    for f in found:
+        if f["end"] > end:
+            out.append(f)
+            end = f["end"] if f["secret"] else end
+    return out
+
+
 def _redacted(text: str | None, found: list[dict], mark: str) -> str | None:
     if not any(f["secret"] for f in found):
         return text
     parts, at = [], 0
     for f in found:
         if f["secret"]:
-            parts += [text[at : f["start"]], mark]
+            parts += [text[at : f["start"]], mark] if f["start"] >= at else []
             at = f["end"]
     return "".join(parts) + text[at:]

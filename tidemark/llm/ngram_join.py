@@ -1,18 +1,18 @@
-"""N-gram Jaccard join through a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join through banded MinHash LSH, with exact verification.
 
 Two documents are linked if their sets of word shingles (five words in lower
 case, by white space) have a Jaccard similarity of the threshold or more.
 
-Each distinct shingle set gets a signature for every tree of the forest.  In a
-tree the sets stand in the order of their signatures, so a node of the prefix
-trie is a run of sets that share a prefix.  The matched prefix is shortened
-from its longest until pairs at the threshold meet in some tree with the target
-recall; the nodes of that depth are the candidate groups.  Nodes of different
+Each distinct shingle set gets a key for every tree, a digest of the tree's
+minimum hashes.  How many those are follows once from the threshold and the
+target recall; this stands in place of a forest whose sorted prefixes are
+shortened by the data.  Sets with the same key of a tree are a node, the
+candidate groups.  Nodes of different
 trees that hold the same sets are verified once.  A large node is verified in
 pairs of bounded blocks; in a block all intersections are counted exactly, and
 a pair counts in the first tree in which it meets.  What leaves a block is
 one line per set (its number of links and a smallest connected set), never the
-pairs.
+pairs; what enters is each set once for each block of its node.
 
 Classes are the connected components of the links, found by passing on
 smallest labels along links and label chains.

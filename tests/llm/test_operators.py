@@ -107,18 +107,32 @@ def test_ann_gives_all_candidates_if_they_are_few(spark):
     assert ann.search(table, table.where("vec_id = 0")).count() == 5
 
 
-def test_ann_recall_does_not_depend_on_size(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LARGE", 0, raising=False)  # every table counts as large, if there is such a bound
-    monkeypatch.setattr(ann, "PAIRS", 1 << 10, raising=False)
-    x = np.random.default_rng(4).normal(size=(3000, 64))
-    table = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
-    found, hit = ann.search(table, table.where("vec_id % 100 = 0")).collect(), 0
-    for q in range(0, 3000, 100):
+@pytest.mark.parametrize("size", [64, 256, 768])
+def test_ann_recall_is_that_of_the_rule(spark, monkeypatch, size):
+    monkeypatch.setattr(ann, "SHELF_BYTES", 1 << 18)  # several shelves and parts
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, size))
+    x = np.vstack([rng.normal(size=(1500, size)), centres[rng.integers(0, 40, 1500)] + 0.5 * rng.normal(size=(1500, size))]).astype(np.float32)
+    table = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    found, hit = ann.search(table, table.where("vec_id % 50 = 0")).collect(), 0
+    x = x.astype(np.float64)
+    for q in range(0, 3000, 50):
         d = ((x - x[q]) ** 2).sum(axis=1)
         d[q] = np.inf
         hit += len({*np.argsort(d)[:10].tolist()} & {r.vec_id for r in found if r.query_id == q})
-    print("recall", hit / 300)
-    assert hit / 300 >= 0.9
+    print("recall", hit / 600)
+    assert hit / 600 >= 0.9
+
+
+def test_ann_ranks_buckets_as_it_probes_them():
+    rng = np.random.default_rng(6)
+    for rotations in (1, 2, 3):
+        near = rng.normal(size=(rotations, 8))
+        sums = {sum(8**k * a for k, a in enumerate(axes)): sum(near[k, a] for k, a in enumerate(axes)) for axes in np.ndindex(*[8] * rotations)}
+        order = sorted(sums, key=lambda b: -sums[b])
+        assert ann.rank_of(near, np.array(order)).tolist() == list(range(len(order)))
+        assert set(ann.best_buckets(near, 5).tolist()) == set(order[:5])
+    assert ann.rotations_for(1000, 64) == 2 and ann.rotations_for(10**11, 64) == 3
 
 
 def test_ann_counts_a_repeated_candidate_once(spark):
@@ -130,8 +144,8 @@ def test_ann_counts_a_repeated_candidate_once(spark):
     again = [(first, (2 * x[0] - x[first]).tolist()), (first, (x[first] * 3).tolist())]  # the same id elsewhere: as far off, and farther
     table = spark.createDataFrame(rows + rows[first : first + 1] * 12 + again, "vec_id long, embedding array<double>")
     query = table.where("vec_id = 0")
-    for probes in (16, 1):  # one probe meets too few, so that it looks everywhere
-        found = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(table, query, probes=probes, tables=8 if probes > 1 else 1).collect())
+    for tables in (8, 1):
+        found = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(table, query, tables=tables, recall=1.0).collect())
         assert [v for _, v, _ in found] == order[:10].tolist()
         assert np.allclose([s for *_, s in found], d[order[:10]])
 

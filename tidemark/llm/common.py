@@ -41,6 +41,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
         self._n = 0
+        self._kept: list[DataFrame] = []
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` now and return the written table."""
@@ -49,8 +50,16 @@ class Scratch:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
+        self._kept.append(back)
         return back
 
+    def last(self, df: DataFrame) -> DataFrame:
+        """Write ``df``, delete all other tables, and return the written one."""
+        before, self._kept = self._kept, []
+        result = self.table(df)
+        self.drop(*before)
+        return result
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing lazy reads any more."""
         for table in tables:

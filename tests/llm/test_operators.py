@@ -319,6 +319,7 @@ def shingles(text):
 
 def test_ngram_join_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)  # so that groups span several blocks
+    monkeypatch.setattr(ngram_join, "TILE", 5)
     draw, vocabulary = random.Random(6), [f"w{k}" for k in range(3000)]
     rows = []
     for g in range(25):
@@ -356,7 +357,32 @@ def test_near_copy_classes_with_the_same_smallest_id_stay_apart(spark):
 
 
 def test_prefixes_are_shortened_until_the_recall_is_met():
-    assert ngram_join.prefix_length(0.8) == 4 and ngram_join.prefix_length(0.95) > 4 and ngram_join.prefix_length(0.5) < 4
+    assert ngram_join.floor_depth(0.8) == 4 and ngram_join.floor_depth(0.95) > 4 and ngram_join.floor_depth(0.5) < 4
+    assert ngram_join.next_depth({99: 10**6}, 6, 4, 0.8) == 6  # nearly equal sets all meet in whole paths
+    assert ngram_join.next_depth({80: 1000, 99: 1000}, 6, 4, 0.8) == 4
+    assert ngram_join.next_depth({}, 6, 4, 0.8) < 6  # what has not been met at all says nothing
+    assert ngram_join.next_depth({85: 1000}, 6, 4, 0.8) == 6 and 4 <= ngram_join.next_depth({82: 1000}, 6, 4, 0.8) <= 5
+
+
+def test_pairs_count_once_at_whatever_depth_they_meet():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 120, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(96, 121)], rng.integers(0, 1 << 63, rng.integers(0, 12), dtype=np.uint64)])) for _ in range(40)]
+    own = ngram_join.paths(sets, 20)
+    rows = [(k, 0, 1, own[k].tobytes(), sets[k].tobytes()) for k in range(40)]
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-6
+    shared = lambda a, b, t, depth: own[a, t, : 2 * depth].tobytes() == own[b, t, : 2 * depth].tobytes()
+    links = np.zeros((40, 40), dtype=int)
+    for depth, before in ((6, None), (4, 6), (3, 4)):
+        for tree in range(20):
+            for node in {own[k, tree, : 2 * depth].tobytes() for k in range(40)}:
+                held = [k for k in range(40) if own[k, tree, : 2 * depth].tobytes() == node]
+                found, bins = ngram_join.verify([rows[k] for k in held], tree, depth, before, 0.8)
+                fresh = [(a, b) for a in held for b in held if a != b and near(sets[a], sets[b]) and not any(shared(a, b, t, depth) for t in range(tree)) and not (before and any(shared(a, b, t, before) for t in range(20)))]
+                assert sum(n for _, n, _ in found) == len(fresh) and sum(bins.values()) >= len(fresh) // 2
+                for a, b in fresh:
+                    links[a, b] += 1
+    assert links.max() == 1 and (links == 1).sum() == sum(near(sets[a], sets[b]) for a in range(40) for b in range(40) if a != b)
 
 
 def test_secrets_are_found_and_plain_values_left(spark):

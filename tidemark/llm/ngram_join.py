@@ -1,18 +1,27 @@
-"""N-gram Jaccard join through banded MinHash LSH, with exact verification.
+"""N-gram Jaccard join through a MinHash LSH forest, with exact verification.
 
 Two documents are linked if their sets of word shingles (five words in lower
 case, by white space) have a Jaccard similarity of the threshold or more.
 
-Each distinct shingle set gets a key for every tree, a digest of the tree's
-minimum hashes.  How many those are follows once from the threshold and the
-target recall; this stands in place of a forest whose sorted prefixes are
-shortened by the data.  Sets with the same key of a tree are a node, the
-candidate groups.  Nodes of different
-trees that hold the same sets are verified once.  A large node is verified in
-pairs of bounded blocks; in a block all intersections are counted exactly, and
-a pair counts in the first tree in which it meets.  What leaves a block is
-one line per set (its number of links and a smallest connected set), never the
-pairs; what enters is each set once for each block of its node.
+Each distinct shingle set has a path in every tree: ``LONGEST`` minimum hashes,
+one after another.  The paths of all trees are written sorted, which makes
+them prefix tries: sets below a node stand side by side.  Matching begins with
+whole paths.  Sets below one node are verified exactly; the similarities of the
+links found so far say how many links prefixes of each length should still miss
+(a link of similarity ``s`` meets at depth ``k`` in some tree with probability
+``1 - (1 - s**k)**trees``, so each one found stands for its inverse), and the
+prefixes are shortened to the longest for which the expected share found is the
+target recall, and on, a level at a time if need be, until what has been found
+confirms it or the depth is reached at which even a pair at the threshold
+is met with that probability.  A pair is verified in the first tree and at
+the first depth at which it meets, once.
+
+Nodes of different trees that hold the same sets are verified once.  A node of
+many sets is verified in pairs of blocks, so a set is sent once for each block
+of its node and there are n / BLOCK of those: linear up to some thousand sets
+and beyond that n * n / BLOCK rows, each worth BLOCK exact comparisons.  What
+leaves a block is one line per set (its number of links and a smallest
+connected set), never the pairs.
 
 Classes are the connected components of the links, found by passing on
 smallest labels along links and label chains.
@@ -37,20 +46,38 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch, add_columns, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-TREES, LONGEST_PREFIX, RECALL = 20, 8, 0.9999
-#: Sets in a block of verification, and shingles that it compares at a time.
-BLOCK, COLUMNS = 512, 8192
+TREES, LONGEST, RECALL = 20, 6, 0.9999
+#: Bytes of one hash in a path.
+LABEL = 2
+#: Sets, and bytes of shingles, in a block of verification, about; sets and shingles that it compares at a time.
+BLOCK, BLOCK_BYTES, TILE, COLUMNS = 2048, 16 << 20, 512, 8192
+#: Similarities are counted in bins of this width.
+BIN = 0.01
 CACHE = 400_000
 #: Rows of a table of two or three numbers that is broadcast; about 100 MB at most.
 BROADCAST_ROWS = 2_000_000
 
 
-def prefix_length(similarity: float, trees: int = TREES, longest: int = LONGEST_PREFIX, recall: float = RECALL) -> int:
+def met(similarity, depth: int, trees: int = TREES):
+    """The probability that a pair meets at ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def floor_depth(similarity: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
     """The longest prefix with which a pair at the threshold meets in some tree with probability ``recall``."""
-    for depth in range(longest, 1, -1):
-        if 1 - (1 - similarity**depth) ** trees >= recall:
-            return depth
-    return 1
+    return next((depth for depth in range(longest, 1, -1) if met(similarity, depth, trees) >= recall), 1)
+
+
+def next_depth(bins: dict[int, int], depth: int, floor: int, similarity: float, trees: int = TREES, recall: float = RECALL) -> int:
+    """The depth to shorten to after ``depth``, which is itself if that has the recall; ``bins``: similarity bin -> links found.
+
+    A link at the threshold is assumed beside those found, so that what has
+    not been met at all counts as well.
+    """
+    counts = {**bins, int(similarity / BIN): bins.get(int(similarity / BIN), 0) + 1}
+    whole = {b: n / met(min(1.0, max(b * BIN, similarity)), depth, trees) for b, n in counts.items()}
+    share = lambda k: sum(x * met(min(1.0, max(b * BIN, similarity)), k, trees) for b, x in whole.items()) / sum(whole.values())
+    return next((k for k in range(depth, floor, -1) if share(k) >= recall), floor)
 
 
 def _odd(count: int, seed: int) -> np.ndarray:
@@ -88,21 +115,19 @@ def shingle_sets(texts: list[str], words: Words, size: int = SHINGLE) -> list[np
     return out
 
 
-def signatures(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """(set, tree): a digest of the tree's prefix of ``depth`` minimum hashes; sets are not empty."""
+def paths(sets: list[np.ndarray], trees: int, depth: int = LONGEST) -> np.ndarray:
+    """(set, tree, bytes): the minimum hashes of each tree, ``LABEL`` bytes each; sets are not empty."""
     if not sets:
-        return np.empty((0, trees), dtype=np.int64)
+        return np.empty((0, trees, LABEL * depth), dtype=np.uint8)
     flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
     factor, flip = _odd(trees * depth, 11), _odd(trees * depth, 13)
-    out, place = np.zeros((len(sets), trees), dtype=np.uint64), np.empty_like(flat)
-    for tree in range(trees):
-        for k in range(tree * depth, tree * depth + depth):
-            np.bitwise_xor(flat, flip[k], out=place)
-            np.multiply(place, factor[k], out=place)
-            least = np.minimum.reduceat(place, starts)
-            out[:, tree] = (out[:, tree] ^ least ^ (least >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            out[:, tree] ^= out[:, tree] >> np.uint64(32)
-    return out.view(np.int64)
+    out, place = np.empty((len(sets), trees * depth), dtype=np.uint16), np.empty_like(flat)
+    for k in range(trees * depth):
+        np.bitwise_xor(flat, flip[k], out=place)
+        np.multiply(place, factor[k], out=place)
+        least = np.minimum.reduceat(place, starts)
+        out[:, k] = ((least ^ (least >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
+    return out.astype(">u2").view(np.uint8).reshape(len(sets), trees, LABEL * depth)
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -114,9 +139,9 @@ def _name(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _sets(df: DataFrame, size: int, trees: int, depth: int, full: bool) -> DataFrame:
-    """``df`` with the set's name and its trees' keys; ``full``: the keys as bytes and the shingles beside."""
-    added = "name binary, keys binary, shingles binary" if full else "name binary, keys array<bigint>"
+def _sets(df: DataFrame, size: int, trees: int, full: bool) -> DataFrame:
+    """``df`` with the set's name and its paths, one tree's after another; ``full``: with the shingles too."""
+    added = "name binary, paths binary, " + ("shingles binary" if full else "weight int")
 
     def make():
         words = Words()
@@ -124,81 +149,114 @@ def _sets(df: DataFrame, size: int, trees: int, depth: int, full: bool) -> DataF
         def work(texts):
             sets = shingle_sets([t or "" for t in texts.to_pylist()], words, size)
             held = [k for k, s in enumerate(sets) if len(s)]
-            keys: list = [None] * len(sets)
-            for k, row in zip(held, signatures([sets[k] for k in held], trees, depth)):
-                keys[k] = row.tobytes() if full else row.tolist()
+            own: list = [None] * len(sets)
+            for k, row in zip(held, paths([sets[k] for k in held], trees)):
+                own[k] = row.tobytes()
             names = [_name(s) for s in sets]
-            return (names, keys, [s.tobytes() for s in sets]) if full else (names, keys)
+            return names, own, [s.tobytes() if full else len(s) for s in sets]
 
         return work
 
     return add_columns(df, "text", added, make, [c for c in df.columns if c != "text"])
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairs' intersections."""
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    number = np.cumsum(count > 1) - 1
-    column, owner = number[column[shared]], owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner, total = column[order], owner[order], int(number[-1]) + 1 if len(number) else 0
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for a in range(0, total, COLUMNS):
-        low, high = np.searchsorted(column, [a, a + COLUMNS])
-        held = np.zeros((len(sets), min(COLUMNS, total - a)), dtype=np.float32)
-        held[owner[low:high], column[low:high] - a] = 1
-        out += held @ held.T
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) sizes of intersections."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+
+    def places(sets):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.searchsorted(shared, flat)
+        fine = shared[np.minimum(column, len(shared) - 1)] == flat
+        order = np.argsort(column[fine], kind="stable")
+        return column[fine][order], owner[fine][order]
+
+    if len(shared):
+        sides = [(places(x), len(x)) for x in ((left,) if left is right else (left, right))]
+        for a in range(0, len(shared), COLUMNS):
+            held = []
+            for (column, owner), n in sides:
+                low, high = np.searchsorted(column, [a, a + COLUMNS])
+                one = np.zeros((n, min(COLUMNS, len(shared) - a)), dtype=np.float32)
+                one[owner[low:high], column[low:high] - a] = 1
+                held.append(one)
+            out += held[0] @ held[-1].T
     return out
 
 
-def verify(rows: list[tuple], tree: int, similarity: float) -> list[tuple[int, int, int]]:
-    """(set, links, smallest connected set) of a group; rows: set, block, copies, keys, shingles."""
+def _prefixes(raw: list[bytes], depth: int) -> np.ndarray:
+    """(set, tree) -> a number for the path's prefix of ``depth``, equal where those are."""
+    labels = np.array([np.frombuffer(x, dtype=">u2") for x in raw]).astype(np.uint64).reshape(len(raw), -1, LONGEST)
+    out = np.zeros(labels.shape[:2], dtype=np.uint64)
+    for k in range(depth):
+        # Four labels fill the number; further ones are mixed in.
+        out = (out << np.uint64(16) | labels[:, :, k]) if k < 4 else (out ^ labels[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def verify(rows: list[tuple], tree: int, depth: int, before: int | None, similarity: float) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
+    """(set, links, smallest connected set) of a node's block pair, and its links by similarity.
+
+    rows: set, block, copies, paths, shingles.  A pair counts only if it meets
+    in no earlier tree at ``depth`` and in no tree at the depth ``before``.
+    """
+    rows = sorted(rows, key=lambda r: r[1])
     ids = np.array([r[0] for r in rows])
-    block = np.array([r[1] for r in rows])
     copies = np.array([r[2] for r in rows], dtype=np.int64)
     sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
-    if len(rows) == 2:
-        common = np.array([[0, np.intersect1d(sets[0], sets[1], assume_unique=True).size]] * 2)
-        common[1] = common[0][::-1]
-    else:
-        common = common_counts(sets)
-    linked = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-    if block.min() != block.max():
-        linked &= block[:, None] != block[None, :]
-    if tree:
-        keys = np.array([np.frombuffer(r[3], dtype=np.int64)[:tree] for r in rows])
-        for t in range(tree):
-            linked &= keys[:, t][:, None] != keys[:, t][None, :]
-    np.fill_diagonal(linked, False)
-    links = linked @ copies
-    label, before = ids.copy(), None
-    while before is None or (label != before).any():
-        before = label
-        label = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-    return [(int(ids[k]), int(links[k]), int(label[k])) for k in np.flatnonzero(links)]
-
-
-def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
-    """Runs ``verify`` over rows that come sorted by group."""
+    raw = [r[3] for r in rows]
+    known = [_prefixes(raw, depth)[:, :tree]] if tree else []
+    known += [_prefixes(raw, before)] if before else []
+    blocks = np.array([r[1] for r in rows])
+    halves = [np.arange(len(rows))] if blocks[0] == blocks[-1] else [np.flatnonzero(blocks == b) for b in (blocks[0], blocks[-1])]
+    tiles = [[h[a : a + TILE] for a in range(0, len(h), TILE)] for h in halves]
+    linked, bins = np.zeros((len(rows), len(rows)), dtype=bool), {}
+    for k, a in enumerate(tiles[0]):
+        for b in tiles[0][k:] if len(tiles) == 1 else tiles[1]:
+            left = [sets[i] for i in a]
+            common = common_counts(left, left if a is b else [sets[i] for i in b])
+            union = sizes[a][:, None] + sizes[b][None, :] - common
+            near = common >= similarity * union - 1e-6
+            for keys in known:
+                for t in range(keys.shape[1]):
+                    near &= keys[a, t][:, None] != keys[b, t][None, :]
+            if a is b:
+                np.fill_diagonal(near, False)
+            where, count = np.unique(np.floor(common[near] / union[near] / BIN + 1e-6).astype(int), return_counts=True)
+            for x, n in zip(where.tolist(), count.tolist()):
+                bins[x] = bins.get(x, 0) + n
+            linked[np.ix_(a, b)] = near
+            linked[np.ix_(b, a)] = near.T
+    links = np.array([copies[row].sum() for row in linked])
+    label, last = ids.copy(), None
+    while last is None or (label != last).any():
+        last = label
+        label = np.array([min(own, label[row].min(initial=own)) for own, row in zip(label, linked)])
+    return [(int(ids[k]), int(links[k]), int(label[k])) for k in np.flatnonzero(links)], bins
+
+
+def _verified(dealt: DataFrame, depth: int, before: int | None, similarity: float) -> DataFrame:
+    """Runs ``verify`` over rows that come sorted by group; links by similarity are lines without a set."""
 
     def run(batches):
-        import pandas as pd
-
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "low", "high", "set", "block", "copies", "keys", "shingles")))
+                yield from zip(*(batch.column(c).to_pylist() for c in ("tree", "node", "low", "high", "set", "block", "copies", "paths", "shingles")))
 
-        out = []
+        out, bins = [], {}
         for (tree, *_), group in groupby(rows(), key=lambda r: r[:4]):
             members = [r[4:] for r in group]
             if len(members) > 1:
-                out += verify(members, tree, similarity)
+                found, seen = verify(members, tree, depth, before, similarity)
+                out += found
+                for b, n in seen.items():
+                    bins[b] = bins.get(b, 0) + n
             if len(out) > 10_000:
                 yield table(out)
                 out = []
+        out += [(None, n, b) for b, n in bins.items()]
         if out:
             yield table(out)
 
@@ -225,6 +283,25 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
+def _members(scratch: Scratch, trie: DataFrame, depth: int) -> DataFrame:
+    """(tree, node, set, blocks): the sets below each node at ``depth`` that holds several, one of nodes with the same sets."""
+    filed = trie.select("set", "weight", "tree", F.substring("path", 1, LABEL * depth).alias("node"))
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y"), F.min("set").alias("first"), F.max("set").alias("last"), F.sum("weight").alias("weight")]
+    nodes = scratch.table(filed.groupBy("tree", "node").agg(*same).where("n > 1"))
+    once = nodes.groupBy("n", "x", "y", "first", "last", "weight").agg(F.min(F.struct("tree", "node")).alias("at"))
+    once = scratch.table(once.select("at.tree", "at.node", F.ceil(F.greatest(F.col("n") / BLOCK, 8 * F.col("weight") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    return scratch.table(filed.drop("weight").join(_small(once), ["tree", "node"]))
+
+
+def _matched(scratch: Scratch, trie: DataFrame, held: DataFrame, depth: int, before: int | None, similarity: float) -> DataFrame:
+    """What ``verify`` says of all pairs that meet at ``depth`` and not at ``before``."""
+    own = F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = _members(scratch, trie, depth).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "block").join(held, "set")
+    group = ["tree", "node", "low", "high"]
+    return scratch.table(_verified(dealt.repartition(*group).sortWithinPartitions(*group), depth, before, similarity))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, trees: int = TREES) -> DataFrame:
     """One line per row: doc_id, digest (of the text), class_id, n_links (other documents linked to it)."""
     return _lines(docs, doc_id, text, similarity, size, trees).drop("label")
@@ -232,33 +309,37 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
 def _lines(docs: DataFrame, doc_id: str, text: str, similarity: float, size: int = SHINGLE, trees: int = TREES) -> DataFrame:
     """``classes`` with ``label``, the class itself: ids are no names of classes, they can be null or stand on several texts."""
-    scratch = Scratch(docs.sparkSession)
-    depth = prefix_length(similarity, trees)
+    scratch, longest = Scratch(docs.sparkSession), LABEL * LONGEST
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("digest", F.xxhash64("text"))
-    slim = scratch.table(_sets(rows, size, trees, depth, full=False))
-    tree_columns = [f"k{t}" for t in range(trees)]
+    slim = scratch.table(_sets(rows, size, trees, full=False))
     sets = slim.where("name IS NOT NULL").groupBy("name").agg(
-        F.min("doc_id").alias("least_id"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("copies"), *[F.min(F.col("keys")[t]).alias(c) for t, c in enumerate(tree_columns)]
+        F.min("doc_id").alias("least_id"), F.min("digest").alias("digest"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.first("weight").alias("weight")
     )
     sets = scratch.table(sets.withColumn("set", F.monotonically_increasing_id()))
-    # The nodes of each tree's trie at the chosen depth.
-    filed = sets.select("set", F.posexplode(F.array(*tree_columns)).alias("tree", "key"))
-    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y"), F.min("set").alias("first"), F.max("set").alias("last")]
-    nodes = scratch.table(filed.groupBy("tree", "key").agg(*same).where("n > 1"))
-    once = nodes.groupBy("n", "x", "y", "first", "last").agg(F.min(F.struct("tree", "key")).alias("at")).select("at.tree", "at.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = scratch.table(filed.join(_small(scratch.table(once)), ["tree", "key"]))
+    own_path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("paths", t * longest + 1, F.lit(longest)))
+    trie = sets.select("set", "weight", F.posexplode(own_path).alias("tree", "path"))
+    trie = scratch.table(trie.repartitionByRange("tree", "path", "set").sortWithinPartitions("tree", "path", "set"))
+    floor = floor_depth(similarity, trees)
     # Shingles of candidates are made again from their texts: kept for all documents they would outweigh the corpus.
-    several = scratch.table(members.select("set").distinct())
+    several = scratch.table(_members(scratch, trie, floor).select("set").distinct())
     wanted = scratch.table(sets.join(_small(several), "set", "left_semi").select("set", "digest", F.col("name").alias("known"), "copies"))
     texts = rows.select("digest", "text").join(_small(scratch.table(wanted.select("digest").distinct())), "digest", "left_semi")
     # One text for each digest; it stays where that puts it for the join with what is known of it.
-    held = _sets(texts.dropDuplicates(["digest"]).join(wanted, "digest"), size, trees, depth, full=True).where("name = known")
-    held = scratch.table(held.select("set", "copies", "keys", "shingles"))
-    own = F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "block").join(held, "set")
-    group = ["tree", "key", "low", "high"]
-    found = scratch.table(_verified(dealt.repartition(*group).sortWithinPartitions(*group), similarity))
+    held = _sets(texts.dropDuplicates(["digest"]).join(wanted, "digest"), size, trees, full=True).where("name = known")
+    held = scratch.table(held.select("set", "copies", "paths", "shingles"))
+    depth, before, lines, bins = LONGEST, None, [], {}
+    while True:
+        lines.append(_matched(scratch, trie, held, depth, before, similarity))
+        for r in lines[-1].where("set IS NULL").groupBy("least").agg(F.sum("links").alias("n")).collect():  # 1 / BIN rows
+            bins[r.least] = bins.get(r.least, 0) + r.n
+        shorter = next_depth(bins, depth, floor, similarity, trees)
+        if shorter == depth:
+            break
+        depth, before = shorter, depth
+    found = lines[0]
+    for more in lines[1:]:
+        found = found.unionByName(more)
+    found = found.where("set IS NOT NULL")
     labels = components(scratch, found.select(F.col("set").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     named = sets.select("set", "name", "least_id", "copies").join(links, "set", "left").join(labels.withColumnRenamed("node", "set"), "set", "left")
@@ -279,8 +360,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     best = linked.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
     stay = scratch.table(best.select(F.col("best.doc_id").alias("__id"), F.col("best.digest").alias("__digest")))
     gone = scratch.table(linked.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct())
-    own = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__digest": F.xxhash64(text_of(text))})
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(doc_id).cast("long").alias("__id"), F.xxhash64(text_of(text)).alias("__digest"))
     same = lambda other: (own["__digest"] == other["__digest"]) & own["__id"].eqNullSafe(other["__id"])
     alone = own.join(gone, same(gone), "left_anti")
     first = own.join(stay, same(stay), "left_semi").dropDuplicates(["__id", "__digest"])
-    return alone.unionByName(first).drop("__id", "__digest")
+    return alone.unionByName(first).select("own.*")

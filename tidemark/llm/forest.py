@@ -29,7 +29,7 @@ class Tree:
                 impurity = np.where(cut, n * a * (1 - a) + (len(y) - n) * b * (1 - b), np.inf)
                 k = int(impurity.argmin())
                 if best is None or impurity[k] < best[0]:
-                    best = impurity[k], f, (v[k] + v[k + 1]) / 2
+                    best = impurity[k], f, v[k]  # a value that occurs: a midpoint of near neighbours may round up to the upper one
             if best is not None:
                 side = x[:, best[1]] <= best[2]
                 left = self._grow(x[side], y[side], rng, depth - 1, least)

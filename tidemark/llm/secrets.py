@@ -8,46 +8,56 @@ shortly before; letters alone are one there only if all are capitals, as in
 some issued keys.  A candidate within a secret is not reported on its own.
 The forest sees its length, its character transitions (how usual they are in
 the corpus, and how often the kind of character changes), how much of it words
-of the corpus cover, whether it looks like a path, host, number or an issuer's
-key, and what stands beside it.
+of the corpus cover, how much it looks like a path, host or number, and its
+neighbours: the signs beside it and the words before it, each by how much more
+often findings labelled secret have it there than others.
 
-Words and transitions are counted over all documents: each task counts its
-words and passes on those that make up at least ``USUAL`` of them, and what
-reaches that share of the whole makes the dictionary, so its size has a bound.
+Words and transitions are counted over all documents: tasks pass on counts of
+every word, which are summed, and what makes up ``USUAL`` of the whole is the
+dictionary, so its size has a bound.
 
 The forest is trained from labelled findings.  Those of the corpus come from
-about ``SAMPLE`` documents, chosen by a digest of the id, and are labelled by
-the known formats of issuers and by assignments to a naming word; to each
-secret among them come twins with the same neighbours whose values are made of
-dictionary words, labelled as none, and one of random letters, labelled as
-secret.  Assigned values without a digit tell by themselves neither, so those of
-the corpus have no label.  A few generated findings of each kind see to it that
-both labels occur in any corpus.
+about ``SAMPLE`` documents, chosen by a digest of id and text, and are labelled
+by the known formats of issuers, by entropy and by assignments to a naming
+word; none of these three is a feature.  To each secret among them come twins
+with the same neighbours whose values are made of dictionary words, labelled
+as none, and one of random letters, labelled as secret.  Assigned values
+without a digit tell by themselves neither, so those of the corpus have no
+label.  A few generated findings of each kind, whose labels are known because
+they were drawn so, see to it that both labels occur in any corpus.
 
 Defined results: null and empty texts have no findings; repeated rows have the
-same findings each; texts are read whole; ids and other columns pass through.
+same findings each; texts are read whole; ids, null or not, and other columns
+pass through; an empty table gives no rows, and a model fitted on one knows
+the generated findings only.  Where a candidate ends does not depend on ties:
+of two with one start the longer counts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import add_columns
+from tidemark.llm.common import Scratch, add_columns
 from tidemark.llm.forest import Forest, Tree
 
 SAMPLE, FINDINGS, USUAL, THRESHOLD = 20_000, 6_000, 1e-5, 0.5
+#: Dictionary words that twins and generated findings are made of; findings that a neighbouring word needs to count.
+TWIN_WORDS, SUPPORT = 2_000, 5
 RUN = re.compile(r"[A-Za-z0-9_\-+/.]{8,}={0,2}")
 NAMING = re.compile(r"(?i)(pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s*(?:=|:|=>|is)?\s*[\"']?$")
 ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?(?:\s*(?:={1,3}>?|:{1,2}=?)\s*|\s+is\s+)([\"']?)")
 SPACE, LINE_END = re.compile(r"\s"), re.compile(r"[\r\n]")
 #: What may close a sentence or bracket around a value without quotes, with what opens it.
 ENDS = {")": "(", "]": "[", "}": "{", ">": "<", '"': '"', "'": "'"}
+WORDS = re.compile(r"[A-Za-z]+")
 ALPHABET = 39  # letters, digits, anything else; 38 opens and closes a word
 
 # Formats of issued keys, and shapes that are none.
@@ -114,18 +124,29 @@ def _place(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else 26 + int(c) if c in "0123456789" else 36
 
 
+def neighbours(before: str) -> list[str]:
+    """The last words before a value, in lower case."""
+    return [w.lower() for w in WORDS.findall(before)[-3:]]
+
+
+def word_odds(rows: list[tuple[str, str, str, int]]) -> dict[str, float]:
+    """Word before findings -> logarithm of how much more often it stands before secrets than before others."""
+    seen = {label: Counter(w for r in rows if r[3] == label for w in set(neighbours(r[1]))) for label in (0, 1)}
+    total = {label: sum(r[3] == label for r in rows) for label in (0, 1)}
+    words = {w for c in seen.values() for w, n in c.items() if seen[0][w] + seen[1][w] >= SUPPORT}
+    return {w: math.log((seen[1][w] + 1) / (total[1] + 2)) - math.log((seen[0][w] + 1) / (total[0] + 2)) for w in sorted(words)}
+
+
+@dataclass
 class Corpus:
-    """Dictionary words, and the log-probability of one character after another in them."""
+    """Dictionary words, the log-probability of one character after another in all words, and odds of words before findings."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.words = {w for w in counts if len(w) >= 3}
+    words: set[str] = field(default_factory=set)
+    logs: np.ndarray = field(default_factory=lambda: np.full((ALPHABET, ALPHABET), -math.log(ALPHABET)))
+    odds: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self):
         self.longest = max(map(len, self.words), default=0)
-        table = np.full((ALPHABET, ALPHABET), 0.5)
-        for word, n in counts.items():
-            row = [38, *map(_place, word), 38]
-            for a, b in zip(row, row[1:]):
-                table[a, b] += n
-        self.logs = np.log(table / table.sum(axis=1, keepdims=True))
 
     def covered(self, value: str) -> float:
         """Share of the characters that the longest dictionary words from the left on cover."""
@@ -143,18 +164,18 @@ class Corpus:
     def features(self, value: str, before: str, after: str) -> list[float]:
         kinds = ["U" if c.isupper() else "l" if c.isalpha() else "d" if c.isdigit() else "-" for c in value]
         row, n = [38, *map(_place, value), 38], len(value)
-        naming = NAMING.search(before)
+        odds = [self.odds.get(w, 0.0) for w in neighbours(before)]
         return [
             float(n),
             float(np.mean([self.logs[a, b] for a, b in zip(row, row[1:])])),
             sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
             kinds.count("U") / n, kinds.count("d") / n, kinds.count("-") / n,
-            entropy(value), len(set(value)) / n,
+            len(set(value)) / n,
             self.covered(value),
             float(value.count("/") + value.count(".")), float(all(c in "0123456789abcdef" for c in value)),
-            float(bool(naming)), float(before[-1:] in "\"'" and before != ""), float(before.rstrip("\"' ")[-1:] in ("=", ":")),
+            max(odds, default=0.0), sum(odds), odds[-1] if odds else 0.0,
+            float(before[-1:] in "\"'" and before != ""), float(before.rstrip("\"' ")[-1:] in ("=", ":")),
             float(before[-1:] == "@" or after[:1] == "@"),
-            float(bool(_ISSUED.match(value))),
         ]
 
 
@@ -171,42 +192,61 @@ def _unassigned(text: str) -> str:
     return " ".join([*parts, text[at:]])
 
 
-def count_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Words that make up at least ``USUAL`` of all words outside assigned values, with counts (of tasks in which they do)."""
-    word = re.compile(r"[A-Za-z]+")
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): every word outside assigned values, in lower case, over all documents."""
 
     def count(batches):
         import pyarrow as pa
 
-        seen, total = Counter(), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = word.findall(_unassigned(t or "").lower())
-                seen.update(words)
-                total += len(words)
-                if len(seen) > 500_000:  # what has been rare so far stays below the share
-                    seen = Counter({w: n for w, n in seen.items() if n > USUAL * total / 2})
-        rows = [(w, n) for w, n in seen.items() if n >= USUAL * total] + [("", total)]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
+            seen = Counter(w for t in batch.column(0).to_pylist() if t for w in WORDS.findall(_unassigned(t).lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+    return docs.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def corpus_of(docs: DataFrame, text: str = "text") -> Corpus:
+    """The dictionary and the transitions of all documents' words, each document read once."""
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.table(word_counts(docs, text))
+
+    def step(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            table = np.zeros((ALPHABET, ALPHABET), dtype=np.int64)
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                row = [38, *map(_place, word), 38]
+                for a, b in zip(row, row[1:]):
+                    table[a, b] += n
+            a, b = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(table[a, b])], names=["a", "b", "n"])
+
+    table = np.full((ALPHABET, ALPHABET), 0.5)
+    for r in counts.mapInArrow(step, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # ALPHABET squared
+        table[r.a, r.b] += r.n
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    usual = counts.where((F.col("n") >= USUAL * whole) & (F.length("word") >= 3)).select("word").collect()  # 1 / USUAL words at most
+    scratch.drop(counts)
+    return Corpus({r.word for r in usual}, np.log(table / table.sum(axis=1, keepdims=True)))
+
 
-    counts = docs.select(F.col(text)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("word") == "", F.col("n")))
-    whole = counts.agg(total.alias("n")).first()[0] or 0
-    return {r.word: r.n for r in counts.where((F.col("word") != "") & (F.col("n") >= USUAL * whole)).collect()}  # 1 / USUAL words at most
+def drawn_words(words: set[str]) -> list[str]:
+    """``TWIN_WORDS`` of the dictionary, by a digest of the word."""
+    return sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[:TWIN_WORDS] or ["the", "and", "example", "value", "local"]
 
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def generated(counts: dict[str, int], rng: np.random.Generator, each: int = 60) -> list[tuple[str, str, str, int]]:
+def generated(words: list[str], rng: np.random.Generator, each: int = 60) -> list[tuple[str, str, str, int]]:
     """Findings (value, before, after, label) of both kinds, for corpora that have few."""
     upper, lower, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
-    words = sorted(w for w in counts if len(w) >= 3)[:2000] or ["the", "and", "example", "value", "local"]
     draw = lambda letters, n: "".join(rng.choice(list(letters), n))
     spoken = lambda: f"{rng.choice(words)} {rng.choice(words)} "
     out = []
     for _ in range(each):
-        name = str(rng.choice(["password", "token", "secret", "api_key", "access_key"]))
+        name = str(rng.choice(["password", "token", "secret", "api_key", "access_key", "auth", "passwd", "credential", "private_key"]))
         joint = str(rng.choice(["=", ": ", ' = "', '="']))
         out.append(("AKIA" + draw(upper, 16), spoken(), " ", 1))
         out.append((draw(hexa, int(rng.choice([16, 18, 20, 32, 40, 64]))), spoken() + name + joint, '" ' if '"' in joint else " ", 1))
@@ -234,7 +274,7 @@ def generated(counts: dict[str, int], rng: np.random.Generator, each: int = 60)
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, str, str, int]]:
     """Labelled findings of about ``SAMPLE`` documents."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(41)), F.lit(1 << 20)) < int(share * (1 << 20))).select(text)
+    chosen = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(41)), F.lit(1 << 20)) < int(share * (1 << 20))).select(text)
 
     def find(batches):
         import pyarrow as pa
@@ -249,30 +289,32 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> lis
     return [tuple(r) for r in found.collect()]
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings: list[tuple[str, str, str, int]] | None = None):
-    """(word counts, forest); ``findings``: (value, before, after, label), those of the corpus if not given."""
-    counts, rng = count_words(docs, text), np.random.default_rng(3)
-    corpus, rows = Corpus(counts), list(labelled(docs, doc_id, text) if findings is None else findings)
-    words = sorted(w for w in counts if len(w) >= 3)[:2000] or ["value", "example"]
-    for _, before, after, label in list(rows):
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings: list[tuple[str, str, str, int]] | None = None) -> tuple[Corpus, Forest]:
+    """The model of ``docs``; ``findings``: (value, before, after, label), those of the corpus if not given."""
+    corpus, rng = corpus_of(docs, text), np.random.default_rng(3)
+    rows, words = list(labelled(docs, doc_id, text) if findings is None else findings), drawn_words(corpus.words)
+    twins = []
+    for _, before, after, label in rows:
         if label and NAMING.search(before):
-            rows.append(("".join(rng.choice(words, 3)) + str(rng.integers(1, 99)), before, after, 0))
-            rows.append(("".join(rng.choice(words, int(rng.integers(1, 4)))), before, after, 0))
-            rows.append(("".join(rng.choice(LETTERS, int(rng.integers(8, 33)))), before, after, 1))
-    rows += generated(counts, rng)
+            twins.append(("".join(rng.choice(words, 3)) + str(rng.integers(1, 99)), before, after, 0))
+            twins.append(("".join(rng.choice(words, int(rng.integers(1, 4)))), before, after, 0))
+            twins.append(("".join(rng.choice(LETTERS, int(rng.integers(8, 33)))), before, after, 1))
+    rows += generated(words, rng)
+    corpus.odds = word_odds(rows)  # without the twins: their neighbours say nothing
+    rows += twins
     x = np.array([corpus.features(*r[:3]) for r in rows])
-    return counts, Forest(x, np.array([r[3] for r in rows], dtype=float))
+    return corpus, Forest(x, np.array([r[3] for r in rows], dtype=float))
 
 
-def scan(df: DataFrame, model, text: str = "text", keep: list[str] | None = None, redact: str | None = None) -> DataFrame:
+def scan(df: DataFrame, model: tuple[Corpus, Forest], text: str = "text", keep: list[str] | None = None, redact: str | None = None) -> DataFrame:
     """``df`` (its columns ``keep``) with ``findings``: start, end, score, secret.  ``redact`` stands for every secret in ``text`` if given."""
-    counts, forest = model
+    corpus, forest = model
     trees = [t.__dict__ for t in forest.trees]
-    shared = df.sparkSession.sparkContext.broadcast((counts, trees))  # 1 / USUAL words and a fixed number of trees
+    shared = df.sparkSession.sparkContext.broadcast((corpus.words, corpus.logs, corpus.odds, trees))  # 1 / USUAL words and a fixed number of trees
 
     def make():
-        counts, trees = shared.value
-        corpus, own = Corpus(counts), Forest.__new__(Forest)
+        *known, trees = shared.value
+        corpus, own = Corpus(*known), Forest.__new__(Forest)
         own.trees = []
         for held in trees:
             tree = Tree.__new__(Tree)

@@ -19,10 +19,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset and all of Spark is one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
@@ -101,6 +103,13 @@ def pc_lengths(values) -> list[int]:
     return pc.fill_null(size(values), 0).to_pylist()
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have."""
+    while wish.lower() in [c.lower() for c in df.columns]:
+        wish = "_" + wish
+    return wish
+
+
 def add_columns(df: DataFrame, source: str, added: str, make, keep: list[str] | None = None) -> DataFrame:
     """``df`` with new columns that Python makes of column ``source``, a bounded slice of rows at a time.
 
@@ -114,14 +123,15 @@ def add_columns(df: DataFrame, source: str, added: str, make, keep: list[str] |
 
     new = StructType.fromDDL(added)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    narrow = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
-    schema = StructType([f for f in narrow.schema.fields if f.name != "__source"] + new.fields)
+    read = free_name(df, "__source")
+    narrow = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(read))
+    schema = StructType([f for f in narrow.schema.fields if f.name != read] + new.fields)
 
     def run(batches):
         work, arrow = make(), to_arrow_schema(schema)
         for batch in batches:
-            for part in slices(batch, "__source"):
-                made = work(part.column("__source"))
+            for part in slices(batch, read):
+                made = work(part.column(read))
                 arrays = [part.column(c).cast(arrow.field(c).type) for c in kept] + [pa.array(x, type=arrow.field(f).type) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x for f, x in zip(new.names, made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 

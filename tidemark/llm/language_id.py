@@ -18,7 +18,9 @@ of the id, none over ``LONGEST`` characters, and ``WORDS`` words in all.
 
 Defined results: ``und`` with score 0 for null texts and texts without
 letters, and wherever nothing could be learned; repeated rows get the same
-answer; texts are read whole.
+answer, whatever their id, null or not; texts are read whole, and take memory
+in proportion to their words; of languages that share the most the first by
+name is given; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -42,6 +44,14 @@ WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode's category L, so neither fractions nor circled numbers), in lower case."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 class _Hashes(dict):
     """Hashed places of one kind of feature; letters in short strings repeat, so few are ever hashed."""
 
@@ -97,7 +107,7 @@ def learn(texts: list[tuple[str, str]], seed: int = 0, epochs: int = 6, rate: fl
     names = sorted({lang for lang, _ in texts})
     words = {lang: [] for lang in names}
     for lang, text in texts:
-        words[lang].append(WORD.findall(text.lower()))
+        words[lang].append(words_of(text))
     pieces = []
     share = WORDS // max(1, len(names))
     for at, lang in enumerate(names):
@@ -238,7 +248,7 @@ class Labeller:
 
     def label(self, texts: list[str], runs: bool):
         """Language, its share of the text's words, and runs of equally labelled words."""
-        words = [WORD.findall(t.lower()) for t in texts]
+        words = [words_of(t) for t in texts]
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         names, n = self.field.languages, len(texts)
         langs, shares, spans = ["und"] * n, [0.0] * n, [[] for _ in range(n)]

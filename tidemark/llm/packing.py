@@ -8,10 +8,11 @@ compatible; else a new bin opens.  Documents come in order of falling size.
 A document over the capacity is cut: its full pieces have bins of their own,
 and the rest is packed like others.
 
-Documents are dealt by a digest of id and text to blocks of about ``BLOCK``
-rows and each block is packed by itself, so sources are mixed evenly, a block
-fits in a task at any size of the corpus, and at most one bin a block stays
-open for want of documents.
+Documents are dealt by a digest of id, text and place in the input to blocks
+of about ``BLOCK`` rows, however often a row is repeated, and each block is
+packed by itself, so sources are mixed evenly, a block fits in a task at any
+size of the corpus, and at most one bin a block stays open for want of
+documents.
 
 Defined results: a null text is empty; an empty text takes a bin's place but
 no room.  Rows without a source conflict with no source.  Null ids and
@@ -62,7 +63,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     blocks = max(1, -(-docs.count() // block))
     slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(text_of(text)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), F.xxhash64(normalised(text)).alias("cluster")
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(blocks)))
+    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id()), F.lit(blocks)))
 
     def packed(rows):
         import pandas as pd

@@ -61,15 +61,18 @@ SITE_RULES = (
     Rule("com/fr/", "allow"),
     Rule("com/de/", "block"),
 )
-#: Patterns for what no site rule covers.
+#: Patterns for what no site rule covers; alternatives are rules of their own, so that each has a literal.
 PATTERNS = (
     Rule(r"\bcheap\b[-.]?\bpills\b", "block", site=False),
     Rule(r"\bcasino\b[-.]", "block", site=False),
     Rule(r"\bspam\b[-.]", "block", site=False),
     Rule(r"\bads\b[-.]\btrack(?:er)?\b", "block", site=False),
-    Rule(r"\b(?:xxx|adult)\b[-.]", "block", site=False),
-    Rule(r"[-.]\bbets?\b", "block", site=False),
-    Rule(r"\bpayday\b[-.]?\bloans?\b", "block", site=False),
+    Rule(r"\bxxx\b[-.]", "block", site=False),
+    Rule(r"\badult\b[-.]", "block", site=False),
+    Rule(r"[-.]\bbet\b", "block", site=False),
+    Rule(r"[-.]\bbets\b", "block", site=False),
+    Rule(r"\bpayday\b[-.]?\bloan\b", "block", site=False),
+    Rule(r"\bpayday\b[-.]?\bloans\b", "block", site=False),
 )
 
 
@@ -83,7 +86,7 @@ def path_of(url: Column) -> Column:
 
 
 def _tokens(url: Column) -> Column:
-    """Distinct tokens of a URL, and the empty one that fetches rules without a literal."""
+    """Distinct tokens of a URL, and the empty one: rules without a literal are filed under it, and rows without another token stay."""
     low = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
     return F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))))
 

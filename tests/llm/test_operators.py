@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, exact_dedup, language_id, ngram_join, packing, secrets, sharding, toxicity, url_filter
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, name string, row long, ids string, cluster int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, name string, row long, ids string, cluster int, __source string, __id string, __digest string"
 
 
 def documents(spark, rows):
     """(doc_id, text, lang, source) with extra columns whose names operators use inside."""
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "own", 7, "mine", 1) for i, t, lang, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "own", 7, "mine", 1, "a", "b", "c") for i, t, lang, s in rows], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,16 @@ def test_bpe_matches_the_library_and_round_trips(spark, mixed):
     assert bpe.encode(mixed.limit(0), ranks_path()).count() == 0
 
 
+def test_tokens_are_decoded_at_their_offsets():
+    coder = bpe.Coder(bpe.read_ranks(ranks_path()))
+    one, two = coder.encode(["low tide", "a b"])
+    at = [coder.offsets(x) for x in (one, two)]
+    both = lambda xs: np.concatenate(xs).astype(np.int64)
+    assert coder.decode(both([one, two]), both(at), np.array([len(one), 0, len(two)])) == [b"low tide", b"", b"a b"]
+    assert coder.decode(both([one[1:]]), both([at[0][1:] - at[0][1]]), np.array([len(one) - 1])) == [b"low tide"[at[0][1] :]]
+    assert coder.decode(both([one]), both([at[0] + 3]), np.array([len(one)])) == [b"\0\0\0low tide"]  # offsets decide, not the order
+
+
 @pytest.mark.parametrize("piece", [b"x" * 500, "é日".encode() * 200, b"abcabc" * 90])
 def test_long_pieces_merge_alike(piece):
     coder = bpe.Coder(bpe.read_ranks(ranks_path()))
@@ -169,6 +179,10 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_every_rule_has_a_literal():
+    assert all(r.tokens for r in url_filter.SITE_RULES + url_filter.PATTERNS)
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     pages = spark.createDataFrame([("http://a.org/es/1",), ("http://b.org/x",), ("http://example.org/es/2",)], "url string")
     keys = {r.rule: r.token for r in url_filter.index(pages, "url", url_filter.SITE_RULES).collect()}
@@ -279,6 +293,14 @@ def test_packing_keeps_every_byte_and_every_rule(spark, mixed):
     assert packing.pack(mixed.limit(0)).count() == 0
 
 
+def test_packing_splits_a_block_of_repeated_rows(spark):
+    docs = spark.range(20_000).repartition(4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("s").alias("source"))
+    lines = packing.pack(docs)
+    blocks = lines.groupBy(F.shiftright("bin", 32).alias("block")).count().collect()
+    assert sum(r["count"] for r in blocks) == 20_000 and max(r["count"] for r in blocks) < 2 * packing.BLOCK
+    assert lines.select("bin").distinct().count() == 20_000  # one cluster: never two in a bin
+
+
 def test_language_id_held_out_and_und(spark):
     draw, parts = random.Random(4), {"en": ["the", "ing", "tion", "wh"], "de": ["der", "ung", "sch", "keit"], "fr": ["le", "eau", "ment", "oi"]}
     rows = []
@@ -295,6 +317,9 @@ def test_language_id_held_out_and_und(spark):
     got = {r.doc_id: r for r in language_id.identify(odd, field).collect()}
     assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3
     assert [(r["word"], r["words"], r["lang"]) for r in got[4].lang_runs] == [(0, 3, "en"), (3, 3, "de"), (6, 3, "fr")]
+    signs = documents(spark, [(1, "½ ² ①", None, None), (2, "ⅷ ②", None, None), (3, "the½ing", None, None)])
+    assert [r.lang_pred for r in language_id.identify(signs, field).orderBy("doc_id").collect()] == ["und", "und", "en"]
+    assert language_id.words_of("a²b ½ Ⅷc") == ["a", "b", "c"]
     empty = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(odd, empty).collect()} == {"und"}
 

@@ -9,12 +9,14 @@ slice are laid out as thousands of segments, the functions of all segments
 are composed side by side, the composed functions carry the state from
 segment to segment, and a last pass gives the state before each character and
 so every boundary.  The slices between boundaries go through pair merging by
-rank, with a bounded cache.  Byte offsets of the tokens are kept; they cut the
-decoded bytes again.
+rank, with a bounded cache.  Byte offsets of the tokens are kept; decoding
+puts the bytes of each token there.
 
 Defined results: a null text is the empty text, with no ids; empty ids decode
 to no bytes; null ids decode to null.  Repeated rows are encoded each on its
-own; other columns pass through.
+own; an empty table gives no rows; other columns pass through, but for those
+with the names of new ones.  A text is encoded whole, with some 60 bytes of
+memory a character.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import add_columns
+from tidemark.llm.common import add_columns, free_name
 
 #: The pattern that the transducer stands for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -133,7 +136,9 @@ class Coder:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.lengths = np.array([len(x) for x in self.pieces], dtype=np.int64)
-        self.table = class_table()
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
+        self.table: np.ndarray | None = None
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -187,6 +192,8 @@ class Coder:
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+        if self.table is None:
+            self.table = class_table()
         starts = boundaries(symbols(points, ends, self.table))
         # The position of every text's end begins a piece of its own, which belongs to no text.
         last = np.searchsorted(starts, ends)
@@ -215,8 +222,18 @@ class Coder:
         ends = np.cumsum(self.lengths[ids])
         return ends - self.lengths[ids]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each text, those of each id at its offset; ``counts``: ids of each text."""
+        sizes, last = self.lengths[ids], np.cumsum(counts) - 1
+        width = np.zeros(len(counts), dtype=np.int64)
+        held = counts > 0
+        width[held] = (offsets + sizes)[last[held]]
+        ends = np.cumsum(width)
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.zeros(int(width.sum()), dtype=np.uint8)
+        out[np.repeat(np.repeat(ends - width, counts) + offsets, sizes) + inside] = self.flat[np.repeat(self.starts[ids], sizes) + inside]
+        whole = out.tobytes()
+        return [whole[b - n : b] for b, n in zip(ends.tolist(), width.tolist())]
 
 
 def read_ranks(path: str) -> bytes:
@@ -248,19 +265,24 @@ def encode(df: DataFrame, rank_path: str, text: str = "text", keep: list[str] |
     return add_columns(df, text, "ids array<int>, offsets array<bigint>", make, keep)
 
 
-def decode(df: DataFrame, rank_path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``df`` (its columns ``keep``) with ``decoded``, the bytes that the ids stand for."""
+def decode(df: DataFrame, rank_path: str, ids: str = "ids", offsets: str = "offsets", keep: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``keep``) with ``decoded``, the bytes that the ids stand for, each at its offset."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    names, zipped = df.columns if keep is None else keep, free_name(df, "__tokens")
+    tokens = df.select(*[F.col(f"`{c}`") for c in names], F.arrays_zip(F.col(ids).alias("id"), F.col(offsets).alias("at")).alias(zipped))
 
     def make():
         coder = Coder(ranks.value)
 
         def work(lists):
             import pyarrow as pa
+            import pyarrow.compute as pc
 
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) if x.is_valid else 0 for x in lists)])
-            return (pa.array([coder.decode(flat[a:b]) if x.is_valid else None for x, a, b in zip(lists, ends, ends[1:])], pa.binary()),)
+            flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found, places = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "at"))
+            made = coder.decode(found, places, sizes.astype(np.int64))
+            return (pa.array([x if fine else None for x, fine in zip(made, lists.is_valid().to_pylist())], pa.binary()),)
 
         return work
 
-    return add_columns(df, ids, "decoded binary", make, keep)
+    return add_columns(tokens, zipped, "decoded binary", make, [c for c in names if c != "decoded"])

@@ -18,7 +18,7 @@ def _ranks() -> str:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents"), _ranks(), keep=["doc_id"])
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids", "offsets")
     plain = bpe.decode(coded, _ranks(), keep=["doc_id", "n_tokens", "ids_sha256"])
     return plain.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -244,12 +244,54 @@ def test_toxicity_learns_from_labels_and_reads_clauses(spark):
 def test_grammar_marks_negation_target_and_reports():
     lexicon = toxicity.Lexicon({"idiot": 2.0}, {})
     kinds = lambda text: [(k, text[a:b]) for a, b, k, _ in toxicity.matches(text, lexicon)]
+    threat = toxicity.KINDS // 2
     assert kinds("what an idiot") == [(0, "idiot")]
-    assert kinds("you are an idiot") == [(toxicity.AIMED, "idiot")]
+    assert kinds("you are an idiot") == [(toxicity.AIMED | toxicity.TOLD, "idiot")]
+    assert kinds("you met an idiot") == [(toxicity.AIMED, "idiot")]
+    assert kinds("such an idiot") == kinds("a complete idiot") == [(toxicity.TOLD, "idiot")]
     assert kinds("no idiot here") == [(toxicity.NEGATED, "idiot")]
     assert kinds("she said idiot") == [(toxicity.AIMED | toxicity.REPORTED, "idiot")]
     assert kinds("she said. an idiot") == [(0, "idiot")]
-    assert kinds("kill time") == [] and kinds("kill you") == [(8 + toxicity.AIMED, "kill")]
+    assert kinds("kill time") == [] and kinds("kill you") == [(threat + toxicity.AIMED, "kill")]
+    assert kinds("i will kill you") == [(threat + toxicity.AIMED + toxicity.TOLD, "kill")]
+    assert kinds("you will not regret it") == [(threat + toxicity.AIMED + toxicity.TOLD + toxicity.NEGATED, "regret")]
+    assert kinds("you pay rent") == [] and kinds("he is going to pay") == [(threat + toxicity.AIMED + toxicity.TOLD, "pay")]
+
+
+def plain_matches(words, lexicon):
+    """What the grammar should find in one clause, each condition looked up by itself."""
+    cls = [lexicon[w][0] for w in words]
+    base, has = [c & 7 for c in cls], lambda k, flag: bool(cls[k] & flag)
+    out = []
+    for k, kind in enumerate(base):
+        announced = any(has(j, toxicity.ANNOUNCEMENT) for j in range(max(0, k - toxicity.REACH), k))
+        aimed = any(c & toxicity.TARGET for c in cls)
+        if kind not in (toxicity.INSULT, toxicity.THREAT, toxicity.VEIL) or kind != toxicity.INSULT and not aimed or kind == toxicity.VEIL and not announced:
+            continue
+        heightened = any(has(j, toxicity.HEIGHTENER) for j in range(max(0, k - toxicity.APART - 1), k))
+        called = any(has(j, toxicity.COPULA) and (has(j, toxicity.TARGET) or j and has(j - 1, toxicity.TARGET)) for j in range(max(0, k - toxicity.BETWEEN - 1), k))
+        marks = toxicity.AIMED * aimed
+        marks |= toxicity.NEGATED * any(base[j] == toxicity.NEGATION for j in range(max(0, k - toxicity.REACH), k))
+        marks |= toxicity.REPORTED * any(base[j] == toxicity.REPORT for j in range(k))
+        marks |= toxicity.TOLD * (heightened or called if kind == toxicity.INSULT else announced)
+        out.append((k, marks if kind == toxicity.INSULT else toxicity.KINDS // 2 + marks))
+    return out
+
+
+def test_grammar_against_plain_conditions():
+    draw, lexicon = random.Random(11), toxicity.Lexicon({"idiot": 2.0, "stupid": 1.0}, {"zork": 1.5})
+    words = ["idiot", "stupid", "zorkel", "kill", "regret", "will", "you'll", "you", "you're", "are", "such", "not", "said", "river", "stone", "an"]
+    for _ in range(3000):
+        clauses = [[draw.choice(words) for _ in range(draw.randrange(0, 9))] for _ in range(draw.randrange(1, 4))]
+        text, places, want = "", [], []
+        for clause in clauses:
+            places = []
+            for w in clause:
+                places.append(len(text))
+                text += w + " "
+            text += ". "
+            want += [(places[k], kind) for k, kind in plain_matches(clause, lexicon)]
+        assert [(a, kind) for a, _, kind, _ in toxicity.matches(text, lexicon)] == want, text
 
 
 def best_fit_plainly(items, capacity):

@@ -1,12 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read as insult (with a weight), threat, target, negation, reporting
-verb or other.  Three small transducers mark what they know: the negation
-transducer marks the few words after a negation, the target transducer marks a
-clause in which a person is addressed, the reported-speech transducer marks
-what follows a reporting verb up to the clause's end.  They are composed into
-one table of states, which runs over each clause that holds an insult or a
-threat and lets insults and aimed threats through, with their marks.  What a plain, aimed, negated or reported match is worth is learned
+Words are read as one of ten classes (insult with a weight, threat, veiled
+threat, announcement, heightener, target, negation, reporting verb, copula,
+other).  Five small transducers read the classes of a clause, one each for
+
+* insults: an insult, told apart if a heightener stands in the two words
+  before it ("such an idiot", "piece of trash") or a target and a copula, with
+  up to two words between ("you are a real idiot");
+* threats: a threat, told apart if announced in the words before it ("will
+  hurt", "going to kill"); a veiled threat ("regret", "suffer") only so;
+* targets: whether a person is addressed anywhere in the clause;
+* negation: the few words after a negation;
+* reported speech: what follows a reporting verb up to the clause's end.
+
+They are composed into one table of states, which runs over each clause that
+holds an insult or a threat and lets insults and aimed threats through, with
+what the others say of them.  What each kind of match is worth is learned
 from labels, by logistic regression on the weights of a document's matched
 clauses; so is the insult lexicon, which adds to a short fixed one the words
 and word beginnings that occur almost only in documents labelled toxic.
@@ -15,8 +24,9 @@ Labels are used from a sample of about ``SAMPLE`` labelled rows, chosen by a
 digest of the id; of near copies in it (same smallest word triples) one counts.
 
 Defined results: a null or empty text has no clause and gets the base score;
-rows without id are scored like others; repeated rows get the same score.
-Texts are read whole.  With no label at all the fixed lexicon and the prior
+rows without id are scored like others; repeated rows get the same score; an
+empty table gives no rows; other columns pass through.  Of labels that differ
+for one id the higher holds.  Texts are read whole.  With no label at all the fixed lexicon and the prior
 weights hold.
 """
 
@@ -31,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import add_columns
+from tidemark.llm.common import Scratch, add_columns
 
 #: Labelled rows that a fit reads, about.
 SAMPLE = 12_000
@@ -42,50 +52,84 @@ STEMS, MOST_WORDS = (4, 5, 6), 20_000
 #: Words after a negation that it covers.
 REACH = 3
 
-# Fixed word lists of the grammar, in lower case.
+# Fixed word lists of the grammar, in lower case; a word may be on several.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile dumb idiota estúpido imbécil basura idiotin dumm abschaum stupide crétin ordure".split()
 THREATS = "kill hurt destroy beat crush murder matar töten tuer".split()
-TARGETS = "you your you're he she they him her them tu vous toi du dich dir ihr sie tú usted vosotros eres".split()
+VEILED = "regret suffer pay bereuen büßen regretter payer pagar lamentar".split()
+ANNOUNCEMENTS = "will going gonna shall i'll we'll they'll you'll werde werden vais allons voy vamos".split()
+HEIGHTENERS = "such total complete absolute utter real fucking stupid piece bunch pile so solch total absolut stück tel quel vraie absolu pedazo tan".split()
+COPULAS = "are is was were you're he's she's they're bist ist seid es eres est êtes son".split()
+TARGETS = "you your you're you'll he she they him her them tu vous toi du dich dir ihr sie tú usted vosotros eres".split()
 NEGATIONS = "not no never none isn't aren't don't doesn't nicht kein keine nie pas non jamais nunca".split()
 REPORTS = "said says say wrote writes called quoted claims claimed reported sagte schrieb dit écrit dijo escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-NEGATED, AIMED, REPORTED = 1, 2, 4
+# A word's class: a base class, with flags for what a word may be beside it.
+OTHER, INSULT, THREAT, VEIL, REPORT, NEGATION = range(6)
+TARGET, COPULA, HEIGHTENER, ANNOUNCEMENT = 8, 16, 32, 64
+CLASSES = [base + flags for base in range(6) for flags in range(0, 128, 8)]
+#: What a match may be beside an insult or a threat.
+NEGATED, AIMED, REPORTED, TOLD = 1, 2, 4, 8
+IS_INSULT, IS_THREAT = 16, 32
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]")
 CLAUSE_ENDS = ".!?;:\n"
+#: Words between a target's copula and an insult, and between a heightener and an insult, at most.
+BETWEEN, APART = 2, 1
+
+
+def _insult(state: tuple[int, int, int], word: int) -> tuple[tuple[int, int, int], int]:
+    """State: whether the word before was a target; words that a copula after a target, and that a heightener, still reaches."""
+    target, copula, heightener = state
+    marks = 0
+    if word & 7 == INSULT:
+        marks = IS_INSULT | (TOLD if copula or heightener else 0)
+    copula = BETWEEN + 1 if word & COPULA and (target or word & TARGET) else max(0, copula - 1)
+    heightener = APART + 1 if word & HEIGHTENER else max(0, heightener - 1)
+    return (int(bool(word & TARGET)), copula, heightener), marks
+
+
+def _threat(state: int, word: int) -> tuple[int, int]:
+    """State: words that an announcement still reaches."""
+    marks = 0
+    if word & 7 == THREAT or word & 7 == VEIL and state:
+        marks = IS_THREAT | (TOLD if state else 0)
+    return (REACH if word & ANNOUNCEMENT else max(0, state - 1)), marks
 
 
 def _negation(state: int, word: int) -> tuple[int, int]:
-    return (REACH, 0) if word == NEGATION else (max(0, state - 1), NEGATED if state else 0)
+    return (REACH, 0) if word & 7 == NEGATION else (max(0, state - 1), NEGATED if state else 0)
 
 
 def _target(state: int, word: int) -> tuple[int, int]:
-    state = 1 if word == TARGET else state
+    state = 1 if word & TARGET else state
     return state, AIMED if state else 0
 
 
 def _report(state: int, word: int) -> tuple[int, int]:
-    return (1, 0) if word == REPORT else (state, REPORTED if state else 0)
+    return (1, 0) if word & 7 == REPORT else (state, REPORTED if state else 0)
 
 
-def compose(parts) -> dict[tuple[int, int], tuple[int, int]]:
-    """One transducer of several ``(states, step)``: (state, word) -> (state, marks), reachable states only."""
-    numbers, todo, table = {(0,) * len(parts): 0}, [(0,) * len(parts)], {}
+def compose(parts, start: tuple) -> tuple[dict[tuple[int, int], tuple[int, int]], dict[tuple, int]]:
+    """One transducer of several: (state, word) -> (state, marks), reachable states only; and the numbers of their states."""
+    numbers, todo, table = {start: 0}, [start], {}
     while todo:
         states = todo.pop()
-        for word in range(6):
-            steps = [step(s, word) for (_, step), s in zip(parts, states)]
+        for word in CLASSES:
+            steps = [step(s, word) for step, s in zip(parts, states)]
             after, marks = tuple(s for s, _ in steps), sum(m for _, m in steps)
             if after not in numbers:
                 numbers[after] = len(numbers)
                 todo.append(after)
             table[numbers[states], word] = numbers[after], marks
-    return table
+    return table, numbers
 
 
-GRAMMAR = compose([(REACH + 1, _negation), (2, _target), (2, _report)])
-#: Kinds of matches that have a weight of their own: marks 0 to 7 for insults, then for threats.
-KINDS = 16
+START = ((0, 0, 0), 0, 0, 0, 0)
+PARTS = (_insult, _threat, _negation, _target, _report)
+GRAMMAR, _NUMBERS = compose(PARTS, START)
+#: The same with a person addressed from the start: a target counts wherever in its clause it stands.
+ADDRESSED = _NUMBERS[(0, 0, 0), 0, 0, 1, 0]
+#: Kinds of matches that have a weight of their own: marks 0 to 15 for insults, then for threats.
+KINDS = 32
 
 
 class Lexicon(dict):
@@ -98,9 +142,15 @@ class Lexicon(dict):
 
     def _fill(self):
         self.clear()
-        for kind, listed in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            self.update((w, (kind, 1.0)) for w in listed)
-        self.update((w, (INSULT, x)) for w, x in self.words.items())
+        base = {w: (kind, 1.0) for kind, listed in ((VEIL, VEILED), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in listed}
+        base |= {w: (INSULT, x) for w, x in self.words.items()}
+        flags: dict[str, int] = {}
+        for flag, listed in ((TARGET, TARGETS), (COPULA, COPULAS), (HEIGHTENER, HEIGHTENERS), (ANNOUNCEMENT, ANNOUNCEMENTS)):
+            for w in set(listed):
+                flags[w] = flags.get(w, 0) | flag
+        for w in base.keys() | flags.keys():
+            kind, weight = base.get(w, (OTHER, 0.0))
+            self[w] = kind | flags.get(w, 0), weight
 
     def __missing__(self, token: str):
         if len(self) > self.most:
@@ -119,27 +169,24 @@ class Model:
 
 
 def matches(text: str, lexicon: Lexicon) -> list[tuple[int, int, int, float]]:
-    """(start, end, kind, weight) of every match in its clause."""
-    classes = [lexicon[t] for t in TOKEN.findall(text.lower())]
-    if not any(c in (INSULT, THREAT) for c, _ in classes):
-        return []
+    """(start, end, kind, weight) of every match in its clause; places are those of the lower case, which seldom differ."""
     low = text.lower()
-    # The offsets of a text whose lower case has another length are those of the lower case.
+    classes = [lexicon[t] for t in TOKEN.findall(low)]
+    if not any(1 <= c & 7 <= VEIL for c, _ in classes):
+        return []
     out, clause = [], []
 
     def run():
-        if not any(c in (INSULT, THREAT) for c, *_ in clause):
+        if not any(1 <= c & 7 <= VEIL for c, *_ in clause):
             return
-        # A target counts wherever in the clause it stands, so the clause is read with its targets first.
-        state = 0
-        if any(c == TARGET for c, *_ in clause):
-            state = GRAMMAR[0, TARGET][0]
+        # A target counts wherever in the clause it stands.
+        state = ADDRESSED if any(c & TARGET for c, *_ in clause) else 0
         for c, weight, start, end in clause:
             state, marks = GRAMMAR[state, c]
-            if c == INSULT:
-                out.append((start, end, marks, weight))
-            elif c == THREAT and marks & AIMED:
-                out.append((start, end, KINDS // 2 + marks, weight))
+            if marks & IS_INSULT:
+                out.append((start, end, marks & 15, weight))
+            elif marks & IS_THREAT and marks & AIMED:
+                out.append((start, end, KINDS // 2 + (marks & 15), weight))
 
     for m, (c, weight) in zip(TOKEN.finditer(low), classes):
         if m.group() in CLAUSE_ENDS:
@@ -194,7 +241,8 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, most: int, doc_id: s
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """The lexicon and weights that labelled rows of ``docs`` give; ``labels``: doc_id, toxic."""
-    rows = sample(docs, labels, "toxic", most)
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(sample(docs, labels, "toxic", most))
 
     def read(batches):
         """Keys that near copies share, the label, and the distinct words of each document."""
@@ -227,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             yield pd.DataFrame([(list(x), y, n) for (x, y), n in found.items()], columns=["x", "y", "n"])
 
     seen = rows.mapInPandas(measure, "x array<double>, y int, n long").collect()  # of a bounded sample
+    scratch.drop(rows)
     if any(r.y for r in seen):
         x, y, n = np.array([r.x for r in seen]), np.array([r.y for r in seen], dtype=float), np.array([r.n for r in seen])
         x, y = np.repeat(x, n, axis=0), np.repeat(y, n)

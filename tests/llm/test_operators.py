@@ -205,6 +205,7 @@ def test_exact_dedup_against_brute_force(spark, mixed):
         assert r.group_size == len(group)
         assert (math.inf if r.keep_id is None else r.keep_id) == min(group)[1]
     assert sum(r.kept for r in found) == len(groups)
+    assert len({(r.text_sha256, r.identity) for r in found}) == len({r.text_sha256 for r in found}) == len({r.identity for r in found})
     assert exact_dedup.mark(mixed.limit(0)).count() == 0
     kept = exact_dedup.keep_first(mixed)
     assert kept.columns == mixed.columns and {ignored(r.text) for r in kept.collect()} == set(groups) and kept.count() == len(groups)

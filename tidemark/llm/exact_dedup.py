@@ -7,14 +7,15 @@ adjacent names are paired, the distinct pairs get integer names in turn, and
 so on until one name is left of each text.  Equal final names (of texts with
 equally many blocks) mean equal texts: no step trusts a hash.
 
-Texts whose first block and length nobody shares are told apart by those
-alone, and leave the naming at once; what goes on is the part of the corpus
-that may have a twin.  (The digest of length and first block that finds this
-part only lets too many texts through, never too few.)
+Naming starts with the length and first ``FIRST`` characters of every text,
+which get a name by sorting as well.  A text that has its name for itself has
+its identity, and nothing more is to be told apart; those that share one go on
+to the naming of their whole blocks.
 
 Defined results: a null text counts as empty; a null ``doc_id`` loses every
 tie; of rows that agree in id and length as well one stays, any one, since
-they do not differ.  Columns beside id and text are carried, never read.
+they do not differ.  Columns beside id and text are carried, never read,
+whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,21 +27,27 @@ from tidemark.llm.common import Scratch, text_of
 
 #: The characters that equality ignores, as a regular expression.
 IGNORED = r"[\x20\x09-\x0D]+"
-#: Code points in a block, and in the first block that finds texts without a twin.
-BLOCK, FIRST = 4096, 64
+#: Code points in a block, and those that with the length give the first name.
+BLOCK, FIRST = 1024, 64
 
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_of(text), IGNORED, "")
 
 
-def _signature(norm: Column) -> Column:
-    return F.xxhash64(F.length(norm), F.substring(norm, 1, FIRST))
+def _start(norm: Column) -> list[Column]:
+    return [F.length(norm).alias("length"), F.substring(norm, 1, FIRST).alias("start")]
 
 
 def _named(keys: DataFrame) -> DataFrame:
-    """Distinct keys with an integer name each: sorted, then numbered."""
-    return keys.distinct().sortWithinPartitions(*keys.columns).withColumn("name", F.monotonically_increasing_id())
+    """Distinct keys with an integer name each: sorted, then numbered in that order."""
+    return keys.distinct().orderBy(*keys.columns).withColumn("name", F.monotonically_increasing_id())
+
+
+def _first_names(rows: DataFrame) -> DataFrame:
+    """(length, start, n, name): the first names of ``rows`` (length, start) and how many have each."""
+    counts = rows.groupBy("length", "start").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy("length", "start").withColumn("name", F.monotonically_increasing_id())
 
 
 def identities(scratch: Scratch, texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -73,7 +80,7 @@ def identities(scratch: Scratch, texts: DataFrame, block: int = BLOCK) -> DataFr
 
 
 def _groups(scratch: Scratch, twins: DataFrame) -> DataFrame:
-    """(row, doc_id, points, norm) -> one line per row: row, keep_id, group_size, kept."""
+    """(row, doc_id, points, norm) -> one line per row: row, keep_id, group_size, kept, identity."""
     lines = twins.select("row", "doc_id", "points").join(identities(scratch, twins.select("row", "norm")), "row")
     lines = scratch.table(lines)
     # ~id turns the order of ids round without overflow; null is the smallest of all.
@@ -84,26 +91,28 @@ def _groups(scratch: Scratch, twins: DataFrame) -> DataFrame:
         F.bitwise_not("best.turned").alias("keep_id"),
         "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
+        F.struct("blocks", "name").alias("identity"),
     )
 
 
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One line per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One line per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and identity, which equal texts share and no others."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("norm", normalised())
     # What each row needs whether or not it has a twin, so that texts are read twice and not four times.
-    slim = scratch.table(rows.select("doc_id", _signature(F.col("norm")).alias("sig"), F.unhex(F.sha2("norm", 256)).alias("sha")))
-    counts = slim.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    shared = scratch.table(counts.where("n > 1").select("sig"))
-    alone = slim.join(shared, "sig", "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
-    twins = rows.withColumn("sig", _signature(F.col("norm"))).join(shared, "sig", "left_semi")
+    slim = scratch.table(rows.select("doc_id", *_start(F.col("norm")), F.unhex(F.sha2("norm", 256)).alias("sha")))
+    names = scratch.table(_first_names(slim))
+    shared, alone = names.where("n > 1").select("length", "start"), slim.join(names.where("n = 1"), ["length", "start"])
+    alone = alone.select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        F.struct(F.lit(0).alias("blocks"), "name").alias("identity"),
+    )
+    twins = rows.withColumns({"length": F.length("norm"), "start": F.substring("norm", 1, FIRST)}).join(shared, ["length", "start"], "left_semi")
     twins = scratch.table(
         twins.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").alias("points"), F.sha2("norm", 256).alias("text_sha256"), "norm")
     )
     named = twins.select("row", "doc_id", "text_sha256").join(_groups(scratch, twins), "row")
-    return alone.unionByName(named.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
+    return scratch.last(alone.unionByName(named.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "identity")))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,13 +120,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     scratch = Scratch(docs.sparkSession)
     own = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*own).alias("own"), normalised(text).alias("norm"))
-    rows = rows.withColumn("sig", _signature(F.col("norm")))
-    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    shared = scratch.table(counts.where("n > 1").select("sig"))
-    alone = rows.join(shared, "sig", "left_anti").select("own.*")
+    rows = rows.select("own", "norm", *_start(F.col("norm")))
+    shared = scratch.table(_first_names(rows)).where("n > 1").select("length", "start")
+    alone = rows.join(shared, ["length", "start"], "left_anti").select("own.*")
     own_id, own_text = F.col("own").getField(doc_id), F.col("own").getField(text)
     twins = scratch.table(
-        rows.join(shared, "sig", "left_semi").select(
+        rows.join(shared, ["length", "start"], "left_semi").select(
             F.monotonically_increasing_id().alias("row"), own_id.cast("long").alias("doc_id"), F.length(F.coalesce(own_text, F.lit(""))).alias("points"), "norm", "own"
         )
     )

@@ -33,7 +33,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark(read(spark, sf_dir, "documents"))
+    return exact_dedup.mark(read(spark, sf_dir, "documents")).drop("identity")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ Two documents are linked if their sets of word shingles (five words in lower
 case, by white space) have a Jaccard similarity of the threshold or more.
 
 Each distinct shingle set has a path in every tree: ``LONGEST`` minimum hashes,
-one after another.  The paths of all trees are written sorted, which makes
-them prefix tries: sets below a node stand side by side.  Matching begins with
-whole paths.  Sets below one node are verified exactly; the similarities of the
+one after another.  Paths that have company at the shortest prefix of all are
+written sorted, which makes them prefix tries: sets below a node stand side by
+side.  Matching begins with whole paths.  Sets below one node are verified exactly; the similarities of the
 links found so far say how many links prefixes of each length should still miss
 (a link of similarity ``s`` meets at depth ``k`` in some tree with probability
 ``1 - (1 - s**k)**trees``, so each one found stands for its inverse), and the
@@ -317,11 +317,13 @@ def _lines(docs: DataFrame, doc_id: str, text: str, similarity: float, size: int
     )
     sets = scratch.table(sets.withColumn("set", F.monotonically_increasing_id()))
     own_path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("paths", t * longest + 1, F.lit(longest)))
-    trie = sets.select("set", "weight", F.posexplode(own_path).alias("tree", "path"))
-    trie = scratch.table(trie.repartitionByRange("tree", "path", "set").sortWithinPartitions("tree", "path", "set"))
     floor = floor_depth(similarity, trees)
+    trie = sets.select("set", "weight", F.posexplode(own_path).alias("tree", "path")).withColumn("node", F.substring("path", 1, LABEL * floor))
+    nodes = scratch.table(trie.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "node"))
+    trie = trie.join(_small(nodes), ["tree", "node"], "left_semi").drop("node")
+    trie = scratch.table(trie.repartitionByRange("tree", "path", "set").sortWithinPartitions("tree", "path", "set"))
     # Shingles of candidates are made again from their texts: kept for all documents they would outweigh the corpus.
-    several = scratch.table(_members(scratch, trie, floor).select("set").distinct())
+    several = scratch.table(trie.select("set").distinct())
     wanted = scratch.table(sets.join(_small(several), "set", "left_semi").select("set", "digest", F.col("name").alias("known"), "copies"))
     texts = rows.select("digest", "text").join(_small(scratch.table(wanted.select("digest").distinct())), "digest", "left_semi")
     # One text for each digest; it stays where that puts it for the join with what is known of it.

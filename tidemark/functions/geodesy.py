@@ -27,10 +27,12 @@ def wrapped_longitude(lon: Column) -> Column:
 
 def _alphas() -> tuple[float, ...]:
     return (
-        N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180,
-        13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440,
-        61 * N**3 / 240 - 103 * N**4 / 140,
-        49561 * N**4 / 161280,
+        N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180 - 127 * N**5 / 288 + 7891 * N**6 / 37800,
+        13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440 + 281 * N**5 / 630 - 1983433 * N**6 / 1935360,
+        61 * N**3 / 240 - 103 * N**4 / 140 + 15061 * N**5 / 26880 + 167603 * N**6 / 181440,
+        49561 * N**4 / 161280 - 179 * N**5 / 168 + 6601661 * N**6 / 7257600,
+        34729 * N**5 / 80640 - 3418889 * N**6 / 1995840,
+        212378941 * N**6 / 319334400,
     )
 
 

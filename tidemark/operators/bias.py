@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.keys import TRACK
 from tidemark.operators.profiles import at_distance, crossings
 from tidemark.operators.spatial import point_segment
 from tidemark.params import Params, pick
@@ -17,11 +18,12 @@ def members(clusters: DataFrame, keys: list[str]) -> DataFrame:
 
 def profiles_in(clusters: DataFrame, profiles: DataFrame, keys: list[str], lines: DataFrame | None = None) -> DataFrame:
     """Points of the member beams of a cluster's family; with ``lines``, those within half the cluster's size of its seed."""
-    held = members(clusters, keys).join(profiles, ["gt_family", "beam_id"])
+    track = [TRACK] if TRACK in keys else []
+    held = members(clusters, keys).join(profiles, [*track, "gt_family", "beam_id"])
     if lines is None:
         return held
-    seed = lines.select("gt_family", F.col("beam_id").alias("reference_beam"), "x0", "y0", "x1", "y1")
-    near = held.select(*keys, "reference_beam", "beam_id", "x", "y").distinct().join(seed, ["gt_family", "reference_beam"])
+    seed = lines.select(*track, "gt_family", F.col("beam_id").alias("reference_beam"), "x0", "y0", "x1", "y1")
+    near = held.select(*keys, "reference_beam", "beam_id", "x", "y").distinct().join(seed, [*track, "gt_family", "reference_beam"])
     away = F.min(point_segment(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     near = near.groupBy(*keys, "reference_beam", "beam_id", "x", "y").agg(away.alias("away")).where(F.col("away") <= F.col("cluster_distance_m") / 2).drop("away")
     return held.join(near, [*keys, "reference_beam", "beam_id", "x", "y"], "left_semi")
@@ -30,10 +32,12 @@ def profiles_in(clusters: DataFrame, profiles: DataFrame, keys: list[str], lines
 def report(clusters: DataFrame, profiles: DataFrame, keys: list[str], x0: float | None = None, params: Params | None = None, include_reference: bool = True) -> DataFrame:
     """keys, reference_beam, beam_id, acq_date, bias: each member's height at ``x0`` less the seed's, all dates pooled."""
     at = float(pick(x0, params, "bias_x0"))
-    beams = profiles.select("gt_family", "beam_id").distinct()
-    values = at_distance(profiles, ["gt_family", "beam_id"], at).join(profiles.groupBy("gt_family", "beam_id").agg(F.min("acq_date").alias("acq_date")), ["gt_family", "beam_id"])
-    seeds = values.select("gt_family", F.col("beam_id").alias("reference_beam"), F.col("value").alias("y_ref")).where("y_ref IS NOT NULL")
-    rows = members(clusters, keys).join(beams, ["gt_family", "beam_id"], "left_semi").join(seeds, ["gt_family", "reference_beam"]).join(values, ["gt_family", "beam_id"], "left")
+    family = [*([TRACK] if TRACK in keys else []), "gt_family"]
+    beam = [*family, "beam_id"]
+    beams = profiles.select(*beam).distinct()
+    values = at_distance(profiles, beam, at).join(profiles.groupBy(*beam).agg(F.min("acq_date").alias("acq_date")), beam)
+    seeds = values.select(*family, F.col("beam_id").alias("reference_beam"), F.col("value").alias("y_ref")).where("y_ref IS NOT NULL")
+    rows = members(clusters, keys).join(beams, beam, "left_semi").join(seeds, [*family, "reference_beam"]).join(values, beam, "left")
     own = F.col("beam_id") == F.col("reference_beam")
     rows = rows.select(*keys, "reference_beam", "beam_id", "acq_date", F.when(own, F.lit(0.0)).otherwise(F.col("value") - F.col("y_ref")).alias("bias"))
     return rows if include_reference else rows.where(~(F.col("beam_id") == F.col("reference_beam")))
@@ -77,6 +81,16 @@ def summary(kept: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
     return each.where("n_beams > 0").join(sizes, [*keys, "reference_beam"], "left")
 
 
+def allowed(points: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` of the passes that ``kept`` (keys, beam_id, acq_date, keep) allows, and all of clusters for which it allows none.
+
+    A cluster whose list is empty has not been judged, so nothing of it is taken away.
+    """
+    listed = kept.where("keep").select(*keys, "beam_id", "acq_date").distinct()
+    judged = listed.select(*keys).distinct()
+    return points.join(listed, [*keys, "beam_id", "acq_date"], "left_semi").unionByName(points.join(judged, keys, "left_anti"))
+
+
 def bluffs(points: DataFrame, keys: list[str], which: str = "first", params: Params | None = None) -> DataFrame:
     """keys, beam_id, acq_date, bluff_x, bluff_y, ref_line: where accepted profiles meet half the height of the oldest one.
 

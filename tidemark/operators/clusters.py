@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geodesy import acute_angle, utm_inverse
 from tidemark.functions.numeric import rounded
+from tidemark.operators.keys import numbered, scoped
 from tidemark.operators.planar import at_length, measures
-from tidemark.operators.spatial import around, point_segment, segment_segment
+from tidemark.operators.spatial import along, nearest_segments, point_segment, segment_segment
 from tidemark.params import Params, pick
 
 
@@ -19,19 +20,22 @@ def pair_distances(lines: DataFrame, reach: float) -> DataFrame:
     reach on one side only; pairs that share a cell are measured.
     """
     names, reach = ("x0", "y0", "x1", "y1"), float(reach)
-    width = max(2 * reach, 25.0)
-    box = [f(*pair) for f, pair in ((F.least, ("x0", "x1")), (F.least, ("y0", "y1")), (F.greatest, ("x0", "x1")), (F.greatest, ("y0", "y1")))]
-    a = lines.select("gt_family", "beam_id", *names, F.explode(around(*box, width, reach)).alias("c"))
-    b = lines.select(F.col("gt_family").alias("other_family"), F.col("beam_id").alias("other_beam"), *[F.col(n).alias(f"o{n}") for n in names], F.explode(around(*box, width, 0.0)).alias("oc"))
+    width, track = max(2 * reach, 25.0), scoped(lines)
+    corners = [F.col(n) for n in names]
+    a = lines.select(*track, "gt_family", "beam_id", *names, F.explode(along(*corners, width, reach)).alias("c"))
+    b = lines.select(*[F.col(t).alias(f"o{t}") for t in track], F.col("gt_family").alias("other_family"), F.col("beam_id").alias("other_beam"), *[F.col(n).alias(f"o{n}") for n in names], F.explode(along(*corners, width, 0.0)).alias("oc"))
     # By cell, in a number of partitions that stays: the work is in the pairs, which the bytes read do not show.
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = a.repartition(parts, "c").join(b, a["c"] == b["oc"]).where((F.col("gt_family") != F.col("other_family")) | (F.col("beam_id") != F.col("other_beam")))
+    same = a["c"] == b["oc"]
+    for t in track:
+        same = same & (a[t] == b[f"o{t}"])
+    met = a.repartition(parts, "c").join(b, same).where((F.col("gt_family") != F.col("other_family")) | (F.col("beam_id") != F.col("other_beam")))
     apart = lambda p, q: F.greatest(F.least(f"{p}0", f"{p}1") - F.greatest(f"o{p}0", f"o{p}1"), F.least(f"o{p}0", f"o{p}1") - F.greatest(f"{p}0", f"{p}1")) <= q
     met = met.where(apart("x", reach) & apart("y", reach))  # boxes first: most pairs need no more
-    away = segment_segment(*[F.col(c) for c in (*names, *[f"o{n}" for n in names])])
-    near = met.withColumn("dist", away).where(F.col("dist") <= reach).groupBy("gt_family", "beam_id", "other_family", "other_beam").agg(F.min("dist").alias("dist"))
-    own = lines.select("gt_family", "beam_id").distinct()
-    return near.unionByName(own.select("gt_family", "beam_id", F.col("gt_family").alias("other_family"), F.col("beam_id").alias("other_beam"), F.lit(0.0).alias("dist")))
+    away = segment_segment(*corners, *[F.col(f"o{n}") for n in names])
+    near = met.withColumn("dist", away).where(F.col("dist") <= reach).groupBy(*track, "gt_family", "beam_id", "other_family", "other_beam").agg(F.min("dist").alias("dist"))
+    own = lines.select(*track, "gt_family", "beam_id").distinct()
+    return near.unionByName(own.withColumns({"other_family": F.col("gt_family"), "other_beam": F.col("beam_id"), "dist": F.lit(0.0)}))
 
 
 def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beams: int, families: tuple[str, ...]) -> DataFrame:
@@ -40,18 +44,18 @@ def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beam
     Ids number the seeds by family (in the order given) and beam, before small
     candidates are left out, so they have gaps.
     """
+    beam = scoped(lines, "gt_family", "beam_id")
     order = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("gt_family"))
-    counts = points.groupBy("gt_family", "beam_id").agg(F.count(F.lit(1)).cast("int").alias("num_points"))
-    seeds = measures(lines, ["gt_family", "beam_id"]).join(counts, ["gt_family", "beam_id"]).where(order > 0)
-    # One row for each beam of a track: numbering them is a small global sort.
-    seeds = seeds.withColumn("cluster_id", F.row_number().over(Window.orderBy(order, "beam_id")) - 1)
+    counts = points.groupBy(*beam).agg(F.count(F.lit(1)).cast("int").alias("num_points"))
+    seeds = measures(lines, beam).join(counts, beam).where(order > 0)
+    seeds = numbered(seeds, [order, F.col("beam_id")], "cluster_id")
     near = pair_distances(lines, max(sizes) / 2)
     grid = F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("cluster_distance_m")
     member = F.struct(F.col("other_family").alias("gt_family"), F.col("other_beam").alias("beam_id"))
-    groups = near.select("*", grid).where(F.col("dist") <= F.col("cluster_distance_m") / 2).groupBy("cluster_distance_m", "gt_family", "beam_id").agg(F.array_sort(F.collect_list(member)).alias("beam_ids"))
+    groups = near.select("*", grid).where(F.col("dist") <= F.col("cluster_distance_m") / 2).groupBy("cluster_distance_m", *beam).agg(F.array_sort(F.collect_list(member)).alias("beam_ids"))
     center = utm_inverse(F.col("cx"), F.col("cy"))
-    full = groups.withColumn("num_beams", F.size("beam_ids")).where(F.col("num_beams") >= min_beams).join(seeds, ["gt_family", "beam_id"]).withColumn("center", center)
-    return full.select("gt_family", "beam_id", "num_points", "cluster_distance_m", "cluster_id", "beam_ids", "num_beams", F.col("center.lon").alias("center_lon"), F.col("center.lat").alias("center_lat"))
+    full = groups.withColumn("num_beams", F.size("beam_ids")).where(F.col("num_beams") >= min_beams).join(seeds, beam).withColumn("center", center)
+    return full.select(*beam, "num_points", "cluster_distance_m", "cluster_id", "beam_ids", "num_beams", F.col("center.lon").alias("center_lon"), F.col("center.lat").alias("center_lat"))
 
 
 def angles(clusters: DataFrame, points: DataFrame, lines: DataFrame, shore: DataFrame, search_radius: float | None = None, params: Params | None = None) -> DataFrame:
@@ -62,22 +66,20 @@ def angles(clusters: DataFrame, points: DataFrame, lines: DataFrame, shore: Data
     before and after along that part, clamped to its ends.
     """
     radius = float(pick(search_radius, params, "angle_search_radius"))
-    key = ["gt_family", "beam_id"]
+    key = scoped(clusters, "gt_family", "beam_id")
     axis = points.groupBy(*key).agg(F.covar_samp("x", "y").alias("cxy"), F.var_samp("x").alias("cxx"), F.var_samp("y").alias("cyy"))
     turn = F.atan2(2 * F.col("cxy"), F.col("cxx") - F.col("cyy")) / 2
     axis = axis.select(*key, F.cos(turn).alias("ax"), F.sin(turn).alias("ay"))
     own = clusters.select(*key).distinct()
-    s = shore.select("part", F.col("seg").alias("sseg"), *[F.col(c).alias(f"s{c}") for c in ("x0", "y0", "x1", "y1")], F.col("len").alias("slen"), F.col("cum").alias("scum"))
-    # The shore of a track is a few thousand segments; every seed segment meets it once.
-    met = lines.join(own, key, "left_semi").crossJoin(F.broadcast(s))
+    best = nearest_segments(lines.join(own, key, "left_semi"), key, shore, ["part", "seg", "len", "cum"])
+    best = best.withColumns({"part": F.col("spart"), "sseg": F.col("sseg")})
     ends = [F.col(c) for c in ("x0", "y0", "x1", "y1", "sx0", "sy0", "sx1", "sy1")]
-    best = met.withColumn("d", segment_segment(*ends)).groupBy(*key).agg(F.min(F.struct("d", "part", "sseg", "seg", *["x0", "y0", "x1", "y1", "sx0", "sy0", "sx1", "sy1", "slen", "scum"])).alias("b")).select(*key, "b.*")
-    along = lambda px, py: F.greatest(F.least(((px - F.col("sx0")) * (F.col("sx1") - F.col("sx0")) + (py - F.col("sy0")) * (F.col("sy1") - F.col("sy0"))) / F.nullif(F.col("slen"), F.lit(0.0)), F.col("slen")), F.lit(0.0))
+    place_on = lambda px, py: F.greatest(F.least(((px - F.col("sx0")) * (F.col("sx1") - F.col("sx0")) + (py - F.col("sy0")) * (F.col("sy1") - F.col("sy0"))) / F.nullif(F.col("slen"), F.lit(0.0)), F.col("slen")), F.lit(0.0))
     t = F.coalesce(((F.col("sx0") - F.col("x0")) * (F.col("y1") - F.col("y0")) - (F.col("sy0") - F.col("y0")) * (F.col("x1") - F.col("x0"))) / F.nullif((F.col("y0") - F.col("y1")) * (F.col("sx1") - F.col("sx0")) - (F.col("x0") - F.col("x1")) * (F.col("sy1") - F.col("sy0")), F.lit(0.0)), F.lit(0.0))
     # Where the two segments cross, there; else from whichever end of either is nearest to the other.
     tries = F.array(
-        F.struct(point_segment(F.col("x0"), F.col("y0"), *ends[4:]).alias("d"), along(F.col("x0"), F.col("y0")).alias("at")),
-        F.struct(point_segment(F.col("x1"), F.col("y1"), *ends[4:]).alias("d"), along(F.col("x1"), F.col("y1")).alias("at")),
+        F.struct(point_segment(F.col("x0"), F.col("y0"), *ends[4:]).alias("d"), place_on(F.col("x0"), F.col("y0")).alias("at")),
+        F.struct(point_segment(F.col("x1"), F.col("y1"), *ends[4:]).alias("d"), place_on(F.col("x1"), F.col("y1")).alias("at")),
         F.struct(point_segment(F.col("sx0"), F.col("sy0"), *ends[:4]).alias("d"), F.lit(0.0).alias("at")),
         F.struct(point_segment(F.col("sx1"), F.col("sy1"), *ends[:4]).alias("d"), F.col("slen").alias("at")),
     )
@@ -94,25 +96,21 @@ def select(clusters: DataFrame, min_beams: int, groups: list[str] | None = None)
     """(clusters with ``selected``, summary): in each group, by falling number of beams, a cluster is
     selected if it has a beam that none before it has.  Ties go by id; small clusters are not eligible.
 
-    The fold runs over one sorted array for each group (a family of one track
-    and setup), with the covered beams as its state.
+    The first cluster in that order that holds a beam is always selected, and
+    the beam is covered from then on, so the selected ones are those that come
+    first for one of their beams: an aggregation by beam.
     """
-    groups = groups or ["gt_family"]
+    groups = groups or scoped(clusters, "gt_family")
     core = clusters.where(F.col("num_beams") >= min_beams)
-    item = F.struct((-F.col("num_beams")).alias("rank"), "cluster_id", "beam_ids")
-    beams = clusters.schema["beam_ids"].dataType.simpleString()
-    start = F.struct(F.array().cast(beams).alias("covered"), F.array().cast("array<int>").alias("chosen"))
-    fresh = lambda acc, c: F.size(F.array_except(c.beam_ids, acc.covered)) > 0
-    step = lambda acc, c: F.struct(
-        F.when(fresh(acc, c), F.array_union(acc.covered, c.beam_ids)).otherwise(acc.covered).alias("covered"),
-        F.when(fresh(acc, c), F.concat(acc.chosen, F.array(c.cluster_id))).otherwise(acc.chosen).alias("chosen"),
-    )
-    folded = core.groupBy(*groups).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["chosen"].alias("chosen"))
-    marked = core.join(folded, groups).withColumn("selected", F.array_contains("chosen", F.col("cluster_id"))).drop("chosen")
+    rank = F.struct((-F.col("num_beams")).alias("rank"), "cluster_id")
+    firsts = core.select(*groups, rank.alias("r"), F.explode("beam_ids").alias("beam")).groupBy(*groups, "beam").agg(F.min("r").alias("r"))
+    chosen = firsts.select(*groups, "r.rank", "r.cluster_id").distinct()
+    marked = core.join(chosen.select(*groups, "cluster_id", F.lit(True).alias("selected")), [*groups, "cluster_id"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
     totals = clusters.groupBy(*groups).agg(F.count(F.lit(1)).alias("total_clusters"), F.count_if(F.col("num_beams") < min_beams).alias("too_few_beams"))
-    report = totals.join(folded, groups, "left").select(
-        *groups, "total_clusters", F.coalesce(F.size("chosen"), F.lit(0)).cast("long").alias("selected_clusters"),
-        (F.col("total_clusters") - F.col("too_few_beams") - F.coalesce(F.size("chosen"), F.lit(0))).alias("skipped_clusters"), "too_few_beams",
-        F.try_element_at("chosen", F.lit(1)).alias("representative_cluster_id"),
+    each = chosen.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min_by("cluster_id", F.struct("rank", "cluster_id")).alias("first"))
+    selected = F.coalesce("n", F.lit(0))
+    report = totals.join(each, groups, "left").select(
+        *groups, "total_clusters", selected.alias("selected_clusters"), (F.col("total_clusters") - F.col("too_few_beams") - selected).alias("skipped_clusters"), "too_few_beams",
+        F.col("first").alias("representative_cluster_id"),
     )
-    return marked, report
+    return marked.select(*clusters.columns, "selected"), report

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.spatial import around, crossing_at
+from tidemark.operators.keys import scoped
+from tidemark.operators.spatial import along, crossing_at
 from tidemark.sources.staging import staged
 
 
@@ -20,9 +21,10 @@ def segments(vertices: DataFrame, keys: list[str], order: list[str], x: str = "x
 
 def beam_lines(points: DataFrame) -> DataFrame:
     """Segments of every beam with two or more points and a length, from south to north."""
-    lines = segments(points.where("x IS NOT NULL AND y IS NOT NULL"), ["gt_family", "beam_id"], ["y", "x"])
-    long = lines.groupBy("gt_family", "beam_id").agg(F.sum("len").alias("total")).where("total > 0").drop("total")
-    return lines.join(long, ["gt_family", "beam_id"], "left_semi")
+    beam = scoped(points, "gt_family", "beam_id")
+    lines = segments(points.where("x IS NOT NULL AND y IS NOT NULL"), beam, ["y", "x"])
+    long = lines.groupBy(*beam).agg(F.sum("len").alias("total")).where("total > 0").drop("total")
+    return lines.join(long, beam, "left_semi")
 
 
 def measures(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,18 +45,20 @@ def at_length(lines: DataFrame, keys: list[str], places: DataFrame) -> DataFrame
 
 def family_centers(points: DataFrame) -> DataFrame:
     """gt_family, x, y: the mean of the family's distinct points."""
-    return points.select("gt_family", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct().groupBy("gt_family").agg(F.avg("x").alias("center_x"), F.avg("y").alias("center_y"))
+    family = scoped(points, "gt_family")
+    return points.select(*family, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct().groupBy(*family).agg(F.avg("x").alias("center_x"), F.avg("y").alias("center_y"))
 
 
 def nearest_lines(lines: DataFrame, centers: DataFrame) -> DataFrame:
     """gt_family, nearest_beam and its distance: the line whose centroid is nearest to the family's center (then by beam)."""
-    away = measures(lines, ["gt_family", "beam_id"]).join(centers, "gt_family").withColumn("d", F.hypot(F.col("cx") - F.col("center_x"), F.col("cy") - F.col("center_y")))
-    return away.groupBy("gt_family").agg(F.min(F.struct("d", "beam_id")).alias("best")).select("gt_family", F.col("best.beam_id").alias("nearest_beam"), F.col("best.d").alias("center_dist"))
+    family = scoped(lines, "gt_family")
+    away = measures(lines, [*family, "beam_id"]).join(centers, family).withColumn("d", F.hypot(F.col("cx") - F.col("center_x"), F.col("cy") - F.col("center_y")))
+    return away.groupBy(*family).agg(F.min(F.struct("d", "beam_id")).alias("best")).select(*family, F.col("best.beam_id").alias("nearest_beam"), F.col("best.d").alias("center_dist"))
 
 
 def shore_crossings(lines: DataFrame, keys: list[str], shore: DataFrame, width: float = 500.0) -> DataFrame:
     """keys, x, y: distinct points where lines meet the shore's segments; candidates share a cell."""
-    spread = lambda t: t.withColumn("c", F.explode(around(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), width, 0.0)))
+    spread = lambda t: t.withColumn("c", F.explode(along(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), width, 0.0)))
     a = spread(lines.select(*keys, "x0", "y0", "x1", "y1"))
     b = spread(shore.select("x0", "y0", "x1", "y1")).select(*[F.col(c).alias(f"s{c}") for c in ("x0", "y0", "x1", "y1")], F.col("c").alias("sc"))
     met = a.join(b, a["c"] == b["sc"])
@@ -68,18 +72,19 @@ def boxes(points: DataFrame, shore: DataFrame, half_along: float, half_across: f
     The crossing is the one nearest to the family's center; the tangent runs
     from 0.4 to 0.6 of the nearest beam's length.
     """
+    family = scoped(points, "gt_family")
     lines, centers = staged(beam_lines(points)), staged(family_centers(points))
     near = staged(nearest_lines(lines, centers))
-    chosen = staged(lines.join(near.select("gt_family", F.col("nearest_beam").alias("beam_id")), ["gt_family", "beam_id"], "left_semi"))
+    chosen = staged(lines.join(near.select(*family, F.col("nearest_beam").alias("beam_id")), [*family, "beam_id"], "left_semi"))
     away = F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))
-    met = shore_crossings(chosen, ["gt_family"], shore).join(centers, "gt_family")
-    cross = met.groupBy("gt_family").agg(F.min(F.struct(away.alias("d"), "x", "y")).alias("c")).select("gt_family", F.col("c.x").alias("cross_x"), F.col("c.y").alias("cross_y"))
-    total = measures(chosen, ["gt_family"]).select("gt_family", F.explode(F.array(F.lit(0.4), F.lit(0.6))).alias("share"), "length").withColumn("at", F.col("share") * F.col("length"))
-    ends = at_length(chosen, ["gt_family"], total).groupBy("gt_family").agg(F.min_by(F.struct("px", "py"), "share").alias("a"), F.max_by(F.struct("px", "py"), "share").alias("b"))
+    met = shore_crossings(chosen, family, shore).join(centers, family)
+    cross = met.groupBy(*family).agg(F.min(F.struct(away.alias("d"), "x", "y")).alias("c")).select(*family, F.col("c.x").alias("cross_x"), F.col("c.y").alias("cross_y"))
+    total = measures(chosen, family).select(*family, F.explode(F.array(F.lit(0.4), F.lit(0.6))).alias("share"), "length").withColumn("at", F.col("share") * F.col("length"))
+    ends = at_length(chosen, family, total).groupBy(*family).agg(F.min_by(F.struct("px", "py"), "share").alias("a"), F.max_by(F.struct("px", "py"), "share").alias("b"))
     vx, vy = F.col("b.px") - F.col("a.px"), F.col("b.py") - F.col("a.py")
-    unit = ends.withColumn("norm", F.hypot(vx, vy)).where("norm > 0").select("gt_family", (vx / F.col("norm")).alias("tx"), (vy / F.col("norm")).alias("ty"))
-    return centers.join(near, "gt_family").join(cross, "gt_family").join(unit, "gt_family").select(
-        "gt_family", "center_x", "center_y", "cross_x", "cross_y", "nearest_beam", "tx", "ty", F.lit(float(half_along)).alias("half_along"), F.lit(float(half_across)).alias("half_across")
+    unit = ends.withColumn("norm", F.hypot(vx, vy)).where("norm > 0").select(*family, (vx / F.col("norm")).alias("tx"), (vy / F.col("norm")).alias("ty"))
+    return centers.join(near, family).join(cross, family).join(unit, family).select(
+        *family, "center_x", "center_y", "cross_x", "cross_y", "nearest_beam", "tx", "ty", F.lit(float(half_along)).alias("half_along"), F.lit(float(half_across)).alias("half_across")
     )
 
 
@@ -91,16 +96,19 @@ def in_box(x: Column, y: Column) -> Column:
 
 def clip(points: DataFrame, box: DataFrame) -> DataFrame:
     """Points in the box of their family, with ``radial_dist_m`` from its crossing."""
-    held = points.join(box.select("gt_family", "cross_x", "cross_y", "tx", "ty", "half_along", "half_across"), "gt_family").where(in_box(F.col("x"), F.col("y")))
+    family = scoped(points, "gt_family")
+    held = points.join(box.select(*family, "cross_x", "cross_y", "tx", "ty", "half_along", "half_across"), family).where(in_box(F.col("x"), F.col("y")))
     return held.withColumn("radial_dist_m", F.hypot(F.col("x") - F.col("cross_x"), F.col("y") - F.col("cross_y"))).select(*points.columns, "radial_dist_m")
 
 
 def beam_spacing(lines: DataFrame) -> DataFrame:
     """n_beams, max_dist, avg_dist, west_beam and east_beam of families with two or more beams, by their lines' middles."""
-    middles = at_length(lines, ["gt_family", "beam_id"], measures(lines, ["gt_family", "beam_id"]).select("gt_family", "beam_id", (F.col("length") / 2).alias("at")))
-    run = Window.partitionBy("gt_family").orderBy("px", "beam_id")
+    family = scoped(lines, "gt_family")
+    beam = [*family, "beam_id"]
+    middles = at_length(lines, beam, measures(lines, beam).select(*beam, (F.col("length") / 2).alias("at")))
+    run = Window.partitionBy(*family).orderBy("px", "beam_id")
     gaps = middles.withColumn("gap", F.col("px") - F.lag("px").over(run))
-    each = gaps.groupBy("gt_family").agg(
+    each = gaps.groupBy(*family).agg(
         F.count(F.lit(1)).alias("n_beams"), (F.max("px") - F.min("px")).alias("max_dist"), F.avg("gap").alias("avg_dist"),
         F.min(F.struct("px", "beam_id"))["beam_id"].alias("west_beam"), F.max(F.struct("px", "beam_id"))["beam_id"].alias("east_beam"),
     )

@@ -23,6 +23,16 @@ def around(low_x: Column, low_y: Column, high_x: Column, high_y: Column, width:
     return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+def along(x0: Column, y0: Column, x1: Column, y1: Column, width: float, reach: float) -> Column:
+    """Cells within ``reach`` of a segment, and a few more: those around pieces two cells long, so as many as it is long."""
+    count = F.greatest(F.ceil(F.hypot(x1 - x0, y1 - y0) / F.lit(2.0 * width)), F.lit(1)).cast("int")
+    at = lambda a, b, k: a + (b - a) * k / count
+    ends = lambda a, b, k: (at(a, b, k), at(a, b, k + 1))
+    reach = reach + 1e-9 * width  # a piece's rounded end must not fall out of its cell
+    piece = lambda k: around(F.least(*ends(x0, x1, k)), F.least(*ends(y0, y1, k)), F.greatest(*ends(x0, x1, k)), F.greatest(*ends(y0, y1, k)), width, reach)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), count - 1), piece)))
+
+
 def point_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Distance of a point from a segment."""
     dx, dy = x1 - x0, y1 - y0
@@ -51,7 +61,7 @@ def segment_segment(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
 
 def within_segments(points: DataFrame, segments: DataFrame, reach: float, closed: bool = True) -> DataFrame:
     """``points`` (x, y) within ``reach`` of any segment (x0, y0, x1, y1); the rim belongs to it if ``closed``."""
-    spread = segments.select("x0", "y0", "x1", "y1", F.explode(around(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), reach, reach)).alias("c"))
+    spread = segments.select("x0", "y0", "x1", "y1", F.explode(along(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach, reach)).alias("c"))
     spread = spread.select("x0", "y0", "x1", "y1", F.col("c.cx").alias("__cx"), F.col("c.cy").alias("__cy"))
     own = points.withColumns({"__cx": cell(F.col("x"), reach), "__cy": cell(F.col("y"), reach)})
     away = point_segment(own.x, own.y, spread.x0, spread.y0, spread.x1, spread.y1)
@@ -59,31 +69,57 @@ def within_segments(points: DataFrame, segments: DataFrame, reach: float, closed
     return own.join(spread, (own["__cx"] == spread["__cx"]) & (own["__cy"] == spread["__cy"]) & near, "left_semi").drop("__cx", "__cy")
 
 
-def nearest_other(points: DataFrame, group: str, key: str, width: float) -> DataFrame:
+def nearest_other(points: DataFrame, group: str | list[str], key: str, width: float) -> DataFrame:
     """(group, key, nearest_dist): distance to the nearest other point of the group.
 
     Neighbours in the cells around settle all whose nearest is within a cell's
-    width.  The others look in cells twice as wide, and so on: each round has
-    far fewer points than the last and the search ends when none is left or
-    one round's cells hold a whole group.  Points alone in their group have none.
+    width.  The others look in cells eight times as wide, and so on: each round
+    has far fewer points than the last and the search ends when none is left or
+    a cell is as wide as all points.  Points alone in their group have none.
     """
-    points, found = staged(points.select(group, key, "x", "y")), None
-    span = points.groupBy(group).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"), F.count(F.lit(1)).alias("n")).agg(F.max("span")).first()[0]
-    left = points.select(group, key, "x", "y")
-    width = float(width)
+    groups = [group] if isinstance(group, str) else list(group)
+    points, found = staged(points.select(*groups, key, "x", "y")), None
+    span = points.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
+    left, width = points, float(width)
     while True:
-        own = left.withColumn("c", F.explode(around(F.col("x"), F.col("y"), F.col("x"), F.col("y"), width, width))).select(group, key, "x", "y", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
-        other = points.select(group, F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell(F.col("x"), width).alias("cx"), cell(F.col("y"), width).alias("cy"))
-        near = own.join(other, [group, "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(group, key).agg(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("nearest_dist"))
+        own = left.withColumn("c", F.explode(around(F.col("x"), F.col("y"), F.col("x"), F.col("y"), width, width))).select(*groups, key, "x", "y", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
+        other = points.select(*groups, F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell(F.col("x"), width).alias("cx"), cell(F.col("y"), width).alias("cy"))
+        near = own.join(other, [*groups, "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(*groups, key).agg(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("nearest_dist"))
         last = span is None or width > span
         sure = near if last else staged(near.where(F.col("nearest_dist") <= width))
         found = sure if found is None else found.unionByName(sure)
         if last:
             return found
-        left = left.join(sure.select(group, key), [group, key], "left_anti")
-        if width > 64 * 46 or left.isEmpty():  # few are left: one last round over cells as wide as the span
-            if left.isEmpty():
-                return found
-            width = float(span) * 1.01 + 1
-        else:
-            width *= 8
+        left = staged(left.join(sure.select(*groups, key), [*groups, key], "left_anti"))
+        if left.isEmpty():
+            return found
+        width *= 8
+
+
+def nearest_segments(lines: DataFrame, keys: list[str], others: DataFrame, columns: list[str], width: float = 100.0) -> DataFrame:
+    """keys, d and what belongs to it: the nearest pair of a segment of each line (seg, x0 to y1) and one of ``others``.
+
+    ``columns``: those of ``others`` that break ties and are passed on with its
+    ends, as ``s`` and the name.  Cells as for ``nearest_other``.
+    """
+    ends = ["x0", "y0", "x1", "y1"]
+    left = staged(lines.select(*keys, "seg", *ends))
+    shore = staged(others.select(*[F.col(c).alias(f"s{c}") for c in [*columns, *ends]]))
+    both = left.select(*ends).union(shore.select(*[f"s{c}" for c in ends]))
+    x, y = (F.greatest(F.max(f"{c}0"), F.max(f"{c}1")) - F.least(F.min(f"{c}0"), F.min(f"{c}1")) for c in "xy")
+    span, found, width = both.agg(F.greatest(x, y)).first()[0], None, float(width)
+    corners = [F.col(c) for c in ends]
+    while True:
+        own = left.withColumn("c", F.explode(along(*corners, width, width)))
+        filed = shore.withColumn("sc", F.explode(along(*[F.col(f"s{c}") for c in ends], width, 0.0)))
+        met = own.join(filed, own["c"] == filed["sc"]).withColumn("d", segment_segment(*corners, *[F.col(f"s{c}") for c in ends]))
+        near = met.groupBy(*keys).agg(F.min(F.struct("d", *[f"s{c}" for c in columns], "seg", *ends, *[f"s{c}" for c in ends])).alias("b")).select(*keys, "b.*")
+        last = span is None or width > span
+        sure = staged(near if last else near.where(F.col("d") <= width))
+        found = sure if found is None else found.unionByName(sure)
+        if last:
+            return found
+        left = staged(left.join(sure.select(*keys), keys, "left_anti"))
+        if left.isEmpty():
+            return found
+        width *= 8

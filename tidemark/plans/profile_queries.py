@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy, names
 from tidemark.functions.numeric import rounded
 from tidemark.operators import bias, prep, profiles as P
 from tidemark.plans.stand_ins import NAMES, PROFILES, TRACKS, file_names, profiles, r6, tracks
+from tidemark.sources.staging import staged
 from tidemark.sources.tables import parquet
 
 CYCLE = ["gt_family", "beam_id", "acq_date"]
@@ -50,8 +53,8 @@ def bias_report(spark, sf):
 
 
 def _kept(spark, sf):
-    inside = bias.profiles_in(stand_clusters(spark, sf), profiles(spark, sf), KEYS)
-    return inside, bias.keep(bias.evaluate(inside, KEYS), [2.0])
+    inside = staged(bias.profiles_in(stand_clusters(spark, sf), staged(profiles(spark, sf)), KEYS))
+    return inside, staged(bias.keep(bias.evaluate(inside, KEYS), [2.0]))
 
 
 def bias_filter(spark, sf):
@@ -64,7 +67,7 @@ def bias_summary(spark, sf):
 
 def _accepted(spark, sf):
     inside, kept = _kept(spark, sf)
-    return inside.join(kept.where("keep").select(*KEYS, "reference_beam", "beam_id", "acq_date"), [*KEYS, "reference_beam", "beam_id", "acq_date"], "left_semi")
+    return staged(bias.allowed(inside, kept, KEYS))
 
 
 def bluff_positions(spark, sf):
@@ -181,7 +184,8 @@ _BIASES = f"""{_INSIDE}, {_INTERP.format(k=_FIVE, t='inside')},
     biases AS (SELECT {_FIVE}, CASE WHEN beam_id = reference_beam THEN 0.0::DOUBLE ELSE value - y_ref END AS bias, beam_id = reference_beam AS is_ref,
                       beam_id = reference_beam OR coalesce(abs(value - y_ref) <= 2, false) AS keep
                FROM (SELECT DISTINCT {_FIVE} FROM inside) LEFT JOIN vals USING ({_FIVE}) JOIN base USING (gt_family, cluster_id)),
-    accepted AS (SELECT inside.* FROM inside SEMI JOIN (SELECT * FROM biases WHERE keep) USING ({_FIVE}))"""
+    accepted AS (SELECT inside.* FROM inside WHERE EXISTS (FROM biases b WHERE b.keep AND b.gt_family = inside.gt_family AND b.cluster_id = inside.cluster_id AND b.beam_id = inside.beam_id AND b.acq_date = inside.acq_date)
+        OR NOT EXISTS (FROM biases b WHERE b.keep AND b.gt_family = inside.gt_family AND b.cluster_id = inside.cluster_id))"""
 _BLUFFS = f"""{_BIASES},
     oldest AS (SELECT gt_family, cluster_id, min({{'d': acq_date, 'o': beam_id <> reference_beam, 'b': beam_id}}) AS o FROM accepted GROUP BY ALL),
     levels AS (SELECT gt_family, cluster_id, (min(h_li) + max(h_li)) / 2 AS level FROM accepted JOIN oldest USING (gt_family, cluster_id) WHERE beam_id = o.b AND acq_date = o.d GROUP BY ALL),
@@ -200,14 +204,21 @@ _PLACES = "places AS (SELECT event_id, user_id, value / 50 + 69 AS latitude, (ev
 _HAVERSINE = "2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)) * 1000"
 
 
+# WGS 84 and the coefficients of its transverse Mercator series, as published.
+_E, _RADIUS = 0.08181919084262149, 6367449.145823415
+_SERIES = (8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201359e-12, 5.711757677865804e-15, 1.491117731258390e-17)
+
+
 def _series(coefficients, outer: str, inner: str) -> str:
     return " + ".join(f"({a!r}::DOUBLE * {outer}({2 * j} * xi) * {inner}({2 * j} * eta))" for j, a in enumerate(coefficients, 1))
 
 
 _UTM = f"""s AS (SELECT event_id, radians(longitude + 147) AS lam, sin(radians(latitude)) AS si FROM places),
-    t AS (SELECT event_id, lam, sinh(atanh(si) - {geodesy.E!r}::DOUBLE * atanh({geodesy.E!r}::DOUBLE * si)) AS t FROM s),
+    t AS (SELECT event_id, lam, sinh(atanh(si) - {_E!r}::DOUBLE * atanh({_E!r}::DOUBLE * si)) AS t FROM s),
     p AS (SELECT event_id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)"""
-_POLAR_RHO = geodesy.A * 0.3420201433256688 / (1 - geodesy.E2 * 0.9396926207859083**2) ** 0.5 / geodesy._conformal(0.9396926207859083)
+#: Of the polar grid with true scale at 70 degrees north.
+_SIN70 = math.sin(math.radians(70))
+_POLAR_RHO = 6378137.0 * math.cos(math.radians(70)) / math.sqrt(1 - (_E * _SIN70) ** 2) / (math.tan(math.radians(10)) / ((1 - _E * _SIN70) / (1 + _E * _SIN70)) ** (_E / 2))
 
 QUERIES = {
     f.__name__: f
@@ -241,10 +252,10 @@ SQL = {
         h AS (SELECT event_id, sin(radians(latitude - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(latitude)) * sin(radians(longitude - lon0) / 2) ** 2 AS a FROM f)
         SELECT event_id, {r6(_HAVERSINE)} AS distance FROM h""",
     "granule_numbers": "SELECT user_id, CAST(trunc(median(event_id % 1387)) AS INT) AS rgt, CAST(trunc(median(event_id % 24)) AS INT) AS cycle FROM events GROUP BY user_id",
-    "utm_fwd": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r3(f'500000 + {0.9996 * geodesy.RADIUS!r}::DOUBLE * (eta + {_series(geodesy._alphas(), 'cos', 'sinh')})')} AS x, {r3(f'{0.9996 * geodesy.RADIUS!r}::DOUBLE * (xi + {_series(geodesy._alphas(), 'sin', 'cosh')})')} AS y FROM p",
+    "utm_fwd": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r3(f'500000 + {0.9996 * _RADIUS!r}::DOUBLE * (eta + {_series(_SERIES, 'cos', 'sinh')})')} AS x, {r3(f'{0.9996 * _RADIUS!r}::DOUBLE * (xi + {_series(_SERIES, 'sin', 'cosh')})')} AS y FROM p",
     "utm_round_trip": "SELECT event_id, true AS returns FROM events",
     "polar_fwd": f"""WITH {_PLACES}, q AS (SELECT event_id, radians(longitude + 45) AS lam, sin(radians(latitude)) AS si, radians(latitude) AS phi FROM places),
-        r AS (SELECT event_id, lam, {_POLAR_RHO!r}::DOUBLE * tan(pi() / 4 - phi / 2) / ((1 - {geodesy.E!r}::DOUBLE * si) / (1 + {geodesy.E!r}::DOUBLE * si)) ** {geodesy.E / 2!r}::DOUBLE AS r FROM q)
+        r AS (SELECT event_id, lam, {_POLAR_RHO!r}::DOUBLE * tan(pi() / 4 - phi / 2) / ((1 - {_E!r}::DOUBLE * si) / (1 + {_E!r}::DOUBLE * si)) ** {_E / 2!r}::DOUBLE AS r FROM q)
         SELECT event_id, {r3('r * sin(lam)')} AS x, {r3('-r * cos(lam)')} AS y FROM r""",
     "lon_wrap": f"WITH {_PLACES} SELECT event_id, {r6('CASE WHEN longitude * 1.5::DOUBLE < -180 THEN longitude * 1.5::DOUBLE + 360 WHEN longitude * 1.5::DOUBLE > 180 THEN longitude * 1.5::DOUBLE - 360 ELSE longitude * 1.5::DOUBLE END')} AS longitude FROM places",
     "name_date": f"""WITH {NAMES}, d AS (SELECT o_orderkey, CAST(try_strptime(list_filter(string_split(name, '_'), lambda t: regexp_full_match(t, '[0-9]{{8}}'))[-1], '%Y%m%d') AS DATE) AS acq_date FROM names)

@@ -60,13 +60,13 @@ TRACKS = """tracks AS (
 
 
 def shore(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fifth supplier as a vertex of the shore."""
-    s = parquet(spark, sf, "supplier").where("s_suppkey % 5 = 0")
-    vertices = s.select(F.lit(0).alias("part"), F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") * 7.0).alias("x"), (F.lit(293.0) + (F.col("s_suppkey") / 5).cast("long") % 3 * 5.0).alias("y"))
+    """Every supplier as a vertex of the shore."""
+    s = parquet(spark, sf, "supplier")
+    vertices = s.select(F.lit(0).alias("part"), F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") * 7.0).alias("x"), (F.lit(293.0) + F.col("s_suppkey") % 3 * 5.0).alias("y"))
     return segments(vertices, ["part"], ["seq"])
 
 
-SHORE = """vertices AS (SELECT s_suppkey AS seq, s_suppkey * 7.0::DOUBLE AS x, 293.0::DOUBLE + (s_suppkey // 5) % 3 * 5.0::DOUBLE AS y FROM supplier WHERE s_suppkey % 5 = 0),
+SHORE = """vertices AS (SELECT s_suppkey AS seq, s_suppkey * 7.0::DOUBLE AS x, 293.0::DOUBLE + s_suppkey % 3 * 5.0::DOUBLE AS y FROM supplier),
 shore AS (
     SELECT * FROM (SELECT row_number() OVER w - 1 AS seg, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM vertices WINDOW w AS (ORDER BY seq))
     WHERE x1 IS NOT NULL)"""
@@ -80,20 +80,20 @@ LINES = """lines AS (
 
 
 def clouds(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as clouds of points, one for each vector, of differing sizes."""
+    """Embeddings as clouds of points, one for each vector: all pairs of components that are not too near to 0, so clouds differ in size."""
     e = parquet(spark, sf, "embeddings")
-    pair = F.explode(F.sequence(F.lit(0), F.lit(31) - (F.col("vec_id") % 16).cast("int"))).alias("k")
+    pair = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("k")
     at = lambda k: (F.try_element_at("embedding", k + 1).cast("double") * 1000)
     return e.select("vec_id", "label", "embedding", pair).select(
         F.concat(F.lit("gt"), (F.col("label") % 3 + 1).cast("string")).alias("gt_family"), F.col("vec_id").cast("string").alias("beam_id"), "k",
         at(F.col("k") * 2).alias("x"), at(F.col("k") * 2 + 1).alias("y"), (at(F.col("k") * 2) / 20).alias("h_li"),
-    )
+    ).where("x * x + y * y >= 10000")
 
 
 CLOUDS = """clouds AS (
     SELECT 'gt' || CAST(label % 3 + 1 AS VARCHAR) AS gt_family, CAST(vec_id AS VARCHAR) AS beam_id, k,
            CAST(embedding[2 * k + 1] AS DOUBLE) * 1000 AS x, CAST(embedding[2 * k + 2] AS DOUBLE) * 1000 AS y, CAST(embedding[2 * k + 1] AS DOUBLE) * 1000 / 20 AS h_li
-    FROM (SELECT vec_id, label, embedding, unnest(range(0, 32 - vec_id % 16)) AS k FROM embeddings))"""
+    FROM (SELECT vec_id, label, embedding, unnest(range(0, 32)) AS k FROM embeddings) WHERE x * x + y * y >= 10000)"""
 
 
 def file_names(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""The workflow for one setup or a whole grid of setups, in one run.
+"""The workflow for one setup or a whole grid of setups, of one track or many, in one run.
 
 Boxes and tracks do not depend on the setup, clusters depend on the size
 only, biases not on the tolerance: each is computed once, staged, and used by
-all that needs it; sizes and tolerances are columns.
+all that needs it; tracks, sizes and tolerances are columns.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import track_normalised
 from tidemark.operators import bias, change, clusters, planar
+from tidemark.operators.keys import scoped
 from tidemark.params import BIAS_TOLERANCES, CLUSTER_SIZES, Params
 from tidemark.sources.staging import staged
 
@@ -36,15 +37,17 @@ class Workflow:
     statistics: DataFrame
 
 
-def run(points: DataFrame, shore: DataFrame, track_id: str, params: Params | None = None, sizes: tuple[float, ...] | None = None, tolerances: tuple[float, ...] | None = None, which: str = "first") -> Workflow:
-    """``points``: gated points with gt_family, beam_id, acq_date, distance_from_offshore, h_li, x, y; ``shore``: its segments."""
+def run(points: DataFrame, shore: DataFrame, track_id: str | None = None, params: Params | None = None, sizes: tuple[float, ...] | None = None, tolerances: tuple[float, ...] | None = None, which: str = "first") -> Workflow:
+    """``points``: gated points with gt_family, beam_id, acq_date, distance_from_offshore, h_li, x, y and, unless all are of
+    ``track_id``, the track of each in a column of that name; ``shore``: its segments, all tracks' together."""
     p = params or Params()
     sizes, tolerances = sizes or (p.cluster_distance_m,), tolerances or (p.bias_tolerance,)
-    points, shore = staged(points.where(F.col("gt_family").isin(*p.gtx))), staged(shore)
+    track = F.lit(str(track_id)) if track_id is not None else F.col("track_id").cast("string")
+    points, shore = staged(points.where(F.col("gt_family").isin(*p.gtx)).withColumn("track_id", track_normalised(track))), staged(shore)
     box = staged(planar.boxes(points, shore, p.half_along_m, p.half_across_m))
     clipped = staged(planar.clip(points, box))
     lines = staged(planar.beam_lines(clipped))
-    found = staged(clusters.candidates(clipped, lines, list(sizes), p.min_beams, p.gtx).withColumn("track_id", track_normalised(F.lit(str(track_id)))))
+    found = staged(clusters.candidates(clipped, lines, list(sizes), p.min_beams, p.gtx))
     found = staged(clusters.angles(found, clipped, lines, shore, params=p))
     marked, summary = clusters.select(found, p.min_beams, ["track_id", "cluster_distance_m", "gt_family"])
     selected = staged(marked.where("selected").drop("selected"))
@@ -67,7 +70,8 @@ def metrics(flow: Workflow, quality_summary: DataFrame | None = None) -> DataFra
     place = flow.selected.select(*CLUSTER, "angle_deg", "center_lat", "center_lon")
     rows = flow.statistics.join(place, CLUSTER, "left").join(overall, family, "left").join(own, SETUP, "left")
     if quality_summary is not None:
-        rows = rows.join(quality_summary.select("gt_family", F.col("loaded").alias("initial_cycles")), "gt_family", "left")
+        own = scoped(quality_summary, "gt_family")
+        rows = rows.join(quality_summary.select(*own, F.col("loaded").alias("initial_cycles")), own, "left")
     else:
         rows = rows.withColumn("initial_cycles", F.lit(None).cast("long"))
     return rows.select(
@@ -77,9 +81,29 @@ def metrics(flow: Workflow, quality_summary: DataFrame | None = None) -> DataFra
     )
 
 
-def sweep(points: DataFrame, shore: DataFrame, track_id: str, quality_summary: DataFrame | None = None, params: Params | None = None) -> DataFrame:
-    """The result table of the full grid, in one run."""
-    return metrics(run(points, shore, track_id, params, CLUSTER_SIZES, BIAS_TOLERANCES), quality_summary)
+def sweep(
+    points: DataFrame, shore: DataFrame, track_id: str | None = None, quality_summary: DataFrame | None = None, params: Params | None = None, existing: DataFrame | None = None,
+    sizes: tuple[float, ...] = CLUSTER_SIZES, tolerances: tuple[float, ...] = BIAS_TOLERANCES,
+) -> DataFrame:
+    """The result table of the full grid, in one run.
+
+    ``existing``: results of earlier runs.  Setups of a track that it holds any
+    row of are not run again; the result has its rows and the fresh ones.
+    Setups that gave no rows are run again.
+    """
+    if existing is None:
+        return metrics(run(points, shore, track_id, params, sizes, tolerances), quality_summary)
+    setup = ["track_id", "ClusterSize", "bias_tolerance"]
+    track = F.lit(str(track_id)) if track_id is not None else F.col("track_id").cast("string")
+    points = points.withColumn("track_id", track_normalised(track))
+    grid = points.select("track_id").distinct().withColumns({"ClusterSize": F.explode(F.array(*[F.lit(int(s)) for s in sizes]))}).withColumn("bias_tolerance", F.explode(F.array(*[F.lit(float(t)) for t in tolerances])))
+    left = staged(missing_setups(grid, existing, setup))
+    todo = left.select("ClusterSize", "bias_tolerance").distinct().collect()  # of one grid
+    if not todo:
+        return existing
+    points = points.join(left.select("track_id").distinct(), "track_id", "left_semi")
+    flow = run(points, shore, None, params, tuple(sorted({float(r.ClusterSize) for r in todo})), tuple(sorted({r.bias_tolerance for r in todo})))
+    return upsert(existing, metrics(flow, quality_summary).join(left, setup, "left_semi"))
 
 
 def missing_setups(grid: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

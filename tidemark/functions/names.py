@@ -60,6 +60,27 @@ def granule_date(name: Column) -> Column:
     return F.when(second.rlike("^[0-9]{8}"), F.substring(second, 1, 8)).otherwise(loose)
 
 
+def granule_track(name: Column) -> Column:
+    """Track digits of a granule name: the part after the date, or what follows the first dated run."""
+    third = F.try_element_at(tokens(name), F.lit(3))
+    loose = F.nullif(F.regexp_extract(name, r"_([0-9]{8})(?:[0-9]{6})?_([0-9]{4})", 2), F.lit(""))
+    return F.when(third.rlike("^[0-9]{4}"), F.substring(third, 1, 4)).otherwise(loose)
+
+
+def old_name(name: Column) -> Column:
+    """struct(day, track) of names with a prefix before the product, by position: digits of the third part and of the fourth."""
+    part = lambda k, n: F.substring(F.try_element_at(tokens(name), F.lit(k)), 1, n)
+    return F.struct(part(3, 8).alias("day"), part(4, 4).alias("track"))
+
+
+def beam_file(name: Column) -> Column:
+    """struct(track_id, gt, acq_date) of a name like ATL06_0129_gt1l_20190105; null if it is not so made."""
+    pattern = r"ATL06_([0-9]{4})_(gt[123][lr])_([0-9]{8})"
+    group = lambda k: F.regexp_extract(name, pattern, k)
+    day = F.to_date(F.try_to_timestamp(group(3), F.lit("yyyyMMdd")))
+    return F.when(name.rlike(pattern), F.struct(group(1).alias("track_id"), group(2).alias("gt"), day.alias("acq_date")))
+
+
 def track_normalised(track: Column) -> Column:
     """Four digits at least for whole numbers, the text as it is otherwise."""
     number = track.try_cast("int").cast("string")

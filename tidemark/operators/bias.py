@@ -91,6 +91,12 @@ def allowed(points: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     return points.join(listed, [*keys, "beam_id", "acq_date"], "left_semi").unionByName(points.join(judged, keys, "left_anti"))
 
 
+def accepted_view(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Accepted points of clusters with what is drawn of them: whether their pass is the seed's, and where it crosses."""
+    marked = points.withColumn("is_ref", F.col("beam_id") == F.col("reference_beam"))
+    return marked.join(edges.select(*keys, "beam_id", "acq_date", "bluff_x", "bluff_y"), [*keys, "beam_id", "acq_date"], "left")
+
+
 def bluffs(points: DataFrame, keys: list[str], which: str = "first", params: Params | None = None) -> DataFrame:
     """keys, beam_id, acq_date, bluff_x, bluff_y, ref_line: where accepted profiles meet half the height of the oldest one.
 

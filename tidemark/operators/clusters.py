@@ -58,6 +58,11 @@ def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beam
     return full.select(*beam, "num_points", "cluster_distance_m", "cluster_id", "beam_ids", "num_beams", F.col("center.lon").alias("center_lon"), F.col("center.lat").alias("center_lat"))
 
 
+def family_track(clusters: DataFrame) -> DataFrame:
+    """gt_family, track_id: the track that most of a family's clusters name, the smallest on ties."""
+    return clusters.where("track_id IS NOT NULL").groupBy("gt_family").agg(F.mode("track_id", True).alias("track_id"))
+
+
 def angles(clusters: DataFrame, points: DataFrame, lines: DataFrame, shore: DataFrame, search_radius: float | None = None, params: Params | None = None) -> DataFrame:
     """``clusters`` with ``angle_deg``: between the seed's principal axis and the shore's run near it.
 

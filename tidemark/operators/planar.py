@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import scoped
-from tidemark.operators.spatial import along, crossing_at
+from tidemark.operators.spatial import along, crossing_at, overlap_at
 from tidemark.sources.staging import staged
 
 
@@ -57,20 +57,24 @@ def nearest_lines(lines: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def shore_crossings(lines: DataFrame, keys: list[str], shore: DataFrame, width: float = 500.0) -> DataFrame:
-    """keys, x, y: distinct points where lines meet the shore's segments; candidates share a cell."""
+    """keys, x, y, run: distinct points where lines meet the shore's segments, and middles of what they share where they run
+    along each other, ``run`` metres long; candidates share a cell."""
     spread = lambda t: t.withColumn("c", F.explode(along(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), width, 0.0)))
     a = spread(lines.select(*keys, "x0", "y0", "x1", "y1"))
     b = spread(shore.select("x0", "y0", "x1", "y1")).select(*[F.col(c).alias(f"s{c}") for c in ("x0", "y0", "x1", "y1")], F.col("c").alias("sc"))
     met = a.join(b, a["c"] == b["sc"])
-    at = crossing_at(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "sx0", "sy0", "sx1", "sy1")])
-    return met.select(*keys, at.alias("p")).where("p IS NOT NULL").select(*keys, "p.x", "p.y").distinct()
+    ends = [F.col(c) for c in ("x0", "y0", "x1", "y1", "sx0", "sy0", "sx1", "sy1")]
+    at = crossing_at(*ends)
+    at = F.when(at.isNotNull(), F.struct(at.x.alias("x"), at.y.alias("y"), F.lit(0.0).alias("run"))).otherwise(overlap_at(*ends))
+    return met.select(*keys, at.alias("p")).where("p IS NOT NULL").select(*keys, "p.x", "p.y", "p.run").distinct()
 
 
 def boxes(points: DataFrame, shore: DataFrame, half_along: float, half_across: float) -> DataFrame:
     """One oriented box for each family whose nearest beam crosses the shore: center, crossing, beam and unit tangent.
 
-    The crossing is the one nearest to the family's center; the tangent runs
-    from 0.4 to 0.6 of the nearest beam's length.
+    The crossing is the one nearest to the family's center or, where the beam
+    runs along the shore, the middle of that run; the tangent runs from 0.4 to
+    0.6 of the nearest beam's length.
     """
     family = scoped(points, "gt_family")
     lines, centers = staged(beam_lines(points)), staged(family_centers(points))
@@ -78,7 +82,9 @@ def boxes(points: DataFrame, shore: DataFrame, half_along: float, half_across: f
     chosen = staged(lines.join(near.select(*family, F.col("nearest_beam").alias("beam_id")), [*family, "beam_id"], "left_semi"))
     away = F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))
     met = shore_crossings(chosen, family, shore).join(centers, family)
-    cross = met.groupBy(*family).agg(F.min(F.struct(away.alias("d"), "x", "y")).alias("c")).select(*family, F.col("c.x").alias("cross_x"), F.col("c.y").alias("cross_y"))
+    middle = lambda c: F.sum(F.col(c) * F.col("run")) / F.nullif(F.sum("run"), F.lit(0.0))
+    cross = met.groupBy(*family).agg(F.min(F.struct(away.alias("d"), "x", "y")).alias("c"), middle("x").alias("mx"), middle("y").alias("my"))
+    cross = cross.select(*family, F.coalesce("mx", "c.x").alias("cross_x"), F.coalesce("my", "c.y").alias("cross_y"))
     total = measures(chosen, family).select(*family, F.explode(F.array(F.lit(0.4), F.lit(0.6))).alias("share"), "length").withColumn("at", F.col("share") * F.col("length"))
     ends = at_length(chosen, family, total).groupBy(*family).agg(F.min_by(F.struct("px", "py"), "share").alias("a"), F.max_by(F.struct("px", "py"), "share").alias("b"))
     vx, vy = F.col("b.px") - F.col("a.px"), F.col("b.py") - F.col("a.py")

@@ -38,6 +38,11 @@ def clipped_profiles(points: DataFrame, shore: DataFrame, keys: list[str], reach
     return geodesic_along(full.withColumn("__south", -F.col("latitude")), keys, ["__south", "longitude"]).drop("__south")
 
 
+def whole_profiles(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Good points of whole profiles, without a clip, with great-circle metres from the first one in ``order``."""
+    return distance_from_first(good_points(points), keys, order)
+
+
 def display_range(points: DataFrame, keys: list[str], low: float = -2.0, high: float = 10.0, minimum: int = 80) -> DataFrame:
     """Points in a range of heights, of profiles with ``minimum`` of them at least."""
     held = points.where(F.col("h_li").between(low, high))

@@ -109,6 +109,11 @@ def top_outliers(table: DataFrame, keys: list[str], n: int = 50) -> DataFrame:
     return scored.orderBy(F.desc("outlier_score"), *keys).limit(n).select(*keys, "outlier_score")
 
 
+def most_negative(table: DataFrame, keys: list[str], metric: str = "LRR", n: int = 50) -> DataFrame:
+    """The ``n`` rows with the least known ``metric``."""
+    return table.where(F.col(metric).isNotNull()).orderBy(F.asc(metric), *keys).limit(n).select(*keys, metric)
+
+
 def possible(table: DataFrame, least: float = -30.0) -> DataFrame:
     """Rows without an impossible regression rate; a missing rate is no reason to go."""
     return table.where(~_true(F.col("LRR") < least))

@@ -50,6 +50,19 @@ def crossing_at(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     return F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), F.struct((ax0 + t * dax).alias("x"), (ay0 + t * day).alias("y")))
 
 
+def overlap_at(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
+    """struct(x, y, run): the middle and length of what two segments on one line share, ``run`` 0 where that is a point; else null."""
+    dx, dy = ax1 - ax0, ay1 - ay0
+    size = dx * dx + dy * dy
+    on = lambda px, py: ((px - ax0) * dx + (py - ay0) * dy) / F.nullif(size, F.lit(0.0))
+    off = lambda px, py: F.abs((px - ax0) * dy - (py - ay0) * dx) <= 1e-9 * size
+    low = F.greatest(F.lit(0.0), F.least(on(bx0, by0), on(bx1, by1)))
+    high = F.least(F.lit(1.0), F.greatest(on(bx0, by0), on(bx1, by1)))
+    middle = (low + high) / 2
+    shared = F.struct((ax0 + middle * dx).alias("x"), (ay0 + middle * dy).alias("y"), ((high - low) * F.sqrt(size)).alias("run"))
+    return F.when(off(bx0, by0) & off(bx1, by1) & (low <= high), shared)
+
+
 def segment_segment(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     """Distance between two segments; 0 where they cross."""
     ends = F.least(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded, year_fraction
-from tidemark.operators import change, profiles, qa, student
+from tidemark.operators import change, clusters, profiles, qa, student
 from tidemark.plans.stand_ins import SERIES, r6, series
 from tidemark.plans.workflow import missing_setups, upsert
 
@@ -96,6 +96,14 @@ def qa_mad(spark, sf):
     return _tidy(qa.robust_z(results(spark, sf)).select(*KEY, *[f"z_{m}" for m in qa.METRICS], "mad_any"))
 
 
+def qa_most_negative(spark, sf):
+    return _tidy(qa.most_negative(results(spark, sf), KEY))
+
+
+def family_track(spark, sf):
+    return clusters.family_track(results(spark, sf))
+
+
 def qa_score(spark, sf):
     return _tidy(qa.top_outliers(results(spark, sf), KEY))
 
@@ -199,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dsas_metrics, dsas_endpoint, dsas_regression, dsas_lci, envelope, collapse_dates, frac_year, qa_profile, qa_health, qa_topn, qa_bottomn, qa_rules_v1, qa_rules_v2,
-        qa_clean, qa_iqr, qa_mad, qa_score, qa_impossible, qa_breakdown, qa_distinct_keys, resume_antijoin, upsert_keep_last, union_by_name, set_ops, map_subset, advancing,
+        qa_clean, qa_iqr, qa_mad, qa_score, qa_most_negative, family_track, qa_impossible, qa_breakdown, qa_distinct_keys, resume_antijoin, upsert_keep_last, union_by_name, set_ops, map_subset, advancing,
     )
 }
 
@@ -226,6 +234,9 @@ SQL = {
         f AS (SELECT gt_family, cluster_id, {', '.join(f'({m} < a_{m} - 1.5 * (b_{m} - a_{m}) OR {m} > b_{m} + 1.5 * (b_{m} - a_{m})) AS iqr_{m}' for m in _M)} FROM full_rows, q)
         SELECT *, {' OR '.join(f'iqr_{m}' for m in _M)} AS iqr_any FROM f""",
     "qa_mad": f"WITH {_MAD} SELECT gt_family, cluster_id, {_each([f'z_{m}' for m in _M])}, coalesce(outlier_score > 3.5, false) AS mad_any FROM scored",
+    "qa_most_negative": f"WITH {_RESULTS} SELECT gt_family, cluster_id, {_each(['LRR'])} FROM results WHERE results.LRR IS NOT NULL ORDER BY results.LRR, gt_family, cluster_id LIMIT 50",
+    "family_track": f"""WITH {_RESULTS}, counts AS (SELECT gt_family, track_id, count(*) AS n FROM results GROUP BY ALL)
+        SELECT gt_family, min(track_id) AS track_id FROM counts c WHERE n = (SELECT max(n) FROM counts d WHERE d.gt_family = c.gt_family) GROUP BY gt_family""",
     "qa_score": f"WITH {_MAD} SELECT gt_family, cluster_id, {_each(['outlier_score'])} FROM scored WHERE scored.outlier_score > 3.5 ORDER BY scored.outlier_score DESC, gt_family, cluster_id LIMIT 50",
     "qa_impossible": f"WITH {_RESULTS} SELECT gt_family, cluster_id, {_each(['LRR'])} FROM results WHERE NOT coalesce(results.LRR < -30, false)",
     "qa_breakdown": f"WITH {_RESULTS} SELECT CASE WHEN ValidRegression THEN 'True' WHEN NOT ValidRegression THEN 'False' ELSE 'Missing' END AS valid_regression, count(*) AS n FROM results GROUP BY 1",

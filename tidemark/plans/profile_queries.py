@@ -125,6 +125,18 @@ def polar_fwd(spark, sf):
     return p.select("event_id", rounded(F.col("p.x"), 3).alias("x"), rounded(F.col("p.y"), 3).alias("y"))
 
 
+def whole_profiles(spark, sf):
+    """Events of known place and height as profiles without a clip, with the distance from each user's first."""
+    points = places(spark, sf).join(parquet(spark, sf, "events").select("event_id", (F.col("value") - 40).alias("h_li"), (F.col("event_id") % 3).alias("atl06_quality_summary")), "event_id")
+    return _tidy(prep.whole_profiles(points, ["user_id"], ["event_id"]).select("event_id", "h_li", "distance"))
+
+
+def old_names(spark, sf):
+    n = file_names(spark, sf)
+    old = names.old_name(F.concat(F.lit("processed_"), "granule"))
+    return n.select("o_orderkey", old["day"].alias("day"), old["track"].alias("track"), names.granule_track(F.col("granule")).alias("granule_track"), names.granule_track(F.regexp_replace("odd_name", "^ATL06", "a_b_c")).alias("odd_track"))
+
+
 def lon_wrap(spark, sf):
     return _tidy(places(spark, sf).select("event_id", geodesy.wrapped_longitude(F.col("longitude") * 1.5).alias("longitude")))
 
@@ -224,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interp_at_x0, crossing_first, crossing_last, crossing_exact, bias_report, bias_filter, bias_summary, bluff_positions, yref_oldest, used_cycles, along_track, point_id,
-        haversine_first, cum_geodesic, granule_numbers, utm_fwd, utm_round_trip, polar_fwd, lon_wrap, name_date, name_family, name_track, name_rgt, track_norm,
+        haversine_first, cum_geodesic, granule_numbers, utm_fwd, utm_round_trip, polar_fwd, whole_profiles, old_names, lon_wrap, name_date, name_family, name_track, name_rgt, track_norm,
     )
 }
 
@@ -251,6 +263,11 @@ SQL = {
     "haversine_first": f"""WITH {_PLACES}, f AS (SELECT *, first_value(latitude) OVER w AS lat0, first_value(longitude) OVER w AS lon0 FROM places WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         h AS (SELECT event_id, sin(radians(latitude - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(latitude)) * sin(radians(longitude - lon0) / 2) ** 2 AS a FROM f)
         SELECT event_id, {r6(_HAVERSINE)} AS distance FROM h""",
+    "whole_profiles": f"""WITH {_PLACES}, good AS (SELECT places.*, value - 40 AS h_li FROM places JOIN events USING (event_id) WHERE event_id % 3 = 0 AND value IS NOT NULL),
+        f AS (SELECT *, first_value(latitude) OVER w AS lat0, first_value(longitude) OVER w AS lon0 FROM good WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+        h AS (SELECT event_id, h_li, sin(radians(latitude - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(latitude)) * sin(radians(longitude - lon0) / 2) ** 2 AS a FROM f)
+        SELECT event_id, {r6('h_li')} AS h_li, {r6(_HAVERSINE)} AS distance FROM h""",
+    "old_names": "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS track, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS granule_track, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS odd_track FROM orders",
     "granule_numbers": "SELECT user_id, CAST(trunc(median(event_id % 1387)) AS INT) AS rgt, CAST(trunc(median(event_id % 24)) AS INT) AS cycle FROM events GROUP BY user_id",
     "utm_fwd": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r3(f'500000 + {0.9996 * _RADIUS!r}::DOUBLE * (eta + {_series(_SERIES, 'cos', 'sinh')})')} AS x, {r3(f'{0.9996 * _RADIUS!r}::DOUBLE * (xi + {_series(_SERIES, 'sin', 'cosh')})')} AS y FROM p",
     "utm_round_trip": "SELECT event_id, true AS returns FROM events",

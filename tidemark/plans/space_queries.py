@@ -66,7 +66,7 @@ def nearest_line(spark, sf):
 
 
 def line_cross_shore(spark, sf):
-    return _tidy(planar.shore_crossings(planar.beam_lines(tracks(spark, sf)), BEAM, shore(spark, sf), 100.0))
+    return _tidy(planar.shore_crossings(planar.beam_lines(tracks(spark, sf)), BEAM, shore(spark, sf), 100.0).drop("run"))
 
 
 def boxes(spark, sf):
@@ -156,6 +156,19 @@ def family_batches(spark, sf):
     return prep.batches(tracks(spark, sf).select("gt_family", F.col("beam_id").alias("track_id"), "y"))
 
 
+GATE = Params(elev_trash=17.0, too_far_beam=40.0)
+
+
+def gate_kept(spark, sf):
+    """How many points of each beam pass the gate."""
+    return quality.gate(clouds(spark, sf), GATE)[0].groupBy(*BEAM).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gate_flagged(spark, sf):
+    """The isolated beams, with their distance."""
+    return _tidy(quality.gate(clouds(spark, sf), GATE)[2])
+
+
 def dated_tracks(spark, sf):
     """Tracks of supplier and year, with heights that cross 0 along the way, run through distance and gate."""
     line = parquet(spark, sf, "lineitem")
@@ -263,7 +276,7 @@ QUERIES = {
     for f in (
         quality_few, quality_trash, quality_too_far, knn1, quality_status, quality_pivot, family_center, polyline_length, polyline_centroid, nearest_line, line_cross_shore, boxes,
         box_clip, box_radial, beam_spacing, neighbour_join, candidate_clusters, greedy_select, greedy_summary, cluster_angle, buffer_points, file_semijoin, corridor_select,
-        display_range, photon_clip, padded_bounds, family_batches, quality_gate, workflow_single, grid_sweep,
+        display_range, photon_clip, padded_bounds, family_batches, gate_kept, gate_flagged, quality_gate, workflow_single, grid_sweep,
     )
 }
 
@@ -275,6 +288,8 @@ SQL = {
     "quality_status": f"WITH {_FLAGS} SELECT gt_family, beam_id, status FROM flags",
     "quality_pivot": f"""WITH {_FLAGS} SELECT gt_family, 48::BIGINT AS ideal_case, count(*) AS files_found, 48 - count(*) AS missing,
         {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in quality.STATUSES)} FROM flags GROUP BY gt_family""",
+    "gate_kept": f"WITH {_FLAGS} SELECT gt_family, beam_id, count(*) AS n FROM clouds WHERE beam_id IN (SELECT beam_id FROM flags WHERE status = 'loaded') GROUP BY ALL",
+    "gate_flagged": f"WITH {_FLAGS} SELECT gt_family, beam_id, {r6('nearest_dist')} AS nearest_dist FROM flags WHERE too_far",
     "family_center": f"WITH {CLOUDS} SELECT gt_family, {r6('avg(x)')} AS center_x, {r6('avg(y)')} AS center_y FROM (SELECT DISTINCT gt_family, x, y FROM clouds) GROUP BY gt_family",
     "polyline_length": f"WITH {_MEASURES} SELECT gt_family, beam_id, {_each('length')} FROM measures",
     "polyline_centroid": f"WITH {_MEASURES} SELECT gt_family, beam_id, {_each('cx', 'cy')} FROM measures",

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 BEAMS = ("gt1l", "gt1r", "gt2l", "gt2r", "gt3l", "gt3r")
 SEGMENTS = {"latitude": "latitude", "longitude": "longitude", "h_li": "h_li", "atl06_quality_summary": "atl06_quality_summary", "rgt": "rgt", "cycle_number": "cycle_number"}
-PHOTONS = {"lat_ph": "latitude", "lon_ph": "longitude", "h_ph": "h_ph"}
+PHOTONS = {"lat_ph": "latitude", "lon_ph": "longitude", "h_ph": "h_ph", "signal_conf_ph": "signal_conf_ph"}
+#: Columns with several values a row: one for each surface type.
+SEVERAL = ("signal_conf_ph",)
 
 
 def _groups(spark: SparkSession, folder: str, group: str, columns: dict[str, str], needed: tuple[str, ...]) -> DataFrame:
@@ -29,9 +31,10 @@ def _groups(spark: SparkSession, folder: str, group: str, columns: dict[str, str
                         if held is None or any(c not in held for c in needed):
                             continue  # a beam without what is needed is skipped
                         n = len(held[needed[0]])
-                        yield pd.DataFrame({"granule": path, "gt": beam, "seq": range(n)} | {new: held[old][:] if old in held else [None] * n for old, new in columns.items()})
+                        read = lambda old: list(held[old][:]) if old in SEVERAL else held[old][:]  # noqa: E731, B023
+                        yield pd.DataFrame({"granule": path, "gt": beam, "seq": range(n)} | {new: read(old) if old in held else [None] * n for old, new in columns.items()})
 
-    kinds = ", ".join(f"{c} double" for c in columns.values())
+    kinds = ", ".join(f"{c} array<int>" if c in SEVERAL else f"{c} double" for c in columns.values())
     return files.mapInPandas(decode, f"granule string, gt string, seq int, {kinds}")
 
 

@@ -1,8 +1,9 @@
 """Point shapefiles: Spark lists and reads the files, a task decodes each one's attribute table.
 
-Positions come from the longitude and latitude attributes, as they do when
-such files are reloaded, so only the ``.dbf`` is needed.  A file without rows
-or without both attributes is skipped.
+Positions of beams come from the longitude and latitude attributes, as they do
+when such files are reloaded, so only the ``.dbf`` is needed.  A file without
+rows or without both attributes is skipped.  Shorelines come from the ``.shp``
+with the parts of its lines and rings, or from GeoJSON.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import names
 from tidemark.functions.geodesy import utm
 from tidemark.functions.numeric import finite
+from tidemark.operators.planar import segments
 
 
 def dbf_rows(content: bytes) -> list[dict]:
@@ -43,6 +45,61 @@ def dbf_rows(content: bytes) -> list[dict]:
     return rows
 
 
+def shp_parts(content: bytes) -> list[list[tuple[float, float]]]:
+    """The vertices of every part of the lines and polygons of a ``.shp``, and every point as a part of its own."""
+    out, at = [], 100
+    while at + 12 <= len(content):
+        (words,) = struct.unpack(">i", content[at + 4 : at + 8])
+        record = content[at + 8 : at + 8 + 2 * words]
+        at += 8 + 2 * words
+        kind = struct.unpack("<i", record[:4])[0] % 10 if len(record) >= 4 else 0
+        if kind == 1:
+            out.append([struct.unpack("<2d", record[4:20])])
+        elif kind in (3, 5):
+            parts, count = struct.unpack("<2i", record[36:44])
+            starts = [*struct.unpack(f"<{parts}i", record[44 : 44 + 4 * parts]), count]
+            flat = struct.unpack(f"<{2 * count}d", record[44 + 4 * parts : 44 + 4 * parts + 16 * count])
+            out += [list(zip(flat[2 * a : 2 * b : 2], flat[2 * a + 1 : 2 * b : 2])) for a, b in zip(starts, starts[1:])]
+    return out
+
+
+def _placed(vertices: DataFrame, projected: bool) -> DataFrame:
+    """Segments of (file, part, seq, a, b): degrees are projected."""
+    p = F.struct(F.col("a").alias("x"), F.col("b").alias("y")) if projected else utm(F.col("b"), F.col("a"))
+    flat = vertices.select(F.xxhash64("file", "part").alias("part"), "seq", p.alias("p")).select("part", "seq", "p.x", "p.y")
+    return segments(flat, ["part"], ["seq"])
+
+
+def shoreline(spark: SparkSession, path: str, default_projected: bool = False) -> DataFrame:
+    """The shore's segments (part, seg, x0, y0, x1, y1, len, cum) from ``.shp`` or ``.geojson`` files under ``path``.
+
+    A ``.prj`` beside a ``.shp`` says whether its coordinates are degrees;
+    without one they are taken as ``default_projected`` says.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    of = lambda kind: files.where(F.lower("path").endswith(kind))
+
+    def decode(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for file, content in zip(batch.path, batch.content):
+                rows = [(file, k, n, a, b) for k, part in enumerate(shp_parts(bytes(content))) for n, (a, b) in enumerate(part)]
+                yield pd.DataFrame(rows, columns=["file", "part", "seq", "a", "b"])
+
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    shapes = of(".shp").select("path", "content").mapInPandas(decode, "file string, part int, seq int, a double, b double")
+    known = of(".prj").select(stem(F.col("path")).alias("stem"), F.col("content").cast("string").startswith("PROJCS").alias("projected"))
+    shapes = shapes.withColumn("stem", stem(F.col("file"))).join(known, "stem", "left").withColumn("projected", F.coalesce("projected", F.lit(default_projected)))
+    features = of(".geojson").select(F.col("path").alias("file"), F.explode(F.from_json(F.col("content").cast("string"), "features array<struct<geometry:struct<type:string,coordinates:string>>>")["features"]["geometry"]).alias("g"))
+    one, many = F.from_json("g.coordinates", "array<array<double>>"), F.from_json("g.coordinates", "array<array<array<double>>>")
+    parts = F.when(F.col("g.type") == "LineString", F.array(one)).when(F.col("g.type").isin("MultiLineString", "Polygon"), many)
+    drawn = features.select("file", F.monotonically_increasing_id().alias("row"), parts.alias("parts")).select("file", "row", F.posexplode("parts").alias("k", "line"))
+    drawn = drawn.select(F.concat_ws("#", "file", "row").alias("file"), F.col("k").alias("part"), F.posexplode("line").alias("seq", "v")).select("file", "part", "seq", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    flat, degrees = shapes.where("projected"), shapes.where("NOT projected").select(*drawn.columns).unionByName(drawn)
+    return _placed(flat.select(*drawn.columns), True).unionByName(_placed(degrees, False))
+
+
 def beams(spark: SparkSession, folder: str, pattern: str = "*.dbf", lon: str = "longitude", lat: str = "latitude", height: str = "h_li") -> DataFrame:
     """Points of all files: position in degrees and metres, height, and what the file's name says."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")

@@ -69,6 +69,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(table: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if its rows are counted and ``most`` at most; else joined as Spark sees fit."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -16,7 +16,7 @@ confirms it or the depth is reached at which even a pair at the threshold
 is met with that probability.  A pair is verified in the first tree and at
 the first depth at which it meets, once.
 
-Nodes of different trees that hold the same sets are verified once.  A node of
+Nodes whose sets have all met below one node before are left out.  A node of
 many sets is verified in pairs of blocks, so a set is sent once for each block
 of its node and there are n / BLOCK of those: linear up to some thousand sets
 and beyond that n * n / BLOCK rows, each worth BLOCK exact comparisons.  What
@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, add_columns, text_of
+from tidemark.llm.common import Scratch, add_columns, small, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 TREES, LONGEST, RECALL = 20, 6, 0.9999
@@ -54,8 +54,8 @@ BLOCK, BLOCK_BYTES, TILE, COLUMNS = 2048, 16 << 20, 512, 8192
 #: Similarities are counted in bins of this width.
 BIN = 0.01
 CACHE = 400_000
-#: Rows of a table of two or three numbers that is broadcast; about 100 MB at most.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a table of two or three numbers that is broadcast; about 50 MB at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def met(similarity, depth: int, trees: int = TREES):
@@ -131,8 +131,7 @@ def paths(sets: list[np.ndarray], trees: int, depth: int = LONGEST) -> np.ndarra
 
 
 def _small(table: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, to be broadcast if its rows are counted and few; else joined by shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return small(table, BROADCAST_ROWS)
 
 
 def _name(s: np.ndarray) -> bytes | None:
@@ -283,20 +282,32 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def _members(scratch: Scratch, trie: DataFrame, depth: int) -> DataFrame:
-    """(tree, node, set, blocks): the sets below each node at ``depth`` that holds several, one of nodes with the same sets."""
-    filed = trie.select("set", "weight", "tree", F.substring("path", 1, LABEL * depth).alias("node"))
-    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y"), F.min("set").alias("first"), F.max("set").alias("last"), F.sum("weight").alias("weight")]
-    nodes = scratch.table(filed.groupBy("tree", "node").agg(*same).where("n > 1"))
-    once = nodes.groupBy("n", "x", "y", "first", "last", "weight").agg(F.min(F.struct("tree", "node")).alias("at"))
-    once = scratch.table(once.select("at.tree", "at.node", F.ceil(F.greatest(F.col("n") / BLOCK, 8 * F.col("weight") / BLOCK_BYTES)).cast("int").alias("blocks")))
-    return scratch.table(filed.drop("weight").join(_small(once), ["tree", "node"]))
-
+def _members(scratch: Scratch, trie: DataFrame, held: DataFrame, depth: int, before: int | None, trees: int) -> DataFrame:
+    """(tree, node, set, blocks): the sets below each node at ``depth`` that has pairs to verify.
 
-def _matched(scratch: Scratch, trie: DataFrame, held: DataFrame, depth: int, before: int | None, similarity: float) -> DataFrame:
+    A node whose sets are all below one node of an earlier tree, or were all
+    below one at the depth ``before``, has none; where nodes of several trees
+    hold the same sets, the first tree's is left.
+    """
+    filed = trie.select("set", "weight", "tree", F.substring("path", 1, LABEL * depth).alias("node"))
+    depths = [depth, before] if before else [depth]
+    digest = lambda t, k: F.xxhash64(F.substring("paths", t * LABEL * LONGEST + 1, LABEL * k))
+    marks = held.select("set", *[digest(t, k).alias(f"d{k}_{t}") for k in depths for t in range(trees)])
+    same = [F.min(f"d{k}_{t}").eqNullSafe(F.max(f"d{k}_{t}")).alias(f"e{k}_{t}") for k in depths for t in range(trees)]
+    nodes = filed.join(marks, "set").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), *same).where("n > 1")
+    first = F.array_position(F.array(*[F.col(f"e{depth}_{t}") for t in range(trees)]), True) - 1
+    nodes = nodes.where(first == F.col("tree"))
+    if before:
+        nodes = nodes.where(~F.array_contains(F.array(*[F.col(f"e{before}_{t}") for t in range(trees)]), True))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, 8 * F.col("weight") / BLOCK_BYTES)).cast("int")
+    nodes = scratch.table(nodes.select("tree", "node", blocks.alias("blocks")))
+    return filed.drop("weight").join(_small(nodes), ["tree", "node"])
+
+
+def _matched(scratch: Scratch, trie: DataFrame, held: DataFrame, depth: int, before: int | None, similarity: float, trees: int) -> DataFrame:
     """What ``verify`` says of all pairs that meet at ``depth`` and not at ``before``."""
     own = F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = _members(scratch, trie, depth).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _members(scratch, trie, held, depth, before, trees).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tree", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set", "block").join(held, "set")
     group = ["tree", "node", "low", "high"]
     return scratch.table(_verified(dealt.repartition(*group).sortWithinPartitions(*group), depth, before, similarity))
@@ -331,7 +342,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str, similarity: float, size: int
     held = scratch.table(held.select("set", "copies", "paths", "shingles"))
     depth, before, lines, bins = LONGEST, None, [], {}
     while True:
-        lines.append(_matched(scratch, trie, held, depth, before, similarity))
+        lines.append(_matched(scratch, trie, held, depth, before, similarity, trees))
         for r in lines[-1].where("set IS NULL").groupBy("least").agg(F.sum("links").alias("n")).collect():  # 1 / BIN rows
             bins[r.least] = bins.get(r.least, 0) + r.n
         shorter = next_depth(bins, depth, floor, similarity, trees)

@@ -532,3 +532,18 @@ def test_cuts_are_minimax():
         bounds = [0, *sharding.cuts(sizes, shards), len(sizes)]
         assert capacity == least(sizes, shards)
         assert max(sizes[a:b].sum() for a, b in zip(bounds, bounds[1:])) == capacity
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_capacity_is_that_of_single_groups(spark, monkeypatch, seed):
+    monkeypatch.setattr(sharding, "ATOM_BITS", 2)
+    monkeypatch.setattr(sharding, "STEP", 3)
+    draw = random.Random(seed)
+    rows = [(draw.randrange(-(1 << 63), 1 << 63) if k % 3 else 7, draw.choice([1, 5, 20, 300 if seed == 3 else 30])) for k in range(120)]
+    groups = {}
+    for digest, size in rows:
+        groups[digest] = groups.get(digest, 0) + size
+    sizes = np.array([groups[d] for d in sorted(groups)])
+    firsts, found = sharding.atoms(spark.createDataFrame(rows, "digest long, size long"), 5)
+    assert sharding.smallest_capacity(found, 5) == sharding.smallest_capacity(sizes, 5) and found.sum() == sizes.sum() and firsts == sorted(firsts)
+    assert sharding.atoms(spark.createDataFrame([], "digest long, size long"), 5)[0] == []

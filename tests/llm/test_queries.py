@@ -136,7 +136,7 @@ def test_secrets(results, docs):
     assert all(docs[r.doc_id].text[r.start : r.end].strip() and r.predicted == int(r.score >= 0.5) for r in results("op9_secrets")[1])
 
 
-def test_sharding(results, docs):
+def test_sharding(spark, results, docs):
     """The shards of a plain loop: texts in the order of their digests, cut where the least capacity and even shares say."""
     found = results("op10_sharding")[1]
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in found) == sorted((i, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode())) for i, d in docs.items())
@@ -148,6 +148,11 @@ def test_sharding(results, docs):
         of_text.setdefault(docs[r.doc_id].text or "", set()).add(r.shard)
         sizes[r.shard] = sizes.get(r.shard, 0) + r.size
     assert all(len(s) == 1 for s in of_text.values())
-    whole, heaviest = sum(sizes.values()), max(sum(len(t.encode()) + 1 for d in docs.values() if (t := d.text or "") == text) for text in of_text)
-    assert max(sizes.values()) <= max(whole / 16 + heaviest, heaviest)
-    assert sharding.smallest_capacity(np.array([heaviest, 1]), 2) == heaviest
+    groups = {}
+    for d in docs.values():
+        groups[d.text or ""] = groups.get(d.text or "", 0) + len((d.text or "").encode()) + 1
+    digests = {r.text: r.digest for r in spark.createDataFrame([(t,) for t in groups], "text string").selectExpr("text", "xxhash64(text) AS digest").collect()}
+    order = sorted(groups, key=digests.get)
+    weights = np.array([groups[t] for t in order])
+    assert max(sizes.values()) == sharding.smallest_capacity(weights, 16)  # the least for whole groups in this order
+    assert [s for t in order for s in of_text[t]] == sorted(s for t in order for s in of_text[t])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import add_columns
 
-SAMPLE, LONGEST, WORDS = 400, 100_000, 400_000
+SAMPLE, LONGEST, WORDS = 400, 20_000, 400_000
 WIDTH = 1 << 17
 SEGMENT = 64
 WORD = re.compile(r"[^\W\d_]+")

@@ -23,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, text_of
+from tidemark.llm.common import Scratch, small, text_of
 
 #: The characters that equality ignores, as a regular expression.
 IGNORED = r"[\x20\x09-\x0D]+"
 #: Code points in a block, and those that with the length give the first name.
 BLOCK, FIRST = 1024, 64
+#: First names (of some 100 bytes) that are broadcast at most; beyond that texts are shuffled to meet them.
+BROADCAST_ROWS = 500_000
 
 
 def normalised(text: str = "text") -> Column:
@@ -40,14 +42,23 @@ def _start(norm: Column) -> list[Column]:
 
 
 def _named(keys: DataFrame) -> DataFrame:
-    """Distinct keys with an integer name each: sorted, then numbered in that order."""
-    return keys.distinct().orderBy(*keys.columns).withColumn("name", F.monotonically_increasing_id())
+    """Distinct keys with an integer name each: their place in the order by partition (a hash of the key), then by key.
+
+    The shuffle that makes them distinct sorts them by that hash already; a
+    range sort of long keys would send samples of them to the driver.
+    """
+    return keys.distinct().sortWithinPartitions(*keys.columns).withColumn("name", F.monotonically_increasing_id())
 
 
 def _first_names(rows: DataFrame) -> DataFrame:
     """(length, start, n, name): the first names of ``rows`` (length, start) and how many have each."""
     counts = rows.groupBy("length", "start").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy("length", "start").withColumn("name", F.monotonically_increasing_id())
+    return counts.sortWithinPartitions("length", "start").withColumn("name", F.monotonically_increasing_id())
+
+
+def _shared(scratch: Scratch, names: DataFrame) -> DataFrame:
+    """(length, start) of the first names that several texts have."""
+    return small(scratch.table(names.where("n > 1").select("length", "start")), BROADCAST_ROWS)
 
 
 def identities(scratch: Scratch, texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -102,7 +113,7 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     # What each row needs whether or not it has a twin, so that texts are read twice and not four times.
     slim = scratch.table(rows.select("doc_id", *_start(F.col("norm")), F.unhex(F.sha2("norm", 256)).alias("sha")))
     names = scratch.table(_first_names(slim))
-    shared, alone = names.where("n > 1").select("length", "start"), slim.join(names.where("n = 1"), ["length", "start"])
+    shared, alone = _shared(scratch, names), slim.join(names.where("n = 1"), ["length", "start"])
     alone = alone.select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
         F.struct(F.lit(0).alias("blocks"), "name").alias("identity"),
@@ -121,7 +132,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     own = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*own).alias("own"), normalised(text).alias("norm"))
     rows = rows.select("own", "norm", *_start(F.col("norm")))
-    shared = scratch.table(_first_names(rows)).where("n > 1").select("length", "start")
+    shared = _shared(scratch, _first_names(rows))
     alone = rows.join(shared, ["length", "start"], "left_anti").select("own.*")
     own_id, own_text = F.col("own").getField(doc_id), F.col("own").getField(text)
     twins = scratch.table(

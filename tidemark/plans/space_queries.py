@@ -9,7 +9,7 @@ from tidemark.operators import aoi, clusters, planar, prep, profiles, quality, s
 from tidemark.params import Params
 from tidemark.plans import workflow
 from tidemark.plans.stand_ins import CLOUDS, LINES, SHORE, TRACKS, clouds, r6, shore, tracks
-from tidemark.sources.staging import staged
+from tidemark.sources.staging import scope, staged
 from tidemark.sources.tables import parquet
 
 BEAM = ["gt_family", "beam_id"]
@@ -188,15 +188,17 @@ def quality_gate(spark, sf):
 
 
 def workflow_single(spark, sf):
-    """One setup, from tracks to the result table."""
-    kept, report, _ = quality.gate(dated_tracks(spark, sf), Params())
-    return _tidy(workflow.metrics(workflow.run(kept, shore(spark, sf), "129", Params(bias_x0=250.0)), report))
+    """One setup, from tracks to the result table; the tables staged on the way are deleted."""
+    with scope() as kept_table:
+        kept, report, _ = quality.gate(dated_tracks(spark, sf), Params())
+        return kept_table(_tidy(workflow.metrics(workflow.run(kept, shore(spark, sf), "129", Params(bias_x0=250.0)), report)))
 
 
 def grid_sweep(spark, sf):
-    """All 28 setups as one plan."""
-    kept, report, _ = quality.gate(dated_tracks(spark, sf), Params())
-    return _tidy(workflow.sweep(kept, shore(spark, sf), "129", report, Params(bias_x0=250.0)))
+    """All 28 setups in one run."""
+    with scope() as kept_table:
+        kept, report, _ = quality.gate(dated_tracks(spark, sf), Params())
+        return kept_table(_tidy(workflow.sweep(kept, shore(spark, sf), "129", report, Params(bias_x0=250.0))))
 
 
 _FLAGS = f"""{CLOUDS},

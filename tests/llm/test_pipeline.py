@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import best_fit_plainly, ignored, shingles
-from tidemark.llm import packing, secrets, toxicity
+from tidemark.llm import common, packing, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -78,7 +78,9 @@ def test_columns_of_any_name_pass_through(spark):
     assert all(stage(spark, docs.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
-def test_run(spark):
+def test_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
     lines = corpus_pipeline.run(spark, SF)
     assert lines.columns == ["bin", "doc_id", "piece", "start", "size", "offset"]
     assert lines.groupBy("bin").agg(F.sum("size").alias("n")).where(F.col("n") > packing.CAPACITY).isEmpty() and lines.count() > 0
+    assert len(list(tmp_path.glob("tidemark-*/*"))) == 1  # the last stage's input, which its lines are still made from

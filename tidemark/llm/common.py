@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import sys
 import tempfile
 import uuid
 
-import sys
-
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Scratches of this process, so that ``tidied`` finds those of the operators called within.
+_OPEN: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def tidied():
+    """Deletes at its end what operators have written for themselves within; their results must have been written by then."""
+    before = len(_OPEN)
+    try:
+        yield
+    finally:
+        for scratch in _OPEN[before:]:
+            scratch.close()
+        del _OPEN[before:]
+
+
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder and read back.
 
@@ -44,6 +60,7 @@ class Scratch:
         self.base = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
         self._n = 0
         self._kept: list[DataFrame] = []
+        _OPEN.append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` now and return the written table."""
@@ -62,6 +79,11 @@ class Scratch:
         self.drop(*before)
         return result
 
+    def close(self) -> None:
+        """Delete all tables."""
+        self.drop(*self._kept)
+        self._kept = []
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing lazy reads any more."""
         for table in tables:
@@ -115,12 +137,14 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def add_columns(df: DataFrame, source: str, added: str, make, keep: list[str] | None = None) -> DataFrame:
+def add_columns(df: DataFrame, source: str, added: str, make, keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """``df`` with new columns that Python makes of column ``source``, a bounded slice of rows at a time.
 
     ``added``: their DDL.  ``make()`` is called once in each task and returns a
     function from an Arrow array to the new Arrow arrays.  ``keep``: the columns
     of ``df`` to pass on (all).  A new column replaces one of its name.
+    ``most``: bytes of text, or items of lists, in a slice, but for a single
+    longer value.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -135,7 +159,7 @@ def add_columns(df: DataFrame, source: str, added: str, make, keep: list[str] |
     def run(batches):
         work, arrow = make(), to_arrow_schema(schema)
         for batch in batches:
-            for part in slices(batch, read):
+            for part in slices(batch, read, most):
                 made = work(part.column(read))
                 arrays = [part.column(c).cast(arrow.field(c).type) for c in kept] + [pa.array(x, type=arrow.field(f).type) if not isinstance(x, (pa.Array, pa.ChunkedArray)) else x for f, x in zip(new.names, made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -360,15 +360,16 @@ def _lines(docs: DataFrame, doc_id: str, text: str, similarity: float, size: int
     heads = scratch.table(named.groupBy("label").agg(F.min("least_id").alias("class_id")))
     named = named.join(heads, "label").select("name", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = scratch.table(named)
-    return slim.select("doc_id", "digest", "name").join(named, "name", "left").select(
+    lines = slim.select("doc_id", "digest", "name").join(named, "name", "left").select(
         "doc_id", "digest", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "label"
     )
+    return scratch.last(lines)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class (of its smallest id, then text digest), every column as it was."""
     scratch = Scratch(docs.sparkSession)
-    lines = scratch.table(_lines(docs, doc_id, text, similarity).select("doc_id", "digest", "label", "n_links"))
+    lines = _lines(docs, doc_id, text, similarity)
     linked = lines.where("n_links > 0")
     best = linked.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
     stay = scratch.table(best.select(F.col("best.doc_id").alias("__id"), F.col("best.digest").alias("__digest")))

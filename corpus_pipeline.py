@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, ngram_join, packing, secrets
 from tidemark.llm import toxicity as toxic
-from tidemark.llm.common import Scratch, free_name, read
+from tidemark.llm.common import Scratch, free_name, read, tidied
 
 TOXIC = 0.7
 
@@ -88,10 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared folder and read again."""
+    """The stages over ``documents``, each written to the shared folder and read again; what is no longer read is deleted."""
     scratch, docs = Scratch(spark), read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.table(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before = docs
+        with tidied():
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        if before is not docs and hasattr(before, "scratch_path"):
+            scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -210,3 +210,25 @@ def test_params_are_frozen_and_arguments_win():
     assert p.ideal_case == 48 and p.with_values(n_cycles=2).ideal_case == 4
     with pytest.raises(Exception):
         p.min_beams = 3
+
+
+def test_student_quantiles_are_those_of_the_printed_table():
+    # 0.975 quantiles for 1 to 30 degrees of freedom, as printed.
+    table = [
+        12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450,
+        2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272,
+    ]
+    assert all(abs(a - b) < 1e-6 for a, b in zip(student.critical(0.95), table))
+
+
+@pytest.mark.parametrize("shore_angle, want", [(30.0, 60.0), (90.0, 0.0), (150.0, 60.0), (0.0, 90.0)])
+def test_cluster_angle(spark, shore_angle, want):
+    """A beam from south to north meets, or comes near, a straight shore at a known angle; another shore lies far off."""
+    turn = math.radians(shore_angle)
+    points = spark.createDataFrame([("gt1", "a", 5.0, float(y)) for y in range(0, 100, 10)] + [("gt1", "b", 9000.0, float(y)) for y in range(0, 100, 10)], "gt_family string, beam_id string, x double, y double")
+    along = [(t * math.cos(turn), 50 + t * math.sin(turn)) for t in range(-300, 301, 20)]
+    vertices = spark.createDataFrame([(0, k, x, y) for k, (x, y) in enumerate(along)] + [(1, k, 50_000.0 + k, -7.0 * k) for k in range(5)], "part int, seq int, x double, y double")
+    lines = planar.beam_lines(points)
+    seeds = spark.createDataFrame([("gt1", b, k) for k, b in enumerate("ab")], "gt_family string, beam_id string, cluster_id int")
+    got = {r.beam_id: r.angle_deg for r in clusters.angles(seeds, points, lines, planar.segments(vertices, ["part"], ["seq"])).collect()}
+    assert got == {"a": pytest.approx(want, abs=0.01), "b": pytest.approx(want, abs=0.01)}

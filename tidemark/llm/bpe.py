@@ -45,6 +45,8 @@ LETTERS_16 = [
 NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Pieces that a task remembers; beyond that it starts anew.
 CACHE = 400_000
+#: Tokens that are decoded at a time, but for a single longer text.
+SLICE_TOKENS = 100_000
 
 LETTER, NUMBER, OTHER, JOINING, LAST_SPACE, SPACE, SHORT, LONG, END = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_JOINING, IN_SPACES, ONE_LEFT, TWO_LEFT = range(8)
@@ -258,11 +260,11 @@ def encode(df: DataFrame, rank_path: str, text: str = "text", keep: list[str] |
 
         def work(texts):
             ids = coder.encode([x or "" for x in texts.to_pylist()])
-            return _lists(ids, np.int32), _lists([coder.offsets(x) for x in ids], np.int64)
+            return _lists(ids, np.int32), _lists([coder.offsets(x) for x in ids], np.int32)
 
         return work
 
-    return add_columns(df, text, "ids array<int>, offsets array<bigint>", make, keep)
+    return add_columns(df, text, "ids array<int>, offsets array<int>", make, keep)
 
 
 def decode(df: DataFrame, rank_path: str, ids: str = "ids", offsets: str = "offsets", keep: list[str] | None = None) -> DataFrame:
@@ -285,4 +287,4 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", offsets: str = "offs
 
         return work
 
-    return add_columns(tokens, zipped, "decoded binary", make, [c for c in names if c != "decoded"])
+    return add_columns(tokens, zipped, "decoded binary", make, [c for c in names if c != "decoded"], SLICE_TOKENS)

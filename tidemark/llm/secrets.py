@@ -18,8 +18,9 @@ dictionary, so its size has a bound.
 
 The forest is trained from labelled findings.  Those of the corpus come from
 about ``SAMPLE`` documents, chosen by a digest of id and text, and are labelled
-by the known formats of issuers, by entropy and by assignments to a naming
-word; none of these three is a feature.  To each secret among them come twins
+by the known formats of issuers, and by entropy beside a naming word.  Format,
+entropy and the naming pattern are no features, though the odds of words before
+a value see the same context.  To each secret among them come twins
 with the same neighbours whose values are made of dictionary words, labelled
 as none, and one of random letters, labelled as secret.  Assigned values
 without a digit tell by themselves neither, so those of the corpus have no

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, language_id, ngram_join, packing, repair, secrets, sharding, toxicity, url_filter
+from tidemark.llm import ann, bpe, collocations, exact_dedup, language_id, ngram_join, packing, repair, secrets, sharding, toxicity, url_filter
 from tidemark.llm.common import read
 
 
@@ -71,11 +71,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(collocations.phrases(read(spark, sf_dir, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(read(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
+    "op11_collocations": op11_collocations,
     "op13_conversation_repair": op13_conversation_repair,
     "op6_packing": op6_packing,
     "op9_secrets": op9_secrets,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, collocations, exact_dedup, language_id, ngram_join, packing, repair, secrets, sharding, toxicity, url_filter
+from tidemark.llm import ann, bpe, collocations, exact_dedup, language_id, ngram_join, packing, repair, repeats, secrets, sharding, toxicity, url_filter
 from tidemark.llm.common import read
 
 
@@ -75,11 +75,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.best(collocations.phrases(read(spark, sf_dir, "documents")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.cleaned(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(read(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op11_collocations": op11_collocations,
     "op13_conversation_repair": op13_conversation_repair,
     "op6_packing": op6_packing,

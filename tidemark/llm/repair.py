@@ -33,7 +33,6 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -169,9 +168,14 @@ class Tables:
         return "".join(parts), spent, state
 
 
-@cache
+#: The tables, once a task has made them.
+_MADE: list[Tables] = []
+
+
 def tables() -> Tables:
-    return Tables()
+    if not _MADE:
+        _MADE.append(Tables())
+    return _MADE[0]
 
 
 def symbols_of(text: str) -> np.ndarray:

@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_ngram_join": "doc_id bigint, class_id bigint, n_links bigint",
     "op9_secrets": "doc_id bigint, start int, end int, score double, predicted int",
     "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op13_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
@@ -55,7 +58,7 @@ def test_columns(results, name):
 @pytest.mark.parametrize("name", sorted(q.SQL))
 def test_sql(results, name):
     base = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     names = [c.split()[0] for c in COLUMNS[name].split(", ")]
     want = base.execute(f"SELECT {', '.join(names)} FROM ({q.SQL[name]})").fetchall()

@@ -100,6 +100,70 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
+def _move(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    lines = f"list_append({state}.l, {line})" if line else f"{state}.l"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'l': {lines}}} END"
+
+
+def _inserted(*states: str) -> str:
+    """Columns of the four states with what an insertion makes of them."""
+    two = ", ".join(_move(s, "5", "I", "'user:'") for s in (states[0], states[1], states[3]))
+    return f"{states[0]} AS s0, {states[1]} AS s1, least({states[2]}, {two}) AS t2, {states[3]} AS t3"
+
+
+def _repair_sql() -> str:
+    """The plain dynamic program over (cost, edits, lines), one row of each conversation at a time."""
+    keep = lambda s: _move(s, "pen", "K", "role || ':' || text")
+    to_user = lambda s: _move(s, "(1 + pen)", "R", "'user:' || text")
+    to_assistant = _move("s2", "(1 + pen)", "R", "'assistant:' || text")
+    never = "NULL::STRUCT(c BIGINT, a VARCHAR, l VARCHAR[])"
+    start = "{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}"
+    user = ", ".join([f"CASE WHEN NOT must THEN {to_user(s)} END" for s in ("s0", "s1", "s3")] + [f"CASE WHEN NOT must AND ini = 'u' THEN {keep(s)} END" for s in ("s0", "s1", "s3")])
+    last = _move("t2", "5", "I", "'assistant:'")
+    return rf"""
+        WITH RECURSIVE b AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS name
+            FROM conversations),
+        drawn AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(name, lambda ch: ascii(ch)::BIGINT)),
+                lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS draw
+            FROM b),
+        r AS (
+            SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   role AS was, unnest(CASE draw WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM drawn WHERE draw <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, was, copy) AS i FROM r),
+        m AS (
+            SELECT *, role[1] AS ini, trim(text, E' \t\n\v\f\r') AS core, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+                   lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair
+            FROM o),
+        k AS (
+            SELECT *, core = '' AS blank, core <> '' AND seen AS duplicate, core <> '' AND NOT seen AND core[-1] NOT IN ('.', '!', '?') AS truncated FROM m),
+        rows AS (SELECT conv_id, i, role, text, ini, blank OR duplicate AS must, CASE WHEN truncated THEN 5 ELSE 0 END AS pen FROM k),
+        counts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank,
+                   sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, sum(coalesce(pair NOT IN ('su', 'ua', 'au'), false)::INT) AS illegal
+            FROM k GROUP BY conv_id),
+        walk AS (
+            SELECT conv_id, 0::BIGINT AS i, s0, s1, t2 AS s2, least(t3, {last}) AS s3
+            FROM (SELECT conv_id, {_inserted("o0", "o0n", "o0n", "o0n")} FROM (SELECT conv_id, {start} AS o0, {never} AS o0n FROM counts))
+            UNION ALL
+            SELECT conv_id, i, s0, s1, t2, least(t3, {last})
+            FROM (SELECT conv_id, i, {_inserted("n0", "n1", "n2", "n3")}
+                  FROM (SELECT walk.conv_id, rows.i, {_move("s0", "2", "D")} AS n0,
+                               least({_move("s1", "2", "D")}, CASE WHEN NOT must AND ini = 's' THEN {keep("s0")} END) AS n1,
+                               least({_move("s2", "2", "D")}, {user}) AS n2,
+                               least({_move("s3", "2", "D")}, CASE WHEN NOT must THEN {to_assistant} END, CASE WHEN NOT must AND ini = 'a' THEN {keep("s2")} END) AS n3
+                        FROM walk JOIN rows ON rows.conv_id IS NOT DISTINCT FROM walk.conv_id AND rows.i = walk.i + 1))),
+        best AS (SELECT counts.*, least(s0, s3) AS b FROM walk JOIN counts ON counts.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = counts.n)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+               coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.l, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 SQL = {
     "op3_url_filter": r"""
         WITH u AS (
@@ -130,4 +194,44 @@ SQL = {
                row_number() OVER (PARTITION BY norm ORDER BY points DESC, doc_id) = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM n""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        s AS (SELECT lang, unnest(w) AS x, unnest(w[2:]) AS y, unnest(w[3:]) AS z FROM w),
+        one AS (SELECT lang, x, count(*) AS f FROM s GROUP BY ALL),
+        two AS (SELECT lang, x, y, count(*) AS f FROM s WHERE y IS NOT NULL GROUP BY ALL HAVING f >= 10),
+        three AS (SELECT lang, x, y, z, count(*) AS f FROM s WHERE z IS NOT NULL GROUP BY ALL HAVING f >= 10),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+        cuts AS (
+            SELECT t.lang, concat_ws(' ', t.x, t.y, t.z) AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+            FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+            UNION ALL
+            SELECT t.lang, concat_ws(' ', t.x, t.y, t.z), t.f, 2, p.f, q.f
+            FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z
+            UNION ALL
+            SELECT t.lang, concat_ws(' ', t.x, t.y), t.f, 1, p.f, q.f
+            FROM two t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN one q ON q.lang = t.lang AND q.x = t.y
+            WHERE NOT EXISTS (SELECT 1 FROM three u WHERE u.lang = t.lang AND u.x = t.x AND u.y = t.y AND 100 * u.f >= 50 * t.f)
+              AND NOT EXISTS (SELECT 1 FROM three u WHERE u.lang = t.lang AND u.y = t.x AND u.z = t.y AND 100 * u.f >= 50 * t.f)),
+        scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM lowest JOIN n USING (lang)
+        QUALIFY rank <= 2000""",
+    "op12_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        p AS (SELECT k, unnest(list_transform(range(1, n - 398), lambda i: md5_number(t[i:i + 399]))) AS h, generate_subscripts(range(1, n - 398), 1) AS i FROM d WHERE n >= 400),
+        h AS (SELECT k, i, count(*) OVER (PARTITION BY h) AS c FROM p),
+        marked AS (SELECT k, i, coalesce(i > lag(i) OVER (PARTITION BY k ORDER BY i) + 400, true) AS fresh FROM h WHERE c > 1),
+        numbered AS (SELECT k, i, sum(fresh::INT) OVER (PARTITION BY k ORDER BY i) AS run FROM marked),
+        spans AS (SELECT k, min(i) AS s, max(i) + 400 AS e FROM numbered GROUP BY k, run),
+        bounds AS (SELECT k, list(s ORDER BY s) AS s, list(e ORDER BY s) AS e, sum(e - s) AS gone FROM spans GROUP BY k)
+        SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(s), 0) AS n_spans,
+               sha256(CASE WHEN s IS NULL THEN t
+                      ELSE unhex(array_to_string(list_transform(range(1, len(s) + 2), lambda j: hex(t[coalesce(e[j - 1], 1):coalesce(s[j], n + 1) - 1])), '')) END) AS kept_sha256
+        FROM d LEFT JOIN bounds USING (k)""",
+    "op13_conversation_repair": _repair_sql(),
 }

@@ -386,8 +386,7 @@ def repair(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     pieces = marks.groupBy("conv_id", F.expr(f"pos div {piece}").alias("piece")).agg(held.alias("held"))
     pieces = pieces.select("conv_id", "piece", F.col("held")[0]["pos"].alias("first"), F.array_join(F.col("held.letter"), "").alias("letters"))
     extent = pieces.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("final"))
-    same = lambda left, right, *on: left.join(right, _same(left, right, "conv_id", *on), "left").drop(*[right[c] for c in ("conv_id", *on)])
-    pieces = scratch.table(same(pieces, extent).withColumn("last", F.col("piece") == F.col("final")).drop("final"))
+    pieces = scratch.table(_with(pieces, extent).withColumn("last", F.col("piece") == F.col("final")).drop("final"))
     few = pieces.where("n = 1").withColumns({"behind": F.array(*[F.lit(c).cast("long") for c in END]), "starts": F.array(F.lit(0).cast("long"))})
     traced = _traced(few).select("conv_id", "piece", "first", F.col("runs")[0].alias("run"))
     illegal = pieces.select("conv_id", _illegal_inside("letters").alias("illegal"))
@@ -395,11 +394,11 @@ def repair(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     if not many.isEmpty():
         weigh = F.udf(matrix, "array<bigint>")
         behind = scan(scratch, many.select("conv_id", "piece", weigh("letters").alias("m")), "m", matrix_compose, matrix_apply, list(END), backward=True)
-        many = same(many, behind.withColumnRenamed("met", "behind"), "piece").withColumn("starts", F.array(*[F.lit(q).cast("long") for q in range(4)]))
+        many = _with(many, behind.withColumnRenamed("met", "behind"), "piece").withColumn("starts", F.array(*[F.lit(q).cast("long") for q in range(4)]))
         parts = scratch.table(_traced(many))
         chain = parts.select("conv_id", "piece", F.col("runs.state").alias("to"))
         state = scan(scratch, chain, "to", lambda f, g: [g[q] for q in f], lambda f, q: [f[q[0]]], [0], backward=False)
-        parts = same(parts, state, "piece").select("conv_id", "piece", "first", F.element_at("runs", F.col("met")[0].cast("int") + 1).alias("run"))
+        parts = _with(parts, state, "piece").select("conv_id", "piece", "first", F.element_at("runs", F.col("met")[0].cast("int") + 1).alias("run"))
         traced = traced.unionByName(parts)
         ends = many.select("conv_id", "piece", F.substring("letters", 1, 1).alias("head"), F.substring("letters", -1, 1).alias("tail"))
         heads = ends.select("conv_id", (F.col("piece") - 1).alias("piece"), "head")
@@ -415,18 +414,19 @@ def repair(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     lines = rows.join(_actions(traced), "pos").select("conv_id", "pos", F.concat("pre", own, "post").alias("line")).where("line <> ''")
     found = counts
     for other in (turns, repairs, wrong, hashes(lines)):
-        found = same(found, other)
+        found = _with(found, other)
     return found.select(
         "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         "audit", F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
 
 
-def _same(left: DataFrame, right: DataFrame, *on: str) -> Column:
-    out = F.lit(True)
-    for c in on:
-        out = out & left[c].eqNullSafe(right[c])
-    return out
+def _with(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """``left`` with the columns of ``right`` for the same conversation (null is one) and ``on``."""
+    keys = ["conv_id", *on]
+    right = right.select(*[F.col(c).alias(f"{c}_there" if c in keys else c) for c in right.columns])
+    met = [F.col(c).eqNullSafe(F.col(f"{c}_there")) for c in keys]
+    return left.join(right, met, "left").drop(*[f"{c}_there" for c in keys])
 
 
 def audit(conversations: DataFrame, piece: int = PIECE) -> DataFrame:

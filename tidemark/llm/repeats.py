@@ -255,6 +255,7 @@ def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.table(parse(texts))
     often = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     live = scratch.table(found.join(often, "bucket", "left_semi"))
+    scratch.drop(found)
     kinds = ["bucket", "name", "far", "near"]
     # One line for each distinct phrase with context.
     entries = scratch.table(live.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("place")).withColumn("entry", F.monotonically_increasing_id()))
@@ -264,6 +265,7 @@ def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.table(entries.join(mixed, "bucket", "left_semi").select("entry", "bucket", "far", "near", "n", "place.key", "place.at"))
     held = scratch.table(contexts(texts, edges))
     strings = scratch.table(again(held, 1 + edges.count() // ENTRIES))
+    scratch.drop(held)
     several = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     once = edges.where("n = 1").select("entry", "key", "at")
     partly = strings.join(several, ["one", "two"], "left_semi").join(once, "entry")
@@ -287,7 +289,7 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     texts = texts.withColumn("key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
-    found = scratch.table(spans(texts.where(F.octet_length("text") >= LENGTH).select("key", "text"), scratch))
+    found = scratch.last(spans(texts.where(F.octet_length("text") >= LENGTH).select("key", "text"), scratch))
 
     def run(batches):
         import pyarrow as pa

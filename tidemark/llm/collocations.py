@@ -4,16 +4,17 @@ Texts are cut into pieces and words; the suffix of a word is that word and the
 (at most two) next ones of its piece.  Vertical partitioning: each suffix goes
 to the group of its prefix, a hash of its first word, with so many groups that
 one holds about ``BUDGET`` suffixes.  First words that alone would fill a
-quarter of a group are told apart by their second word too, and pairs that
-would, by the third: equal suffixes are counted once for each slice of texts
-before they are sent, so a prefix of full length needs no splitting.  Those
-frequent prefixes are at most four for each group.
+quarter of a group (at most four for each group) are told apart by their
+second word too, and where that is such a word as well, by all three: then the
+pair's own count goes to the group of the pair.  Equal suffixes are counted
+once for each slice of texts before they are sent, so a prefix of full length
+needs no splitting.
 
 A group gets its suffixes in blocks, one for each slice of texts: words once,
 suffixes as numbers with counts.  Its subtrees are built on their own, by
 sorting: leaves are equal suffixes, and the count of a phrase is the total of
-the leaves below its node.  Nodes above the prefix of a group were counted
-when the prefixes were.  Only phrases with ``least`` occurrences leave a group;
+the leaves below its node.  Single words were counted first, for the grouping.
+Only phrases with ``least`` occurrences leave a group;
 their parts are as frequent, so scores need nothing else.
 
 Scores are exact: decimals of 38 digits hold 1,000,000 * a * a up to a = 10^16.
@@ -92,16 +93,6 @@ def count_words(lang: str, texts: list[str]) -> dict:
     return {(w,): n for w, n in found.items() if w not in (b"", b"\n")}
 
 
-def pair_counter(first: set):
-    """Counts pairs whose first word is in ``first`` (lang, word)."""
-
-    def count(lang: str, texts: list[str]) -> Counter:
-        held = words_of(texts)
-        return Counter((x, y) for x, y in zip(held, held[1:]) if y != b"\n" and (lang, x) in first)
-
-    return count
-
-
 def suffixes(words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The vocabulary, distinct suffixes of two or three words as its numbers (-1: none), and their counts."""
     ids: dict = defaultdict()
@@ -144,42 +135,43 @@ def subtree(rows: np.ndarray, counts: np.ndarray, least: int) -> list[tuple[np.n
     return found
 
 
-def grouped(texts: DataFrame, groups: int, first: set, pairs: set) -> DataFrame:
-    """Blocks of suffixes by ``grp``: lang, words, rows and counts, compressed."""
+def grouped(texts: DataFrame, groups: int, often: set) -> DataFrame:
+    """Blocks of suffixes by ``grp``: lang, words, rows and counts, compressed; ``deep`` blocks tell of three words only."""
+
+    def blocks(lang: str, some: list[str]):
+        vocabulary, rows, counts = suffixes(words_of(some))
+        salt = crc32(lang.encode() + b"\n")
+        hashes = np.array([crc32(w, salt) for w in vocabulary] + [0], dtype=np.int64)  # the last: no word
+        frequent = np.array([(lang, w) in often for w in vocabulary] + [False])
+        one, two = frequent[rows[:, 0]], frequent[rows[:, 0]] & frequent[rows[:, 1]]
+        deep = rows[two], counts[two]
+        pairs = combined(np.column_stack([rows[two][:, :2], np.full(int(two.sum()), -1)]), counts[two])
+        key = lambda held, depth: sum(hashes[held[:, j]] * (2 * j * 40503 + 1) for j in range(depth))
+        parts = [(rows[~one], counts[~one], 1, False), (rows[one & ~two], counts[one & ~two], 2, False), (*pairs, 2, False), (*deep, 3, True)]
+        for held, n, depth, below in parts:
+            if below:
+                held, n = held[held[:, 2] >= 0], n[held[:, 2] >= 0]
+            group = key(held, depth) % groups
+            order = np.argsort(group, kind="stable")
+            group, held, n = group[order], held[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() if len(group) else []
+            for start, stop in zip(starts, [*starts[1:], len(group)]):
+                used, local = np.unique(held[start:stop], return_inverse=True)
+                words = b" ".join(b"" if u < 0 else vocabulary[u] for u in used.tolist())  # no word: the empty one
+                body = np.column_stack([local.reshape(-1, 3), n[start:stop]]).astype(np.int32).T.tobytes()
+                yield int(group[start]), below, lang, words, body
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
         for batch in batches:
             for lang, some in by_lang(batch):
-                vocabulary, rows, counts = suffixes(words_of(some))
-                if not len(rows):
-                    continue
-                salt = crc32(lang.encode() + b"\n")
-                hashes = np.array([crc32(w, salt) for w in vocabulary], dtype=np.int64)
-                key = hashes[rows[:, 0]]
-                often = np.array([(lang, w) in first for w in vocabulary])
-                for k in np.flatnonzero(often[rows[:, 0]]).tolist():
-                    x, y, z = rows[k].tolist()
-                    key[k] = crc32(vocabulary[y], crc32(b" ", key[k]))
-                    if (lang, vocabulary[x], vocabulary[y]) in pairs and z >= 0:
-                        key[k] = crc32(vocabulary[z], crc32(b" ", key[k]))
-                group = key % groups
-                order = np.argsort(group, kind="stable")
-                group, rows, counts = group[order], rows[order], counts[order]
-                starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
-                out = [[], [], [], [], [], []]
-                for start, stop in zip(starts, [*starts[1:], len(group)]):
-                    used, local = np.unique(rows[start:stop], return_inverse=True)
-                    words = b" ".join(b"" if u < 0 else vocabulary[u] for u in used.tolist())  # no word: the empty one
-                    body = np.column_stack([local.reshape(-1, 3), counts[start:stop]]).astype(np.int32).T.tobytes()
-                    packed = [pa.compress(x, codec="zstd", asbytes=True) for x in (words, body)]
-                    for column, value in zip(out, (int(group[start]), lang, len(words), packed[0], len(body), packed[1])):
-                        column.append(value)
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], ["grp", "lang", "n_words", "words", "n_body", "body"])
-
-    return texts.mapInArrow(run, "grp bigint, lang string, n_words bigint, words binary, n_body bigint, body binary")
+                rows = [(g, d, lang, len(w), pa.compress(w, codec="zstd", asbytes=True), len(b), pa.compress(b, codec="zstd", asbytes=True)) for g, d, lang, w, b in blocks(lang, some)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], ["grp", "deep", "lang", "n_words", "words", "n_body", "body"])
+
+    return texts.mapInArrow(run, "grp bigint, deep boolean, lang string, n_words bigint, words binary, n_body bigint, body binary")
 
 
 def counted_groups(blocks: DataFrame, least: int) -> DataFrame:
@@ -195,18 +187,18 @@ def counted_groups(blocks: DataFrame, least: int) -> DataFrame:
             counts = np.concatenate([h[1] for h in held])
             words = [w.decode() for w in ids]
             for nodes, totals in subtree(rows, counts, least):
-                if not len(nodes):
+                if not len(nodes) or (key[2] and nodes.shape[1] == 2):
                     continue
                 columns = [[words[k] for k in nodes[:, j].tolist()] for j in range(nodes.shape[1])] + [[None] * len(nodes)] * (3 - nodes.shape[1])
                 arrays = [pa.array([key[1]] * len(nodes)), *[pa.array(c, type=pa.string()) for c in columns], pa.array(totals)]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "x", "y", "z", "f"])
 
         for batch in batches:
-            for group, lang, n_words, words, n_body, body in zip(*[batch.column(c).to_pylist() for c in ("grp", "lang", "n_words", "words", "n_body", "body")]):
-                if key != (group, lang):
+            for group, lang, deep, n_words, words, n_body, body in zip(*[batch.column(c).to_pylist() for c in ("grp", "lang", "deep", "n_words", "words", "n_body", "body")]):
+                if key != (group, lang, deep):
                     if held:
                         yield from built()
-                    key, held, ids = (group, lang), [], defaultdict()
+                    key, held, ids = (group, lang, deep), [], defaultdict()
                     ids.default_factory = ids.__len__
                 words = pa.decompress(words, n_words, codec="zstd", asbytes=True)
                 numbers = np.array([ids[w] if w else -1 for w in words.split(b" ")], dtype=np.int64)
@@ -217,7 +209,7 @@ def counted_groups(blocks: DataFrame, least: int) -> DataFrame:
         if held:
             yield from built()
 
-    placed = blocks.repartition("grp").sortWithinPartitions("grp", "lang")
+    placed = blocks.repartition("grp").sortWithinPartitions("grp", "lang", "deep")
     return placed.mapInArrow(run, "lang string, x string, y string, z string, f bigint")
 
 
@@ -233,19 +225,9 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     words = scratch.table(counted(texts, count_words, ["x"]))
     totals = scratch.table(words.groupBy("lang").agg(F.sum("f").alias("n")))
     total = totals.agg(F.sum("n")).first()[0] or 0
-    groups, often = max(1, -(-total // budget)), max(1, budget // 4)
-    first = {(r.lang, r.x.encode()) for r in words.where(F.col("f") > often).collect()}  # four for each group at most
-    pairs: set = set()
-    if first:
-        pair_table = scratch.table(counted(texts, pair_counter(first), ["x", "y"]))
-        frequent = pair_table.where(F.col("f") > often)
-        pairs = {(r.lang, r.x.encode(), r.y.encode()) for r in frequent.collect()}
-    nodes = counted_groups(grouped(texts, groups, first, pairs), least)
-    if pairs:  # their suffixes lie in several groups
-        split = F.broadcast(frequent.select("lang", "x", "y"))
-        nodes = nodes.where("z IS NOT NULL").unionByName(nodes.where("z IS NULL").join(split, ["lang", "x", "y"], "left_anti"))
-        nodes = nodes.unionByName(frequent.where(F.col("f") >= least).select("lang", "x", "y", F.lit(None).cast("string").alias("z"), "f"))
-    nodes = scratch.table(nodes)
+    groups = max(1, -(-total // budget))
+    often = {(r.lang, r.x.encode()) for r in words.where(F.col("f") > max(1, budget // 4)).collect()}  # four for each group at most
+    nodes = scratch.table(counted_groups(grouped(texts, groups, often), least))
 
     one = words.where(F.col("f") >= least)
     two = nodes.where("z IS NULL").drop("z")

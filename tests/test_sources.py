@@ -7,9 +7,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import geodesy, names, numeric
+from tidemark.functions import crs, geodesy, names, numeric
 from tidemark.operators import planar, prep
-from tidemark.sources import hdf5, shapefile, staging, tables
+from tidemark.sources import hdf5, shapefile, staging, tables, wkb
 
 
 def shp(parts):
@@ -29,7 +29,7 @@ def test_shoreline_from_shapes_and_geojson(spark, tmp_path):
     part = [[(500_000.0, 7.0e6), (500_003.0, 7.0e6 + 4)], [(0.0, 0.0), (0.0, 1.0), (0.0, 3.0)]]
     assert shapefile.shp_parts(shp(part)) == part
     (tmp_path / "a.shp").write_bytes(shp(part))
-    (tmp_path / "a.prj").write_text('PROJCS["UTM"]')
+    (tmp_path / "a.prj").write_text(UTM6)
     (tmp_path / "b.geojson").write_text(json.dumps({"features": [{"geometry": {"type": "LineString", "coordinates": [[-147, 70], [-147, 70.1]]}}, {"geometry": {"type": "MultiLineString", "coordinates": [[[-147, 71], [-147, 71.1]], [[-146, 71], [-146, 71.2]]]}}]}))
     rows = shapefile.shoreline(spark, str(tmp_path)).collect()
     assert sorted(r.len for r in rows)[:3] == [1.0, 2.0, 5.0] and len(rows) == 6 and len({r.part for r in rows}) == 5
@@ -124,3 +124,100 @@ def test_staged_tables_of_a_scope_go(spark, tmp_path):
 def test_measures_of_many_lines(spark):
     points = spark.createDataFrame([("gt1", "a", 0.0, 0.0), ("gt1", "a", 3.0, 4.0), ("gt1", "b", 1.0, 1.0)], "gt_family string, beam_id string, x double, y double")
     assert [(r.beam_id, r.length) for r in planar.measures(planar.beam_lines(points), ["gt_family", "beam_id"]).collect()] == [("a", 5.0)]
+
+
+UTM6 = 'PROJCS["WGS 84 / UTM zone 6N",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",-147],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",0],UNIT["metre",1],AUTHORITY["EPSG","32606"]]'
+UTM5 = 'PROJCRS["WGS 84 / UTM zone 5N",BASEGEOGCRS["WGS 84",DATUM["World Geodetic System 1984",ELLIPSOID["WGS 84",6378137,298.257223563,LENGTHUNIT["metre",1]]],PRIMEM["Greenwich",0,ANGLEUNIT["degree",0.0174532925199433]]],CONVERSION["UTM zone 5N",METHOD["Transverse Mercator",ID["EPSG",9807]],PARAMETER["Latitude of natural origin",0,ANGLEUNIT["degree",0.0174532925199433]],PARAMETER["Longitude of natural origin",-153,ANGLEUNIT["degree",0.0174532925199433]],PARAMETER["Scale factor at natural origin",0.9996,SCALEUNIT["unity",1]],PARAMETER["False easting",500000,LENGTHUNIT["metre",1]],PARAMETER["False northing",0,LENGTHUNIT["metre",1]]],CS[Cartesian,2],AXIS["(E)",east,ORDER[1],LENGTHUNIT["metre",1]],AXIS["(N)",north,ORDER[2],LENGTHUNIT["metre",1]]]'
+POLAR = 'PROJCS["Sea ice",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Stereographic_North_Pole"],PARAMETER["False_Easting",0.0],PARAMETER["False_Northing",0.0],PARAMETER["Central_Meridian",-45.0],PARAMETER["Standard_Parallel_1",70.0],UNIT["Meter",1.0]]'
+
+
+def test_descriptions_of_systems():
+    close = lambda a, b: [getattr(a, k) for k in ("kind", "south")] == [getattr(b, k) for k in ("kind", "south")] and all(
+        math.isclose(getattr(a, k), getattr(b, k), abs_tol=1e-9) for k in ("central", "origin", "scale", "easting", "northing", "metre")
+    )
+    assert close(crs.parse(UTM6), crs.parse(32606)) and close(crs.parse(UTM5), crs.parse("EPSG:32605")) and close(crs.parse(POLAR), crs.parse("urn:ogc:def:crs:EPSG::3413"))
+    assert crs.parse(POLAR).true_scale == 70.0 and crs.parse("OGC:CRS84") == crs.parse(4326) and crs.parse("32733").northing == 1e7
+    feet = crs.parse(UTM6.replace('UNIT["metre",1]', 'UNIT["US survey foot",0.3048006096012192]').replace("500000", "1640416.6666666667"))
+    assert feet.easting == pytest.approx(500_000) and feet.metre == 0.3048006096012192
+    for bad in ('PROJCS["UTM"]', "EPSG:2154", "", 'GEOGCS["x"', 'PROJCS["x"]]', UTM6.replace("Transverse_Mercator", "Lambert_Conformal_Conic_2SP"), UTM6.replace('["Greenwich",0]', '["Paris",2.33]')):
+        with pytest.raises(crs.UnknownSystem):
+            crs.parse(bad)
+
+
+def test_positions_in_published_systems(spark):
+    at = lambda system, lat, lon: spark.range(1).select(crs.forward(system, F.lit(lat), F.lit(lon)).alias("p")).first().p
+    # Worked examples of the published guidance on coordinate operations: polar stereographic by scale and by parallel.
+    p = at(crs.parse(32661), 73.0, 44.0)
+    assert (p.x, p.y) == (pytest.approx(3320416.75, abs=0.01), pytest.approx(632668.43, abs=0.01))
+    p = at(crs.System("polar", central=70.0, true_scale=-71.0, easting=6e6, northing=6e6, south=True), -75.0, 120.0)
+    assert (p.x, p.y) == (pytest.approx(7255380.79, abs=0.01), pytest.approx(7053389.56, abs=0.01))
+    # Transverse Mercator with a latitude of origin, on another ellipsoid.
+    p = at(crs.System("transverse", central=-2.0, origin=49.0, scale=0.9996012717, easting=400_000.0, northing=-100_000.0, ellipsoid=geodesy.Ellipsoid(6377563.396, 1 / 299.3249646)), 50.5, 0.5)
+    assert (p.x, p.y) == (pytest.approx(577274.99, abs=0.01), pytest.approx(69740.50, abs=0.01))
+    spots = spark.createDataFrame([(70.3, -148.9), (69.0, -150.0), (71.5, -144.2)], "lat double, lon double")
+    for code in (32605, 32606, 3413, 3995, 32661, 3857, 26906):
+        system = crs.parse(code)
+        there = spots.withColumn("p", crs.forward(system, F.col("lat"), F.col("lon"))).withColumn("b", crs.inverse(system, F.col("p.x"), F.col("p.y")))
+        assert all(max(abs(r.b.lat - r.lat), abs(r.b.lon - r.lon)) < 1e-10 for r in there.collect()), code
+
+
+def test_one_shore_in_four_systems(spark, tmp_path):
+    line = [(-148.9, 70.31), (-148.85, 70.33), (-148.7, 70.3)]
+    spots = spark.createDataFrame(line, "lon double, lat double")
+    for name, text in (("utm6", UTM6), ("utm5", UTM5), ("polar", POLAR), ("degrees", None)):
+        folder = tmp_path / name
+        folder.mkdir()
+        system = crs.parse(text or 4326)
+        drawn = [(r.p.x, r.p.y) for r in spots.select(crs.forward(system, F.col("lat"), F.col("lon")).alias("p")).collect()]
+        (folder / "shore.shp").write_bytes(shp([drawn]))
+        if text:
+            (folder / "shore.prj").write_text(text)
+    held = {name: sorted((r.x0, r.y0, r.x1, r.y1) for r in shapefile.shoreline(spark, str(tmp_path / name)).collect()) for name in ("utm6", "utm5", "polar", "degrees")}
+    for name in ("utm5", "polar", "degrees"):
+        assert len(held[name]) == 2 and max(abs(a - b) for s, t in zip(held["utm6"], held[name]) for a, b in zip(s, t)) < 1e-3
+    together = shapefile.shoreline(spark, str(tmp_path), target=32605)
+    assert together.count() == 8 and together.selectExpr("round(x0, 2)").distinct().count() == 2
+    (tmp_path / "utm6" / "shore.prj").write_text('PROJCS["Somewhere"]')
+    with pytest.raises(crs.UnknownSystem):
+        shapefile.shoreline(spark, str(tmp_path))
+
+
+def test_shores_from_binary_and_text_geometry(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    parts = [[(-148.9, 70.31), (-148.85, 70.33), (-148.7, 70.3)], [(-147.0, 70.0), (-147.0, 70.1)]]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "shore.shp").write_bytes(shp(parts))
+    key = lambda rows: sorted((r.x0, r.y0, r.x1, r.y1, r.cum) for r in rows.collect())
+    want = key(shapefile.shoreline(spark, str(tmp_path / "s")))
+    held = wkb.binary(5, parts)
+    assert wkb.parts(held) == parts == wkb.text_parts(wkb.text(5, parts)) and wkb.parts(wkb.binary(3, parts)) == parts
+    assert wkb.text_parts("MULTIPOINT ((1 2), (3 4))") == [[(1.0, 2.0)], [(3.0, 4.0)]] == wkb.text_parts("MULTIPOINT (1 2, 3 4)") and wkb.text_parts("POINT EMPTY") == []
+    raised = struct.pack(">BII", 0, 0xA0000002, 4326) + struct.pack(">I6d", 2, 1, 2, 9, 3, 4, 9)  # other byte order, a height and an identifier
+    assert wkb.parts(raised) == [[(1.0, 2.0), (3.0, 4.0)]] and wkb.parts(struct.pack("<BI2d", 1, 1, math.nan, math.nan)) == []
+    for bad in (held[:-1], held + b"x", b"", b"\x02" + held[1:], struct.pack("<BII", 1, 2, 2**31)):
+        with pytest.raises(wkb.Damaged):
+            wkb.parts(bad)
+    table = spark.createDataFrame([(held, wkb.text(5, parts)), (b"rubbish", "LINESTRING (1 x)"), (None, None)], "g binary, t string")
+    assert key(shapefile.shoreline_of(table, "g")) == want == key(shapefile.shoreline_of(table, "t"))
+    geo = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": [], "crs": {"id": {"authority": "EPSG", "code": 4326}}}}}
+    rows = pa.table({"geometry": pa.array([held], type=pa.binary())})
+    pq.write_table(rows.replace_schema_metadata({"geo": json.dumps(geo)}), tmp_path / "shore.parquet")
+    assert shapefile.geoparquet_system(spark, str(tmp_path / "shore.parquet")) == ("geometry", "EPSG:4326")
+    assert key(shapefile.shoreline_geoparquet(spark, str(tmp_path / "shore.parquet"))) == want
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    good = dbf([(-147.5, 70.1, 1.25), (-147.4, 70.2, 2.0)])
+    for name, content in (("a_gt1l_20190105", good), ("cut", good[:-20]), ("empty", b""), ("head", good[:20])):
+        (tmp_path / f"{name}.dbf").write_bytes(content)
+    rows, left_out = shapefile.load_beams(spark, str(tmp_path))
+    why = {r.file_path.rsplit("/", 1)[1]: r.reason for r in left_out.collect()}
+    assert rows.count() == 2 and why == {"cut.dbf": "cut off after 1 of 2 rows", "empty.dbf": "empty", "head.dbf": "cut off within the head"}
+    whole = shp([[(0.0, 0.0), (0.0, 1.0)]])
+    for name, content in (("good.shp", whole), ("cut.shp", whole[:-8]), ("none.shp", b""), ("bad.geojson", b'{"features": ['), ("point.geojson", b'{"type": "Point", "coordinates": [1, 2]}')):
+        (tmp_path / name).write_bytes(content)
+    rows, left_out = shapefile.load_shoreline(spark, str(tmp_path))
+    why = {r.file_path.rsplit("/", 1)[1]: r.reason for r in left_out.collect()}
+    assert rows.count() == 1 and set(why) == {"cut.shp", "none.shp", "bad.geojson", "point.geojson"} and why["bad.geojson"].startswith("JSONDecodeError")

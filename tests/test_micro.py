@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -187,11 +188,11 @@ def test_aoi_is_closed_counter_clockwise_and_wrapped():
     assert len(aoi.normalised([[(1.0, 2.0)]])) == 5
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=2, max_size=12, unique=True))
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=2, max_size=12))
 def test_nearest_other_is_the_nearest(spark, places):
     table = spark.createDataFrame([("g", str(k), float(x), float(y)) for k, (x, y) in enumerate(places)], "g string, k string, x double, y double")
-    got = {r.k: r.nearest_dist for r in spatial.nearest_other(table, "g", "k", 5.0).collect()}
+    got = {r.k: r.nearest_dist for r in spatial.nearest_other(table, "g", "k", 2).collect()}
     for k, a in enumerate(places):
         assert got[str(k)] == pytest.approx(min(math.dist(a, b) for j, b in enumerate(places) if j != k))
 
@@ -205,6 +206,21 @@ def test_crossing_lies_where_the_sign_changes(spark, points, ref):
     assert (got is None) == (not spans) and (got is None or any(a <= got <= b for a, b in spans))
 
 
+def test_nearest_other_whatever_the_density(spark):
+    draw = random.Random(4)
+    heap = [(draw.gauss(0, 0.001), draw.gauss(0, 0.001)) for _ in range(300)]
+    spread = [(draw.uniform(-1e6, 1e6), draw.uniform(-1e6, 1e6)) for _ in range(60)]
+    places = [*heap, *spread, heap[0], heap[0], (1e-9, 1e-9), (2e-9, 1e-9)]
+    rows = [(g, k, x, y) for g in ("a", None) for k, (x, y) in enumerate(places)] + [("lonely", 1, 5.0, 5.0), ("nowhere", 1, None, 1.0), ("pair", 1, 0.0, 0.0), ("pair", 2, 3.0, 4.0)]
+    table = spark.createDataFrame(rows, "g string, k int, x double, y double")
+    tree = spatial.cell_tree(table.where("x IS NOT NULL"), ["g"]).where("g = 'a'")
+    assert tree.count() == len(places) and tree.agg(F.max("level") - F.min("level")).first()[0] > 5
+    got = {(r.g, r.k): r.nearest_dist for r in spatial.nearest_other(table, "g", "k").collect()}
+    assert len([k for k in got if k[0] == "a"]) == len(places) and ("lonely", 1) not in got and ("nowhere", 1) not in got and got["pair", 1] == 5.0
+    for k, a in enumerate(places):
+        assert got["a", k] == pytest.approx(min(math.dist(a, b) for j, b in enumerate(places) if j != k), rel=1e-9)
+
+
 def test_params_are_frozen_and_arguments_win():
     p = Params()
     assert p.ideal_case == 48 and p.with_values(n_cycles=2).ideal_case == 4

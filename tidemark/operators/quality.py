@@ -22,7 +22,7 @@ def beam_flags(points: DataFrame, params: Params | None = None, min_points_pct:
         F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.abs("h_li") > trash), F.lit(False)).alias("elev_trash"), F.median("x").alias("x"), F.median("y").alias("y")
     ))
     means = each.groupBy(*family).agg(F.avg("n").alias("mean"))
-    near = nearest_other(each.select(*beam, "x", "y"), family, "beam_id", far)
+    near = nearest_other(each.select(*beam, "x", "y"), family, "beam_id")
     flags = each.join(means, family).join(near, beam, "left")
     flags = flags.withColumns({"few_points": F.col("n") / F.col("mean") < share, "too_far": F.coalesce(F.col("nearest_dist") > far, F.lit(False))})
     status = F.when(F.col("elev_trash"), "elev_trash").when(F.col("few_points"), "few_points").when(F.col("too_far"), "too_far").otherwise("loaded")

@@ -82,38 +82,81 @@ def within_segments(points: DataFrame, segments: DataFrame, reach: float, closed
     return own.join(spread, (own["__cx"] == spread["__cx"]) & (own["__cy"] == spread["__cy"]) & near, "left_semi").drop("__cx", "__cy")
 
 
-def nearest_other(points: DataFrame, group: str | list[str], key: str, width: float) -> DataFrame:
+#: Points that a cell of the tree holds at most, what splits it (in each direction), and the deepest level: a double tells no more places apart.
+LEAF, FAN, DEEPEST = 8, 4, 24
+
+
+def _at(level: Column) -> tuple[Column, Column]:
+    """The cell of a place (x, y) of a tree with corner (x0, y0) and width ``span``."""
+    width = F.col("span") / F.pow(F.lit(float(FAN)), level)
+    return F.floor((F.col("x") - F.col("x0")) / width).cast("long"), F.floor((F.col("y") - F.col("y0")) / width).cast("long")
+
+
+def cell_tree(points: DataFrame, groups: list[str], leaf: int = LEAF) -> DataFrame:
+    """``points`` (x, y) with x0, y0, span and ``level``: that of their cell in a tree whose cells are split while they hold more than ``leaf``.
+
+    One tree for each group.  A full cell goes down as many levels at once as
+    its count calls for, so even points need one round and others a few; the
+    points of cells that are done are not counted again.
+    """
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    extent = points.groupBy(*groups).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.when(span > 0, span * (1 + 1e-9)).otherwise(F.lit(1.0)).alias("span"))
+    active, done = points.join(extent, groups).withColumn("level", F.lit(0)), None
+    keys = [*groups, "level", "cx", "cy"]
+    while True:
+        cx, cy = _at(F.col("level"))
+        active = staged(active.withColumns({"cx": cx, "cy": cy}))
+        down = F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / leaf) / F.log(F.lit(float(FAN * FAN)))).cast("int"))
+        full = active.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > leaf) & (F.col("level") < DEEPEST)).withColumn("below", F.least(F.col("level") + down, F.lit(DEEPEST))).drop("n")
+        full = staged(full)
+        rest = active.join(full, keys, "left_anti").drop("cx", "cy")
+        done = rest if done is None else done.unionByName(rest)
+        if full.isEmpty():
+            return done
+        active = active.join(full, keys).withColumn("level", F.col("below")).drop("below", "cx", "cy")
+
+
+def nearest_other(points: DataFrame, group: str | list[str], key: str, leaf: int = LEAF) -> DataFrame:
     """(group, key, nearest_dist): distance to the nearest other point of the group.
 
-    Neighbours in the cells around settle all whose nearest is within a cell's
-    width.  The others look in cells eight times as wide, and so on: each round
-    has far fewer points than the last and the search ends when none is left or
-    a cell is as wide as all points.  Points alone in their group have none.
+    Points at one place are told first: their distance is 0.  The others look
+    in the cells around their leaf of a ``cell_tree``, with all points filed at
+    the levels that are asked for.  Who finds none within a cell's width looks
+    again in cells ``FAN`` times as wide.  Whoever does is farther than a
+    width from everybody, so a cell has only a few of them: a point is compared
+    with a bounded number of others on each level, however dense it stands.
+    Points alone in their group have none.
     """
     groups = [group] if isinstance(group, str) else list(group)
-    points, found = staged(points.select(*groups, key, "x", "y")), None
-    span = points.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
-    left, width = points, float(width)
+    known = points.select(*groups, key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    place = [*groups, "x", "y"]
+    places = staged(known.groupBy(*place).agg(F.min(key).alias(key), (F.min(key) != F.max(key)).alias("shared")))
+    found = known.join(places.where("shared").select(*place), place).select(*groups, key, F.lit(0.0).alias("nearest_dist"))
+    tree = staged(cell_tree(places, groups, leaf))
+    left, origin = tree.where("NOT shared"), ["x0", "y0", "span"]
     while True:
-        own = left.withColumn("c", F.explode(around(F.col("x"), F.col("y"), F.col("x"), F.col("y"), width, width))).select(*groups, key, "x", "y", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
-        other = points.select(*groups, F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell(F.col("x"), width).alias("cx"), cell(F.col("y"), width).alias("cy"))
-        near = own.join(other, [*groups, "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(*groups, key).agg(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("nearest_dist"))
-        last = span is None or width > span
-        sure = near if last else staged(near.where(F.col("nearest_dist") <= width))
-        found = sure if found is None else found.unionByName(sure)
-        if last:
-            return found
-        left = staged(left.join(sure.select(*groups, key), [*groups, key], "left_anti"))
-        if left.isEmpty():
-            return found
-        width *= 8
+        levels = sorted(r.level for r in left.select("level").distinct().collect())  # at most DEEPEST
+        if not levels:
+            return found.groupBy(*groups, key).agg(F.min("nearest_dist").alias("nearest_dist"))
+        cx, cy = _at(F.col("level"))
+        around_it = F.array(*[F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        own = left.select(*place, key, "span", "level", F.explode(around_it).alias("c")).select(*place, key, "span", "level", "c.cx", "c.cy")
+        filed = tree.select(*place, *origin, F.col(key).alias("other"), F.explode(F.array(*[F.lit(k) for k in levels])).alias("level")).withColumns({"cx": cx, "cy": cy})
+        filed = filed.select(*groups, "level", "cx", "cy", "other", F.col("x").alias("ox"), F.col("y").alias("oy"))
+        away = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
+        near = own.join(filed, [*groups, "level", "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(*place, key, "span", "level").agg(F.min(away).alias("nearest_dist"))
+        sure = staged(near.where((F.col("nearest_dist") <= F.col("span") / F.pow(F.lit(float(FAN)), F.col("level"))) | (F.col("level") == 0)))
+        found = found.unionByName(sure.select(*groups, key, "nearest_dist"))
+        left = staged(left.where("level > 0").join(sure.select(*place), place, "left_anti").withColumn("level", F.col("level") - 1))
 
 
 def nearest_segments(lines: DataFrame, keys: list[str], others: DataFrame, columns: list[str], width: float = 100.0) -> DataFrame:
     """keys, d and what belongs to it: the nearest pair of a segment of each line (seg, x0 to y1) and one of ``others``.
 
     ``columns``: those of ``others`` that break ties and are passed on with its
-    ends, as ``s`` and the name.  Cells as for ``nearest_other``.
+    ends, as ``s`` and the name.  Neighbours in the cells around settle all
+    whose nearest is within a cell's width; the others look in cells eight times
+    as wide, and so on, until none is left or a cell is as wide as everything.
     """
     ends = ["x0", "y0", "x1", "y1"]
     left = staged(lines.select(*keys, "seg", *ends))

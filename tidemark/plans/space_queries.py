@@ -37,7 +37,7 @@ def quality_too_far(spark, sf):
 
 def knn1(spark, sf):
     middles = clouds(spark, sf).groupBy(*BEAM).agg(F.median("x").alias("x"), F.median("y").alias("y"))
-    return _tidy(spatial.nearest_other(middles, "gt_family", "beam_id", 20.0))
+    return _tidy(spatial.nearest_other(middles, "gt_family", "beam_id"))
 
 
 def quality_status(spark, sf):

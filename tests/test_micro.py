@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy, names, numeric
-from tidemark.operators import aoi, bias, change, clusters, planar, profiles, qa, quality, spatial, student
+from tidemark.operators import aoi, bias, change, clusters, planar, profiles, qa, quality, quantiles, spatial, student
 from tidemark.params import Params
 from tidemark.plans.workflow import upsert
 from tidemark.sources.shapefile import dbf_rows
@@ -221,6 +221,23 @@ def test_nearest_other_whatever_the_density(spark):
         assert got["a", k] == pytest.approx(min(math.dist(a, b) for j, b in enumerate(places) if j != k), rel=1e-9)
 
 
+@pytest.mark.parametrize("gather", [50_000, 5, 0])
+def test_exact_quantiles(spark, gather):
+    draw = random.Random(6)
+    values = [draw.choice([draw.gauss(0, 1), -1e-300 * draw.random(), 1e300 * draw.random(), 2.5, -0.0, 0.0, -7.25]) for _ in range(400)]
+    rows = [(v, abs(v), None, float("inf") if k < 3 else float(k)) for k, v in enumerate(values)] + [(None, None, None, None), (float("nan"), 1.0, None, 1.0)]
+    table = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(4)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.6123, 1.0)
+    got = quantiles.exact_quantiles(table, {c: F.col(c) for c in "abcd"}, shares, gather)
+    for name, held in (("a", values), ("b", [*map(abs, values), 1.0])):
+        held = sorted(held)
+        for share, value in zip(shares, got[name]):
+            at = share * (len(held) - 1)
+            low, high = held[int(at)], held[min(int(at) + 1, len(held) - 1)]
+            assert value == pytest.approx(low + (at - int(at)) * (high - low), rel=1e-12, abs=0)
+    assert got["c"] == [None] * 6 and got["d"][0] == 1.0 and got["d"][-1] == float("inf")
+
+
 def test_params_are_frozen_and_arguments_win():
     p = Params()
     assert p.ideal_case == 48 and p.with_values(n_cycles=2).ideal_case == 4

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import regression_flag
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources.staging import staged
 
 METRICS = ("NSM", "SCE", "EPR", "LRR")
 
@@ -22,11 +24,13 @@ def profile(table: DataFrame) -> DataFrame:
 def health(table: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """metric, n, nulls, infinite, min, p01, median, p99, max of each metric."""
     long = table.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long.groupBy("metric").agg(
+    middle = exact_quantiles(table, {m: F.col(m) for m in metrics}, (0.01, 0.5, 0.99))
+    known = lambda k: F.create_map(*[x for m in metrics for x in (F.lit(m), F.lit(middle[m][k]).cast("double"))])[F.col("metric")]
+    counts = long.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.count_if(F.abs("value") == float("inf")).alias("infinite"),
-        F.min("value").alias("least"), q(0.01).alias("p01"), q(0.5).alias("median"), q(0.99).alias("p99"), F.max("value").alias("most"),
+        F.min("value").alias("least"), F.max("value").alias("most"),
     )
+    return counts.select("metric", "n", "nulls", "infinite", "least", known(0).alias("p01"), known(1).alias("median"), known(2).alias("p99"), "most")
 
 
 def extremes(table: DataFrame, metric: str, keys: list[str], n: int = 15, top: bool = True) -> DataFrame:
@@ -81,27 +85,23 @@ def suspicious(table: DataFrame) -> DataFrame:
 
 def iqr_outliers(table: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Rows with all metrics, and a flag for each one beyond 1.5 quartile ranges (and for any)."""
-    base = table.dropna(subset=list(metrics))
-    fences = base.agg(*[F.percentile(m, F.lit(q)).alias(f"__{n}_{m}") for m in metrics for n, q in (("a", 0.25), ("b", 0.75))])
-    held, any_one = base.crossJoin(F.broadcast(fences)), F.lit(False)  # one row
+    base = staged(table.dropna(subset=list(metrics)))
+    fences, any_one, held = exact_quantiles(base, {m: F.col(m) for m in metrics}, (0.25, 0.75)), F.lit(False), base
     for m in metrics:
-        a, b = F.col(f"__a_{m}"), F.col(f"__b_{m}")
+        a, b = (F.lit(x).cast("double") for x in fences[m])
         flag = (F.col(m) < a - 1.5 * (b - a)) | (F.col(m) > b + 1.5 * (b - a))
         held, any_one = held.withColumn(f"iqr_{m}", flag), any_one | flag
-    return held.withColumn("iqr_any", any_one).drop(*fences.columns)
+    return held.withColumn("iqr_any", any_one)
 
 
 def robust_z(table: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Rows with all metrics, a robust z of each (null where the deviation is 0), ``mad_any`` (beyond 3.5) and ``outlier_score``."""
-    base = table.dropna(subset=list(metrics))
-    middles = base.agg(*[F.median(m).alias(f"__m_{m}") for m in metrics])
-    held = base.crossJoin(F.broadcast(middles))  # one row
-    spread = held.agg(*[F.median(F.abs(F.col(m) - F.col(f"__m_{m}"))).alias(f"__d_{m}") for m in metrics])
-    held = held.crossJoin(F.broadcast(spread))  # one row
-    z = {f"z_{m}": F.lit(0.6745) * (F.col(m) - F.col(f"__m_{m}")) / F.nullif(F.col(f"__d_{m}"), F.lit(0.0)) for m in metrics}
-    held = held.withColumns(z)
-    score = F.greatest(*[F.abs(c) for c in z])
-    return held.withColumn("outlier_score", score).withColumn("mad_any", _true(score > 3.5)).drop(*middles.columns, *spread.columns)
+    held = staged(table.dropna(subset=list(metrics)))
+    middle = {m: F.lit(v[0]).cast("double") for m, v in exact_quantiles(held, {m: F.col(m) for m in metrics}, (0.5,)).items()}
+    spread = exact_quantiles(held, {m: F.abs(F.col(m) - middle[m]) for m in metrics}, (0.5,))
+    z = {f"z_{m}": F.lit(0.6745) * (F.col(m) - middle[m]) / F.nullif(F.lit(spread[m][0]).cast("double"), F.lit(0.0)) for m in metrics}
+    score = F.greatest(*[F.abs(c) for c in z.values()])
+    return held.withColumns(z).withColumn("outlier_score", score).withColumn("mad_any", _true(score > 3.5))
 
 
 def top_outliers(table: DataFrame, keys: list[str], n: int = 50) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import geodesy, names
+from tidemark.functions import crs, geodesy, names
 from tidemark.functions.numeric import rounded
 from tidemark.operators import bias, prep, profiles as P
 from tidemark.plans.stand_ins import NAMES, PROFILES, TRACKS, file_names, profiles, r6, tracks
@@ -125,6 +125,26 @@ def polar_fwd(spark, sf):
     return p.select("event_id", rounded(F.col("p.x"), 3).alias("x"), rounded(F.col("p.y"), 3).alias("y"))
 
 
+def crs_transform(spark, sf):
+    """Places given in five different systems, all carried to zone 6 north."""
+    target, lat, lon = crs.parse(32606), F.col("latitude"), F.col("longitude")
+    feet = crs.System("transverse", central=-153.0, origin=60.0, scale=0.9999, easting=1_000_000.0, northing=250_000.0, metre=0.3048006096012192)
+    systems = [crs.DEGREES, crs.parse(3413), crs.parse(32605), crs.parse("EPSG:3857"), feet]
+    given, there = F, F
+    for k, system in enumerate(systems):
+        given = given.when(F.col("event_id") % 5 == k, crs.forward(system, lat, lon))
+        there = there.when(F.col("event_id") % 5 == k, crs.transform(system, target, F.col("g.x"), F.col("g.y")))
+    p = places(spark, sf).select("event_id", given.alias("g")).select("event_id", there.alias("p"))
+    return p.select("event_id", rounded(F.col("p.x"), 2).alias("x"), rounded(F.col("p.y"), 2).alias("y"))
+
+
+def crs_south(spark, sf):
+    """Places mirrored at the equator in the southern polar plane and a southern zone."""
+    lat, lon = -F.col("latitude"), F.col("longitude")
+    p = places(spark, sf).select("event_id", crs.forward(crs.parse(3031), lat, lon).alias("p"), crs.forward(crs.parse(32706), lat, lon).alias("z"))
+    return p.select("event_id", *[rounded(F.col(f"{a}.{b}"), 3).alias(f"{n}{b}") for a, n in (("p", "polar_"), ("z", "zone_")) for b in "xy"])
+
+
 def whole_profiles(spark, sf):
     """Events of known place and height as profiles without a clip, with the distance from each user's first."""
     points = places(spark, sf).join(parquet(spark, sf, "events").select("event_id", (F.col("value") - 40).alias("h_li"), (F.col("event_id") % 3).alias("atl06_quality_summary")), "event_id")
@@ -212,6 +232,10 @@ def r3(expression: str) -> str:
     return f"floor(({expression}) * 1e3 + 0.5) / 1e3"
 
 
+def r2(expression: str) -> str:
+    return f"floor(({expression}) * 1e2 + 0.5) / 1e2"
+
+
 _PLACES = "places AS (SELECT event_id, user_id, value / 50 + 69 AS latitude, (event_id % 97) / 20 - 150 AS longitude FROM events)"
 _HAVERSINE = "2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)) * 1000"
 
@@ -228,15 +252,19 @@ def _series(coefficients, outer: str, inner: str) -> str:
 _UTM = f"""s AS (SELECT event_id, radians(longitude + 147) AS lam, sin(radians(latitude)) AS si FROM places),
     t AS (SELECT event_id, lam, sinh(atanh(si) - {_E!r}::DOUBLE * atanh({_E!r}::DOUBLE * si)) AS t FROM s),
     p AS (SELECT event_id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)"""
+_ZONE_X = f"500000 + {0.9996 * _RADIUS!r}::DOUBLE * (eta + {_series(_SERIES, 'cos', 'sinh')})"
+_ZONE_Y = f"{0.9996 * _RADIUS!r}::DOUBLE * (xi + {_series(_SERIES, 'sin', 'cosh')})"
 #: Of the polar grid with true scale at 70 degrees north.
 _SIN70 = math.sin(math.radians(70))
 _POLAR_RHO = 6378137.0 * math.cos(math.radians(70)) / math.sqrt(1 - (_E * _SIN70) ** 2) / (math.tan(math.radians(10)) / ((1 - _E * _SIN70) / (1 + _E * _SIN70)) ** (_E / 2))
+_SIN71 = math.sin(math.radians(71))
+_SOUTH_RHO = 6378137.0 * math.cos(math.radians(71)) / math.sqrt(1 - (_E * _SIN71) ** 2) / (math.tan(math.radians(9.5)) / ((1 - _E * _SIN71) / (1 + _E * _SIN71)) ** (_E / 2))
 
 QUERIES = {
     f.__name__: f
     for f in (
         interp_at_x0, crossing_first, crossing_last, crossing_exact, bias_report, bias_filter, bias_summary, bluff_positions, yref_oldest, used_cycles, along_track, point_id,
-        haversine_first, cum_geodesic, granule_numbers, utm_fwd, utm_round_trip, polar_fwd, whole_profiles, old_names, lon_wrap, name_date, name_family, name_track, name_rgt, track_norm,
+        haversine_first, cum_geodesic, granule_numbers, utm_fwd, utm_round_trip, polar_fwd, crs_transform, crs_south, whole_profiles, old_names, lon_wrap, name_date, name_family, name_track, name_rgt, track_norm,
     )
 }
 
@@ -270,6 +298,10 @@ SQL = {
     "old_names": "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS track, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS granule_track, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS odd_track FROM orders",
     "granule_numbers": "SELECT user_id, CAST(trunc(median(event_id % 1387)) AS INT) AS rgt, CAST(trunc(median(event_id % 24)) AS INT) AS cycle FROM events GROUP BY user_id",
     "utm_fwd": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r3(f'500000 + {0.9996 * _RADIUS!r}::DOUBLE * (eta + {_series(_SERIES, 'cos', 'sinh')})')} AS x, {r3(f'{0.9996 * _RADIUS!r}::DOUBLE * (xi + {_series(_SERIES, 'sin', 'cosh')})')} AS y FROM p",
+    "crs_transform": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r2(_ZONE_X)} AS x, {r2(_ZONE_Y)} AS y FROM p",
+    "crs_south": f"""WITH {_PLACES}, {_UTM}, q AS (SELECT event_id, radians(longitude) AS lam, sin(radians(latitude)) AS si, radians(latitude) AS phi FROM places),
+        r AS (SELECT event_id, lam, {_SOUTH_RHO!r}::DOUBLE * tan(pi() / 4 - phi / 2) / ((1 - {_E!r}::DOUBLE * si) / (1 + {_E!r}::DOUBLE * si)) ** {_E / 2!r}::DOUBLE AS r FROM q)
+        SELECT event_id, {r3('r * sin(lam)')} AS polar_x, {r3('r * cos(lam)')} AS polar_y, {r3(_ZONE_X)} AS zone_x, {r3(f'10000000 - ({_ZONE_Y})')} AS zone_y FROM r JOIN p USING (event_id)""",
     "utm_round_trip": "SELECT event_id, true AS returns FROM events",
     "polar_fwd": f"""WITH {_PLACES}, q AS (SELECT event_id, radians(longitude + 45) AS lam, sin(radians(latitude)) AS si, radians(latitude) AS phi FROM places),
         r AS (SELECT event_id, lam, {_POLAR_RHO!r}::DOUBLE * tan(pi() / 4 - phi / 2) / ((1 - {_E!r}::DOUBLE * si) / (1 + {_E!r}::DOUBLE * si)) ** {_E / 2!r}::DOUBLE AS r FROM q)

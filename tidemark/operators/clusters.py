@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geodesy import acute_angle, utm_inverse
+from tidemark.functions import crs
+from tidemark.functions.geodesy import acute_angle
 from tidemark.functions.numeric import rounded
 from tidemark.operators.keys import numbered, scoped
-from tidemark.operators.planar import at_length, measures
+from tidemark.operators.outlines import axis, corridors, ring, vertices
+from tidemark.operators.planar import at_length
 from tidemark.operators.spatial import along, nearest_segments, point_segment, segment_segment
 from tidemark.params import Params, pick
 
@@ -38,24 +40,28 @@ def pair_distances(lines: DataFrame, reach: float) -> DataFrame:
     return near.unionByName(own.withColumns({"other_family": F.col("gt_family"), "other_beam": F.col("beam_id"), "dist": F.lit(0.0)}))
 
 
-def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beams: int, families: tuple[str, ...]) -> DataFrame:
+def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beams: int, families: tuple[str, ...], plane: int | str = Params.utm_epsg) -> DataFrame:
     """One candidate for each size and seed beam: the beams (of any family) whose line comes within half the size of it.
 
-    Ids number the seeds by family (in the order given) and beam, before small
+    A candidate's center is the centroid of its corridor, of half the size on
+    either side of the seed's line, in ``plane`` and in degrees.  Ids number the seeds by family (in the order given) and beam, before small
     candidates are left out, so they have gaps.
     """
     beam = scoped(lines, "gt_family", "beam_id")
     order = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("gt_family"))
     counts = points.groupBy(*beam).agg(F.count(F.lit(1)).cast("int").alias("num_points"))
-    seeds = measures(lines, beam).join(counts, beam).where(order > 0)
+    seeds = lines.select(*beam).distinct().join(counts, beam).where(order > 0)
     seeds = numbered(seeds, [order, F.col("beam_id")], "cluster_id")
     near = pair_distances(lines, max(sizes) / 2)
     grid = F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("cluster_distance_m")
     member = F.struct(F.col("other_family").alias("gt_family"), F.col("other_beam").alias("beam_id"))
     groups = near.select("*", grid).where(F.col("dist") <= F.col("cluster_distance_m") / 2).groupBy("cluster_distance_m", *beam).agg(F.array_sort(F.collect_list(member)).alias("beam_ids"))
-    center = utm_inverse(F.col("cx"), F.col("cy"))
-    full = groups.withColumn("num_beams", F.size("beam_ids")).where(F.col("num_beams") >= min_beams).join(seeds, beam).withColumn("center", center)
-    return full.select(*beam, "num_points", "cluster_distance_m", "cluster_id", "beam_ids", "num_beams", F.col("center.lon").alias("center_lon"), F.col("center.lat").alias("center_lat"))
+    centers = corridors(lines, beam, [s / 2 for s in sizes]).select(*beam, (F.col("radius") * 2).alias("cluster_distance_m"), F.col("cx").alias("center_x"), F.col("cy").alias("center_y"))
+    full = groups.withColumn("num_beams", F.size("beam_ids")).where(F.col("num_beams") >= min_beams).join(seeds, beam).join(centers, [*beam, "cluster_distance_m"])
+    full = full.withColumn("center", crs.inverse(crs.parse(plane), F.col("center_x"), F.col("center_y")))
+    return full.select(
+        *beam, "num_points", "cluster_distance_m", "cluster_id", "beam_ids", "num_beams", "center_x", "center_y", F.col("center.lon").alias("center_lon"), F.col("center.lat").alias("center_lat")
+    )
 
 
 def family_track(clusters: DataFrame) -> DataFrame:
@@ -63,8 +69,8 @@ def family_track(clusters: DataFrame) -> DataFrame:
     return clusters.where("track_id IS NOT NULL").groupBy("gt_family").agg(F.mode("track_id", True).alias("track_id"))
 
 
-def angles(clusters: DataFrame, points: DataFrame, lines: DataFrame, shore: DataFrame, search_radius: float | None = None, params: Params | None = None) -> DataFrame:
-    """``clusters`` with ``angle_deg``: between the seed's principal axis and the shore's run near it.
+def angles(clusters: DataFrame, lines: DataFrame, shore: DataFrame, search_radius: float | None = None, params: Params | None = None) -> DataFrame:
+    """``clusters`` with ``angle_deg``: between the principal axis of the cluster's corridor and the shore's run near the seed.
 
     ``shore``: segments (part, seg, x0, y0, x1, y1, len, cum) of which every
     seed finds the nearest; the run is measured between the points ``search_radius``
@@ -72,9 +78,9 @@ def angles(clusters: DataFrame, points: DataFrame, lines: DataFrame, shore: Data
     """
     radius = float(pick(search_radius, params, "angle_search_radius"))
     key = scoped(clusters, "gt_family", "beam_id")
-    axis = points.groupBy(*key).agg(F.covar_samp("x", "y").alias("cxy"), F.var_samp("x").alias("cxx"), F.var_samp("y").alias("cyy"))
-    turn = F.atan2(2 * F.col("cxy"), F.col("cxx") - F.col("cyy")) / 2
-    axis = axis.select(*key, F.cos(turn).alias("ax"), F.sin(turn).alias("ay"))
+    sized = [*key, "cluster_distance_m"]
+    drawn = vertices(lines, key).join(clusters.select(*sized).distinct(), key).withColumn("a", axis(ring(F.col("line"), F.col("cluster_distance_m") / 2)))
+    axes = drawn.select(*sized, F.col("a.dx").alias("ax"), F.col("a.dy").alias("ay"))
     own = clusters.select(*key).distinct()
     best = nearest_segments(lines.join(own, key, "left_semi"), key, shore, ["part", "seg", "len", "cum"])
     best = best.withColumns({"part": F.col("spart"), "sseg": F.col("sseg")})
@@ -94,7 +100,7 @@ def angles(clusters: DataFrame, points: DataFrame, lines: DataFrame, shore: Data
     run = at_length(shore, ["part"], asked).groupBy(*key).agg(F.min_by(F.struct("px", "py"), "side").alias("a"), F.max_by(F.struct("px", "py"), "side").alias("b"))
     run = run.select(*key, (F.col("b.px") - F.col("a.px")).alias("bx"), (F.col("b.py") - F.col("a.py")).alias("by"))
     angle = rounded(acute_angle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 2)
-    return clusters.join(axis.join(run, key).select(*key, angle.alias("angle_deg")), key, "left")
+    return clusters.join(axes.join(run, key).select(*sized, angle.alias("angle_deg")), sized, "left")
 
 
 def select(clusters: DataFrame, min_beams: int, groups: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

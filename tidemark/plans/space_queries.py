@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded
-from tidemark.operators import aoi, clusters, planar, prep, profiles, quality, spatial
+from tidemark.operators import aoi, clusters, outlines, planar, prep, profiles, quality, spatial
 from tidemark.params import Params
 from tidemark.plans import workflow
 from tidemark.plans.stand_ins import CLOUDS, LINES, SHORE, TRACKS, clouds, r6, shore, tracks
@@ -116,7 +118,18 @@ def cluster_angle(spark, sf):
     points = staged(tracks(spark, sf))
     lines = staged(planar.beam_lines(points))
     found = clusters.candidates(points, lines, [42.0], 2, ("gt1", "gt2", "gt3"))
-    return clusters.angles(found, points, lines, shore(spark, sf)).select(*BEAM, "cluster_id", "angle_deg")
+    return clusters.angles(found, lines, shore(spark, sf)).select(*BEAM, "cluster_id", "angle_deg")
+
+
+def cluster_center(spark, sf):
+    return _tidy(_candidates(spark, sf).select("cluster_distance_m", *BEAM, "cluster_id", "center_x", "center_y"))
+
+
+def corridor_outline(spark, sf):
+    lines = staged(planar.beam_lines(tracks(spark, sf)))
+    found = outlines.corridors(lines, BEAM, [9.0, 30.0])
+    turned = F.degrees(F.atan2("ay", "ax"))
+    return _tidy(found.select(*BEAM, "radius", "area", "cx", "cy", F.when(turned < 0, turned + 180).otherwise(turned).alias("axis_deg")))
 
 
 def buffer_points(spark, sf):
@@ -252,6 +265,60 @@ _CANDIDATES = f"""{_PAIRS}, seeds AS (SELECT *, CAST(row_number() OVER (ORDER BY
     candidates AS (SELECT *, CAST(len(beams) AS INT) AS num_beams FROM groups JOIN seeds USING (gt_family, beam_id) WHERE len(beams) >= 2)"""
 
 
+def _outline(sizes: str) -> str:
+    """The corridors' vertices, areas, centroids and axes, a row for each vertex of the ring."""
+    step = math.pi / 32
+
+    def joins(part: int, side: int) -> str:
+        """Vertices where two pieces (u, then v) meet, on one side."""
+        n = lambda d: f"({-side} * {d}y), ({side} * {d}x)".split(", ")
+        (ux, uy), (vx, vy) = n("ud"), n("vd")
+        about = f"atan2(abs(cr), dt) * {-side} * k / greatest(1, floor(atan2(abs(cr), dt) / {step!r} + 0.5))"
+        return f"""
+            SELECT gt_family, beam_id, r, {part} AS part, {side} * seg AS a, {side} * k AS b,
+                   CASE WHEN {side} * cr < 0 THEN x1 + r * (cos({about}) * {ux} - sin({about}) * {uy}) WHEN NOT short THEN x1 + r * ({ux} + {vx}) / (1 + dt)
+                        WHEN k = 0 THEN x1 + r * {ux} WHEN k = 1 THEN x1 ELSE x1 + r * {vx} END AS x,
+                   CASE WHEN {side} * cr < 0 THEN y1 + r * (sin({about}) * {ux} + cos({about}) * {uy}) WHEN NOT short THEN y1 + r * ({uy} + {vy}) / (1 + dt)
+                        WHEN k = 0 THEN y1 + r * {uy} WHEN k = 1 THEN y1 ELSE y1 + r * {vy} END AS y
+            FROM (SELECT *, unnest(range(CAST(CASE WHEN {side} * cr < 0 THEN greatest(1, floor(atan2(abs(cr), dt) / {step!r} + 0.5)) + 1 WHEN short THEN 3 ELSE 1 END AS BIGINT))) AS k FROM turns)"""
+
+    return f"""pieces AS (SELECT *, (x1 - x0) / len AS udx, (y1 - y0) / len AS udy, lead((x1 - x0) / len) OVER w AS vdx, lead((y1 - y0) / len) OVER w AS vdy, lead(len) OVER w AS vlen,
+                      row_number() OVER w = 1 AS head FROM lines WHERE len > 0 WINDOW w AS (PARTITION BY gt_family, beam_id ORDER BY seg)),
+        sized AS (SELECT * FROM pieces, (VALUES {sizes}) v(r)),
+        turns AS (SELECT *, r * abs(cr) / nullif(1 + dt, 0) > least(len, vlen) OR dt <= -1 + 1e-12::DOUBLE AS short
+                  FROM (SELECT *, udx * vdy - udy * vdx AS cr, udx * vdx + udy * vdy AS dt FROM sized WHERE vdx IS NOT NULL) WHERE abs(cr) >= 1e-12::DOUBLE OR dt <= 0),
+        vertices_of AS (
+            SELECT gt_family, beam_id, r, 0 AS part, 0 AS a, 0 AS b, x0 - r * udy AS x, y0 + r * udx AS y FROM sized WHERE head
+            UNION ALL {joins(1, 1)}
+            UNION ALL SELECT gt_family, beam_id, r, 2, 0, k, x1 + r * (-udy * cos(-k * {step!r}) - udx * sin(-k * {step!r})), y1 + r * (-udy * sin(-k * {step!r}) + udx * cos(-k * {step!r})) FROM sized, range(33) g(k) WHERE vdx IS NULL
+            UNION ALL {joins(3, -1)}
+            UNION ALL SELECT gt_family, beam_id, r, 4, 0, k, x0 + r * (udy * cos(-k * {step!r}) + udx * sin(-k * {step!r})), y0 + r * (udy * sin(-k * {step!r}) - udx * cos(-k * {step!r})) FROM sized, range(32) g(k) WHERE head),
+        framed AS (SELECT *, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny
+                   FROM vertices_of WINDOW w AS (PARTITION BY gt_family, beam_id, r ORDER BY part, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        ground AS (SELECT gt_family, beam_id, r, any_value(fx) AS fx, any_value(fy) AS fy, count(*) + 1 AS n, sum(x - fx) AS sx, sum(y - fy) AS sy, sum((x - fx) ** 2) AS sxx, sum((x - fx) * (y - fy)) AS sxy, sum((y - fy) ** 2) AS syy,
+                          sum((x - fx) * (ny - fy) - (nx - fx) * (y - fy)) AS w, sum((x + nx - 2 * fx) * ((x - fx) * (ny - fy) - (nx - fx) * (y - fy))) AS wx, sum((y + ny - 2 * fy) * ((x - fx) * (ny - fy) - (nx - fx) * (y - fy))) AS wy
+                   FROM framed GROUP BY ALL),
+        corridors AS (SELECT gt_family, beam_id, r, abs(w) / 2 AS area, fx + wx / (3 * w) AS cx, fy + wy / (3 * w) AS cy, atan2(2 * (sxy - sx * sy / n), (sxx - sx * sx / n) - (syy - sy * sy / n)) / 2 AS turn FROM ground)"""
+
+
+_ON_SHORE = """ends_of AS (SELECT l.gt_family, l.beam_id, l.seg, l.x0, l.y0, l.x1, l.y1, s.seg AS sseg, s.x0 AS sx0, s.y0 AS sy0, s.x1 AS sx1, s.y1 AS sy1, sqrt((s.x1 - s.x0) ** 2 + (s.y1 - s.y0) ** 2) AS slen,
+            ((s.x0 - l.x0) * (s.y1 - s.y0) - (s.y0 - l.y0) * (s.x1 - s.x0)) / nullif((l.x1 - l.x0) * (s.y1 - s.y0) - (l.y1 - l.y0) * (s.x1 - s.x0), 0) AS t,
+            ((s.x0 - l.x0) * (l.y1 - l.y0) - (s.y0 - l.y0) * (l.x1 - l.x0)) / nullif((l.x1 - l.x0) * (s.y1 - s.y0) - (l.y1 - l.y0) * (s.x1 - s.x0), 0) AS u
+            FROM lines l, shore s),
+        tried AS (SELECT *, t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AS meets, least(greatest(((x0 - sx0) * (sx1 - sx0) + (y0 - sy0) * (sy1 - sy0)) / slen ** 2, 0), 1) AS p, least(greatest(((x1 - sx0) * (sx1 - sx0) + (y1 - sy0) * (sy1 - sy0)) / slen ** 2, 0), 1) AS q,
+            least(greatest(((sx0 - x0) * (x1 - x0) + (sy0 - y0) * (y1 - y0)) / nullif((x1 - x0) ** 2 + (y1 - y0) ** 2, 0), 0), 1) AS m, least(greatest(((sx1 - x0) * (x1 - x0) + (sy1 - y0) * (y1 - y0)) / nullif((x1 - x0) ** 2 + (y1 - y0) ** 2, 0), 0), 1) AS o FROM ends_of),
+        nearest_on AS (SELECT gt_family, beam_id, sseg, seg, slen, CASE WHEN meets THEN {'d': 0.0::DOUBLE, 'on_': u * slen} ELSE list_min([
+            {'d': sqrt((x0 - sx0 - p * (sx1 - sx0)) ** 2 + (y0 - sy0 - p * (sy1 - sy0)) ** 2), 'on_': p * slen}, {'d': sqrt((x1 - sx0 - q * (sx1 - sx0)) ** 2 + (y1 - sy0 - q * (sy1 - sy0)) ** 2), 'on_': q * slen},
+            {'d': sqrt((sx0 - x0 - m * (x1 - x0)) ** 2 + (sy0 - y0 - m * (y1 - y0)) ** 2), 'on_': 0.0::DOUBLE}, {'d': sqrt((sx1 - x0 - o * (x1 - x0)) ** 2 + (sy1 - y0 - o * (y1 - y0)) ** 2), 'on_': slen}]) END AS b FROM tried),
+        chosen AS (SELECT * FROM nearest_on QUALIFY row_number() OVER (PARTITION BY gt_family, beam_id ORDER BY b.d, sseg, seg) = 1),
+        along_shore AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS slen, coalesce(sum(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) OVER (ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS scum FROM shore),
+        placed AS (SELECT gt_family, beam_id, scum + b.on_ AS spot FROM chosen JOIN along_shore a ON a.seg = sseg),
+        asked AS (SELECT gt_family, beam_id, side, least(greatest(spot + side, 0), (SELECT max(scum + slen) FROM along_shore)) AS spot FROM placed, (VALUES (-10.0::DOUBLE), (10.0::DOUBLE)) v(side)),
+        spots AS (SELECT gt_family, beam_id, side, x0 + (spot - scum) / slen * (x1 - x0) AS x, y0 + (spot - scum) / slen * (y1 - y0) AS y FROM asked JOIN along_shore ON spot >= scum AND spot <= scum + slen
+                  QUALIFY row_number() OVER (PARTITION BY gt_family, beam_id, side ORDER BY seg) = 1),
+        run AS (SELECT gt_family, beam_id, max(x) FILTER (side > 0) - max(x) FILTER (side < 0) AS rx, max(y) FILTER (side > 0) - max(y) FILTER (side < 0) AS ry FROM spots GROUP BY ALL)"""
+
+
 def _greedy(least: int) -> str:
     """The fold as a recursion over ranks, one row a step in each group."""
     return f"""WITH RECURSIVE {_CANDIDATES},
@@ -277,7 +344,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_few, quality_trash, quality_too_far, knn1, quality_status, quality_pivot, family_center, polyline_length, polyline_centroid, nearest_line, line_cross_shore, boxes,
-        box_clip, box_radial, beam_spacing, neighbour_join, candidate_clusters, greedy_select, greedy_summary, cluster_angle, buffer_points, file_semijoin, corridor_select,
+        box_clip, box_radial, beam_spacing, neighbour_join, candidate_clusters, greedy_select, greedy_summary, cluster_angle, cluster_center, corridor_outline, buffer_points, file_semijoin, corridor_select,
         display_range, photon_clip, padded_bounds, family_batches, gate_kept, gate_flagged, quality_gate, workflow_single, grid_sweep,
     )
 }
@@ -305,6 +372,11 @@ SQL = {
         SELECT gt_family, count(*) AS n_beams, {r6('max(px) - min(px)')} AS max_dist, {r6('avg(gap)')} AS avg_dist, min_by(beam_id, px) AS west_beam, max_by(beam_id, px) AS east_beam FROM gaps GROUP BY gt_family HAVING count(*) >= 2""",
     "neighbour_join": f"WITH {_PAIRS} SELECT gt_family, beam_id, other_family, other_beam, {_each('dist')} FROM pairs",
     "candidate_clusters": f"WITH {_CANDIDATES} SELECT cluster_distance_m, gt_family, beam_id, cluster_id, CAST(num_points AS INT) AS num_points, num_beams, list_reduce(list_transform(beams, lambda s: s.b), lambda p, q: p || ',' || q) AS members FROM candidates",
+    "cluster_center": f"WITH {_CANDIDATES}, {_outline('(9.0::DOUBLE), (21.0::DOUBLE)')} SELECT cluster_distance_m, gt_family, beam_id, cluster_id, {r6('cx')} AS center_x, {r6('cy')} AS center_y FROM candidates JOIN corridors USING (gt_family, beam_id) WHERE r = cluster_distance_m / 2",
+    "corridor_outline": f"WITH {_LINES}, {_outline('(9.0::DOUBLE), (30.0::DOUBLE)')} SELECT gt_family, beam_id, r AS radius, {_each('area', 'cx', 'cy')}, {r6('degrees(CASE WHEN turn < 0 THEN turn + pi() ELSE turn END)')} AS axis_deg FROM corridors",
+    "cluster_angle": f"""WITH {_CANDIDATES}, {SHORE}, {_outline('(21.0::DOUBLE)')}, {_ON_SHORE}
+        SELECT gt_family, beam_id, cluster_id, floor(degrees(acos(least(abs(cos(turn) * rx + sin(turn) * ry) / sqrt(rx * rx + ry * ry), 1))) * 100 + 0.5) / 100 AS angle_deg
+        FROM candidates JOIN corridors USING (gt_family, beam_id) JOIN run USING (gt_family, beam_id) WHERE cluster_distance_m = 42""",
     "greedy_select": f"{_greedy(2)} SELECT cluster_distance_m, gt_family, beam_id, cluster_id, selected FROM fold",
     "greedy_summary": f"""{_greedy(3)}, totals AS (SELECT cluster_distance_m, gt_family, count(*) AS total_clusters, count(*) FILTER (num_beams < 3) AS too_few_beams FROM candidates GROUP BY ALL),
         chosen AS (SELECT cluster_distance_m, gt_family, count(*) FILTER (selected) AS selected_clusters, count(*) FILTER (NOT selected) AS skipped_clusters, min_by(cluster_id, k) FILTER (selected) AS representative_cluster_id FROM fold GROUP BY ALL)

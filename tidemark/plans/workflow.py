@@ -47,8 +47,8 @@ def run(points: DataFrame, shore: DataFrame, track_id: str | None = None, params
     box = staged(planar.boxes(points, shore, p.half_along_m, p.half_across_m))
     clipped = staged(planar.clip(points, box))
     lines = staged(planar.beam_lines(clipped))
-    found = staged(clusters.candidates(clipped, lines, list(sizes), p.min_beams, p.gtx))
-    found = staged(clusters.angles(found, clipped, lines, shore, params=p))
+    found = staged(clusters.candidates(clipped, lines, list(sizes), p.min_beams, p.gtx, p.utm_epsg))
+    found = staged(clusters.angles(found, lines, shore, params=p))
     marked, summary = clusters.select(found, p.min_beams, ["track_id", "cluster_distance_m", "gt_family"])
     selected = staged(marked.where("selected").drop("selected"))
     inside = staged(bias.profiles_in(selected, points, CLUSTER, lines))

@@ -344,6 +344,25 @@ def test_packing_splits_a_block_of_repeated_rows(spark):
     assert lines.select("bin").distinct().count() == 20_000  # one cluster: never two in a bin
 
 
+def test_language_sample(spark):
+    draw = random.Random(2)
+    text = {lang: [" ".join("".join(draw.choice(letters) for _ in range(5)) for _ in range(8)) for _ in range(1200)] for lang, letters in (("en", "abcde"), ("de", "vwxyz"))}
+    rows = [(None, t, lang, "s") for lang in text for t in text[lang]]
+    docs = documents(spark, rows + [(1, "ñ" * 30_000 + str(k), "es", "s") for k in range(3)] + [(2, "same", "fr", "s")] * 900 + [(3, "x", None, "s"), (4, None, "it", "s")])
+    got = language_id.sample(docs).collect()
+    count = {lang: sum(r.lang == lang for r in got) for lang in ("en", "de", "es", "fr", "it")}
+    assert count == {"en": 400, "de": 400, "es": 3, "fr": 1, "it": 1} and len(got) == 805 and max(len(r.text) for r in got) == language_id.LONGEST
+    assert sorted(map(tuple, got)) == sorted(map(tuple, language_id.sample(docs.repartition(7)).collect()))
+    assert len(language_id.sample(docs, total=10).collect()) == 8 and language_id.sample(docs.limit(0)).count() == 0
+    field = language_id.fit(docs)
+    assert field.languages == ["de", "en", "es", "fr", "it"]
+    named = language_id.identify(documents(spark, [(1, "abcde edcba", None, None), (2, "vwxyz zyxwv wwxyz", None, None)]), field).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in named] == ["en", "de"]
+    # Bounds at sizes that no test can hold: never 0, and somewhat over four times the share.
+    for n in (400, 1_600, 419_430_401, 500_000_000, 10**13):
+        assert language_id.bound(400, n) == min(1 << 62, 1664 * (1 << 62) // n) > 0
+
+
 def test_language_id_held_out_and_und(spark):
     draw, parts = random.Random(4), {"en": ["the", "ing", "tion", "wh"], "de": ["der", "ung", "sch", "keit"], "fr": ["le", "eau", "ment", "oi"]}
     rows = []

@@ -13,8 +13,8 @@ products of transition matrices, which compose associatively, carry the
 messages from segment to segment, so a very long text costs no more a word
 than short ones.
 
-Training reads about ``SAMPLE`` documents of each language, chosen by a digest
-of the id, none over ``LONGEST`` characters, and ``WORDS`` words in all.
+Training reads ``SAMPLE`` documents of each language, chosen by a digest of id
+and text, ``LONGEST`` characters of each at most, and ``WORDS`` words in all.
 
 Defined results: ``und`` with score 0 for null texts and texts without
 letters, and wherever nothing could be learned; repeated rows get the same
@@ -31,12 +31,14 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import add_columns
 
 SAMPLE, LONGEST, WORDS = 400, 20_000, 400_000
+#: Documents of all languages together, where there are so many that ``SAMPLE`` of each were more.
+TOTAL = 40_000
 WIDTH = 1 << 17
 SEGMENT = 64
 WORD = re.compile(r"[^\W\d_]+")
@@ -268,15 +270,32 @@ class Labeller:
         return langs, shares, spans
 
 
+def bound(wanted: int, n: int) -> int:
+    """A bound on 62-bit digests below which some four times ``wanted`` of ``n`` rows lie, and a few more, however many those are."""
+    return min(1 << 62, (4 * wanted + 64) * (1 << 62) // n)
+
+
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE, total: int = TOTAL) -> DataFrame:
+    """(lang, text): exactly ``most`` documents of each language, or all it has, as they come in the order of a digest of id and text.
+
+    Repeated rows are one document.  With very many languages each has fewer, so that all have ``total``
+    together (one at least).  Texts are cut at ``LONGEST`` characters.  Only
+    rows below a 62-bit bound of the digest, some four times as many as are
+    wanted, are ranked at all.
+    """
+    named = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.substring(F.coalesce(text, F.lit("")), 1, LONGEST).alias("text"), F.xxhash64(doc_id, text, F.lit(29)).alias("digest"))
+    counts = {r[0]: r[1] for r in named.select("lang", "digest").distinct().groupBy("lang").count().collect()}
+    own = max(1, min(most, total // max(1, len(counts))))
+    bounds = docs.sparkSession.createDataFrame([(k, bound(own, n)) for k, n in counts.items()], f"lang {docs.schema[lang].dataType.simpleString()}, bound long")
+    low = named.join(F.broadcast(bounds), "lang").where(F.pmod("digest", F.lit(1 << 62)) < F.col("bound")).dropDuplicates(["lang", "digest"])  # bounds: a row for each language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("digest", F.lit(1 << 62)), "text"))
+    return low.withColumn("rank", rank).where(F.col("rank") <= own).select("lang", "text")
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> Field:
-    """A field from about ``most`` documents of each language that ``docs`` name."""
-    counts = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
-    if not counts:
-        return Field([], np.zeros((WIDTH, 0)), np.zeros((0, 0)))
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit(29)), F.lit(1 << 20))
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, most / n) * (1 << 20)))])
-    chosen = docs.where(F.col(lang).isNotNull() & (draw < limit[F.col(lang)]) & (F.length(text) <= LONGEST)).select(lang, text)
-    return learn(sorted((r[0], r[1] or "") for r in chosen.collect()))
+    """A field from ``most`` documents of each language that ``docs`` name (``sample``)."""
+    rows = sorted((r[0], r[1]) for r in sample(docs, doc_id, text, lang, most).collect())
+    return learn(rows) if rows else Field([], np.zeros((WIDTH, 0)), np.zeros((0, 0)))
 
 
 def identify(df: DataFrame, field: Field, text: str = "text", keep: list[str] | None = None, runs: bool = True) -> DataFrame:

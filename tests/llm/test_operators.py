@@ -344,6 +344,21 @@ def test_packing_splits_a_block_of_repeated_rows(spark):
     assert lines.select("bin").distinct().count() == 20_000  # one cluster: never two in a bin
 
 
+@pytest.mark.parametrize("combined", [1 << 22, 0])
+def test_ann_buckets_are_the_best(monkeypatch, combined):
+    monkeypatch.setattr(ann, "COMBINED", combined)
+    rng = np.random.default_rng(3)
+    for wide, rotations, probes in ((40, 2, 100), (40, 2, 1_600), (40, 2, 5_000), (12, 3, 300), (60, 1, 7)):
+        near = np.round(rng.normal(size=(rotations, wide)), 1)  # ties
+        got = ann.best_buckets(near, probes)
+        total = np.zeros(1)
+        for axes in near[::-1]:
+            total = (total[:, None] + axes[None, :]).ravel()  # the last rotation counts most, as in a bucket's number
+        sums = sum(near[k][got // wide**k % wide] for k in range(rotations))
+        want = np.sort(total)[::-1][:probes]
+        assert len(set(got.tolist())) == len(got) == min(probes, wide**rotations) and np.allclose(np.sort(sums)[::-1], want)
+
+
 def test_language_sample(spark):
     draw = random.Random(2)
     text = {lang: [" ".join("".join(draw.choice(letters) for _ in range(5)) for _ in range(8)) for _ in range(1200)] for lang, letters in (("en", "abcde"), ("de", "vwxyz"))}

@@ -46,7 +46,7 @@ TABLES, RECALL = 4, 0.95
 SAMPLE = 128
 #: Vectors in an even bucket at most; bytes of vectors (as doubles) in a shelf, and of queries in a part.
 BUCKET_ROWS, SHELF_BYTES = 1 << 16, 8 << 20
-#: Combinations of axes that a task ranks at a time.
+#: Combinations of axes that are ranked directly; beyond it a bound is found first.
 COMBINED = 1 << 22
 
 
@@ -99,16 +99,35 @@ def best_buckets(near: np.ndarray, probes: int) -> np.ndarray:
     """The ``probes`` buckets with the largest sums of coordinates, of one row's (rotation, axis)."""
     sums, keys = np.zeros(1), np.zeros(1, dtype=np.int64)
     for k, axes in enumerate(near):
-        most = max(1, min(len(axes), COMBINED // max(1, len(sums)), probes))
-        chosen = np.argpartition(-axes, most - 1)[:most] if most < len(axes) else np.arange(len(axes))
-        sums = (sums[:, None] + axes[None, chosen]).ravel()
-        keys = (keys[:, None] + chosen[None, :] * len(axes) ** k).ravel()
-        if len(sums) > probes:
-            first = np.argpartition(-sums, probes - 1)[:probes]
-            sums, keys = sums[first], keys[first]
+        one, two = largest_sums(sums, axes, probes)
+        sums, keys = sums[one] + axes[two], keys[one] + two * len(axes) ** k
     return keys
 
 
+def largest_sums(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``a``, in ``b``) of the ``most`` largest sums of one of each, or of all.
+
+    Few combinations are ranked directly.  Of many, a bound is found that just
+    ``most`` sums reach, by halving; only those are ever laid out.
+    """
+    if len(a) * len(b) <= max(most, COMBINED):
+        total = (a[:, None] + b[None, :]).ravel()
+        best = np.argpartition(-total, most - 1)[:most] if most < len(total) else np.arange(len(total))
+        return best // len(b), best % len(b)
+    order = np.argsort(-b, kind="stable")
+    falling = b[order]
+    reached = lambda bound: np.searchsorted(-falling, -(bound - a), "right")  # noqa: E731 - for each of ``a``, how many of ``b`` are enough
+    low, high = float(a.min() + b.min()), float(a.max() + b.max())
+    for _ in range(64):
+        middle = (low + high) / 2
+        low, high = (middle, high) if int(reached(middle).sum()) >= most else (low, middle)
+    counts = np.minimum(reached(low - 1e-9 * max(1.0, abs(low))), len(b))
+    one = np.repeat(np.arange(len(a)), counts)
+    two = order[np.arange(len(one)) - np.repeat(np.cumsum(counts) - counts, counts)]
+    best = np.argpartition(-(a[one] + b[two]), most - 1)[:most] if most < len(one) else np.arange(len(one))
+    return one[best], two[best]
+
+
 def rank_of(near: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """How many buckets a row's probes reach before each of ``bucket``, by (rotation, axis) coordinates."""
     wide, own, rest = near.shape[1], np.zeros(len(bucket)), np.asarray(bucket)

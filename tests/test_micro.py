@@ -186,7 +186,7 @@ def test_dbf_reader():
 def test_aoi_is_closed_counter_clockwise_and_wrapped():
     ring = aoi.normalised([[(0.0, 0.0)], [(190.0, 0.0), (190.0, 1.0), (191.0, 1.0), (191.0, 0.0)]])
     assert ring[0] == ring[-1] and aoi.area(ring[:-1]) > 0 and {x for x, _ in ring} == {-170.0, -169.0}
-    assert len(aoi.normalised([[(1.0, 2.0)]])) == 5
+    assert len(aoi.normalised([[(1.0, 2.0)]])) == 65
 
 
 @settings(max_examples=8, deadline=None)
@@ -239,6 +239,44 @@ def test_exact_quantiles(spark, gather):
     assert got["c"] == [None] * 6 and got["d"][0] == 1.0 and got["d"][-1] == float("inf")
 
 
+def even_odd(ring, x, y):
+    return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+
+def test_areas_are_repaired(spark):
+    bow = aoi.repaired([(0, 0), (4, 4), (4, 0), (0, 3)])
+    assert [round(aoi.area(r), 9) for r in bow] == sorted([round(aoi.area(r), 9) for r in bow], reverse=True) and len(bow) == 2 and all(len(r) == 3 for r in bow)
+    assert [aoi.area(r) for r in aoi.repaired([(0, 0), (4, 0), (4, 4), (2, 4), (2, 9), (2, 4), (0, 4)])] == [16]  # a spike
+    # Two squares that touch in a corner, walked as one ring; a ring walked twice encloses nothing an odd number of times.
+    assert sorted(aoi.area(r) for r in aoi.repaired([(0, 0), (2, 0), (2, 2), (5, 2), (5, 5), (2, 5), (2, 2), (0, 2)])) == [4, 9]
+    assert aoi.repaired([(0, 0), (2, 0), (2, 2)] * 2) == [] == aoi.repaired([(0, 0), (1, 1), (2, 2)]) == aoi.repaired([(1, 1)])
+    assert aoi.repaired([(0, 0), (0, 2), (2, 2), (2, 0)]) == [[(2, 0), (2, 2), (0, 2), (0, 0)]]
+    draw = random.Random(9)
+    for _ in range(60):
+        ring = [(draw.randint(0, 9), draw.randint(0, 9)) for _ in range(draw.randint(3, 9))]
+        fixed = aoi.repaired(ring)
+        for r in fixed:
+            assert aoi.area(r) > 0 and aoi._noded(r)[1]
+        for _ in range(40):
+            x, y = draw.uniform(0, 9), draw.uniform(0, 9)
+            if even_odd(ring, x, y):
+                assert any(even_odd(r, x, y) for r in fixed)
+    assert aoi.hull([(0, 0), (2, 0), (1, 0), (2, 2), (1, 1), (0, 2), (0, 0)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
+
+
+def test_areas_of_interest_of_any_kind(spark):
+    round_ = aoi.normalised([[(1.0, 2.0)]])
+    assert len(round_) == 65 and all(math.dist(p, (1.0, 2.0)) == pytest.approx(0.001) for p in round_)
+    line = aoi.normalised([[(0.0, 0.0), (0.0, 1.0)]], buffer=0.1)
+    assert aoi.area(line[:-1]) == pytest.approx(0.2 + math.pi * 0.01, rel=0.01)
+    tie = aoi.normalised([[(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)]])
+    assert len(tie) == 4 and aoi.area(tie[:-1]) == 1.0
+    parts = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [(5.0, 5.0), (9.0, 5.0), (9.0, 9.0), (5.0, 9.0)]]
+    assert aoi.area(aoi.normalised(parts)[:-1]) == 16.0 and len(aoi.normalised(parts, collection=True)) == 6
+    with pytest.raises(ValueError):
+        aoi.normalised([[]])
+
+
 def test_params_are_frozen_and_arguments_win():
     p = Params()
     assert p.ideal_case == 48 and p.with_values(n_cycles=2).ideal_case == 4

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geodesy, names, numeric
 from tidemark.operators import aoi, bias, change, clusters, planar, profiles, qa, quality, quantiles, spatial, student
 from tidemark.params import Params
-from tidemark.plans.workflow import upsert
+from tidemark.plans.merge import upsert
 from tidemark.sources.shapefile import dbf_rows
 from tidemark.sources.tables import conform
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import rounded, year_fraction
 from tidemark.operators import change, clusters, profiles, qa, student
 from tidemark.plans.stand_ins import SERIES, r6, series
-from tidemark.plans.workflow import missing_setups, upsert
+from tidemark.plans.merge import missing_setups, upsert
 
 KEY = ["gt_family", "cluster_id"]
 

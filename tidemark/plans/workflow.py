@@ -9,19 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import track_normalised
 from tidemark.operators import bias, change, clusters, planar
 from tidemark.operators.keys import scoped
 from tidemark.params import BIAS_TOLERANCES, CLUSTER_SIZES, Params
+from tidemark.plans.merge import missing_setups, upsert
 from tidemark.sources.staging import staged
 
 CLUSTER = ["track_id", "cluster_distance_m", "gt_family", "cluster_id"]
 SETUP = [*CLUSTER, "bias_tolerance"]
 #: What a row of the result table is known by.
-RESULT_KEYS = ["track_id", "ClusterSize", "bias_tolerance", "gt_family", "cluster_id"]
 
 
 @dataclass
@@ -104,17 +104,3 @@ def sweep(
     points = points.join(left.select("track_id").distinct(), "track_id", "left_semi")
     flow = run(points, shore, None, params, tuple(sorted({float(r.ClusterSize) for r in todo})), tuple(sorted({r.bias_tolerance for r in todo})))
     return upsert(existing, metrics(flow, quality_summary).join(left, setup, "left_semi"))
-
-
-def missing_setups(grid: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Setups of the grid that the existing results do not hold."""
-    return grid.join(existing.select(*keys).distinct(), keys, "left_anti")
-
-
-def upsert(existing: DataFrame, fresh: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Both tables as one, the fresh row where a key is in both; of repeats within one the last by all other columns."""
-    keys = keys or RESULT_KEYS
-    both = existing.withColumn("__age", F.lit(0)).unionByName(fresh.withColumn("__age", F.lit(1)), allowMissingColumns=True)
-    rest = [F.desc_nulls_last(c) for c in both.columns if c not in {*keys, "__age"}]
-    last = Window.partitionBy(*keys).orderBy(F.desc("__age"), *rest)
-    return both.withColumn("__k", F.row_number().over(last)).where("__k = 1").drop("__k", "__age")

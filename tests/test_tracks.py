@@ -11,6 +11,7 @@ from tidemark.params import Params
 from tidemark.plans import workflow
 from tidemark.plans.space_queries import dated_tracks
 from tidemark.plans.stand_ins import shore
+from tidemark.sources.cache import SetupCache, content
 
 SF = "/root/testdata/sf0.001"
 P = Params(bias_x0=250.0)
@@ -90,3 +91,36 @@ def test_selection_is_that_of_the_loop(spark, seed):
             covered |= set(beams)
     marked, report = clusters.select(table, 1)
     assert sorted(r.cluster_id for r in marked.where("selected").collect()) == sorted(want) and report.first().representative_cluster_id == want[0]
+
+
+def test_steps_are_kept_across_runs(spark, tmp_path, monkeypatch):
+    kept, coast = dated_tracks(spark, SF), shore(spark, SF)
+    held = SetupCache(spark, str(tmp_path / "cache"))
+    run = lambda cache, sizes, tolerances: cells(workflow.metrics(workflow.run(kept, coast, "129", P, sizes, tolerances, cache=cache)))
+    run(held, (18.0,), (0.5,))
+    made = {p.name for p in (tmp_path / "cache").iterdir()}
+    assert {n.rsplit("-", 1)[0] for n in made if not n.startswith(".")} == {"boxes", "clipped", "lines", "candidates", "angles", "inside", "biases"}
+
+    def never(*a, **b):
+        raise AssertionError("computed again")
+
+    with monkeypatch.context() as m:
+        for module, name in ((clusters, "candidates"), (clusters, "angles"), (bias, "evaluate"), (planar, "boxes"), (planar, "beam_lines")):
+            m.setattr(module, name, never)
+        more = run(SetupCache(spark, str(tmp_path / "cache")), (18.0,), (0.5, 1.0))
+    assert {p.name for p in (tmp_path / "cache").iterdir()} == made
+    # One more size adds that size's steps; without a cache the rows are the same.
+    wide = run(held, (18.0, 42.0), (0.5, 1.0))
+    assert len({p.name for p in (tmp_path / "cache").iterdir()} - made) == 4 and more and set(more) < set(wide)
+    assert wide == run(None, (18.0, 42.0), (0.5, 1.0))
+    # The same rows in another order and other partitions are the same input.
+    assert content(kept) == content(kept.repartition(5)) != content(kept.limit(kept.count() - 1)) and held.of(kept).inputs != held.of(coast).inputs
+
+
+def test_a_step_that_fails_leaves_nothing(spark, tmp_path):
+    held = SetupCache(spark, str(tmp_path / "cache"), "inputs")
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception):
+        held.table("step", {"size": 1}, lambda: broken)
+    assert held.table("step", {"size": 1}, lambda: spark.range(3)).count() == 3 == held.table("step", {"size": 1}, lambda: broken).count()
+    assert held.name("step", {"size": 1}) != held.name("step", {"size": 2})

@@ -13,6 +13,7 @@ from tidemark.operators.outlines import axis, corridors, ring, vertices
 from tidemark.operators.planar import at_length
 from tidemark.operators.spatial import along, nearest_segments, point_segment, segment_segment
 from tidemark.params import Params, pick
+from tidemark.sources.staging import staged
 
 
 def pair_distances(lines: DataFrame, reach: float) -> DataFrame:
@@ -56,7 +57,7 @@ def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beam
     grid = F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("cluster_distance_m")
     member = F.struct(F.col("other_family").alias("gt_family"), F.col("other_beam").alias("beam_id"))
     groups = near.select("*", grid).where(F.col("dist") <= F.col("cluster_distance_m") / 2).groupBy("cluster_distance_m", *beam).agg(F.array_sort(F.collect_list(member)).alias("beam_ids"))
-    centers = corridors(lines, beam, [s / 2 for s in sizes]).select(*beam, (F.col("radius") * 2).alias("cluster_distance_m"), F.col("cx").alias("center_x"), F.col("cy").alias("center_y"))
+    centers = staged(corridors(lines, beam, [s / 2 for s in sizes])).select(*beam, (F.col("radius") * 2).alias("cluster_distance_m"), F.col("cx").alias("center_x"), F.col("cy").alias("center_y"))
     full = groups.withColumn("num_beams", F.size("beam_ids")).where(F.col("num_beams") >= min_beams).join(seeds, beam).join(centers, [*beam, "cluster_distance_m"])
     full = full.withColumn("center", crs.inverse(crs.parse(plane), F.col("center_x"), F.col("center_y")))
     return full.select(
@@ -79,8 +80,8 @@ def angles(clusters: DataFrame, lines: DataFrame, shore: DataFrame, search_radiu
     radius = float(pick(search_radius, params, "angle_search_radius"))
     key = scoped(clusters, "gt_family", "beam_id")
     sized = [*key, "cluster_distance_m"]
-    drawn = vertices(lines, key).join(clusters.select(*sized).distinct(), key).withColumn("a", axis(ring(F.col("line"), F.col("cluster_distance_m") / 2)))
-    axes = drawn.select(*sized, F.col("a.dx").alias("ax"), F.col("a.dy").alias("ay"))
+    drawn = vertices(lines, key).join(clusters.select(*sized).distinct(), key).select(*sized, ring(F.col("line"), F.col("cluster_distance_m") / 2).alias("ring"))
+    axes = staged(drawn.select(*sized, axis(F.col("ring")).alias("a"))).select(*sized, F.col("a.dx").alias("ax"), F.col("a.dy").alias("ay"))
     own = clusters.select(*key).distinct()
     best = nearest_segments(lines.join(own, key, "left_semi"), key, shore, ["part", "seg", "len", "cum"])
     best = best.withColumns({"part": F.col("spart"), "sseg": F.col("sseg")})

@@ -8,6 +8,7 @@ all that needs it; tracks, sizes and tolerances are columns.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,11 @@ from tidemark.operators import bias, change, clusters, planar
 from tidemark.operators.keys import scoped
 from tidemark.params import BIAS_TOLERANCES, CLUSTER_SIZES, Params
 from tidemark.plans.merge import missing_setups, upsert
+from tidemark.sources.cache import SetupCache
 from tidemark.sources.staging import staged
 
 CLUSTER = ["track_id", "cluster_distance_m", "gt_family", "cluster_id"]
 SETUP = [*CLUSTER, "bias_tolerance"]
-#: What a row of the result table is known by.
 
 
 @dataclass
@@ -37,22 +38,42 @@ class Workflow:
     statistics: DataFrame
 
 
-def run(points: DataFrame, shore: DataFrame, track_id: str | None = None, params: Params | None = None, sizes: tuple[float, ...] | None = None, tolerances: tuple[float, ...] | None = None, which: str = "first") -> Workflow:
+def run(points: DataFrame, shore: DataFrame, track_id: str | None = None, params: Params | None = None, sizes: tuple[float, ...] | None = None, tolerances: tuple[float, ...] | None = None, which: str = "first", cache: SetupCache | None = None) -> Workflow:
     """``points``: gated points with gt_family, beam_id, acq_date, distance_from_offshore, h_li, x, y and, unless all are of
-    ``track_id``, the track of each in a column of that name; ``shore``: its segments, all tracks' together."""
+    ``track_id``, the track of each in a column of that name; ``shore``: its segments, all tracks' together.
+
+    With a ``cache``, boxes and tracks, clusters with their angles (for each
+    size) and biases (for each size) are kept across runs: one more size adds
+    that size's, one more tolerance adds nothing before the choice of passes.
+    """
     p = params or Params()
     sizes, tolerances = sizes or (p.cluster_distance_m,), tolerances or (p.bias_tolerance,)
     track = F.lit(str(track_id)) if track_id is not None else F.col("track_id").cast("string")
     points, shore = staged(points.where(F.col("gt_family").isin(*p.gtx)).withColumn("track_id", track_normalised(track))), staged(shore)
-    box = staged(planar.boxes(points, shore, p.half_along_m, p.half_across_m))
-    clipped = staged(planar.clip(points, box))
-    lines = staged(planar.beam_lines(clipped))
-    found = staged(clusters.candidates(clipped, lines, list(sizes), p.min_beams, p.gtx, p.utm_epsg))
-    found = staged(clusters.angles(found, lines, shore, params=p))
+    own, base = cache.of(points, shore) if cache else None, {"half": [p.half_along_m, p.half_across_m], "families": p.gtx}
+
+    def step(name: str, made_with: dict, make) -> DataFrame:
+        return own.table(name, base | made_with, make) if own else staged(make())
+
+    def by_size(name: str, made_with: dict, make) -> DataFrame:
+        """One table of all sizes; in a cache one for each."""
+        if not own:
+            return staged(make(list(sizes)))
+        return reduce(DataFrame.unionByName, [step(name, made_with | {"size": float(s)}, lambda s=s: make([s])) for s in sizes])
+
+    box = step("boxes", {}, lambda: planar.boxes(points, shore, p.half_along_m, p.half_across_m))
+    clipped = step("clipped", {}, lambda: planar.clip(points, box))
+    lines = step("lines", {}, lambda: planar.beam_lines(clipped))
+    chosen = {"min_beams": p.min_beams, "plane": p.utm_epsg}
+    candidates = by_size("candidates", chosen, lambda some: clusters.candidates(clipped, lines, some, p.min_beams, p.gtx, p.utm_epsg))
+    of = lambda some: candidates.where(F.col("cluster_distance_m").isin([float(s) for s in some]))
+    found = by_size("angles", chosen | {"radius": p.angle_search_radius}, lambda some: clusters.angles(of(some), lines, shore, params=p))
     marked, summary = clusters.select(found, p.min_beams, ["track_id", "cluster_distance_m", "gt_family"])
     selected = staged(marked.where("selected").drop("selected"))
-    inside = staged(bias.profiles_in(selected, points, CLUSTER, lines))
-    biases = staged(bias.keep(bias.evaluate(inside, CLUSTER, params=p), list(tolerances)))
+    inside = by_size("inside", chosen, lambda some: bias.profiles_in(selected.where(F.col("cluster_distance_m").isin([float(s) for s in some])), points, CLUSTER, lines))
+    inside_of = lambda some: inside.where(F.col("cluster_distance_m").isin([float(s) for s in some]))
+    judged = by_size("biases", chosen | {"x0": p.bias_x0}, lambda some: bias.evaluate(inside_of(some), CLUSTER, params=p))
+    biases = staged(bias.keep(judged, list(tolerances)))
     cycle = [*CLUSTER, "reference_beam", "beam_id", "acq_date"]
     accepted = staged(inside.join(biases.where("keep").select(*cycle, "bias_tolerance", "bias"), cycle))
     edges = staged(bias.bluffs(accepted, SETUP, which, p))
@@ -83,7 +104,7 @@ def metrics(flow: Workflow, quality_summary: DataFrame | None = None) -> DataFra
 
 def sweep(
     points: DataFrame, shore: DataFrame, track_id: str | None = None, quality_summary: DataFrame | None = None, params: Params | None = None, existing: DataFrame | None = None,
-    sizes: tuple[float, ...] = CLUSTER_SIZES, tolerances: tuple[float, ...] = BIAS_TOLERANCES,
+    sizes: tuple[float, ...] = CLUSTER_SIZES, tolerances: tuple[float, ...] = BIAS_TOLERANCES, cache: SetupCache | None = None,
 ) -> DataFrame:
     """The result table of the full grid, in one run.
 
@@ -92,7 +113,7 @@ def sweep(
     Setups that gave no rows are run again.
     """
     if existing is None:
-        return metrics(run(points, shore, track_id, params, sizes, tolerances), quality_summary)
+        return metrics(run(points, shore, track_id, params, sizes, tolerances, cache=cache), quality_summary)
     setup = ["track_id", "ClusterSize", "bias_tolerance"]
     track = F.lit(str(track_id)) if track_id is not None else F.col("track_id").cast("string")
     points = points.withColumn("track_id", track_normalised(track))
@@ -102,5 +123,5 @@ def sweep(
     if not todo:
         return existing
     points = points.join(left.select("track_id").distinct(), "track_id", "left_semi")
-    flow = run(points, shore, None, params, tuple(sorted({float(r.ClusterSize) for r in todo})), tuple(sorted({r.bias_tolerance for r in todo})))
+    flow = run(points, shore, None, params, tuple(sorted({float(r.ClusterSize) for r in todo})), tuple(sorted({r.bias_tolerance for r in todo})), cache=cache)
     return upsert(existing, metrics(flow, quality_summary).join(left, setup, "left_semi"))

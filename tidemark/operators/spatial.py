@@ -128,7 +128,7 @@ def nearest_other(points: DataFrame, group: str | list[str], key: str, leaf: int
     Points alone in their group have none.
     """
     groups = [group] if isinstance(group, str) else list(group)
-    known = points.select(*groups, key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    known = staged(points.select(*groups, key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
     place = [*groups, "x", "y"]
     places = staged(known.groupBy(*place).agg(F.min(key).alias(key), (F.min(key) != F.max(key)).alias("shared")))
     found = known.join(places.where("shared").select(*place), place).select(*groups, key, F.lit(0.0).alias("nearest_dist"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import TRACK
@@ -52,11 +52,11 @@ def evaluate(points: DataFrame, keys: list[str], x0: float | None = None, params
     """
     at = float(pick(x0, params, "bias_x0"))
     cycle = [*keys, "reference_beam", "beam_id", "acq_date"]
-    dated = points.where("acq_date IS NOT NULL")
-    values = dated.select(*cycle).distinct().join(at_distance(dated, cycle, at), cycle, "left")
+    values = at_distance(points.where("acq_date IS NOT NULL"), cycle, at, every=True)
     is_ref = F.col("beam_id") == F.col("reference_beam")
-    base = values.where(is_ref & F.col("value").isNotNull()).groupBy(*keys, "reference_beam").agg(F.max_by("value", "acq_date").alias("y_ref"))
-    rows = values.join(base, [*keys, "reference_beam"])
+    seed = F.when(is_ref & F.col("value").isNotNull(), F.col("acq_date"))
+    cluster = Window.partitionBy(*keys, "reference_beam")  # one line a pass, whatever the number of points
+    rows = values.withColumn("y_ref", F.max_by("value", seed).over(cluster)).where("y_ref IS NOT NULL")
     return rows.select(*cycle, F.when(is_ref, F.lit(0.0)).otherwise(F.col("value") - F.col("y_ref")).alias("bias"), is_ref.alias("is_ref"))
 
 
@@ -87,8 +87,9 @@ def allowed(points: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     A cluster whose list is empty has not been judged, so nothing of it is taken away.
     """
     listed = kept.where("keep").select(*keys, "beam_id", "acq_date").distinct()
-    judged = listed.select(*keys).distinct()
-    return points.join(listed, [*keys, "beam_id", "acq_date"], "left_semi").unionByName(points.join(judged, keys, "left_anti"))
+    marked = points.join(listed.withColumn("__listed", F.lit(True)), [*keys, "beam_id", "acq_date"], "left")
+    marked = marked.join(listed.select(*keys).distinct().withColumn("__judged", F.lit(True)), keys, "left")
+    return marked.where("__listed OR __judged IS NULL").select(*points.columns)
 
 
 def accepted_view(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,7 +105,8 @@ def bluffs(points: DataFrame, keys: list[str], which: str = "first", params: Par
     oldest passes the seed's is taken first, then by beam.
     """
     rank = F.struct("acq_date", (F.col("beam_id") != F.col("reference_beam")).alias("other"), "beam_id")
-    oldest = points.groupBy(*keys).agg(F.min(rank).alias("o")).select(*keys, F.col("o.beam_id").alias("beam_id"), F.col("o.acq_date").alias("acq_date"))
-    level = points.join(oldest, [*keys, "beam_id", "acq_date"], "left_semi").groupBy(*keys).agg(((F.min("h_li") + F.max("h_li")) / 2).alias("ref_line")).where("ref_line IS NOT NULL")
+    passes = points.groupBy(*keys, "reference_beam", "beam_id", "acq_date").agg(((F.min("h_li") + F.max("h_li")) / 2).alias("half"))
+    half = F.struct(F.when(F.col("acq_date").isNotNull(), F.col("half")).alias("half"))  # in a struct, since a null is the oldest pass's too
+    level = passes.groupBy(*keys).agg(F.min_by(half, rank)["half"].alias("ref_line")).where("ref_line IS NOT NULL")
     found = crossings(points.join(level, keys), [*keys, "beam_id", "acq_date"], F.col("ref_line"), which, params)
     return found.where("bluff_x IS NOT NULL").select(*keys, "beam_id", "acq_date", "bluff_x", "bluff_y", F.col("bluff_y").alias("ref_line"))

@@ -34,13 +34,18 @@ def geodesic_along(points: DataFrame, keys: list[str], order: list[str], lat: st
     return points.withColumn("__step", step).withColumn("distance_m", F.sum("__step").over(run.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
-def at_distance(points: DataFrame, keys: list[str], x0: float, x: str = "distance_from_offshore", y: str = "h_li") -> DataFrame:
+def at_distance(points: DataFrame, keys: list[str], x0: float, x: str = "distance_from_offshore", y: str = "h_li", every: bool = False) -> DataFrame:
     """keys, value: each profile's linear interpolation at ``x0``, flat beyond its ends, null with under two points.
 
-    Points at the same distance count with their mean.
+    Points at the same distance count with their mean.  Profiles without a
+    single known point are absent, unless ``every`` asks for them, with null.
     """
-    rows = points.select(*keys, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    rows = rows.groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    rows = points.select(*keys, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"))
+    if every:
+        rows = rows.withColumn("x", F.when(F.col("y").isNotNull(), F.col("x")))
+    else:
+        rows = rows.where("x IS NOT NULL AND y IS NOT NULL")
+    rows = rows.groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count("x").alias("n"))
     here = F.struct("x", "y")
     sides = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.when(F.col("x") <= x0, here)).alias("a"), F.min(F.when(F.col("x") >= x0, here)).alias("b"))
     between = F.col("a.y") + (F.lit(x0) - F.col("a.x")) / F.nullif(F.col("b.x") - F.col("a.x"), F.lit(0.0)) * (F.col("b.y") - F.col("a.y"))
@@ -63,9 +68,9 @@ def crossings(points: DataFrame, keys: list[str], reference: Column, which: str
     tolerance = pick(atol, params, "crossing_atol")
     pair = ["x", "y"]
     rows = points.select(*keys, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"), reference.cast("double").alias("ref"))
-    rows = rows.where("x IS NOT NULL AND y IS NOT NULL AND ref IS NOT NULL").dropDuplicates([*keys, "ref", *pair])
     run = Window.partitionBy(*keys, "ref").orderBy(*pair)
-    rows = rows.withColumns({"x1": F.lead("x").over(run), "y1": F.lead("y").over(run)})
+    rows = rows.where("x IS NOT NULL AND y IS NOT NULL AND ref IS NOT NULL").withColumns({"x1": F.lead("x").over(run), "y1": F.lead("y").over(run)})
+    rows = rows.where("x1 IS NULL OR x1 <> x OR y1 <> y")  # of repeated points the last counts, whose neighbour is another
     d0, d1 = F.col("y") - F.col("ref"), F.col("y1") - F.col("ref")
     flips = F.signum(d0) * F.signum(d1) < 0
     if respect_gaps:

@@ -36,9 +36,9 @@ def crossing_exact(spark, sf):
     return _tidy(P.crossings(profiles(spark, sf), CYCLE, F.lit(4.0), "first"))
 
 
-def stand_clusters(spark, sf):
+def stand_clusters(spark, sf, points=None):
     """Each beam with the next one of its family as a cluster."""
-    beams = profiles(spark, sf).select("gt_family", "beam_id").distinct()
+    beams = (points or profiles(spark, sf)).select("gt_family", "beam_id").distinct()
     number = F.col("beam_id").cast("long")
     other = F.when(number % 2 == 0, number + 1).otherwise(number + 3)
     pair = lambda b: F.struct(F.col("gt_family"), b.cast("string").alias("beam_id"))
@@ -53,7 +53,8 @@ def bias_report(spark, sf):
 
 
 def _kept(spark, sf):
-    inside = staged(bias.profiles_in(stand_clusters(spark, sf), staged(profiles(spark, sf)), KEYS))
+    points = staged(profiles(spark, sf))
+    inside = staged(bias.profiles_in(stand_clusters(spark, sf, points), points, KEYS))
     return inside, staged(bias.keep(bias.evaluate(inside, KEYS), [2.0]))
 
 

@@ -46,46 +46,51 @@ def at_distance(points: DataFrame, keys: list[str], x0: float, x: str = "distanc
     else:
         rows = rows.where("x IS NOT NULL AND y IS NOT NULL")
     rows = rows.groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count("x").alias("n"))
-    here = F.struct("x", "y")
-    sides = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.when(F.col("x") <= x0, here)).alias("a"), F.min(F.when(F.col("x") >= x0, here)).alias("b"))
-    between = F.col("a.y") + (F.lit(x0) - F.col("a.x")) / F.nullif(F.col("b.x") - F.col("a.x"), F.lit(0.0)) * (F.col("b.y") - F.col("a.y"))
-    value = F.when(F.col("n") < 2, None).when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("a.x") == F.col("b.x")), F.col("a.y")).otherwise(between)
+    before, after = F.when(F.col("x") <= x0, F.col("x")), F.when(F.col("x") >= x0, F.col("x"))
+    # Numbers only: the greatest of structs would be found by sorting.
+    sides = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(before).alias("ax"), F.max_by("y", before).alias("ay"), F.min(after).alias("bx"), F.min_by("y", after).alias("by"))
+    between = F.col("ay") + (F.lit(x0) - F.col("ax")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0)) * (F.col("by") - F.col("ay"))
+    value = F.when(F.col("n") < 2, None).when(F.col("ax").isNull(), F.col("by")).when(F.col("bx").isNull() | (F.col("ax") == F.col("bx")), F.col("ay")).otherwise(between)
     return sides.select(*keys, value.alias("value"))
 
 
 def crossings(points: DataFrame, keys: list[str], reference: Column, which: str = "first", params: Params | None = None, atol: float | None = None,
               x: str = "distance_from_offshore", y: str = "h_li", respect_gaps: bool = False) -> DataFrame:
-    """keys, bluff_x, bluff_y: where each profile meets the ``reference`` height, first or last by distance.
+    """keys, bluff_x, bluff_y: where each profile meets the ``reference`` height (one for each profile), first or last by distance.
 
     A point at the height (within ``atol``) wins over every interpolated
     crossing.  Between neighbours on either side the position is interpolated,
     however wide the gap; ``respect_gaps`` leaves gaps over the threshold out.
     A profile that is flat at the height gives its median distance.  Profiles
     without a crossing, or with under two points, give null.
+
+    One shuffle and one sort by profile serve all steps, and the last one adds
+    up numbers only, so it needs neither another sort nor buffers of values.
     """
     if which not in ("first", "last"):
         raise ValueError("which is 'first' or 'last'")
     tolerance = pick(atol, params, "crossing_atol")
-    pair = ["x", "y"]
     rows = points.select(*keys, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"), reference.cast("double").alias("ref"))
-    run = Window.partitionBy(*keys, "ref").orderBy(*pair)
+    run = Window.partitionBy(*keys).orderBy("x", "y")
     rows = rows.where("x IS NOT NULL AND y IS NOT NULL AND ref IS NOT NULL").withColumns({"x1": F.lead("x").over(run), "y1": F.lead("y").over(run)})
     rows = rows.where("x1 IS NULL OR x1 <> x OR y1 <> y")  # of repeated points the last counts, whose neighbour is another
+    rows = rows.withColumns({"k": F.row_number().over(run), "points": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
     d0, d1 = F.col("y") - F.col("ref"), F.col("y1") - F.col("ref")
     flips = F.signum(d0) * F.signum(d1) < 0
     if respect_gaps:
         flips = flips & (F.col("x1") - F.col("x") <= pick(None, params, "gap_threshold_m"))
     crossed = F.col("x") + (F.col("ref") - F.col("y")) / F.nullif(F.col("y1") - F.col("y"), F.lit(0.0)) * (F.col("x1") - F.col("x"))
     crossed = F.when(~is_close(F.col("y"), F.col("y1"), tolerance), crossed)
-    end = F.min if which == "first" else F.max
-    each = rows.groupBy(*keys, "ref").agg(
-        F.count(F.lit(1)).alias("n"),
+    end, end_by = (F.min, F.min_by) if which == "first" else (F.max, F.max_by)
+    in_middle = (F.col("k") * 2).between(F.col("points"), F.col("points") + 2)
+    each = rows.groupBy(*keys).agg(
+        F.max("ref").alias("ref"), F.count(F.lit(1)).alias("n"),
         end(F.when(F.abs(d0) <= tolerance, F.col("x"))).alias("exact"),
-        end(F.when(flips, F.struct("x", crossed.alias("at")))).alias("flip"),
-        F.min("y").alias("low"), F.max("y").alias("high"), F.median("x").alias("middle"),
+        F.count_if(flips).alias("flips"), end_by(crossed, F.when(flips, F.col("k"))).alias("at"),
+        F.min("y").alias("low"), F.max("y").alias("high"), F.avg(F.when(in_middle, F.col("x"))).alias("middle"),
     )
     flat = is_close(F.col("low"), F.col("high"), tolerance) & is_close(F.col("low"), F.col("ref"), tolerance)
-    found = F.when(F.col("n") < 2, None).when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("flip").isNotNull(), F.col("flip.at")).when(flat, F.col("middle"))
+    found = F.when(F.col("n") < 2, None).when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("flips") > 0, F.col("at")).when(flat, F.col("middle"))
     return each.select(*keys, found.alias("bluff_x"), F.when(found.isNotNull(), F.col("ref")).alias("bluff_y"))
 
 

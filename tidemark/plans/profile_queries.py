@@ -54,7 +54,8 @@ def bias_report(spark, sf):
 
 def _kept(spark, sf):
     points = staged(profiles(spark, sf))
-    inside = staged(bias.profiles_in(stand_clusters(spark, sf, points), points, KEYS))
+    listed = staged(stand_clusters(spark, sf, points))  # as a table its size is known, and the points stay in place
+    inside = staged(bias.profiles_in(listed, points, KEYS))
     return inside, staged(bias.keep(bias.evaluate(inside, KEYS), [2.0]))
 
 

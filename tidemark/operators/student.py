@@ -60,12 +60,17 @@ def tcrit(confidence: float, dof: Column) -> Column:
     return F.when(dof.between(1, TABLE), F.try_element_at(listed, dof.cast("int"))).when(dof > TABLE, beyond(confidence, dof.cast("double")))
 
 
-def beyond(confidence: float, dof: Column) -> Column:
-    """Critical values beyond the table, as an expansion around the normal quantile."""
+def expansion(confidence: float) -> tuple[tuple[float, float, float], float]:
+    """The terms in 1 / dof, its square and its cube, and the normal quantile that they are added to."""
     p, low, high = (1 + confidence) / 2, 0.0, 40.0
     for _ in range(200):
         z = (low + high) / 2
         low, high = (z, high) if 0.5 * math.erfc(-z / math.sqrt(2)) < p else (low, z)
     z = (low + high) / 2
-    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384), z
+
+
+def beyond(confidence: float, dof: Column) -> Column:
+    """Critical values beyond the table, as an expansion around the normal quantile."""
+    terms, z = expansion(confidence)
     return F.lit(z) + F.lit(terms[0]) / dof + F.lit(terms[1]) / (dof * dof) + F.lit(terms[2]) / (dof * dof * dof)

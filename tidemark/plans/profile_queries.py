@@ -262,6 +262,29 @@ _POLAR_RHO = 6378137.0 * math.cos(math.radians(70)) / math.sqrt(1 - (_E * _SIN70
 _SIN71 = math.sin(math.radians(71))
 _SOUTH_RHO = 6378137.0 * math.cos(math.radians(71)) / math.sqrt(1 - (_E * _SIN71) ** 2) / (math.tan(math.radians(9.5)) / ((1 - _E * _SIN71) / (1 + _E * _SIN71)) ** (_E / 2))
 
+
+
+def _geodesic(rounds: int = 8) -> str:
+    """Lengths between a user's places, one after the other, each of Vincenty's rounds a table of its own."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b, d = a * (1 - f), "::DOUBLE"
+    tables = f"""g0 AS (SELECT event_id, user_id, latitude, atan({1 - f!r}{d} * tan(radians(lag(latitude) OVER w))) AS u, atan({1 - f!r}{d} * tan(radians(latitude))) AS v,
+        radians(longitude - lag(longitude) OVER w) AS l, radians(longitude - lag(longitude) OVER w) AS lam FROM places WINDOW w AS (PARTITION BY user_id ORDER BY -latitude, event_id))"""
+    for k in range(rounds):
+        tables += f""",
+        s{k} AS (SELECT * EXCLUDE (lam), lam, sqrt((cos(v) * sin(lam)) ** 2 + (cos(u) * sin(v) - sin(u) * cos(v) * cos(lam)) ** 2) AS ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) AS cs FROM g{k}),
+        a{k} AS (SELECT *, CASE WHEN ss > 0 THEN cos(u) * cos(v) * sin(lam) / ss ELSE 0 END AS sa FROM s{k}),
+        c{k} AS (SELECT *, 1 - sa * sa AS c2, CASE WHEN 1 - sa * sa > 1e-12{d} THEN cs - 2 * sin(u) * sin(v) / (1 - sa * sa) ELSE 0 END AS cm FROM a{k}),
+        t{k} AS (SELECT *, {f / 16!r}{d} * c2 * (4 + {f!r}{d} * (4 - 3 * c2)) AS c FROM c{k}),
+        g{k + 1} AS (SELECT event_id, user_id, latitude, u, v, l, l + (1 - c) * {f!r}{d} * sa * (atan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS lam FROM t{k})"""
+    return f"""{tables},
+        p AS (SELECT *, c2 * {(a * a - b * b) / (b * b)!r}{d} AS q FROM t{rounds - 1}),
+        big AS (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS big, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS small FROM p),
+        geodesic AS (SELECT event_id, user_id, latitude, {b!r}{d} * big * (atan2(ss, cs) - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS step FROM big)"""
+
+
+GEODESIC = f"{_PLACES}, {_geodesic()}"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -298,6 +321,7 @@ SQL = {
         h AS (SELECT event_id, h_li, sin(radians(latitude - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(latitude)) * sin(radians(longitude - lon0) / 2) ** 2 AS a FROM f)
         SELECT event_id, {r6('h_li')} AS h_li, {r6(_HAVERSINE)} AS distance FROM h""",
     "old_names": "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS track, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS granule_track, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS odd_track FROM orders",
+    "cum_geodesic": f"""WITH {GEODESIC} SELECT event_id, CAST(floor(sum(coalesce(step, 0)) OVER (PARTITION BY user_id ORDER BY -latitude, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100 + 0.5) AS BIGINT) AS centimetres FROM geodesic""",
     "granule_numbers": "SELECT user_id, CAST(trunc(median(event_id % 1387)) AS INT) AS rgt, CAST(trunc(median(event_id % 24)) AS INT) AS cycle FROM events GROUP BY user_id",
     "utm_fwd": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r3(f'500000 + {0.9996 * _RADIUS!r}::DOUBLE * (eta + {_series(_SERIES, 'cos', 'sinh')})')} AS x, {r3(f'{0.9996 * _RADIUS!r}::DOUBLE * (xi + {_series(_SERIES, 'sin', 'cosh')})')} AS y FROM p",
     "crs_transform": f"WITH {_PLACES}, {_UTM} SELECT event_id, {r2(_ZONE_X)} AS x, {r2(_ZONE_Y)} AS y FROM p",

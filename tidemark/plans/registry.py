@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import change_queries, profile_queries, space_queries
+from tidemark.plans import change_queries, profile_queries, space_queries, sql_queries
 
-MODULES = (change_queries, profile_queries, space_queries)
+MODULES = (change_queries, profile_queries, space_queries, sql_queries)
 
 
 def queries() -> dict:

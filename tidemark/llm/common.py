@@ -165,3 +165,9 @@ def add_columns(df: DataFrame, source: str, added: str, make, keep: list[str] |
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return narrow.mapInArrow(run, schema)
+
+
+def drawn(digest: Column, share: float) -> Column:
+    """Whether a 64-bit digest falls within a share, told to 1 in 2 ** 60, so that small shares of large tables are not rounded to none."""
+    fine = F.pmod(digest, F.lit(1 << 20)) * F.lit(1 << 40) + F.pmod(F.shiftrightunsigned(digest, 20), F.lit(1 << 40))
+    return fine < F.lit(int(share * (1 << 60)))

@@ -1,6 +1,7 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is any value assigned to a naming word (``password=``, ``token:``),
+A candidate is any value assigned to a naming word (``password=``, ``token:``,
+also in German, Spanish and French), or between user and host in an address,
 whatever its length and characters: up to the closing quote, or else to white
 space or the next such assignment.  Elsewhere it is a run of letters, digits
 and ``_ - + / .``, 16 characters or longer, or 8 if a naming word stands
@@ -46,19 +47,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, add_columns
+from tidemark.llm.common import Scratch, add_columns, drawn
 from tidemark.llm.forest import Forest, Tree
 
 SAMPLE, FINDINGS, USUAL, THRESHOLD = 20_000, 6_000, 1e-5, 0.5
 #: Dictionary words that twins and generated findings are made of; findings that a neighbouring word needs to count.
 TWIN_WORDS, SUPPORT = 2_000, 5
 RUN = re.compile(r"[A-Za-z0-9_\-+/.]{8,}={0,2}")
-NAMING = re.compile(r"(?i)(pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?\s*(?:=|:|=>|is)?\s*[\"']?$")
-ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\"']?(?:\s*(?:={1,3}>?|:{1,2}=?)\s*|\s+is\s+)([\"']?)")
+#: Words that name a secret, in English, German, Spanish and French.
+NAMES = (
+    r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key"
+    r"|passwort|kennwort|zugangs(?:code|schl(?:ü|ue)ssel)|contrase(?:ñ|n)a|clave[_ -](?:secreta|privada|api|de[_ -]acceso)|mot[_ -]?de[_ -]?passe|cl(?:é|e)[_ -](?:api|secr(?:è|e)te|priv(?:é|e)e|d'acc(?:è|e)s)"
+)
+NAMING = re.compile(rf"(?i)({NAMES})[\"']?\s*(?:=|:|=>|is|ist|es|est)?\s*[\"']?$")
+ASSIGNED = re.compile(rf"(?i)(?:{NAMES})[\"']?(?:\s*(?:={{1,3}}>?|:{{1,2}}=?)\s*|\s+(?:is|ist|es|est)\s+)([\"']?)")
+#: What stands between user and host in an address, and how a text before it ends.
+CREDENTIAL, AUTHORITY = re.compile(r"://[^\s/@:]{0,64}:([^\s/@]{1,256})@"), re.compile(r"://[^\s/@:]*:$")
 SPACE, LINE_END = re.compile(r"\s"), re.compile(r"[\r\n]")
 #: What may close a sentence or bracket around a value without quotes, with what opens it.
 ENDS = {")": "(", "]": "[", "}": "{", ">": "<", '"': '"', "'": "'"}
-WORDS = re.compile(r"[A-Za-z]+")
+WORDS, SPOKEN = re.compile(r"[A-Za-z]+"), re.compile(r"[^\W\d_]+")
 ALPHABET = 39  # letters, digits, anything else; 38 opens and closes a word
 
 # Formats of issued keys, and shapes that are none.
@@ -73,8 +81,8 @@ _ISSUED, _PLAIN = (re.compile("(?:" + "|".join(xs) + r")\Z") for xs in (ISSUED,
 
 
 def assigned(text: str) -> list[tuple[int, int]]:
-    """Where values assigned to naming words stand in a text, whatever their characters."""
-    out, names = [], list(ASSIGNED.finditer(text))
+    """Where values assigned to naming words stand in a text, and what addresses have between user and host, whatever their characters."""
+    out, names = [m.span(1) for m in CREDENTIAL.finditer(text)], list(ASSIGNED.finditer(text))
     for m, following in zip(names, [*[m.start() for m in names[1:]], len(text)]):
         start, quote = m.end(), m.group(1)
         stop = SPACE.search(text, start, following)
@@ -88,7 +96,7 @@ def assigned(text: str) -> list[tuple[int, int]]:
                 end -= 1
         if end > start:
             out.append((start, end))
-    return out
+    return sorted(out)
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -113,6 +121,8 @@ def looks_secret(value: str, before: str, after: str = "") -> bool | None:
     """The label of a finding: an issuer's format, or an assignment of something that is no plain value; None if that does not tell."""
     if _ISSUED.match(value):
         return True
+    if AUTHORITY.search(before) and after.startswith("@"):
+        return True if any(c.isdigit() for c in value) else None
     if _PLAIN.match(value) or before.endswith("@") or after.startswith("@"):
         return False
     if not NAMING.search(before) or entropy(value) < 2.8:
@@ -127,7 +137,7 @@ def _place(c: str) -> int:
 
 def neighbours(before: str) -> list[str]:
     """The last words before a value, in lower case."""
-    return [w.lower() for w in WORDS.findall(before)[-3:]]
+    return [w.lower() for w in SPOKEN.findall(before)[-3:]]
 
 
 def word_odds(rows: list[tuple[str, str, str, int]]) -> dict[str, float]:
@@ -176,7 +186,7 @@ class Corpus:
             float(value.count("/") + value.count(".")), float(all(c in "0123456789abcdef" for c in value)),
             max(odds, default=0.0), sum(odds), odds[-1] if odds else 0.0,
             float(before[-1:] in "\"'" and before != ""), float(before.rstrip("\"' ")[-1:] in ("=", ":")),
-            float(before[-1:] == "@" or after[:1] == "@"),
+            float(before[-1:] == "@" or after[:1] == "@"), float(after[:1] == "@" and AUTHORITY.search(before) is not None),
         ]
 
 
@@ -189,7 +199,7 @@ def _unassigned(text: str) -> str:
     parts, at = [], 0
     for start, end in assigned(text):
         parts.append(text[at:start])
-        at = end
+        at = max(at, end)
     return " ".join([*parts, text[at:]])
 
 
@@ -237,6 +247,8 @@ def drawn_words(words: set[str]) -> list[str]:
     return sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[:TWIN_WORDS] or ["the", "and", "example", "value", "local"]
 
 
+#: Naming words of the other languages, as generated findings have them.
+FOREIGN = ["pwd", "Passwort", "Kennwort", "Zugangscode", "contraseña", "clave secreta", "clave de acceso", "mot de passe", "clé API", "clé secrète"]
 LETTERS = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -247,7 +259,7 @@ def generated(words: list[str], rng: np.random.Generator, each: int = 60) -> lis
     spoken = lambda: f"{rng.choice(words)} {rng.choice(words)} "
     out = []
     for _ in range(each):
-        name = str(rng.choice(["password", "token", "secret", "api_key", "access_key", "auth", "passwd", "credential", "private_key"]))
+        name = str(rng.choice(["password", "token", "secret", "api_key", "access_key", "auth", "passwd", "credential", "private_key", *FOREIGN]))
         joint = str(rng.choice(["=", ": ", ' = "', '="']))
         out.append(("AKIA" + draw(upper, 16), spoken(), " ", 1))
         out.append((draw(hexa, int(rng.choice([16, 18, 20, 32, 40, 64]))), spoken() + name + joint, '" ' if '"' in joint else " ", 1))
@@ -259,6 +271,12 @@ def generated(words: list[str], rng: np.random.Generator, each: int = 60) -> lis
         out.append(("-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), spoken(), " ", 0))
         out.append((f"{rng.choice(words)}/{rng.choice(words)}/{rng.choice(words)}{rng.integers(0, 99)}.html", spoken(), " ", 0))
         out.append((f"{rng.choice(words)}{rng.choice(words)}{rng.choice(words)}{rng.integers(1, 9)}", spoken() + name + joint, " ", 0))
+        # Addresses with a password, and with a plain word in its place.
+        address = f"{spoken()}{rng.choice(['https', 'ftp', 'postgres', 'amqp'])}://{rng.choice(words)[:12]}:"
+        host = f"@{rng.choice(words)}"[:8]
+        out.append((draw(upper + lower, int(rng.integers(8, 24))), address[-32:], host, 1))
+        out.append((f"{rng.choice(words)}{rng.integers(0, 999)}", address[-32:], host, 1))
+        out.append((str(rng.choice(words)), address[-32:], host, 0))
         # Assigned values without digits, with symbols, and words alone.
         ahead = spoken() + name + joint
         out.append((draw(LETTERS, int(rng.integers(8, 33))), ahead, " ", 1))
@@ -275,7 +293,7 @@ def generated(words: list[str], rng: np.random.Generator, each: int = 60) -> lis
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, str, str, int]]:
     """Labelled findings of about ``SAMPLE`` documents."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(41)), F.lit(1 << 20)) < int(share * (1 << 20))).select(text)
+    chosen = docs.where(drawn(F.xxhash64(F.col(doc_id), F.col(text), F.lit(41)), share)).select(text)
 
     def find(batches):
         import pyarrow as pa

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, add_columns
+from tidemark.llm.common import Scratch, add_columns, drawn
 
 #: Labelled rows that a fit reads, about.
 SAMPLE = 12_000
@@ -234,7 +234,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, most: int, doc_id: s
     """(text, y): about ``most`` labelled rows, chosen by a digest of the id; 0/1 labels only."""
     named = labels.where(F.col(doc_id).isNotNull() & F.col(target).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(target).cast("int").alias("y"))
     share = min(1.0, most / max(1, named.count()))
-    chosen = named.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = named.where(drawn(F.xxhash64("id", F.lit(17)), share))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), "id").select("text", "y")  # bounded by ``most``
 

@@ -107,6 +107,8 @@ def test_naming_words_of_four_languages_and_addresses():
         ("see https://user:hunter2@host.com/x", "hunter2"), ("clé API : k3y", "k3y"), ("postgres://a:p:q@h", "p:q"), ("Das Kennwort ist Xy12", "Xy12"),
     ):
         assert value in [text[a:b] for a, b in secrets.candidates(text)], text
+    mixed = "İ PassWORD=Abc1 CONTRASEÑA: xY9 Zugangscode ist Q7"  # longer in lower case
+    assert [mixed[a:b] for a, b in secrets.assigned(mixed)] == [mixed[a:b] for a, b in ((x - 1, y - 1) for x, y in secrets.assigned("I " + mixed[1:])) if a >= 0] == ["Abc1", "xY9", "Q7"]
     assert secrets.candidates("https://host.com/a:b and me@host.com, a clave importante") == []
 
 

@@ -61,6 +61,8 @@ NAMES = (
 )
 NAMING = re.compile(rf"(?i)({NAMES})[\"']?\s*(?:=|:|=>|is|ist|es|est)?\s*[\"']?$")
 ASSIGNED = re.compile(rf"(?i)(?:{NAMES})[\"']?(?:\s*(?:={{1,3}}>?|:{{1,2}}=?)\s*|\s+(?:is|ist|es|est)\s+)([\"']?)")
+#: The same for texts in lower case, in which the search is some eight times as fast.
+LOWER = re.compile(ASSIGNED.pattern.replace("(?i)", "", 1))
 #: What stands between user and host in an address, and how a text before it ends.
 CREDENTIAL, AUTHORITY = re.compile(r"://[^\s/@:]{0,64}:([^\s/@]{1,256})@"), re.compile(r"://[^\s/@:]*:$")
 SPACE, LINE_END = re.compile(r"\s"), re.compile(r"[\r\n]")
@@ -82,7 +84,9 @@ _ISSUED, _PLAIN = (re.compile("(?:" + "|".join(xs) + r")\Z") for xs in (ISSUED,
 
 def assigned(text: str) -> list[tuple[int, int]]:
     """Where values assigned to naming words stand in a text, and what addresses have between user and host, whatever their characters."""
-    out, names = [m.span(1) for m in CREDENTIAL.finditer(text)], list(ASSIGNED.finditer(text))
+    low = text.lower()  # never shorter; of equal length, places are the same
+    names = list(LOWER.finditer(low) if len(low) == len(text) else ASSIGNED.finditer(text))
+    out = [m.span(1) for m in CREDENTIAL.finditer(text)]
     for m, following in zip(names, [*[m.start() for m in names[1:]], len(text)]):
         start, quote = m.end(), m.group(1)
         stop = SPACE.search(text, start, following)

@@ -214,7 +214,7 @@ def grid_sweep(spark, sf):
         return kept_table(_tidy(workflow.sweep(kept, shore(spark, sf), "129", report, Params(bias_x0=250.0))))
 
 
-def _flags(table: str, name: str) -> str:
+def _flags_sql(table: str, name: str) -> str:
     """The gate's flags of the points of a table."""
     return f"""{table},
     each AS (SELECT gt_family, beam_id, count(*) AS n, coalesce(bool_or(abs(h_li) > 17), false) AS elev_trash, median(x) AS x, median(y) AS y FROM {name} GROUP BY ALL),
@@ -225,7 +225,7 @@ def _flags(table: str, name: str) -> str:
               FROM each JOIN means USING (gt_family) LEFT JOIN near USING (gt_family, beam_id))"""
 
 
-_FLAGS = _flags(CLOUDS, "clouds")
+_FLAGS = _flags_sql(CLOUDS, "clouds")
 #: Tracks of supplier and year, profiles of one point left out.
 _DATED = """dated_points AS (SELECT 'gt' || CAST(l_suppkey % 3 + 1 AS VARCHAR) AS gt_family, CAST(l_suppkey AS VARCHAR) || '_' || CAST(year(l_shipdate) AS VARCHAR) AS beam_id, (l_partkey % 30) * 20.0::DOUBLE AS y,
         l_suppkey * 7.0::DOUBLE + (year(l_shipdate) - 1995) * 1.5::DOUBLE + avg(l_discount) AS x, ((l_partkey % 30) * 20.0::DOUBLE - 300 - (year(l_shipdate) - 1995) * 2) / 60 + (avg(l_quantity) - 25) / 100 AS h_li
@@ -369,7 +369,7 @@ SQL = {
         {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in quality.STATUSES)} FROM flags GROUP BY gt_family""",
     "gate_kept": f"WITH {_FLAGS} SELECT gt_family, beam_id, count(*) AS n FROM clouds WHERE beam_id IN (SELECT beam_id FROM flags WHERE status = 'loaded') GROUP BY ALL",
     "gate_flagged": f"WITH {_FLAGS} SELECT gt_family, beam_id, {r6('nearest_dist')} AS nearest_dist FROM flags WHERE too_far",
-    "quality_gate": f"WITH {_flags(_DATED, 'dated')} SELECT gt_family, beam_id, count(*) AS n FROM dated WHERE beam_id IN (SELECT beam_id FROM flags WHERE status = 'loaded') GROUP BY ALL",
+    "quality_gate": f"WITH {_flags_sql(_DATED, 'dated')} SELECT gt_family, beam_id, count(*) AS n FROM dated WHERE beam_id IN (SELECT beam_id FROM flags WHERE status = 'loaded') GROUP BY ALL",
     "family_center": f"WITH {CLOUDS} SELECT gt_family, {r6('avg(x)')} AS center_x, {r6('avg(y)')} AS center_y FROM (SELECT DISTINCT gt_family, x, y FROM clouds) GROUP BY gt_family",
     "polyline_length": f"WITH {_MEASURES} SELECT gt_family, beam_id, {_each('length')} FROM measures",
     "polyline_centroid": f"WITH {_MEASURES} SELECT gt_family, beam_id, {_each('cx', 'cy')} FROM measures",

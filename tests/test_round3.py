@@ -2,14 +2,63 @@
 
 import ast
 import inspect
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import clusters, planar, spatial
 from tidemark.plans import change_queries, profile_queries, space_queries, sql_queries
+from tidemark.sources.staging import staged
 
 
 @pytest.mark.parametrize("module", [change_queries, profile_queries, space_queries, sql_queries])
 def test_no_function_of_a_query_module_is_defined_twice(module):
     names = Counter(node.name for node in ast.parse(inspect.getsource(module)).body if isinstance(node, ast.FunctionDef))
     assert not [name for name, n in names.items() if n > 1]
+
+
+def _largest_method(table):
+    """Bytes of the largest method that Spark generates for a plan; over 8,000 the virtual machine never compiles it."""
+    stats = table._jdf.queryExecution().debug().codegenToSeq()
+    return max(stats.apply(k)._3().maxMethodCodeSize() for k in range(stats.size()))
+
+
+@pytest.fixture
+def still(spark):
+    """The session with plans that do not change while they run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def _crossed(spark, n=60):
+    """Lines of one to three pieces, short and long, at random and alongside each other."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(n):
+        x, y, seq = rng.uniform(0, 300), rng.uniform(0, 300), 0
+        for _ in range(rng.choice([2, 3, 4])):
+            rows.append((f"gt{k % 3 + 1}", str(k), float(seq), x, y))
+            step = rng.choice([3, 20, 250])
+            x, y, seq = x + rng.uniform(-step, step), y + rng.choice([0.0, rng.uniform(-step, step)]), seq + 1
+    points = spark.createDataFrame(rows, "gt_family string, beam_id string, seq double, x double, y double")
+    return planar.segments(points, ["gt_family", "beam_id"], ["seq"])
+
+
+def test_pair_distances_as_by_comparing_all(spark):
+    lines = staged(_crossed(spark))
+    other = lines.select(*[F.col(c).alias(f"o{c}") for c in ("gt_family", "beam_id", "x0", "y0", "x1", "y1")])
+    ends = [F.col(c) for c in ("x0", "y0", "x1", "y1", "ox0", "oy0", "ox1", "oy1")]
+    apart = F.when(F.col("beam_id") == F.col("obeam_id"), F.lit(0.0)).otherwise(spatial.segment_segment(*ends))
+    both = lines.crossJoin(other).groupBy("gt_family", "beam_id", "ogt_family", "obeam_id").agg(F.min(apart).alias("dist")).where("dist <= 21")
+    want = {tuple(r[:4]): r.dist for r in both.collect()}
+    rows = clusters.pair_distances(lines, 21.0).select("gt_family", "beam_id", "other_family", "other_beam", "dist").collect()
+    got = {tuple(r[:4]): r.dist for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and len(got) > 100
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pair_distances_are_compiled(still):
+    assert _largest_method(clusters.pair_distances(staged(_crossed(still)), 21.0)) < 8000

@@ -11,7 +11,7 @@ from tidemark.functions.numeric import rounded
 from tidemark.operators.keys import numbered, scoped
 from tidemark.operators.outlines import axis, corridors, ring, vertices
 from tidemark.operators.planar import at_length
-from tidemark.operators.spatial import along, nearest_segments, point_segment, segment_segment
+from tidemark.operators.spatial import directed, filed, meeting, nearest_segments, point_segment, squared_gaps
 from tidemark.params import Params, pick
 from tidemark.sources.staging import staged
 
@@ -19,33 +19,34 @@ from tidemark.sources.staging import staged
 def pair_distances(lines: DataFrame, reach: float) -> DataFrame:
     """(family, beam, other family, other beam, distance) of lines within ``reach``, each with itself at 0.
 
-    Segments are filed under the cells that they touch and widened by the
-    reach on one side only; pairs that share a cell are measured.
+    Segments, in pieces of at most two cells, are filed under the cells of their
+    boxes, widened by the reach on one side only.  Two pieces may share several
+    cells; they are measured in the one that holds the lower corner of what
+    their boxes share, and only one of two lines looks for the other.  The
+    arithmetic goes step by step, each step once for a pair and small enough to
+    be compiled.
     """
-    names, reach = ("x0", "y0", "x1", "y1"), float(reach)
-    width, track = max(2 * reach, 25.0), scoped(lines)
-    corners = [F.col(n) for n in names]
-    a = lines.select(*track, "gt_family", "beam_id", *names, F.explode(along(*corners, width, reach)).alias("c"))
-    b = lines.select(*[F.col(t).alias(f"o{t}") for t in track], F.col("gt_family").alias("other_family"), F.col("beam_id").alias("other_beam"), *[F.col(n).alias(f"o{n}") for n in names], F.explode(along(*corners, width, 0.0)).alias("oc"))
-    # By cell, in a number of partitions that stays: the work is in the pairs, which the bytes read do not show.
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    same = a["c"] == b["oc"]
-    for t in track:
-        same = same & (a[t] == b[f"o{t}"])
-    met = a.repartition(parts, "c").join(b, same).where((F.col("gt_family") != F.col("other_family")) | (F.col("beam_id") != F.col("other_beam")))
-    apart = lambda p, q: F.greatest(F.least(f"{p}0", f"{p}1") - F.greatest(f"o{p}0", f"o{p}1"), F.least(f"o{p}0", f"o{p}1") - F.greatest(f"{p}0", f"{p}1")) <= q
-    met = met.where(apart("x", reach) & apart("y", reach))  # boxes first: most pairs need no more
-    away = segment_segment(*corners, *[F.col(f"o{n}") for n in names])
-    near = met.withColumn("dist", away).where(F.col("dist") <= reach).groupBy(*track, "gt_family", "beam_id", "other_family", "other_beam").agg(F.min("dist").alias("dist"))
-    own = lines.select(*track, "gt_family", "beam_id").distinct()
-    return near.unionByName(own.withColumns({"other_family": F.col("gt_family"), "other_beam": F.col("beam_id"), "dist": F.lit(0.0)}))
-
-
-def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beams: int, families: tuple[str, ...], plane: int | str = Params.utm_epsg) -> DataFrame:
+    reach = float(reach)
+    width, beam = max(2 * reach, 25.0), scoped(lines, "gt_family", "beam_id")
+    track = beam[:-2]
+    own = directed(lines).select(*beam, "x0", "y0", "x1", "y1", "dx", "dy", "size")
+    met = meeting(filed(own, width, reach), filed(own, width, 0.0), [*track, "cx", "cy"], width)
+    met = met.where((F.col("gt_family") < F.col("ogt_family")) | ((F.col("gt_family") == F.col("ogt_family")) & (F.col("beam_id") < F.col("obeam_id"))))
+    both = [*beam, "ogt_family", "obeam_id"]
+    near = squared_gaps(met, both).groupBy(*both).agg(F.sqrt(F.min("gap")).alias("dist")).where(F.col("dist") <= reach)
+    way = lambda f, b, of, ob: F.struct(F.col(f).alias("gt_family"), F.col(b).alias("beam_id"), F.col(of).alias("other_family"), F.col(ob).alias("other_beam"))
+    ways = F.array(way("gt_family", "beam_id", "ogt_family", "obeam_id"), way("ogt_family", "obeam_id", "gt_family", "beam_id"))
+    near = near.select(*track, F.explode(ways).alias("w"), "dist").select(*track, "w.*", "dist")
+    alone = lines.select(*beam).distinct()
+    return near.unionByName(alone.withColumns({"other_family": F.col("gt_family"), "other_beam": F.col("beam_id"), "dist": F.lit(0.0)}))
+
+
+def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beams: int, families: tuple[str, ...], plane: int | str = Params.utm_epsg, centers: bool = True) -> DataFrame:
     """One candidate for each size and seed beam: the beams (of any family) whose line comes within half the size of it.
 
     A candidate's center is the centroid of its corridor, of half the size on
-    either side of the seed's line, in ``plane`` and in degrees.  Ids number the seeds by family (in the order given) and beam, before small
+    either side of the seed's line, in ``plane`` and in degrees; without
+    ``centers`` the four columns are left out, and nothing is drawn.  Ids number the seeds by family (in the order given) and beam, before small
     candidates are left out, so they have gaps.
     """
     beam = scoped(lines, "gt_family", "beam_id")
@@ -57,12 +58,13 @@ def candidates(points: DataFrame, lines: DataFrame, sizes: list[float], min_beam
     grid = F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("cluster_distance_m")
     member = F.struct(F.col("other_family").alias("gt_family"), F.col("other_beam").alias("beam_id"))
     groups = near.select("*", grid).where(F.col("dist") <= F.col("cluster_distance_m") / 2).groupBy("cluster_distance_m", *beam).agg(F.array_sort(F.collect_list(member)).alias("beam_ids"))
-    centers = staged(corridors(lines, beam, [s / 2 for s in sizes])).select(*beam, (F.col("radius") * 2).alias("cluster_distance_m"), F.col("cx").alias("center_x"), F.col("cy").alias("center_y"))
-    full = groups.withColumn("num_beams", F.size("beam_ids")).where(F.col("num_beams") >= min_beams).join(seeds, beam).join(centers, [*beam, "cluster_distance_m"])
-    full = full.withColumn("center", crs.inverse(crs.parse(plane), F.col("center_x"), F.col("center_y")))
-    return full.select(
-        *beam, "num_points", "cluster_distance_m", "cluster_id", "beam_ids", "num_beams", "center_x", "center_y", F.col("center.lon").alias("center_lon"), F.col("center.lat").alias("center_lat")
-    )
+    full = groups.withColumn("num_beams", F.size("beam_ids")).where(F.col("num_beams") >= min_beams).join(seeds, beam)
+    columns = [*beam, "num_points", "cluster_distance_m", "cluster_id", "beam_ids", "num_beams"]
+    if not centers:
+        return full.select(*columns)
+    middle = staged(corridors(lines, beam, [s / 2 for s in sizes])).select(*beam, (F.col("radius") * 2).alias("cluster_distance_m"), F.col("cx").alias("center_x"), F.col("cy").alias("center_y"))
+    full = full.join(middle, [*beam, "cluster_distance_m"]).withColumn("center", crs.inverse(crs.parse(plane), F.col("center_x"), F.col("center_y")))
+    return full.select(*columns, "center_x", "center_y", F.col("center.lon").alias("center_lon"), F.col("center.lat").alias("center_lat"))
 
 
 def family_track(clusters: DataFrame) -> DataFrame:

@@ -23,7 +23,9 @@ _STEP = math.pi / 2 / QUADRANT
 
 def vertices(lines: DataFrame, keys: list[str]) -> DataFrame:
     """keys and ``line``: the vertices of each line (seg, x0, y0, x1, y1) as an array of (x, y), without pieces of no length."""
-    held = lines.where("len > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg", "x0", "y0", "x1", "y1"))).alias("s"))
+    # In a number of partitions that stays: the work is in what is drawn, which the bytes read do not show.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = lines.where("len > 0").repartition(parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg", "x0", "y0", "x1", "y1"))).alias("s"))
     first = F.transform(F.slice("s", 1, 1), lambda s: F.struct(s.x0.alias("x"), s.y0.alias("y")))
     return held.select(*keys, F.concat(first, F.transform("s", lambda s: F.struct(s.x1.alias("x"), s.y1.alias("y")))).alias("line"))
 

@@ -72,6 +72,59 @@ def segment_segment(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     return F.when(crossing_at(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1).isNotNull(), F.lit(0.0)).otherwise(ends)
 
 
+def filed(segments: DataFrame, width: float, reach: float) -> DataFrame:
+    """``segments`` (x0 to y1), in pieces of at most two cells, once for each cell (cx, cy) of a piece's box widened by ``reach``: with the box, low_x to high_y."""
+    count = F.greatest(F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / F.lit(2.0 * width)), F.lit(1)).cast("int")
+    pieces = segments.withColumn("__n", count).select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__k"))
+    reach = reach + 1e-9 * width  # a piece's rounded end must not fall out of its cell
+    box = {}
+    for p in "xy":
+        one, two = (F.col(f"{p}0") + (F.col(f"{p}1") - F.col(f"{p}0")) * k / F.col("__n") for k in (F.col("__k"), F.col("__k") + 1))
+        box |= {f"low_{p}": F.least(one, two) - reach, f"high_{p}": F.greatest(one, two) + reach}
+    boxed = pieces.withColumns(box).drop("__n", "__k")
+    across = boxed.select("*", F.explode(F.sequence(cell(F.col("low_x"), width), cell(F.col("high_x"), width))).alias("cx"))
+    return across.select("*", F.explode(F.sequence(cell(F.col("low_y"), width), cell(F.col("high_y"), width))).alias("cy"))
+
+
+def meeting(a: DataFrame, b: DataFrame, cells: list[str], width: float) -> DataFrame:
+    """Pairs of ``filed`` pieces, the second's columns but ``cells`` after ``o``, whose boxes meet: each pair once, in the cell of the lower corner of what the boxes share."""
+    # By cell, in a number of partitions that stays: the work is in the pairs, which the bytes read do not show.
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.repartition(parts, *cells).join(b.select(*[F.col(c) if c in cells else F.col(c).alias(f"o{c}") for c in b.columns]), cells)
+    for p in "xy":
+        low = F.greatest(f"low_{p}", f"olow_{p}")
+        met = met.where((low <= F.least(f"high_{p}", f"ohigh_{p}")) & (cell(low, width) == F.col(f"c{p}")))
+    return met
+
+
+def directed(segments: DataFrame) -> DataFrame:
+    """``segments`` with dx, dy and size, the squared length."""
+    run = segments.withColumns({"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0")})
+    return run.withColumn("size", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+
+
+def squared_gaps(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``gap``: the squared distance between two segments, given as x0 to y1, dx, dy and size (squared length), and the same after ``o``.
+
+    The same as ``segment_segment``, in steps: what a step needs twice is a
+    column of the one before, and no step grows too large to be compiled.
+    """
+    ends, col = {}, F.col
+    for name, (px, py), o in (("a0", ("x0", "y0"), "o"), ("a1", ("x1", "y1"), "o"), ("b0", ("ox0", "oy0"), ""), ("b1", ("ox1", "oy1"), "")):
+        along_it = ((col(px) - col(f"{o}x0")) * col(f"{o}dx") + (col(py) - col(f"{o}y0")) * col(f"{o}dy")) / F.nullif(col(f"{o}size"), F.lit(0.0))
+        ends[f"__{name}"] = F.greatest(F.least(along_it, F.lit(1.0)), F.lit(0.0))
+    det = col("dx") * col("ody") - col("dy") * col("odx")
+    steps = pairs.withColumns(ends | {"__det": F.nullif(det, F.lit(0.0)), "__ex": col("ox0") - col("x0"), "__ey": col("oy0") - col("y0")})
+    off = {}
+    for name, (px, py), o in (("a0", ("x0", "y0"), "o"), ("a1", ("x1", "y1"), "o"), ("b0", ("ox0", "oy0"), ""), ("b1", ("ox1", "oy1"), "")):
+        off[f"__{name}x"] = col(px) - (col(f"{o}x0") + col(f"__{name}") * col(f"{o}dx"))
+        off[f"__{name}y"] = col(py) - (col(f"{o}y0") + col(f"__{name}") * col(f"{o}dy"))
+    steps = steps.withColumns(off | {"__t": (col("__ex") * col("ody") - col("__ey") * col("odx")) / col("__det"), "__u": (col("__ex") * col("dy") - col("__ey") * col("dx")) / col("__det")})
+    least = F.least(*[col(f"__{n}x") * col(f"__{n}x") + col(f"__{n}y") * col(f"__{n}y") for n in ("a0", "a1", "b0", "b1")])
+    crosses = col("__t").between(0.0, 1.0) & col("__u").between(0.0, 1.0)
+    return steps.select(*keys, F.when(crosses, F.lit(0.0)).otherwise(least).alias("gap"))
+
+
 def within_segments(points: DataFrame, segments: DataFrame, reach: float, closed: bool = True) -> DataFrame:
     """``points`` (x, y) within ``reach`` of any segment (x0, y0, x1, y1); the rim belongs to it if ``closed``."""
     spread = segments.select("x0", "y0", "x1", "y1", F.explode(along(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), reach, reach)).alias("c"))
@@ -150,32 +203,33 @@ def nearest_other(points: DataFrame, group: str | list[str], key: str, leaf: int
         left = staged(left.where("level > 0").join(sure.select(*place), place, "left_anti").withColumn("level", F.col("level") - 1))
 
 
-def nearest_segments(lines: DataFrame, keys: list[str], others: DataFrame, columns: list[str], width: float = 100.0) -> DataFrame:
+def nearest_segments(lines: DataFrame, keys: list[str], others: DataFrame, columns: list[str], width: float | None = None) -> DataFrame:
     """keys, d and what belongs to it: the nearest pair of a segment of each line (seg, x0 to y1) and one of ``others``.
 
     ``columns``: those of ``others`` that break ties and are passed on with its
-    ends, as ``s`` and the name.  Neighbours in the cells around settle all
-    whose nearest is within a cell's width; the others look in cells eight times
-    as wide, and so on, until none is left or a cell is as wide as everything.
+    ends, as ``s`` and the name.  Cells are first twice as wide as segments are
+    long (unless ``width`` says how wide), so that few share one.  Neighbours
+    within a cell's width settle their lines; the others look in cells four
+    times as wide, and so on, until none is left or a cell is as wide as everything.
     """
     ends = ["x0", "y0", "x1", "y1"]
-    left = staged(lines.select(*keys, "seg", *ends))
-    shore = staged(others.select(*[F.col(c).alias(f"s{c}") for c in [*columns, *ends]]))
-    both = left.select(*ends).union(shore.select(*[f"s{c}" for c in ends]))
+    left, shore = staged(lines.select(*keys, "seg", *ends)), staged(others.select(*columns, *ends))
+    both = left.select(*ends).union(shore.select(*ends))
     x, y = (F.greatest(F.max(f"{c}0"), F.max(f"{c}1")) - F.least(F.min(f"{c}0"), F.min(f"{c}1")) for c in "xy")
-    span, found, width = both.agg(F.greatest(x, y)).first()[0], None, float(width)
-    corners = [F.col(c) for c in ends]
+    span, mean = both.agg(F.greatest(x, y), F.avg(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()
+    found, width = None, float(width or 2 * (mean or 0) or 1)
+    passed = [*[F.col(f"o{c}").alias(f"s{c}") for c in columns], "seg", *ends, *[F.col(f"o{c}").alias(f"s{c}") for c in ends]]
     while True:
-        own = left.withColumn("c", F.explode(along(*corners, width, width)))
-        filed = shore.withColumn("sc", F.explode(along(*[F.col(f"s{c}") for c in ends], width, 0.0)))
-        met = own.join(filed, own["c"] == filed["sc"]).withColumn("d", segment_segment(*corners, *[F.col(f"s{c}") for c in ends]))
-        near = met.groupBy(*keys).agg(F.min(F.struct("d", *[f"s{c}" for c in columns], "seg", *ends, *[f"s{c}" for c in ends])).alias("b")).select(*keys, "b.*")
         last = span is None or width > span
-        sure = staged(near if last else near.where(F.col("d") <= width))
+        met = meeting(filed(directed(left), width, 0.0), filed(directed(shore), width, width), ["cx", "cy"], width)
+        met = squared_gaps(met, [*keys, *passed]).withColumn("d", F.sqrt("gap"))
+        met = met if last else met.where(F.col("d") <= width)
+        rest = [*[f"s{c}" for c in columns], "seg", *ends, *[f"s{c}" for c in ends]]
+        sure = staged(met.groupBy(*keys).agg(F.min(F.struct("d", *rest)).alias("b")).select(*keys, "b.*"))
         found = sure if found is None else found.unionByName(sure)
         if last:
             return found
         left = staged(left.join(sure.select(*keys), keys, "left_anti"))
         if left.isEmpty():
             return found
-        width *= 8
+        width *= 4

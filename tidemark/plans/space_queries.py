@@ -96,9 +96,9 @@ def neighbour_join(spark, sf):
     return _tidy(clusters.pair_distances(planar.beam_lines(tracks(spark, sf)), 21.0))
 
 
-def _candidates(spark, sf, sizes=(18.0, 42.0)):
+def _candidates(spark, sf, sizes=(18.0, 42.0), centers=False):
     points = staged(tracks(spark, sf))
-    return staged(clusters.candidates(points, staged(planar.beam_lines(points)), list(sizes), 2, ("gt1", "gt2", "gt3")))
+    return staged(clusters.candidates(points, staged(planar.beam_lines(points)), list(sizes), 2, ("gt1", "gt2", "gt3"), centers=centers))
 
 
 def candidate_clusters(spark, sf):
@@ -117,12 +117,12 @@ def greedy_summary(spark, sf):
 def cluster_angle(spark, sf):
     points = staged(tracks(spark, sf))
     lines = staged(planar.beam_lines(points))
-    found = clusters.candidates(points, lines, [42.0], 2, ("gt1", "gt2", "gt3"))
+    found = staged(clusters.candidates(points, lines, [42.0], 2, ("gt1", "gt2", "gt3"), centers=False))
     return clusters.angles(found, lines, shore(spark, sf)).select(*BEAM, "cluster_id", "angle_deg")
 
 
 def cluster_center(spark, sf):
-    return _tidy(_candidates(spark, sf).select("cluster_distance_m", *BEAM, "cluster_id", "center_x", "center_y"))
+    return _tidy(_candidates(spark, sf, centers=True).select("cluster_distance_m", *BEAM, "cluster_id", "center_x", "center_y"))
 
 
 def corridor_outline(spark, sf):

@@ -62,3 +62,17 @@ def test_pair_distances_as_by_comparing_all(spark):
 
 def test_pair_distances_are_compiled(still):
     assert _largest_method(clusters.pair_distances(staged(_crossed(still)), 21.0)) < 8000
+
+
+def test_places_on_a_long_line_meet_its_segments_by_stretches(spark, capsys):
+    rng = random.Random(1)
+    xs = [0.0]
+    for _ in range(300):
+        xs.append(xs[-1] + rng.choice([0.0, 0.5, 1.0, 30.0]))
+    shore = planar.segments(spark.createDataFrame([(0, k, x, 2.0) for k, x in enumerate(xs)], "part int, seq int, x double, y double"), ["part"], ["seq"])
+    at = [-5.0, 0.0, xs[-1], xs[-1] + 9, *[rng.uniform(0, xs[-1]) for _ in range(200)], *xs[::7]]
+    found = planar.at_length(staged(shore), ["part"], spark.createDataFrame([(0, k, a) for k, a in enumerate(at)], "part int, k int, at double"))
+    got = {(r.k, round(r.px, 6), r.py) for r in found.collect()}
+    assert got == {(k, round(min(max(a, 0.0), xs[-1]), 6), 2.0) for k, a in enumerate(at)}
+    found.explain()
+    assert "__stretch" in capsys.readouterr().out

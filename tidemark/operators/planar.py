@@ -34,10 +34,20 @@ def measures(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def at_length(lines: DataFrame, keys: list[str], places: DataFrame) -> DataFrame:
-    """keys and columns of ``places`` (keys, at: a length along the line, clamped to its ends), with the point (px, py)."""
-    ends = lines.groupBy(*keys).agg(F.sum("len").alias("__total"), F.max("seg").alias("__last"))
+    """keys and columns of ``places`` (keys, at: a length along the line, clamped to its ends), with the point (px, py).
+
+    Places and segments meet by stretches of the line as long as its segments
+    are on average, so a place is not held against the whole line.
+    """
+    ends = lines.groupBy(*keys).agg(F.sum("len").alias("__total"), F.max("seg").alias("__last"), F.avg("len").alias("__step"))
+    stretch = lambda at: F.coalesce(F.floor(at / F.nullif(F.col("__step"), F.lit(0.0))), F.lit(0)).cast("long")
     asked = places.join(ends, keys).withColumn("__at", F.greatest(F.least("at", "__total"), F.lit(0.0)))
-    held = asked.join(lines, keys).where((F.col("__at") >= F.col("cum")) & ((F.col("__at") < F.col("cum") + F.col("len")) | (F.col("seg") == F.col("__last"))))
+    asked = asked.withColumn("__stretch", stretch(F.col("__at"))).drop("__total", "__step")
+    end = F.col("cum") + F.col("len")
+    end = F.when(F.col("seg") == F.col("__last"), F.greatest(end, F.col("__total"))).otherwise(end)
+    spread = lines.select(*keys, "seg", "x0", "y0", "x1", "y1", "len", "cum").join(ends, keys)
+    spread = spread.withColumn("__stretch", F.explode(F.sequence(stretch(F.col("cum")), stretch(end)))).drop("__total", "__step", "__last")
+    held = asked.join(spread, [*keys, "__stretch"]).where((F.col("__at") >= F.col("cum")) & ((F.col("__at") < F.col("cum") + F.col("len")) | (F.col("seg") == F.col("__last"))))
     share = F.coalesce((F.col("__at") - F.col("cum")) / F.nullif(F.col("len"), F.lit(0.0)), F.lit(0.0))
     px, py = F.col("x0") + share * (F.col("x1") - F.col("x0")), F.col("y0") + share * (F.col("y1") - F.col("y0"))
     return held.select(*places.columns, px.alias("px"), py.alias("py"))

@@ -81,7 +81,9 @@ def yref_oldest(spark, sf):
 
 
 def used_cycles(spark, sf):
-    return _accepted(spark, sf).groupBy(*KEYS).agg(F.count_distinct("beam_id").alias("used_beams"), F.count_distinct("beam_id", "acq_date").alias("used_cycles"))
+    inside, kept = _kept(spark, sf)
+    passes = inside.select(*KEYS, "beam_id", "acq_date").distinct()  # a beam and date is accepted or not, whatever its points
+    return bias.allowed(passes, kept, KEYS).groupBy(*KEYS).agg(F.count_distinct("beam_id").alias("used_beams"), F.count_distinct("beam_id", "acq_date").alias("used_cycles"))
 
 
 def along_track(spark, sf):

@@ -43,6 +43,17 @@ def report(clusters: DataFrame, profiles: DataFrame, keys: list[str], x0: float
     return rows if include_reference else rows.where(~(F.col("beam_id") == F.col("reference_beam")))
 
 
+def passes(profiles: DataFrame, x0: float | None = None, params: Params | None = None) -> DataFrame:
+    """One line per pass: its keys, ``value`` (height at ``x0``) and ``half`` (middle of its heights).
+
+    Clusters without a clip take whole passes.  All that is judged of a pass is
+    found here once, so its points need not be copied into every cluster.
+    """
+    cycle = [*([TRACK] if TRACK in profiles.columns else []), "gt_family", "beam_id", "acq_date"]
+    each = at_distance(profiles, cycle, float(pick(x0, params, "bias_x0")), every=True, ends=True)
+    return each.select(*cycle, "value", ((F.col("low") + F.col("high")) / 2).alias("half"))
+
+
 def evaluate(points: DataFrame, keys: list[str], x0: float | None = None, params: Params | None = None) -> DataFrame:
     """Biases of ``points`` of clusters: keys, reference_beam, beam_id, acq_date, bias, is_ref.
 
@@ -50,13 +61,18 @@ def evaluate(points: DataFrame, keys: list[str], x0: float | None = None, params
     which it can be interpolated; clusters without one are absent.  Every date
     of the seed has bias 0.
     """
-    at = float(pick(x0, params, "bias_x0"))
     cycle = [*keys, "reference_beam", "beam_id", "acq_date"]
-    values = at_distance(points.where("acq_date IS NOT NULL"), cycle, at, every=True)
+    dated = points.where("acq_date IS NOT NULL")
+    return judged(at_distance(dated, cycle, float(pick(x0, params, "bias_x0")), every=True), keys)
+
+
+def judged(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``evaluate`` for passes of clusters whose ``value`` is known: keys, reference_beam, beam_id, acq_date, value."""
+    cycle = [*keys, "reference_beam", "beam_id", "acq_date"]
     is_ref = F.col("beam_id") == F.col("reference_beam")
     seed = F.when(is_ref & F.col("value").isNotNull(), F.col("acq_date"))
     cluster = Window.partitionBy(*keys, "reference_beam")  # one line a pass, whatever the number of points
-    rows = values.withColumn("y_ref", F.max_by("value", seed).over(cluster)).where("y_ref IS NOT NULL")
+    rows = values.where("acq_date IS NOT NULL").withColumn("y_ref", F.max_by("value", seed).over(cluster)).where("y_ref IS NOT NULL")
     return rows.select(*cycle, F.when(is_ref, F.lit(0.0)).otherwise(F.col("value") - F.col("y_ref")).alias("bias"), is_ref.alias("is_ref"))
 
 
@@ -104,9 +120,18 @@ def bluffs(points: DataFrame, keys: list[str], which: str = "first", params: Par
     ``points``: accepted points of clusters, with reference_beam; of several
     oldest passes the seed's is taken first, then by beam.
     """
+    each = points.groupBy(*keys, "reference_beam", "beam_id", "acq_date").agg(((F.min("h_li") + F.max("h_li")) / 2).alias("half"))
+    return crossed(points.join(levels(each, keys), keys), keys, which, params)
+
+
+def levels(passes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ref_line: the ``half`` of the oldest of a cluster's ``passes`` (keys, reference_beam, beam_id, acq_date, half)."""
     rank = F.struct("acq_date", (F.col("beam_id") != F.col("reference_beam")).alias("other"), "beam_id")
-    passes = points.groupBy(*keys, "reference_beam", "beam_id", "acq_date").agg(((F.min("h_li") + F.max("h_li")) / 2).alias("half"))
     half = F.struct(F.when(F.col("acq_date").isNotNull(), F.col("half")).alias("half"))  # in a struct, since a null is the oldest pass's too
-    level = passes.groupBy(*keys).agg(F.min_by(half, rank)["half"].alias("ref_line")).where("ref_line IS NOT NULL")
-    found = crossings(points.join(level, keys), [*keys, "beam_id", "acq_date"], F.col("ref_line"), which, params)
+    return passes.groupBy(*keys).agg(F.min_by(half, rank)["half"].alias("ref_line")).where("ref_line IS NOT NULL")
+
+
+def crossed(points: DataFrame, keys: list[str], which: str = "first", params: Params | None = None) -> DataFrame:
+    """Where the passes of ``points`` of clusters meet their ``ref_line``: columns as of ``bluffs``."""
+    found = crossings(points, [*keys, "beam_id", "acq_date"], F.col("ref_line"), which, params)
     return found.where("bluff_x IS NOT NULL").select(*keys, "beam_id", "acq_date", "bluff_x", "bluff_y", F.col("bluff_y").alias("ref_line"))

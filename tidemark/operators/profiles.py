@@ -34,24 +34,28 @@ def geodesic_along(points: DataFrame, keys: list[str], order: list[str], lat: st
     return points.withColumn("__step", step).withColumn("distance_m", F.sum("__step").over(run.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
-def at_distance(points: DataFrame, keys: list[str], x0: float, x: str = "distance_from_offshore", y: str = "h_li", every: bool = False) -> DataFrame:
+def at_distance(points: DataFrame, keys: list[str], x0: float, x: str = "distance_from_offshore", y: str = "h_li", every: bool = False, ends: bool = False) -> DataFrame:
     """keys, value: each profile's linear interpolation at ``x0``, flat beyond its ends, null with under two points.
 
     Points at the same distance count with their mean.  Profiles without a
     single known point are absent, unless ``every`` asks for them, with null.
+    With ``ends``, also ``low`` and ``high``: the least and the greatest height
+    of the points that count, as they are given.
     """
-    rows = points.select(*keys, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"))
+    given = [F.col(y).alias("low"), F.col(y).alias("high")] if ends else []
+    rows = points.select(*keys, finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y"), *given)
     if every:
         rows = rows.withColumn("x", F.when(F.col("y").isNotNull(), F.col("x")))
     else:
         rows = rows.where("x IS NOT NULL AND y IS NOT NULL")
-    rows = rows.groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count("x").alias("n"))
+    extremes = [F.min("low").alias("low"), F.max("high").alias("high")] if ends else []
+    rows = rows.groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count("x").alias("n"), *extremes)
     before, after = F.when(F.col("x") <= x0, F.col("x")), F.when(F.col("x") >= x0, F.col("x"))
     # Numbers only: the greatest of structs would be found by sorting.
-    sides = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(before).alias("ax"), F.max_by("y", before).alias("ay"), F.min(after).alias("bx"), F.min_by("y", after).alias("by"))
+    sides = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(before).alias("ax"), F.max_by("y", before).alias("ay"), F.min(after).alias("bx"), F.min_by("y", after).alias("by"), *extremes)
     between = F.col("ay") + (F.lit(x0) - F.col("ax")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0)) * (F.col("by") - F.col("ay"))
     value = F.when(F.col("n") < 2, None).when(F.col("ax").isNull(), F.col("by")).when(F.col("bx").isNull() | (F.col("ax") == F.col("bx")), F.col("ay")).otherwise(between)
-    return sides.select(*keys, value.alias("value"))
+    return sides.select(*keys, value.alias("value"), *(["low", "high"] if ends else []))
 
 
 def crossings(points: DataFrame, keys: list[str], reference: Column, which: str = "first", params: Params | None = None, atol: float | None = None,

@@ -53,10 +53,11 @@ def bias_report(spark, sf):
 
 
 def _kept(spark, sf):
-    points = staged(profiles(spark, sf))
-    listed = staged(stand_clusters(spark, sf, points))  # as a table its size is known, and the points stay in place
-    inside = staged(bias.profiles_in(listed, points, KEYS))
-    return inside, staged(bias.keep(bias.evaluate(inside, KEYS), [2.0]))
+    """(passes of clusters, biases, clusters): of the points only what is found of each pass goes on."""
+    passes = staged(bias.passes(profiles(spark, sf)))
+    listed = staged(stand_clusters(spark, sf, passes))
+    inside = staged(bias.profiles_in(listed, passes, KEYS))
+    return inside, staged(bias.keep(bias.judged(inside, KEYS), [2.0])), listed
 
 
 def bias_filter(spark, sf):
@@ -64,26 +65,32 @@ def bias_filter(spark, sf):
 
 
 def bias_summary(spark, sf):
-    return _tidy(bias.summary(_kept(spark, sf)[1], stand_clusters(spark, sf), KEYS))
+    _, kept, listed = _kept(spark, sf)
+    return _tidy(bias.summary(kept, listed, KEYS))
 
 
 def _accepted(spark, sf):
-    inside, kept = _kept(spark, sf)
-    return staged(bias.allowed(inside, kept, KEYS))
+    inside, kept, _ = _kept(spark, sf)
+    return bias.allowed(inside, kept, KEYS)
+
+
+def _bluffs(spark, sf):
+    """The points meet the accepted passes and their levels where they lie, since they are dealt by pass."""
+    accepted = staged(_accepted(spark, sf))
+    lined = staged(accepted.join(bias.levels(accepted, KEYS), KEYS).select(*KEYS, "beam_id", "acq_date", "ref_line"))
+    return bias.crossed(profiles(spark, sf).join(lined, CYCLE), KEYS)
 
 
 def bluff_positions(spark, sf):
-    return _tidy(bias.bluffs(_accepted(spark, sf), KEYS))
+    return _tidy(_bluffs(spark, sf))
 
 
 def yref_oldest(spark, sf):
-    return _tidy(bias.bluffs(_accepted(spark, sf), KEYS).select(*KEYS, "ref_line").distinct())
+    return _tidy(_bluffs(spark, sf).select(*KEYS, "ref_line").distinct())
 
 
 def used_cycles(spark, sf):
-    inside, kept = _kept(spark, sf)
-    passes = inside.select(*KEYS, "beam_id", "acq_date").distinct()  # a beam and date is accepted or not, whatever its points
-    return bias.allowed(passes, kept, KEYS).groupBy(*KEYS).agg(F.count_distinct("beam_id").alias("used_beams"), F.count_distinct("beam_id", "acq_date").alias("used_cycles"))
+    return _accepted(spark, sf).groupBy(*KEYS).agg(F.count_distinct("beam_id").alias("used_beams"), F.count_distinct("beam_id", "acq_date").alias("used_cycles"))
 
 
 def along_track(spark, sf):

@@ -3,6 +3,7 @@
 import ast
 import datetime
 import inspect
+import os
 import random
 from collections import Counter
 
@@ -133,3 +134,10 @@ def test_clusters_judge_passes_not_points(spark, passes, name):
         "used_cycles": lambda: accepted.groupBy(*keys).agg(F.count_distinct("beam_id").alias("used_beams"), F.count_distinct("beam_id", "acq_date").alias("used_cycles")),
     }
     _same(got, want[name]())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_profiles_are_dealt_once_and_not_grouped_where_they_are_read(still):
+    plan = profile_queries.interp_at_x0(still, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Aggregate" not in plan.split("Exchange hashpartitioning")[1]

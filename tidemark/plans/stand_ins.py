@@ -25,13 +25,20 @@ SERIES = "series AS (SELECT o_custkey AS cluster_id, 'gt' || CAST(o_custkey % 3
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as points of profiles: a supplier in a year, by price."""
+    """Line items as points of profiles: a supplier in a year, by price.
+
+    Dealt by pass before they are grouped: nearly every line is a group of its
+    own, so combining them where they are read would only fill memory, and
+    whatever follows by pass finds them in place.  The number of parts is given
+    since parts that are joined again would fill memory too.
+    """
     line = parquet(spark, sf, "lineitem")
     family = F.when(F.col("l_returnflag") == "A", "gt1").when(F.col("l_returnflag") == "N", "gt2").otherwise("gt3")
-    return line.groupBy(
+    rows = line.select(
         family.alias("gt_family"), F.col("l_suppkey").cast("string").alias("beam_id"), F.make_date(F.year("l_shipdate"), F.lit(1), F.lit(1)).alias("acq_date"),
-        (F.col("l_extendedprice") / 100).alias("distance_from_offshore"),
-    ).agg((F.avg("l_quantity") - 25).alias("h_li"))
+        (F.col("l_extendedprice") / 100).alias("distance_from_offshore"), "l_quantity",
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gt_family", "beam_id", "acq_date")
+    return rows.groupBy("gt_family", "beam_id", "acq_date", "distance_from_offshore").agg((F.avg("l_quantity") - 25).alias("h_li"))
 
 
 PROFILES = """profiles AS (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_operators import documents
 from tidemark.llm import collocations, repair, repeats
+from tidemark.llm.common import Scratch
 
 NEXT = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
 
@@ -102,6 +103,36 @@ def test_repeated_strings(spark, repetitive, monkeypatch, stretch, entries):
     assert sorted(map(tuple, got), key=str) == plain_removal(repetitive)
 
 
+#: So that the rows of one key are split among tasks in small tables too.
+SKEW = {"skewJoin.skewedPartitionThresholdInBytes": "20k", "skewJoin.skewedPartitionFactor": "2", "advisoryPartitionSizeInBytes": "10k"}
+
+
+def test_rows_of_a_common_passage_are_split_among_tasks(spark):
+    """Both joins by bucket: of triggers with repeated buckets, of entries with buckets of several entries."""
+    plans = []
+
+    class Told(Scratch):
+        def table(self, df):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+            return super().table(df)
+
+    draw = random.Random(3)
+    rows = [(i, "".join(draw.choice("bcde ") for _ in range(600)) + "a" * 1000 + "".join(draw.choice("bcde ") for _ in range(600)), "en", "s") for i in range(60)]
+    texts = documents(spark, rows).repartition(8).select(F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    before = {k: spark.conf.get(f"spark.sql.adaptive.{k}") for k in SKEW}
+    try:
+        for k, v in SKEW.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+        assert repeats.spans(texts, Told(spark)).count() == 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    by_bucket = [p for p in plans if "LeftSemi" in p]
+    assert len(by_bucket) == 2 and all("Aggregate" not in p for p in by_bucket)
+    assert "SortMergeJoin(skew=true)" in by_bucket[0]
+
+
 def test_no_repeats(spark):
     assert repeats.cleaned(documents(spark, [])).collect() == []
     assert repeats.cleaned(documents(spark, [(1, None, "en", "s"), (1, "x", "en", "s")])).select("n_removed").collect() == [(0,), (0,)]

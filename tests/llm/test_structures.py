@@ -133,6 +133,34 @@ def test_rows_of_a_common_passage_are_split_among_tasks(spark):
     assert "SortMergeJoin(skew=true)" in by_bucket[0]
 
 
+def exchanged(node):
+    """Rows that each exchange of a plan that has run wrote."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return exchanged(node.executedPlan())
+    if "QueryStage" in node.nodeName():
+        return exchanged(node.plan())
+    below = [n for k in range(node.children().size()) for n in exchanged(node.children().apply(k))]
+    return below + ([node.longMetric("shuffleRecordsWritten").value()] if node.nodeName() == "Exchange" else [])
+
+
+def test_copies_of_a_text_do_not_meet_in_one_task(spark):
+    rows = [(i, "x" * 500 if i % 10 else f"{i:05d}" * 100, "en", "s") for i in range(2000)]
+    texts = documents(spark, rows).repartition(4).select(F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    keys = texts.where(F.col("text").startswith("x")).select("key").distinct()
+    entries = keys.select(F.explode(F.array(F.lit(7), F.lit(8))).alias("entry"), F.lit(0).cast("long").alias("bucket"), "key", F.lit(100).alias("at"), F.lit(40).alias("far"), F.lit(0).alias("near"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = repeats.contexts(texts, spark.createDataFrame(entries.collect(), entries.schema))
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(e, 0, 40, 0, b"x" * 40, b"x" * (repeats.LENGTH - repeats.BEHIND)) for e in (7, 8)]
+    # But for the 2,000 rows that the test itself deals out.
+    written = exchanged(found._jdf.queryExecution().executedPlan())
+    assert sorted(written)[-1] == 2000 and all(n <= 200 + 4 for n in sorted(written)[:-1])
+
+
 def test_no_repeats(spark):
     assert repeats.cleaned(documents(spark, [])).collect() == []
     assert repeats.cleaned(documents(spark, [(1, None, "en", "s"), (1, "x", "en", "s")])).select("n_removed").collect() == [(0,), (0,)]
